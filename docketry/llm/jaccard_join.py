@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm import kernel, linking
 from docketry.llm.kernel import U, mix
-from docketry.llm.shared import partitions, settle, table
+from docketry.llm.shared import narrow, partitions, settle, table
 
 NUM, DEN = 75, 100
 K = 5
@@ -180,9 +180,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     buckets = max(partitions(spark), total // 3_000_000 + 1)
     keep = classes.select("id").distinct()
     texts = docs.withColumnRenamed("doc_id", "id")
-    blobs = texts.join(keep, "id", "left_semi").mapInArrow(_signer(int(buckets), deletions), linking.BLOB)
+    blobs = narrow(texts, keep, ["id"]).mapInArrow(_signer(int(buckets), deletions), linking.BLOB)
     found = linking.groups(blobs)
-    joined = linking.link(found, lambda ids: texts.join(ids, "id", "left_semi").mapInArrow(_sets, "id long, items binary").dropDuplicates(["id"]), NUM, DEN)
+    joined = linking.link(found, lambda ids: narrow(texts, ids, ["id"]).mapInArrow(_sets, "id long, items binary").dropDuplicates(["id"]), NUM, DEN)
     # documents of one class are linked by their equal sets; repeated ids with several texts tie their classes together
     member = full.join(classes.select("one", "two", "n_shingles", "id"), ["one", "two", "n_shingles"])
     of = member.join(joined, "id", "left").select("doc_id", F.coalesce("component", "id").alias("c"))

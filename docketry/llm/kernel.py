@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240501))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
+_OTHER = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
 _MULT = _RNG.integers(1, 2**62, 64, dtype=np.int64).astype(U) * U(2) + U(1)
 _BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -62,11 +63,11 @@ def blocks(column, size: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndar
         i = j
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
-    """Sums s with (s[b]-s[a]) * inverse_power[a] the polynomial hash of bytes a..b."""
+def prefix(data: np.ndarray, other: bool = False) -> np.ndarray:
+    """Sums s with (s[b]-s[a]) * inverse_power[a] the polynomial hash of bytes a..b; ``other``: over a second byte table."""
     power, _ = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, U)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
+    np.cumsum((_OTHER if other else _BYTE)[data] * power[: len(data)], out=sums[1:])
     return sums
 
 

@@ -139,18 +139,20 @@ def link(found: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den
 def _common(batches):
     for batch in batches:
         a, b = batch.column("xs").to_pylist(), batch.column("ys").to_pylist()
-        keep = []
+        common = []
         for x, y in zip(a, b, strict=True):
             x, y = np.frombuffer(x, U), np.frombuffer(y, U)
             at = np.searchsorted(x, y)
             at[at == len(x)] = 0
-            keep.append(int((x[at] == y).sum()) if len(x) else 0)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.int64()), pa.array([len(x) // 8 for x in a], pa.int64()), pa.array([len(y) // 8 for y in b], pa.int64())], names=["a", "b", "common", "na", "nb"])
+            common.append(int((x[at] == y).sum()) if len(x) else 0)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array([len(x) // 8 for x in a], pa.int64()), pa.array([len(y) // 8 for y in b], pa.int64())], names=["a", "b", "common", "na", "nb"])
 
 
 def verify(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets really are that similar."""
     pairs = settle(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     own = settle(sets(ids), "sets")
     sided = pairs.join(own.select(F.col("id").alias("b"), F.col("items").alias("ys")), "b").join(own.select(F.col("id").alias("a"), F.col("items").alias("xs")), "a")

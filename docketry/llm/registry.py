@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from docketry.llm import jaccard_join
+from docketry.llm import jaccard_join, line_dedup
 
 QUERIES = {
     "op4_ngram_jaccard_join": jaccard_join.query,
+    "op5_line_dedup": line_dedup.query,
 }
 
 ORACLES: dict[str, str] = {}

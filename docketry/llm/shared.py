@@ -44,3 +44,13 @@ def ascii_lower(text):
 def words(text):
     """The words of a text, split at ASCII white space; an empty array for null or blank texts."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+
+
+#: Keys that may be broadcast: at 16 bytes a key, a few MB. Beyond that the join shuffles.
+FEW_KEYS = 200_000
+
+
+def narrow(df: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
+    """``df`` joined to distinct ``keys``: broadcast when a count shows at most FEW_KEYS of them, else shuffled."""
+    few = keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    return df.join(F.broadcast(keys) if few else keys, on, how)
