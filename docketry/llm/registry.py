@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from docketry.llm import jaccard_join, line_dedup
+from docketry.llm import bpe, jaccard_join, line_dedup, quality
 
 QUERIES = {
+    "op3_bpe_codec": bpe.query,
     "op4_ngram_jaccard_join": jaccard_join.query,
     "op5_line_dedup": line_dedup.query,
+    "op6_quality_rules": quality.query,
 }
 
 ORACLES: dict[str, str] = {}
