@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from docketry.llm import bpe, jaccard_join, line_dedup, quality
+from docketry.llm import bpe, chat_format, jaccard_join, license_scan, line_dedup, quality, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.query,
     "op3_bpe_codec": bpe.query,
     "op4_ngram_jaccard_join": jaccard_join.query,
     "op5_line_dedup": line_dedup.query,
     "op6_quality_rules": quality.query,
+    "op8_license_scan": license_scan.query,
+    "op9_chat_format": chat_format.query,
 }
 
 ORACLES: dict[str, str] = {}
