@@ -13,7 +13,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.shared import ascii_lower, table
+from docketry.llm.shared import ascii_lower, hold, table
 
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose places are counted, and their labels.
@@ -89,20 +89,20 @@ def scan(df: DataFrame) -> DataFrame:
     confidence left, at least 0.85 where a base phrase stands.
     """
     lower = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    step = df.withColumn("__low", lower)
-    step = step.withColumn("__w", F.array_remove(F.split("__low", BREAK), ""))
+    step = hold(df, __low=lower)
+    step = hold(step, __w=F.array_remove(F.split("__low", BREAK), ""))
     # every base phrase and every rule holds one of these
     gate = F.col("__low").contains("licen") | F.col("__low").contains("cc") | F.col("__low").contains("public") | F.col("__low").contains("gpl") | F.col("__low").contains("spdx")
-    step = step.withColumns({"__n": F.size("__w"), "__norm": F.when(gate, F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" ")))})
+    step = hold(step, __n=F.size("__w"), __norm=F.when(gate, F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" "))))
     base = [_places(phrase, label) for phrase, label in BASE]
     empty = F.array().cast("array<struct<at:int,label:string>>")
     known = F.from_json(F.lit(json.dumps(rules())), RULE)
     near = F.filter(known, lambda r: F.contains(F.col("__norm"), r["keyword"]))
     found = F.flatten(F.transform(near, lambda r: _found(F.col("__norm"), r)))
     worth = F.col("__norm").isNotNull() & F.col("__norm").rlike(r" (?:licen\w+|spdx|cc by|cc0|unlicense|gnu|[al]?gpl|public) ")
-    step = step.withColumns({"__base": F.flatten(F.array(*(F.coalesce(b, empty) for b in base))), "__found": F.coalesce(F.when(worth, found), F.array().cast(FOUND))})
+    step = hold(step, __base=F.flatten(F.array(*(F.coalesce(b, empty) for b in base))), __found=F.coalesce(F.when(worth, found), F.array().cast(FOUND)))
     inside = lambda d, e: (e["at"] <= d["at"]) & (d["at"] + d["n"] <= e["at"] + e["n"]) & ((e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & (e["n"] > d["n"])))
-    step = step.withColumn("__left", F.array_sort(F.array_distinct(F.filter("__found", lambda d: ~F.exists("__found", lambda e: inside(d, e))))))
+    step = hold(step, __left=F.array_sort(F.array_distinct(F.filter("__found", lambda d: ~F.exists("__found", lambda e: inside(d, e))))))
     labels = lambda c: F.transform(c, lambda d: d["label"])
     best = F.greatest(F.coalesce(F.array_max(F.transform("__left", lambda d: d["confidence"])), F.lit(0.0)), F.when(F.size("__base") > 0, 0.85).otherwise(0.0))
     out = F.struct(

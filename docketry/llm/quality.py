@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.shared import table, words
+from docketry.llm.shared import hold, table, words
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -40,10 +40,10 @@ def line_fails(line: Column) -> Column:
     return navigation | noise | unpunctuated | boilerplate
 
 
-def repeated_words(w: Column, n: Column) -> Column:
-    """How many words stand in WINDOW-word windows that the text holds twice or more.
+def window_hashes(w: Column, n: Column) -> Column:
+    """A hash for each WINDOW-word window of a text.
 
-    Windows are compared by 64-bit hashes within one text. Most texts repeat none and are done after a hash set; the others
+    ``quality`` counts the words in windows that a text holds twice or more. Windows are compared by 64-bit hashes within one text. Most texts repeat none and are done after a hash set; the others
     are sorted by hash, and the windows that have an equal neighbour are laid over the text.
     """
     windows = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(WINDOW))))
@@ -58,21 +58,21 @@ def quality(df: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n", -1)
-    step = df.withColumns({"__w": words(F.col("text")), "__l": F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
-    n = F.size("__w")
-    step = step.withColumns({"__n": n, "__h": repeated_words(F.col("__w"), n), "__fails": F.filter("__l", line_fails)})
-    step = step.withColumn("__d", F.size("__h") != F.size(F.array_distinct("__h")))
-    step = step.withColumn("__s", F.when(F.col("__d"), F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    step = hold(df, __w=words(F.col("text")), __l=F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    step = step.withColumn("__n", F.size("__w"))
+    step = hold(step, __h=window_hashes(F.col("__w"), F.col("__n")), __fails=F.filter("__l", line_fails))
+    step = hold(step, __d=F.size("__h") != F.size(F.array_distinct("__h")))
+    step = hold(step, __s=F.when(F.col("__d"), F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     same = lambda i: F.get(F.col("__s"), i)["h"]
     twice = F.filter(F.sequence(F.lit(0), F.size("__s") - 1), lambda i: F.coalesce(same(i) == F.when(i > 0, same(i - 1)), F.lit(False)) | F.coalesce(same(i) == same(i + 1), F.lit(False)))
-    step = step.withColumn("__p", F.when(F.col("__d"), F.array_sort(F.transform(twice, lambda i: F.get(F.col("__s"), i)["i"]))))
+    step = hold(step, __p=F.when(F.col("__d"), F.array_sort(F.transform(twice, lambda i: F.get(F.col("__s"), i)["i"]))))
     reach = F.aggregate(
         "__p",
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
         lambda acc, p: F.struct((p + WINDOW).alias("end"), (acc["n"] + p + WINDOW - F.greatest(p, acc["end"])).alias("n")),
         lambda acc: acc["n"],
     )
-    step = step.withColumn("__r", F.coalesce(F.when(F.col("__d"), reach), F.lit(0)))
+    step = hold(step, __r=F.coalesce(F.when(F.col("__d"), reach), F.lit(0)))
     lost = F.aggregate("__fails", F.lit(0), lambda acc, x: acc + F.length(x))
     clean = F.when(F.size("__fails") == 0, F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & line_fails(x))), "\n"))
     failed = (F.col("__n") < MIN_WORDS) | (F.col("__r") * 100 > F.col("__n") * MAX_REPEAT_PERCENT)
@@ -88,7 +88,7 @@ def quality(df: DataFrame) -> DataFrame:
         lost.cast("long").alias("chars_lost"),
         clean.alias("text"),
     )
-    return step.withColumn("quality", out).drop("__w", "__l", "__n", "__h", "__fails", "__d", "__s", "__p", "__r")
+    return hold(step, quality=out).drop("__w", "__l", "__n", "__h", "__fails", "__d", "__s", "__p", "__r")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from docketry.llm import bpe, chat_format, jaccard_join, license_scan, line_dedup, quality, url_filter
+from docketry.llm import bpe, chat_format, decontaminate, jaccard_join, license_scan, line_dedup, quality, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
+    "op2_benchmark_decontamination": decontaminate.query,
     "op3_bpe_codec": bpe.query,
     "op4_ngram_jaccard_join": jaccard_join.query,
     "op5_line_dedup": line_dedup.query,

@@ -54,3 +54,12 @@ def narrow(df: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi"
     """``df`` joined to distinct ``keys``: broadcast when a count shows at most FEW_KEYS of them, else shuffled."""
     few = keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS
     return df.join(F.broadcast(keys) if few else keys, on, how)
+
+
+def hold(df: DataFrame, **columns) -> DataFrame:
+    """``df`` with ``columns`` computed once a row.
+
+    The optimizer may copy a projected expression into a filter or into a lambda, where an array would be built anew for
+    each element. It doesn't look through a generator; one that makes exactly one row costs next to nothing.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
