@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.llm import bpe, chat_format, decontaminate, html_extract, jaccard_join, license_scan, line_dedup, quality, url_filter
+from docketry.llm import bpe, chat_format, decontaminate, html_extract, jaccard_join, license_scan, line_dedup, quality, suffix_tree_lm, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_ngram_jaccard_join": jaccard_join.query,
     "op5_line_dedup": line_dedup.query,
     "op6_quality_rules": quality.query,
+    "op7_lm_scoring": suffix_tree_lm.query,
     "op8_license_scan": license_scan.query,
     "op9_chat_format": chat_format.query,
     "op10_html_extraction": html_extract.query,
