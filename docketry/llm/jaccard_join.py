@@ -26,6 +26,8 @@ from docketry.llm.shared import narrow, partitions, settle, table
 NUM, DEN = 75, 100
 K = 5
 MASK = 2**64 - 1
+#: Signatures that a task holds before it deals them out.
+HELD = 1_500_000
 
 
 def bands(num: int = NUM, den: int = DEN, top: int = 1 << 40) -> np.ndarray:
@@ -134,22 +136,21 @@ def _profile(batches):
 def _signer(buckets: int, extra: frozenset[int]):
     def run(batches):
         for batch in batches:
-            ids, rows = batch.column("id").to_numpy(), []
-            for first, data, offsets in kernel.blocks(batch.column("text"), 8 * kernel.BLOCK):
+            ids = batch.column("id").to_numpy()
+            sizes, held, kept = np.zeros(len(ids), np.int64), [], 0
+            for first, data, offsets in kernel.blocks(batch.column("text")):
                 items, cut = kernel.shingle_sets(data, offsets, K)
-                own, sigs, probes = [], [], []
+                sizes[first : first + len(cut) - 1] = np.diff(cut)
                 for k, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
                     if y > x:
                         sig, probe = signatures(items[x:y], extra)
-                        own.append(np.full(len(sig), first + k))
-                        sigs.append(sig)
-                        probes.append(probe)
-                if own:
-                    sizes = np.zeros(len(ids), np.int64)
-                    sizes[first : first + len(cut) - 1] = np.diff(cut)
-                    rows += linking.pack(ids, sizes, *map(np.concatenate, (own, sigs, probes)), buckets)
-            if rows:
-                yield linking.packed(rows)
+                        held.append((np.full(len(sig), first + k, np.int32), sig, probe))
+                        kept += len(sig)
+                if kept > HELD:
+                    yield linking.packed(list(linking.pack(ids, sizes, *map(np.concatenate, zip(*held, strict=True)), buckets)))
+                    held, kept = [], 0
+            if held:
+                yield linking.packed(list(linking.pack(ids, sizes, *map(np.concatenate, zip(*held, strict=True)), buckets)))
 
     return run
 
@@ -178,13 +179,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     total = classes.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     deletions = frozenset(r[0] for r in classes.select(F.explode("extra")).distinct().collect())  # at most twice the number of bands
     buckets = max(partitions(spark), total // 3_000_000 + 1)
-    keep = classes.select("id").distinct()
-    texts = docs.withColumnRenamed("doc_id", "id")
-    blobs = narrow(texts, keep, ["id"]).mapInArrow(_signer(int(buckets), deletions), linking.BLOB)
-    found = linking.groups(blobs)
-    joined = linking.link(found, lambda ids: narrow(texts, ids, ["id"]).mapInArrow(_sets, "id long, items binary").dropDuplicates(["id"]), NUM, DEN)
     # documents of one class are linked by their equal sets; repeated ids with several texts tie their classes together
     member = full.join(classes.select("one", "two", "n_shingles", "id"), ["one", "two", "n_shingles"])
+    copies = settle(member.filter("doc_id != id").select(F.col("doc_id").alias("id")).distinct(), "copies")
+    texts = docs.filter("doc_id is not null").withColumnRenamed("doc_id", "id")
+    blobs = narrow(texts, copies, ["id"], "left_anti").mapInArrow(_signer(int(buckets), deletions), linking.BLOB)
+    found = linking.groups(blobs)
+    joined = linking.link(found, lambda ids: narrow(texts, ids, ["id"]).mapInArrow(_sets, "id long, items binary").dropDuplicates(["id"]), NUM, DEN)
     of = member.join(joined, "id", "left").select("doc_id", F.coalesce("component", "id").alias("c"))
     return seen.select("doc_id", "n_shingles").join(of.groupBy("doc_id").agg(F.min("c").alias("c")), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id")

@@ -24,7 +24,7 @@ LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
 _SOLID = np.ones(256, bool)
 _SOLID[[9, 10, 11, 12, 13, 32]] = False
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
