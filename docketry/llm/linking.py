@@ -4,8 +4,8 @@ A *group* says: any two members of it may be similar, if at least one of them is
 which they share most groups, and only what verified links have not yet joined is compared further:
 
 1. each member is verified against its hub; links give components (``components``);
-2. groups whose members lie in different components name the pairs that still could link two components; those are
-   verified as well. Pairs inside one component cannot change the result and are never formed.
+2. in groups whose members lie in different components, pairs across components are tried by sketches whose distance bounds
+   the sets' difference from below, in blocks inside a task; only those that may be links become rows and are verified.
 
 So a group of n copies costs about n verifications, no link between components is lost, and no group is capped.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.kernel import U, mix
-from docketry.llm.shared import settle
+from docketry.llm.shared import partitions, settle
 
 BLOB = "bucket int, ids binary, sizes binary, at binary, sig binary"
 GROUPS = "gid long, id long, n int, prober boolean"
@@ -117,25 +117,90 @@ def link(found: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den
     """
     spark = found.sparkSession
     found = settle(found, "groups")
-    fits = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num
     hub = found.groupBy("gid").agg(F.min_by("id", F.struct(~F.col("prober"), F.col("id"))).alias("hub"))
     meets = found.join(hub, "gid").filter("id != hub").groupBy("id", "hub").agg(F.count("*").alias("votes"))
     first = meets.groupBy("id").agg(F.max_by("hub", F.struct("votes", -F.col("hub"))).alias("b")).select(F.col("id").alias("a"), "b")
     first = settle(verify(first, sets, num, den), "hubs")
     joined = components(first)
     label = found.join(joined, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    split = label.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("gid")
-    left = label.join(split, "gid")
-    x = left.filter("prober").select("gid", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    y = left.select("gid", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    more = x.join(y, "gid").filter((F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")))
-    more = more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    second = settle(verify(more, sets, num, den), "rest")
+    split = label.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo != hi").select("gid", "size")
+    left = settle(label.join(split, "gid").select("gid", "id", "prober", "c", "size"), "split")
+    if left.isEmpty():
+        return joined
+    own = settle(sets(left.select("id").distinct()), "sets")
+    sketch = own.mapInArrow(_sketches, "id long, n long, bits binary")
+    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    at = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    dealt = left.join(sketch, "id").withColumn("chunks", chunks).withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select(F.xxhash64("gid", F.least("at", "other"), F.greatest("at", "other")).alias("cell"), "id", "prober", "c", "n", "bits", (F.col("at") <= F.col("other")).alias("low"), (F.col("at") >= F.col("other")).alias("high"))
+    buckets = max(partitions(spark), left.count() // 100_000 + 1)
+    more = dealt.groupBy(F.pmod("cell", F.lit(buckets)).alias("bucket")).applyInPandas(_survivors(num, den), "a long, b long").distinct()
+    second = settle(verify(more, sets, num, den, own), "rest")
     if second.isEmpty():
         return joined
     return components(first.union(second))
 
 
+#: Members of a group that meet in one piece of work; larger groups are dealt into pairs of chunks.
+CHUNK = 4096
+
+
+def _sketches(batches):
+    """Of each set its size and a parity sketch: bit h mod B counts the items there, modulo 2; B is 2 to 4 times the size.
+
+    Two sketches differ in at most as many bits as their sets differ in items, so they rule out pairs without an error.
+    """
+    for batch in batches:
+        sizes, bits = [], []
+        for x in batch.column("items").to_pylist():
+            items = np.frombuffer(x, U)
+            width = max(256, 1 << (2 * len(items)).bit_length())
+            odd = np.bincount(((items >> U(7)) % U(width)).astype(np.int64), minlength=width).astype(np.uint8) & 1
+            sizes.append(len(items))
+            bits.append(np.packbits(odd, bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], names=["id", "n", "bits"])
+
+
+def _survivors(num: int, den: int):
+    """The pairs of a bucket's cells that lie in different components and whose sizes and sketches allow a link."""
+
+    def meet(x: np.ndarray, y: np.ndarray, ids, n, c, prober, low, high, words: dict[int, np.ndarray]) -> Iterator[np.ndarray]:
+        step = max(1, 2_000_000 // max(1, len(y) * words[0].shape[1]))
+        left, right = words[0], words[1]
+        for k in range(0, len(x), step):
+            a = x[k : k + step]
+            far = np.bitwise_count(left[k : k + step, None, :] ^ right[None, :, :]).sum(axis=2, dtype=np.int64)
+            na, nb = n[a][:, None], n[y][None, :]
+            ok = far * (den + num) <= (den - num) * (na + nb)
+            ok &= (np.minimum(na, nb) * den >= np.maximum(na, nb) * num) & (c[a][:, None] != c[y][None, :]) & (prober[a][:, None] | prober[y][None, :])
+            ok &= (low[a][:, None] & high[y][None, :]) | (high[a][:, None] & low[y][None, :])
+            p, q = np.nonzero(ok)
+            yield np.stack((ids[a[p]], ids[y[q]]))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(frame["cell"].to_numpy(), kind="stable")
+        cell, ids, n, c, prober, low, high = (frame[k].to_numpy()[order] for k in ("cell", "id", "n", "c", "prober", "low", "high"))
+        bits = frame["bits"].to_numpy()[order]
+        start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        out = []
+        for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(cell)], strict=True):
+            widths = np.array([len(b) for b in bits[lo:hi]])
+            for width in np.unique(widths).tolist():
+                x = lo + np.flatnonzero(widths == width)
+                wide = lo + np.flatnonzero(widths == 2 * width)
+                left = np.frombuffer(b"".join(bits[x]), U).reshape(len(x), -1)
+                right = left
+                if len(wide):
+                    both = np.frombuffer(b"".join(bits[wide]), U).reshape(len(wide), 2, -1)
+                    right = np.concatenate((left, both[:, 0] ^ both[:, 1]))
+                out += meet(x, np.concatenate((x, wide)), ids, n, c, prober, low, high, {0: left, 1: right})
+        pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        pairs = np.unique(np.stack((pairs.max(axis=0), pairs.min(axis=0))), axis=1) if pairs.size else pairs
+        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+
+    return run
+
+
 def _common(batches):
     for batch in batches:
         a, b = batch.column("xs").to_pylist(), batch.column("ys").to_pylist()
@@ -148,13 +213,13 @@ def _common(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array([len(x) // 8 for x in a], pa.int64()), pa.array([len(y) // 8 for y in b], pa.int64())], names=["a", "b", "common", "na", "nb"])
 
 
-def verify(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets really are that similar."""
+def verify(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int, own: DataFrame | None = None) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets really are that similar; ``own``: the sets, where they are at hand."""
     pairs = settle(pairs, "pairs")
     if pairs.isEmpty():
         return pairs
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    own = settle(sets(ids), "sets")
+    if own is None:
+        own = settle(sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "sets")
     sided = pairs.join(own.select(F.col("id").alias("b"), F.col("items").alias("ys")), "b").join(own.select(F.col("id").alias("a"), F.col("items").alias("xs")), "a")
     counted = sided.select("a", "b", "xs", "ys").mapInArrow(_common, "a long, b long, common long, na long, nb long")
     return counted.filter(F.col("common") * den >= (F.col("na") + F.col("nb") - F.col("common")) * num).select("a", "b")
