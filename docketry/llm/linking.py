@@ -123,8 +123,8 @@ def link(found: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den
     first = settle(verify(first, sets, num, den), "hubs")
     joined = components(first)
     label = found.join(joined, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    split = label.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo != hi").select("gid", "size")
-    left = settle(label.join(split, "gid").select("gid", "id", "prober", "c", "size"), "split")
+    split = label.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.min("id").alias("lead")).filter("lo != hi").select("gid", "size", "lead")
+    left = settle(label.join(split, "gid").select("gid", "id", "prober", "c", "size", "lead"), "split")
     if left.isEmpty():
         return joined
     own = settle(sets(left.select("id").distinct()), "sets")
@@ -132,9 +132,9 @@ def link(found: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     at = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     dealt = left.join(sketch, "id").withColumn("chunks", chunks).withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select(F.xxhash64("gid", F.least("at", "other"), F.greatest("at", "other")).alias("cell"), "id", "prober", "c", "n", "bits", (F.col("at") <= F.col("other")).alias("low"), (F.col("at") >= F.col("other")).alias("high"))
+    dealt = dealt.select(F.xxhash64("gid", F.least("at", "other"), F.greatest("at", "other")).alias("cell"), F.xxhash64("lead", F.pmod("gid", F.lit(SPREAD))).alias("near"), "id", "prober", "c", "n", "bits", (F.col("at") <= F.col("other")).alias("low"), (F.col("at") >= F.col("other")).alias("high"), F.col("chunks").alias("cells"))
     buckets = max(partitions(spark), left.count() // 100_000 + 1)
-    more = dealt.groupBy(F.pmod("cell", F.lit(buckets)).alias("bucket")).applyInPandas(_survivors(num, den), "a long, b long").distinct()
+    more = dealt.groupBy(F.pmod(F.xxhash64("near", F.when(F.col("cells") > 1, F.col("cell"))), F.lit(buckets)).alias("bucket")).applyInPandas(_survivors(num, den), "a long, b long").distinct()
     second = settle(verify(more, sets, num, den, own), "rest")
     if second.isEmpty():
         return joined
@@ -143,10 +143,12 @@ def link(found: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den
 
 #: Members of a group that meet in one piece of work; larger groups are dealt into pairs of chunks.
 CHUNK = 4096
+#: Groups with one smallest member (those of one cluster) go to so many buckets, each of which names a pair once.
+SPREAD = 16
 
 
 def _sketches(batches):
-    """Of each set its size and a parity sketch: bit h mod B counts the items there, modulo 2; B is 2 to 4 times the size.
+    """Of each set its size and a parity sketch: bit h mod B counts the items there, modulo 2; B is 4 to 8 times the size.
 
     Two sketches differ in at most as many bits as their sets differ in items, so they rule out pairs without an error.
     """
@@ -154,7 +156,7 @@ def _sketches(batches):
         sizes, bits = [], []
         for x in batch.column("items").to_pylist():
             items = np.frombuffer(x, U)
-            width = max(256, 1 << (2 * len(items)).bit_length())
+            width = max(256, 1 << (4 * len(items)).bit_length())
             odd = np.bincount(((items >> U(7)) % U(width)).astype(np.int64), minlength=width).astype(np.uint8) & 1
             sizes.append(len(items))
             bits.append(np.packbits(odd, bitorder="little").tobytes())
