@@ -185,7 +185,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     texts = docs.filter("doc_id is not null").withColumnRenamed("doc_id", "id")
     blobs = narrow(texts, copies, ["id"], "left_anti").mapInArrow(_signer(int(buckets), deletions), linking.BLOB)
     found = linking.groups(blobs)
-    joined = linking.link(found, lambda ids: narrow(texts, ids, ["id"]).mapInArrow(_sets, "id long, items binary").dropDuplicates(["id"]), NUM, DEN)
+    joined = linking.link(found, lambda ids: narrow(texts, ids, ["id"]).mapInArrow(_sets, "id long, items binary"), NUM, DEN)
     of = member.join(joined, "id", "left").select("doc_id", F.coalesce("component", "id").alias("c"))
     return seen.select("doc_id", "n_shingles").join(of.groupBy("doc_id").agg(F.min("c").alias("c")), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id")

@@ -1,7 +1,7 @@
 """Line dedup: fuzzy lines by MinHash over character shingles, verified, one line kept of each component.
 
 Lines are compared trimmed and with A-Z lower-cased. Equal lines are one class at once; between classes, one-permutation
-MinHash signatures (BANDS bands of ROWS bins, filled by rotation) find candidates: at the threshold of 0.75 a pair is
+MinHash signatures (BANDS bands of ROWS bins, empty ones densified) find candidates: at the threshold of 0.75 a pair is
 missed with a chance below 1e-4. Candidates are verified on their whole sets of 8-character shingles and joined to
 components; of each component the first line, by doc_id and line number, stays. Lines without a word always stay.
 """
@@ -20,6 +20,8 @@ from docketry.llm.shared import narrow, partitions, settle, table
 K, NUM, DEN = 8, 75, 100
 BANDS, ROWS = 25, 4
 BINS = BANDS * ROWS
+#: Times that an empty bin looks for a full one, each time in a place of its own; the few left take the least hash of all.
+ATTEMPTS = 24
 BLOCK = 500_000
 
 
@@ -57,16 +59,17 @@ def _shingles(data: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.nda
 
 
 def _minhash(items: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
-    """The signature of each of n spans: the least hash in each bin, empty bins filled from the next full one."""
+    """The signature of each of n spans: the least hash in each bin, empty bins filled from full ones elsewhere, so that a band has several."""
     top = U(2**64 - 1)
     sig = np.full(n * BINS, top, U)
     np.minimum.at(sig, own * BINS + ((items >> U(24)) % U(BINS)).astype(np.int64), items)
-    sig = sig.reshape(n, BINS)
-    for _ in range(2):
-        for k in range(BINS - 1, -1, -1):
-            hole = sig[:, k] == top
-            nxt = sig[hole, (k + 1) % BINS]
-            sig[hole, k] = np.where(nxt == top, top, nxt * U(0xD1342543DE82EF95) + U(1))
+    full = sig.reshape(n, BINS)
+    sig, bins = full.copy(), np.arange(BINS)
+    for attempt in range(ATTEMPTS):
+        if not (hole := sig == top).any():
+            break
+        source = (mix((bins + BINS * (attempt + 1)).astype(U)) % U(BINS)).astype(np.int64) if attempt < ATTEMPTS - 1 else None
+        sig = np.where(hole, full[:, source] if source is not None else full.min(axis=1, keepdims=True), sig)
     return sig
 
 
@@ -107,24 +110,22 @@ def _signer(buckets: int):
 
 
 def _sets(batches):
-    """(id, items) for the lines of a text that ``wanted`` lists."""
+    """(id, items) for the lines of a text whose numbers ``wanted`` lists."""
     for batch in batches:
-        ids, sets = [], []
         wanted = batch.column("wanted").to_pylist()
         for first, data, offsets in kernel.blocks(batch.column("text"), BLOCK):
-            text, _, start, end = _lines(data, offsets)
+            text, number, start, end = _lines(data, offsets)
+            longest = int(number.max(initial=0)) + 1
+            want = np.array([k * longest + w for k in range(len(offsets) - 1) for w in wanted[first + k] if w < longest], np.int64)
+            mine = np.flatnonzero(np.isin(text * longest + number, want))
+            if not len(mine):
+                continue
+            start, end = start[mine], end[mine]
             sums = kernel.prefix(LOWERED[data])
-            one = kernel.span_hash(sums, start, end).view(np.int64)
-            want = [np.array(wanted[first + k], np.int64) for k in range(len(offsets) - 1)]
-            cut = np.searchsorted(text, np.arange(len(offsets)))
-            for k, w in enumerate(want):
-                mine = np.arange(cut[k], cut[k + 1])
-                mine = mine[np.isin(one[mine], w)]
-                for i in mine.tolist():
-                    items, _ = _shingles(data, sums, start[i : i + 1], end[i : i + 1])
-                    ids.append(int(one[i]))
-                    sets.append(np.unique(items).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["id", "items"])
+            items, own = _shingles(data, sums, start, end)
+            cut = np.searchsorted(own, np.arange(len(mine) + 1)).tolist()
+            sets = [np.unique(items[x:y]).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(kernel.span_hash(sums, start, end).view(np.int64)), pa.array(sets, pa.binary())], names=["id", "items"])
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -140,8 +141,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     found = linking.groups(docs.select("text").mapInArrow(_signer(buckets), linking.BLOB))
 
     def sets(ids: DataFrame) -> DataFrame:
-        at = narrow(classes.withColumnRenamed("one", "id"), ids, ["id"]).groupBy("first.doc_id", "first.digest").agg(F.collect_list("id").alias("wanted"))
-        return narrow(docs, settle(at, "wanted"), ["doc_id", "digest"], "inner").select("text", "wanted").mapInArrow(_sets, "id long, items binary").dropDuplicates(["id"])
+        at = narrow(classes.withColumnRenamed("one", "id"), ids, ["id"]).groupBy("first.doc_id", "first.digest").agg(F.collect_set("first.line").alias("wanted"))
+        return narrow(docs, settle(at, "wanted"), ["doc_id", "digest"], "inner").select("text", "wanted").mapInArrow(_sets, "id long, items binary")
 
     joined = linking.link(found, sets, NUM, DEN)
     named = classes.join(joined.withColumnRenamed("id", "one"), "one", "left").withColumn("c", F.coalesce("component", "one"))

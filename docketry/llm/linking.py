@@ -39,8 +39,11 @@ def pack(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray, sig: np.ndarray, pr
     for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
         mine = order[cuts[b] : cuts[b + 1]]
         here, local = np.unique(at[mine], return_inverse=True)
+        if 12 * len(here) > 6 * len(mine):  # few signatures a member: each has its member beside it
+            here, local = at[mine], local[:0]
+        size = sizes[here].astype(np.int32)
         yield {
-            "bucket": b, "ids": ids[here].astype(np.int64).tobytes(), "sizes": sizes[here].astype(np.int32).tobytes(), "at": local.astype(np.uint32).tobytes(),
+            "bucket": b, "ids": ids[here].astype(np.int64).tobytes(), "sizes": size.tobytes() if size.any() else b"", "at": local.astype(np.uint16 if len(here) < 65536 else np.uint32).tobytes(),
             "sig": short[mine].view(np.uint8).reshape(-1, 8)[:, :5].tobytes(),
         }
 
@@ -54,11 +57,13 @@ def _members(frame: pd.DataFrame) -> pd.DataFrame:
     """The groups of one bucket, each member list once."""
     ids, sizes, sigs = [], [], []
     for row_ids, row_sizes, at, sig in zip(frame["ids"], frame["sizes"], frame["at"], frame["sig"], strict=True):
-        here, local = np.frombuffer(row_ids, np.int64), np.frombuffer(at, np.uint32)
-        wide = np.zeros((len(local), 8), np.uint8)
+        here = np.frombuffer(row_ids, np.int64)
+        size = np.frombuffer(row_sizes, np.int32) if row_sizes else np.zeros(len(here), np.int32)
+        wide = np.zeros((len(sig) // 5, 8), np.uint8)
         wide[:, :5] = np.frombuffer(sig, np.uint8).reshape(-1, 5)
+        local = np.frombuffer(at, np.uint16 if len(here) < 65536 else np.uint32) if at else slice(None)
         ids.append(here[local])
-        sizes.append(np.frombuffer(row_sizes, np.int32)[local])
+        sizes.append(size[local])
         sigs.append(wide.reshape(-1).view(U))
     ids, sizes, sigs = map(np.concatenate, (ids, sizes, sigs))
     order = np.lexsort((ids, sigs >> U(1)))
