@@ -2,7 +2,7 @@
 
 Lines are compared trimmed and with A-Z lower-cased. Equal lines are one class at once; between classes, one-permutation
 MinHash signatures (BANDS bands of ROWS bins, empty ones densified) find candidates: at the threshold of 0.75 a pair is
-missed with a chance below 1e-4. Candidates are verified on their whole sets of 8-character shingles and joined to
+missed with a chance below 0.005, one at 0.85 below 1e-5. Candidates are verified on their whole sets of 8-character shingles and joined to
 components; of each component the first line, by doc_id and line number, stays. Lines without a word always stay.
 """
 
@@ -18,11 +18,13 @@ from docketry.llm.kernel import LOWERED, U, mix
 from docketry.llm.shared import narrow, partitions, settle, table
 
 K, NUM, DEN = 8, 75, 100
-BANDS, ROWS = 25, 4
+BANDS, ROWS = 20, 5
 BINS = BANDS * ROWS
 #: Times that an empty bin looks for a full one, each time in a place of its own; the few left take the least hash of all.
-ATTEMPTS = 24
+ATTEMPTS = 12
 BLOCK = 500_000
+#: Dropped lines (and eight for each text) that may be broadcast, at four bytes each; beyond that the join shuffles.
+BROADCAST_NUMBERS = 4_000_000
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray):
@@ -63,13 +65,14 @@ def _minhash(items: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
     top = U(2**64 - 1)
     sig = np.full(n * BINS, top, U)
     np.minimum.at(sig, own * BINS + ((items >> U(24)) % U(BINS)).astype(np.int64), items)
-    full = sig.reshape(n, BINS)
-    sig, bins = full.copy(), np.arange(BINS)
+    sig = sig.reshape(n, BINS)
+    short = np.flatnonzero((sig == top).any(axis=1))
+    full = sig[short]
+    part, bins = full.copy(), np.arange(BINS)
     for attempt in range(ATTEMPTS):
-        if not (hole := sig == top).any():
-            break
-        source = (mix((bins + BINS * (attempt + 1)).astype(U)) % U(BINS)).astype(np.int64) if attempt < ATTEMPTS - 1 else None
-        sig = np.where(hole, full[:, source] if source is not None else full.min(axis=1, keepdims=True), sig)
+        source = (mix((bins + BINS * (attempt + 1)).astype(U)) % U(BINS)).astype(np.int64)
+        part = np.where(part == top, full[:, source], part)
+    sig[short] = np.where(part == top, full.min(axis=1, keepdims=True), part)
     return sig
 
 
@@ -110,7 +113,7 @@ def _signer(buckets: int):
 
 
 def _sets(batches):
-    """(id, items) for the lines of a text whose numbers ``wanted`` lists."""
+    """(id, items) for the lines of a text whose numbers ``wanted`` lists; items is the lower-cased line."""
     for batch in batches:
         wanted = batch.column("wanted").to_pylist()
         for first, data, offsets in kernel.blocks(batch.column("text"), BLOCK):
@@ -121,11 +124,20 @@ def _sets(batches):
             if not len(mine):
                 continue
             start, end = start[mine], end[mine]
-            sums = kernel.prefix(LOWERED[data])
-            items, own = _shingles(data, sums, start, end)
-            cut = np.searchsorted(own, np.arange(len(mine) + 1)).tolist()
-            sets = [np.unique(items[x:y]).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(kernel.span_hash(sums, start, end).view(np.int64)), pa.array(sets, pa.binary())], names=["id", "items"])
+            low = LOWERED[data]
+            ids = kernel.span_hash(kernel.prefix(low), start, end)
+            raw = low.tobytes()
+            texts = [raw[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(texts, pa.binary())], names=["id", "items"])
+
+
+def _unpack(texts: list[bytes]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each line."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    end = np.cumsum([len(x) for x in texts])
+    items, own = _shingles(data, kernel.prefix(data), end - np.array([len(x) for x in texts], np.int64), end)
+    cut = np.searchsorted(own, np.arange(len(texts) + 1)).tolist()
+    return [np.unique(items[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -144,7 +156,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         at = narrow(classes.withColumnRenamed("one", "id"), ids, ["id"]).groupBy("first.doc_id", "first.digest").agg(F.collect_set("first.line").alias("wanted"))
         return narrow(docs, settle(at, "wanted"), ["doc_id", "digest"], "inner").select("text", "wanted").mapInArrow(_sets, "id long, items binary")
 
-    joined = linking.link(found, sets, NUM, DEN)
+    joined = linking.link(found, sets, NUM, DEN, _unpack)
     named = classes.join(joined.withColumnRenamed("id", "one"), "one", "left").withColumn("c", F.coalesce("component", "one"))
     named = settle(named.filter("component is not null or n > 1"), "repeated")
     head = named.groupBy("c").agg(F.min("first").alias("keep"))
@@ -163,7 +175,9 @@ def dedup_lines(df: DataFrame) -> DataFrame:
     inner = df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
     inner = inner.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("row.text").alias("text"), F.xxhash64("row.text").alias("digest"))
     gone = dropped_lines(inner.select("doc_id", "digest", "text"))
-    both = inner.join(gone, ["doc_id", "digest"], "left")
+    gone = settle(gone, "gone")
+    size = gone.agg(F.coalesce(F.sum(F.size("drop") + 8), F.lit(0)).alias("n")).first()["n"]
+    both = inner.join(F.broadcast(gone) if size <= BROADCAST_NUMBERS else gone, ["doc_id", "digest"], "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.coalesce(F.array_contains("drop", i), F.lit(False))), "\n")
     return both.select("row", F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("kept"), F.coalesce(F.size("drop"), F.lit(0)).alias("lines_dropped")).select(
         *(F.col("kept").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in names), F.when(F.col("lines_dropped") < 0, 0).otherwise(F.col("lines_dropped")).alias("lines_dropped")

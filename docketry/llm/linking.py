@@ -66,7 +66,13 @@ def _members(frame: pd.DataFrame) -> pd.DataFrame:
         sizes.append(size[local])
         sigs.append(wide.reshape(-1).view(U))
     ids, sizes, sigs = map(np.concatenate, (ids, sizes, sigs))
-    order = np.lexsort((ids, sigs >> U(1)))
+    order = np.argsort(sigs >> U(1))
+    key = sigs[order] >> U(1)
+    same = key[1:] == key[:-1]
+    order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]  # lone signatures go first
+    if not len(order):
+        return pd.DataFrame({"gid": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "n": pd.Series(dtype="int32"), "prober": pd.Series(dtype="bool")})
+    order = order[np.lexsort((ids[order], sigs[order] >> U(1)))]
     key, ids, sizes, prober = sigs[order] >> U(1), ids[order], sizes[order], (sigs[order] & U(1)).astype(bool)
     # one row for each (group, member); a prober if any of its rows is one
     fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])))
@@ -115,17 +121,22 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
     return now.select(a.alias("id"), b.alias("component")).union(now.select(b.alias("id"), b.alias("component")).distinct())
 
 
-def link(found: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+def plain(payloads: list[bytes]) -> list[np.ndarray]:
+    """Payloads that are the sets themselves."""
+    return [np.frombuffer(x, U) for x in payloads]
+
+
+def link(found: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int, unpack: Callable[[list[bytes]], list[np.ndarray]] = plain) -> DataFrame:
     """(id, component) of everything that a link ``den * common >= num * union`` joins to something else.
 
-    ``found``: GROUPS. ``sets(ids)``: (id, items), items the sorted 64-bit hashes of each set in ``ids(id)``, as bytes.
+    ``found``: GROUPS. ``sets(ids)``: (id, items) for each set in ``ids(id)``; ``unpack`` turns items into sorted 64-bit hashes.
     """
     spark = found.sparkSession
     found = settle(found, "groups")
     hub = found.groupBy("gid").agg(F.min_by("id", F.struct(~F.col("prober"), F.col("id"))).alias("hub"))
     meets = found.join(hub, "gid").filter("id != hub").groupBy("id", "hub").agg(F.count("*").alias("votes"))
     first = meets.groupBy("id").agg(F.max_by("hub", F.struct("votes", -F.col("hub"))).alias("b")).select(F.col("id").alias("a"), "b")
-    first = settle(verify(first, sets, num, den), "hubs")
+    first = settle(verify(first, sets, num, den, unpack), "hubs")
     joined = components(first)
     label = found.join(joined, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     split = label.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.min("id").alias("lead")).filter("lo != hi").select("gid", "size", "lead")
@@ -133,14 +144,14 @@ def link(found: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den
     if left.isEmpty():
         return joined
     own = settle(sets(left.select("id").distinct()), "sets")
-    sketch = own.mapInArrow(_sketches, "id long, n long, bits binary")
+    sketch = own.mapInArrow(_sketches(unpack), "id long, n long, bits binary")
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     at = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     dealt = left.join(sketch, "id").withColumn("chunks", chunks).withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select(F.xxhash64("gid", F.least("at", "other"), F.greatest("at", "other")).alias("cell"), F.xxhash64("lead", F.pmod("gid", F.lit(SPREAD))).alias("near"), "id", "prober", "c", "n", "bits", (F.col("at") <= F.col("other")).alias("low"), (F.col("at") >= F.col("other")).alias("high"), F.col("chunks").alias("cells"))
     buckets = max(partitions(spark), left.count() // 100_000 + 1)
     more = dealt.groupBy(F.pmod(F.xxhash64("near", F.when(F.col("cells") > 1, F.col("cell"))), F.lit(buckets)).alias("bucket")).applyInPandas(_survivors(num, den), "a long, b long").distinct()
-    second = settle(verify(more, sets, num, den, own), "rest")
+    second = settle(verify(more, sets, num, den, unpack, own), "rest")
     if second.isEmpty():
         return joined
     return components(first.union(second))
@@ -152,20 +163,23 @@ CHUNK = 4096
 SPREAD = 16
 
 
-def _sketches(batches):
+def _sketches(unpack: Callable[[list[bytes]], list[np.ndarray]]):
     """Of each set its size and a parity sketch: bit h mod B counts the items there, modulo 2; B is 4 to 8 times the size.
 
     Two sketches differ in at most as many bits as their sets differ in items, so they rule out pairs without an error.
     """
-    for batch in batches:
-        sizes, bits = [], []
-        for x in batch.column("items").to_pylist():
-            items = np.frombuffer(x, U)
-            width = max(256, 1 << (4 * len(items)).bit_length())
-            odd = np.bincount(((items >> U(7)) % U(width)).astype(np.int64), minlength=width).astype(np.uint8) & 1
-            sizes.append(len(items))
-            bits.append(np.packbits(odd, bitorder="little").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], names=["id", "n", "bits"])
+
+    def run(batches):
+        for batch in batches:
+            sizes, bits = [], []
+            for items in unpack(batch.column("items").to_pylist()):
+                width = max(256, 1 << (4 * len(items)).bit_length())
+                odd = np.bincount(((items >> U(7)) % U(width)).astype(np.int64), minlength=width).astype(np.uint8) & 1
+                sizes.append(len(items))
+                bits.append(np.packbits(odd, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], names=["id", "n", "bits"])
+
+    return run
 
 
 def _survivors(num: int, den: int):
@@ -208,19 +222,27 @@ def _survivors(num: int, den: int):
     return run
 
 
-def _common(batches):
-    for batch in batches:
-        a, b = batch.column("xs").to_pylist(), batch.column("ys").to_pylist()
-        common = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-            at = np.searchsorted(x, y)
-            at[at == len(x)] = 0
-            common.append(int((x[at] == y).sum()) if len(x) else 0)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array([len(x) // 8 for x in a], pa.int64()), pa.array([len(y) // 8 for y in b], pa.int64())], names=["a", "b", "common", "na", "nb"])
+def _common(unpack: Callable[[list[bytes]], list[np.ndarray]]):
+    def run(batches):
+        for whole in batches:
+            for k in range(0, len(whole), 512):
+                batch = whole.slice(k, 512)
+                xs, ys = batch.column("xs").to_pylist(), batch.column("ys").to_pylist()
+                distinct = list({*xs, *ys})
+                of = dict(zip(distinct, unpack(distinct), strict=True))
+                common = []
+                for x, y in zip(xs, ys, strict=True):
+                    x, y = of[x], of[y]
+                    at = np.searchsorted(x, y)
+                    at[at == len(x)] = 0
+                    common.append(int((x[at] == y).sum()) if len(x) else 0)
+                sizes = [pa.array([len(of[p]) for p in side], pa.int64()) for side in (xs, ys)]
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), *sizes], names=["a", "b", "common", "na", "nb"])
+
+    return run
 
 
-def verify(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int, own: DataFrame | None = None) -> DataFrame:
+def verify(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int, unpack: Callable = plain, own: DataFrame | None = None) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets really are that similar; ``own``: the sets, where they are at hand."""
     pairs = settle(pairs, "pairs")
     if pairs.isEmpty():
@@ -228,5 +250,5 @@ def verify(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, d
     if own is None:
         own = settle(sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "sets")
     sided = pairs.join(own.select(F.col("id").alias("b"), F.col("items").alias("ys")), "b").join(own.select(F.col("id").alias("a"), F.col("items").alias("xs")), "a")
-    counted = sided.select("a", "b", "xs", "ys").mapInArrow(_common, "a long, b long, common long, na long, nb long")
+    counted = sided.select("a", "b", "xs", "ys").mapInArrow(_common(unpack), "a long, b long, common long, na long, nb long")
     return counted.filter(F.col("common") * den >= (F.col("na") + F.col("nb") - F.col("common")) * num).select("a", "b")
