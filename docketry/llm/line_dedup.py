@@ -53,18 +53,26 @@ def _shingles(data: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.nda
     chars = np.flatnonzero((data & 0xC0) != 0x80)
     a, b = np.searchsorted(chars, start), np.searchsorted(chars, end)
     chars = np.append(chars, len(data))
-    n = np.maximum(b - a - K + 1, 1)
-    own = np.repeat(np.arange(len(start)), n)
-    at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + a[own]
-    upto = np.minimum(chars[np.minimum(at + K, len(chars) - 1)], end[own])
-    return kernel.span_hash(sums, chars[at], upto), own
+    n = np.maximum(b - a - K + 1, 0)
+    some = np.flatnonzero(n)
+    inside = np.zeros(len(chars) + 1, np.int8)
+    inside[a[some]] += 1
+    np.subtract.at(inside, a[some] + n[some], 1)
+    at = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
+    items, own = kernel.span_hash(sums, chars[at], chars[at + K]), np.repeat(np.arange(len(start)), n)
+    if len(some) < len(start):
+        tiny = np.flatnonzero(n == 0)
+        items, own = np.concatenate((items, kernel.span_hash(sums, start[tiny], end[tiny]))), np.concatenate((own, tiny))
+        order = np.argsort(own, kind="stable")
+        items, own = items[order], own[order]
+    return items, own
 
 
 def _minhash(items: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
     """The signature of each of n spans: the least hash in each bin, empty bins filled from full ones elsewhere, so that a band has several."""
     top = U(2**64 - 1)
     sig = np.full(n * BINS, top, U)
-    np.minimum.at(sig, own * BINS + ((items >> U(24)) % U(BINS)).astype(np.int64), items)
+    np.minimum.at(sig, own * BINS + (((items & U(0xFFFFFFFF)) * U(BINS)) >> U(32)).astype(np.int64), items)
     sig = sig.reshape(n, BINS)
     short = np.flatnonzero((sig == top).any(axis=1))
     full = sig[short]
@@ -156,7 +164,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         at = narrow(classes.withColumnRenamed("one", "id"), ids, ["id"]).groupBy("first.doc_id", "first.digest").agg(F.collect_set("first.line").alias("wanted"))
         return narrow(docs, settle(at, "wanted"), ["doc_id", "digest"], "inner").select("text", "wanted").mapInArrow(_sets, "id long, items binary")
 
-    joined = linking.link(found, sets, NUM, DEN, _unpack)
+    joined = linking.link(found, sets, NUM, DEN, _unpack, inside=True)
     named = classes.join(joined.withColumnRenamed("id", "one"), "one", "left").withColumn("c", F.coalesce("component", "one"))
     named = settle(named.filter("component is not null or n > 1"), "repeated")
     head = named.groupBy("c").agg(F.min("first").alias("keep"))

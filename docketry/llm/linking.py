@@ -126,10 +126,12 @@ def plain(payloads: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(x, U) for x in payloads]
 
 
-def link(found: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int, unpack: Callable[[list[bytes]], list[np.ndarray]] = plain) -> DataFrame:
+def link(found: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int, unpack: Callable[[list[bytes]], list[np.ndarray]] = plain, inside: bool = False) -> DataFrame:
     """(id, component) of everything that a link ``den * common >= num * union`` joins to something else.
 
     ``found``: GROUPS. ``sets(ids)``: (id, items) for each set in ``ids(id)``; ``unpack`` turns items into sorted 64-bit hashes.
+    ``inside``: items are small enough to go along with each group, so that pairs across components are verified where they
+    meet, and only links that still join something are reported.
     """
     spark = found.sparkSession
     found = settle(found, "groups")
@@ -144,14 +146,14 @@ def link(found: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den
     if left.isEmpty():
         return joined
     own = settle(sets(left.select("id").distinct()), "sets")
-    sketch = own.mapInArrow(_sketches(unpack), "id long, n long, bits binary")
+    sketch = own.select("id", F.lit(0).cast("long").alias("n"), F.col("items").alias("bits")) if inside else own.mapInArrow(_sketches(unpack), "id long, n long, bits binary")
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     at = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     dealt = left.join(sketch, "id").withColumn("chunks", chunks).withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select(F.xxhash64("gid", F.least("at", "other"), F.greatest("at", "other")).alias("cell"), F.xxhash64("lead", F.pmod("gid", F.lit(SPREAD))).alias("near"), "id", "prober", "c", "n", "bits", (F.col("at") <= F.col("other")).alias("low"), (F.col("at") >= F.col("other")).alias("high"), F.col("chunks").alias("cells"))
     buckets = max(partitions(spark), left.count() // 100_000 + 1)
-    more = dealt.groupBy(F.pmod(F.xxhash64("near", F.when(F.col("cells") > 1, F.col("cell"))), F.lit(buckets)).alias("bucket")).applyInPandas(_survivors(num, den), "a long, b long").distinct()
-    second = settle(verify(more, sets, num, den, unpack, own), "rest")
+    more = dealt.groupBy(F.pmod(F.xxhash64("near", F.when(F.col("cells") > 1, F.col("cell"))), F.lit(buckets)).alias("bucket")).applyInPandas(_survivors(num, den, unpack if inside else None), "a long, b long").distinct()
+    second = settle(more if inside else verify(more, sets, num, den, unpack, own), "rest")
     if second.isEmpty():
         return joined
     return components(first.union(second))
@@ -171,19 +173,24 @@ def _sketches(unpack: Callable[[list[bytes]], list[np.ndarray]]):
 
     def run(batches):
         for batch in batches:
-            sizes, bits = [], []
-            for items in unpack(batch.column("items").to_pylist()):
-                width = max(256, 1 << (4 * len(items)).bit_length())
-                odd = np.bincount(((items >> U(7)) % U(width)).astype(np.int64), minlength=width).astype(np.uint8) & 1
-                sizes.append(len(items))
-                bits.append(np.packbits(odd, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], names=["id", "n", "bits"])
+            made = [_sketch(items) for items in unpack(batch.column("items").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([n for n, _ in made], pa.int64()), pa.array([b for _, b in made], pa.binary())], names=["id", "n", "bits"])
 
     return run
 
 
-def _survivors(num: int, den: int):
-    """The pairs of a bucket's cells that lie in different components and whose sizes and sketches allow a link."""
+def _sketch(items: np.ndarray) -> tuple[int, bytes]:
+    width = max(256, 1 << (4 * len(items)).bit_length())
+    odd = np.bincount(((items >> U(7)) % U(width)).astype(np.int64), minlength=width).astype(np.uint8) & 1
+    return len(items), np.packbits(odd, bitorder="little").tobytes()
+
+
+def _survivors(num: int, den: int, unpack: Callable | None = None):
+    """The pairs of a bucket's cells that lie in different components and whose sizes and sketches allow a link.
+
+    With ``unpack`` the bits are items: the pairs are verified here, and one is reported only if it joins components that the
+    bucket's links have not joined before.
+    """
 
     def meet(x: np.ndarray, y: np.ndarray, ids, n, c, prober, low, high, words: dict[int, np.ndarray]) -> Iterator[np.ndarray]:
         step = max(1, 2_000_000 // max(1, len(y) * words[0].shape[1]))
@@ -202,6 +209,37 @@ def _survivors(num: int, den: int):
         order = np.argsort(frame["cell"].to_numpy(), kind="stable")
         cell, ids, n, c, prober, low, high = (frame[k].to_numpy()[order] for k in ("cell", "id", "n", "c", "prober", "low", "high"))
         bits = frame["bits"].to_numpy()[order]
+        of: dict[int, np.ndarray] = {}
+        if unpack is not None:
+            one = dict(zip(ids.tolist(), bits, strict=True))
+            names = list(one)
+            for k in range(0, len(names), 256):
+                of.update(zip(names[k : k + 256], unpack([one[x] for x in names[k : k + 256]]), strict=True))
+            made = {x: _sketch(of[x]) for x in names}
+            n = np.array([made[x][0] for x in ids.tolist()], np.int64)
+            bits = np.array([made[x][1] for x in ids.tolist()] + [b""], object)[:-1]
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        def joins(pairs: np.ndarray, label: dict[int, int]) -> np.ndarray:
+            good = []
+            for p, q in pairs.T.tolist():
+                u, v = root(label[p]), root(label[q])
+                if u == v:
+                    continue
+                x, y = of[p], of[q]
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                common = int((x[at] == y).sum())
+                if common * den >= (len(x) + len(y) - common) * num:
+                    parent[max(u, v)] = min(u, v)
+                    good.append((p, q))
+            return np.array(good, np.int64).reshape(-1, 2).T
+
         start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
         out = []
         for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(cell)], strict=True):
@@ -214,7 +252,11 @@ def _survivors(num: int, den: int):
                 if len(wide):
                     both = np.frombuffer(b"".join(bits[wide]), U).reshape(len(wide), 2, -1)
                     right = np.concatenate((left, both[:, 0] ^ both[:, 1]))
-                out += meet(x, np.concatenate((x, wide)), ids, n, c, prober, low, high, {0: left, 1: right})
+                met = meet(x, np.concatenate((x, wide)), ids, n, c, prober, low, high, {0: left, 1: right})
+                if unpack is not None:
+                    label = dict(zip(ids[lo:hi].tolist(), c[lo:hi].tolist(), strict=True))
+                    met = (joins(pairs, label) for pairs in met)
+                out += met
         pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         pairs = np.unique(np.stack((pairs.max(axis=0), pairs.min(axis=0))), axis=1) if pairs.size else pairs
         return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
