@@ -49,7 +49,7 @@ def _lines(data: np.ndarray, offsets: np.ndarray):
 
 
 def _shingles(data: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.ndarray):
-    """Hashes of the K-character shingles of each span, end to end, and each one's span; short spans are one shingle."""
+    """Hashes of the K-character shingles of each span, end to end, and each one's span; short spans are one shingle. Spans ascend."""
     chars = np.flatnonzero((data & 0xC0) != 0x80)
     a, b = np.searchsorted(chars, start), np.searchsorted(chars, end)
     chars = np.append(chars, len(data))
@@ -107,7 +107,8 @@ def _signer(buckets: int):
                     continue
                 sums = kernel.prefix(lower)
                 one = kernel.span_hash(sums, start, end)
-                one, at = np.unique(one, return_index=True)
+                at = np.sort(np.unique(one, return_index=True)[1])
+                one = one[at]
                 sig = _minhash(*_shingles(data, sums, start[at], end[at]), len(at)).reshape(len(at), BANDS, ROWS)
                 band = np.arange(BANDS, dtype=np.int64).astype(U) * U(0x9FB21C651E98DF25)
                 for r in range(ROWS):
