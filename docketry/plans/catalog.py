@@ -1 +1,469 @@
-QUERIES, ORACLES = {}, {}
+"""Every reference operator as a query over the driver's tables, beside the same query as SQL for DuckDB."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docketry.functions import text as T
+from docketry.operators import metrics as M
+from docketry.operators import prompts as P
+from docketry.operators import retrieval as R
+from docketry.operators import rows as O
+from docketry.sources import writers as K
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+c, lit = F.col, F.lit
+
+# projections and scalar derivations
+
+
+@query("SELECT doc_id, source AS court, n_chars FROM documents")
+def project(t):
+    return t("documents").withColumnRenamed("source", "court").drop("text", "lang").select("doc_id", "court", "n_chars")
+
+
+@query(r"SELECT doc_id, md5(replace(replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), 'THE FACTS' || chr(10), ''), chr(10), '')) AS digest FROM documents")
+def clean_text(t):
+    return t("documents").select("doc_id", F.md5(T.clean(c("text")).cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id, replace(CAST(doc_id AS VARCHAR) || '.txt', '.txt', '') AS name FROM documents")
+def drop_extension(t):
+    return t("documents").select("doc_id", T.drop_extension(F.concat(c("doc_id").cast("string"), lit(".txt"))).alias("name"))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS words FROM documents")
+def word_count(t):
+    return t("documents").select("doc_id", T.word_count(c("text")).alias("words"))
+
+
+@query("SELECT p_partkey, split_part(p_name, ' ', 1) AS first_part, nullif(split_part(p_name, ' ', 2), '') AS second_part FROM part")
+def split_part(t):
+    return t("part").select("p_partkey", T.part(c("p_name"), " ", 0).alias("first_part"), T.part(c("p_name"), " ", 1).alias("second_part"))
+
+
+@query("SELECT p_partkey, len(string_split(p_name, ' ')) AS parts, string_split(p_name, ' ')[1] AS head FROM part")
+def split_list(t):
+    codes = F.split("p_name", " ")
+    return t("part").select("p_partkey", F.size(codes).cast("long").alias("parts"), F.get(codes, lit(0)).alias("head"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders")
+def parse_date(t):
+    shown = F.when(c("o_orderkey") < 0, lit("")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy HH:mm:ss"))
+    return t("orders").select("o_orderkey", T.parse_timestamp(shown).cast("date").alias("day"))
+
+
+@query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def coalesce_fill(t):
+    return t("documents").join(t("labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", lit(-1)).alias("quality"))
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' END AS language FROM documents")
+def map_lookup(t):
+    names = F.create_map(*(lit(x) for pair in {"en": "English", "de": "German", "fr": "French"}.items() for x in pair))
+    return t("documents").select("doc_id", F.try_element_at(names, c("lang")).alias("language"))
+
+
+@query("SELECT o_orderkey, try_cast(split_part(o_orderpriority, '-', 1) AS BIGINT) AS level, bool_and(try_cast(split_part(o_orderpriority, '-', 1) AS BIGINT) IS NOT NULL) OVER () AS whole FROM orders")
+def pred_normalise(t):
+    level = F.split_part("o_orderpriority", lit("-"), lit(1)).try_cast("long")
+    cast = t("orders").select("o_orderkey", level.alias("level"))
+    return cast.join(F.broadcast(cast.agg(F.every(c("level").isNotNull()).alias("whole"))))
+
+
+@query("SELECT doc_id, CASE WHEN quality IN (1, 2) THEN 'Hard' ELSE 'Easy' END AS difficulty FROM labels")
+def binarise(t):
+    return t("labels").select("doc_id", F.when(c("quality").isin(1, 2), "Hard").otherwise("Easy").alias("difficulty"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN lang WHEN 2 THEN source WHEN 3 THEN lang || ' ' || source END AS chosen FROM documents")
+def text_select(t):
+    return t("documents").select("doc_id", P.select_text(c("doc_id") % 4, c("lang"), c("source")).alias("chosen"))
+
+
+@query("SELECT lang, n, round(n / t, 9) AS share, CAST(round_even(50.0 * n / t, 0) AS BIGINT) AS seats FROM (SELECT lang, count(*) AS n, sum(count(*)) OVER () AS t FROM documents GROUP BY lang)")
+def stratum_alloc(t):
+    n = t("documents").groupBy("lang").agg(F.count("*").alias("n"))
+    share = c("n") / F.sum("n").over(Window.partitionBy())
+    return n.select("lang", "n", F.round(share, 9).alias("share"), F.bround(share * 50).cast("long").alias("seats"))
+
+
+# filters
+
+
+@query(r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '\S+')) >= 60")
+def filter_wordcount(t):
+    return t("documents").filter(T.word_count(c("text")) >= 60).select("doc_id")
+
+
+@query("SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= TIMESTAMP '1998-01-01'")
+def filter_date(t):
+    dated = t("orders").filter(c("o_orderdate") >= F.expr("timestamp_ntz '1998-01-01'"))
+    return dated.join(t("customer"), c("o_custkey") == c("c_custkey")).select("o_orderkey", "c_custkey")
+
+
+@query("SELECT doc_id FROM documents WHERE lang <> ''")
+def filter_nonempty(t):
+    return t("documents").filter("lang <> ''").select("doc_id")
+
+
+@query("SELECT p_partkey FROM part WHERE NOT contains(p_type, 'STEEL')")
+def filter_contains(t):
+    return t("part").filter(~c("p_type").contains("STEEL")).select("p_partkey")
+
+
+@query("SELECT doc_id FROM documents WHERE source IN ('src1', 'src2')")
+def filter_isin(t):
+    return t("documents").filter(c("source").isin("src1", "src2")).select("doc_id")
+
+
+@query("SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NOT NULL AND l.toxic IS NOT NULL")
+def filter_notnull(t):
+    return t("documents").join(t("labels"), "doc_id", "left").filter("quality is not null and toxic is not null").select("doc_id")
+
+
+@query("SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE coalesce(l.quality <> l.toxic, true)")
+def neq_nullsafe(t):
+    return t("documents").join(t("labels"), "doc_id", "left").filter(F.coalesce(c("quality") != c("toxic"), lit(True))).select("doc_id")
+
+
+CODES = ["red", "bolt", "a", "e"]
+
+
+@query("SELECT p_partkey FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda x: x IN ('red', 'bolt', 'a', 'e'))) > 0")
+def array_any(t):
+    return t("part").filter(T.any_code(F.split("p_name", " "), CODES)).select("p_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE contains(p_name, 'red') OR contains(p_name, 'bolt')")
+def substr_any(t):
+    return t("part").filter(T.any_substring(c("p_name"), CODES[:2])).select("p_partkey")
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(string_split(p_name, ' '), lambda x: x IN ('red', 'bolt', 'a', 'e')), ', ') AS kept FROM part")
+def array_filter(t):
+    return t("part").select("p_partkey", F.array_join(T.keep_codes(F.split("p_name", " "), CODES), ", ").alias("kept"))
+
+
+@query("SELECT p_partkey, array_to_string(string_split(p_name, ' '), ', ') AS joined FROM part")
+def array_join(t):
+    return t("part").select("p_partkey", F.array_join(F.split("p_name", " "), ", ").alias("joined"))
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(string_split(p_name, ' '), lambda x: x <> split_part(p_name, ' ', 1)), ';') AS cited, len(list_filter(string_split(p_name, ' '), lambda x: x <> split_part(p_name, ' ', 1))) AS n FROM part")
+def self_cite_removal(t):
+    left = F.array_remove(F.split("p_name", " "), F.split_part("p_name", lit(" "), lit(1)))
+    return t("part").select("p_partkey", F.array_join(left, ";").alias("cited"), F.size(left).cast("long").alias("n"))
+
+
+# joins
+
+
+@query("SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def join_inner(t):
+    return t("orders").join(t("customer"), c("o_custkey") == c("c_custkey")).join(t("nation"), c("c_nationkey") == c("n_nationkey")).select("o_orderkey", "c_name", "n_name")
+
+
+@query("SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def join_left(t):
+    return t("documents").join(t("labels"), "doc_id", "left").select("doc_id", "quality")
+
+
+@query("SELECT a.doc_id, b.n_chars AS other FROM documents a LEFT JOIN (SELECT * FROM documents WHERE doc_id % 2 = 0) b ON a.doc_id = b.doc_id AND a.lang = b.lang AND a.source = b.source AND a.n_chars = b.n_chars")
+def join_multikey(t):
+    keys = ["doc_id", "lang", "source", "n_chars"]
+    other = t("documents").filter("doc_id % 2 = 0").select(*keys, c("n_chars").alias("other"))
+    return t("documents").select(*keys).join(other, keys, "left").select("doc_id", "other")
+
+
+@query("SELECT CASE WHEN l.doc_id IS NULL THEN 'left_only' WHEN d.doc_id IS NULL THEN 'right_only' ELSE 'both' END AS side, count(*) AS n FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
+def join_outer_indicator(t):
+    left = t("documents").select("doc_id", lit(1).alias("a"))
+    right = t("labels").select("doc_id", lit(1).alias("b"))
+    side = F.when(c("b").isNull(), "left_only").when(c("a").isNull(), "right_only").otherwise("both")
+    return left.join(right, "doc_id", "full").groupBy(side.alias("side")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT a.doc_id, b.item_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents) a JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) AS n FROM benchmark) b ON a.n = b.n")
+def positional_join(t):
+    return O.number_rows(t("documents").select("doc_id"), "doc_id").join(O.number_rows(t("benchmark").select("item_id"), "item_id"), "n").select("doc_id", "item_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 50)")
+def anti_split(t):
+    docs = t("documents").select("doc_id")
+    return O.complement(docs, O.sample_n(docs, "doc_id", 50, "7"), "doc_id")
+
+
+# row sets
+
+
+@query("SELECT doc_id, lang, NULL::INTEGER AS quality FROM documents UNION ALL SELECT doc_id, NULL, quality FROM labels")
+def union_by_name(t):
+    return t("documents").select("doc_id", "lang").unionByName(t("labels").select("doc_id", c("quality").cast("int")), allowMissingColumns=True)
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE n_chars IN (SELECT n_chars FROM documents GROUP BY n_chars HAVING count(*) = 1)")
+def dedupe_none(t):
+    return O.keep_unique(t("documents").select("doc_id", "n_chars"), "n_chars")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1")
+def dedupe_last(t):
+    return O.keep_last(t("orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], [c("o_orderdate"), c("o_orderkey")]).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source HAVING count(*) > 1")
+def assert_unique(t):
+    return O.repeated_rows(t("documents").select("lang", "source")).withColumnRenamed("count", "n")
+
+
+@query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS cited FROM part")
+def explode_citations(t):
+    return t("part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("cited"))
+
+
+@query("SELECT DISTINCT lang, source FROM documents")
+def distinct_values(t):
+    return t("documents").select("lang", "source").distinct()
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 50")
+def sample_n(t):
+    return O.sample_n(t("documents").select("doc_id"), "doc_id", 50, "42")
+
+
+@query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('154:' || doc_id), doc_id) AS r FROM documents) WHERE r <= CASE lang WHEN 'en' THEN 32 WHEN 'de' THEN 10 WHEN 'fr' THEN 4 WHEN 'es' THEN 4 ELSE 0 END")
+def stratified_sample(t):
+    return O.sample_strata(t("documents").select("doc_id", "lang"), "lang", "doc_id", {"en": 32, "de": 10, "fr": 4, "es": 4}, "154")
+
+
+@query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('1:' || doc_id), doc_id) AS r FROM documents) WHERE r = 1")
+def example_candidates(t):
+    return O.sample_strata(t("documents").select("doc_id", "lang"), "lang", "doc_id", 1, "1")
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20")
+def sort_topn(t):
+    return t("documents").select("doc_id", "n_chars").orderBy(c("n_chars").desc(), "doc_id").limit(20)
+
+
+@query("SELECT doc_id, n > (SELECT count(*) FROM documents) - 4 AS example FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents)")
+def head_tail(t):
+    docs = t("documents").select("doc_id")
+    last = docs.orderBy(c("doc_id").desc()).limit(4).withColumn("example", lit(True))
+    return docs.join(F.broadcast(last), "doc_id", "left").select("doc_id", F.coalesce("example", lit(False)).alias("example"))
+
+
+@query("SELECT doc_id, CAST(ntile(5) OVER (ORDER BY md5('42:' || doc_id), doc_id) AS INTEGER) AS fold FROM documents")
+def kfold(t):
+    return O.folds(t("documents").select("doc_id"), "doc_id")
+
+
+@query("SELECT z AS zero_shot, s AS text, i AS variant FROM (SELECT unnest([true, false]) AS z) CROSS JOIN (SELECT unnest([1, 2, 3]) AS s) CROSS JOIN (SELECT unnest(['first', 'second']) AS i)")
+def param_grid(t):
+    spark = t("region").sparkSession
+    return O.grid(spark, zero_shot=[True, False], text=[1, 2, 3], variant=["first", "second"]).select("zero_shot", "text", "variant")
+
+
+# aggregations and scores
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def value_counts(t):
+    return t("documents").groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("SELECT least(CAST(floor((n_chars - lo) * 50.0 / (hi - lo)) AS BIGINT) + 1, 50) AS bin, count(*) AS n FROM documents, (SELECT min(n_chars) AS lo, max(n_chars) AS hi FROM documents) GROUP BY 1")
+def histogram(t):
+    docs = t("documents").select("n_chars")
+    ends = docs.agg(F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"))
+    at = F.least(F.floor((c("n_chars") - c("lo")) * 50.0 / (c("hi") - c("lo"))) + 1, lit(50)).cast("long")
+    return docs.join(F.broadcast(ends)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def _scored(t):
+    return t("documents").join(t("labels"), "doc_id").select("doc_id", c("quality").alias("t"), (c("n_chars") > 1500).cast("int").alias("p"))
+
+
+_PAIRS = "WITH s AS (SELECT l.quality AS t, CAST(d.n_chars > 1500 AS INTEGER) AS p FROM documents d JOIN labels l ON d.doc_id = l.doc_id), k AS (SELECT label, sum(tp) AS tp, sum(nt) AS nt, sum(np) AS np FROM (SELECT t AS label, CAST(t = p AS INTEGER) AS tp, 1 AS nt, 0 AS np FROM s UNION ALL SELECT p, 0, 0, 1 FROM s) GROUP BY label) "
+
+
+@query(_PAIRS + "SELECT round(avg(coalesce(tp / nullif(np, 0), 0)), 9) AS precision, round(avg(coalesce(tp / nullif(nt, 0), 0)), 9) AS recall, round(avg(coalesce(2.0 * tp / nullif(np + nt, 0), 0)), 9) AS f1 FROM k")
+def macro_prf(t):
+    return M.macro_prf(_scored(t), "t", "p").select(*(F.round(x, 9).alias(x) for x in ("precision", "recall", "f1")))
+
+
+@query(_PAIRS + "SELECT round((c * n - x) / sqrt((n * n - pp) * (n * n - tt)), 9) AS mcc FROM (SELECT CAST(sum(tp) AS DOUBLE) AS c, CAST(sum(nt) AS DOUBLE) AS n, CAST(sum(nt * np) AS DOUBLE) AS x, CAST(sum(np * np) AS DOUBLE) AS pp, CAST(sum(nt * nt) AS DOUBLE) AS tt FROM k)")
+def mcc(t):
+    return M.mcc(_scored(t), "t", "p").select(F.round("mcc", 9).alias("mcc"))
+
+
+@query(_PAIRS + "SELECT t, p, n, round(n / sum(n) OVER (PARTITION BY t), 9) AS share FROM (SELECT t, p, count(*) AS n FROM s GROUP BY t, p)")
+def confusion_matrix(t):
+    return M.confusion_matrix(_scored(t), "t", "p").withColumn("share", F.round("share", 9))
+
+
+_SETS = "WITH g AS (SELECT o_custkey, list(DISTINCT o_orderpriority) FILTER (o_orderdate < TIMESTAMP '1998-01-01') AS a, list(DISTINCT o_orderpriority) FILTER (o_orderdate >= TIMESTAMP '1998-01-01') AS b FROM orders GROUP BY o_custkey), r AS (SELECT coalesce(len(list_intersect(a, b)), 0) AS h, coalesce(len(a), 0) AS na, coalesce(len(b), 0) AS nb FROM g) "
+
+
+@query(_SETS + "SELECT round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / (p + r), 9) AS f1 FROM (SELECT avg(coalesce(h / nullif(nb, 0), 0)) AS p, avg(coalesce(h / nullif(na, 0), 0)) AS r FROM r)")
+def set_prf(t):
+    late = c("o_orderdate") >= F.expr("timestamp_ntz '1998-01-01'")
+    sets = t("orders").groupBy("o_custkey").agg(F.collect_set(F.when(~late, c("o_orderpriority"))).alias("a"), F.collect_set(F.when(late, c("o_orderpriority"))).alias("b"))
+    return M.set_prf(sets, "a", "b").select(*(F.round(x, 9).alias(x) for x in ("precision", "recall", "f1")))
+
+
+def _ranked(t):
+    """Query vectors (every 25th) against all: relevant if of the same label."""
+    e = t("embeddings")
+    q = e.filter("vec_id % 25 = 0").select(c("vec_id").alias("q"), c("embedding").alias("qv"), c("label").alias("ql"))
+    near = e.join(F.broadcast(q), c("vec_id") != c("q")).select("q", c("vec_id").alias("id"), (c("ql") == c("label")).cast("int").alias("rel"), (-F.round(R.distance2(c("qv"), c("embedding")), 6)).alias("score"))
+    return near
+
+
+_D = "round(list_sum(list_transform(list_zip(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6)"
+_RANKED = f"WITH n AS (SELECT q.vec_id AS q, e.vec_id AS id, CAST(q.label = e.label AS INTEGER) AS rel, {_D} AS d FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 25 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, id) AS rank FROM n) "
+
+
+@query(_RANKED + "SELECT q, round(avg(s / rank), 9) AS ap FROM (SELECT q, rank, rel, sum(rel) OVER (PARTITION BY q ORDER BY rank) AS s FROM r) WHERE rel = 1 GROUP BY q")
+def average_precision(t):
+    return M.average_precision(_ranked(t), "q", "score", "rel", "id").select("q", F.round("ap", 9).alias("ap"))
+
+
+@query(_RANKED + "SELECT q, round(sum(CASE WHEN rank <= 5 THEN rel ELSE 0 END) / sum(rel), 9) AS recall FROM r GROUP BY q")
+def recall_at_k(t):
+    r = _ranked(t).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(c("score").desc(), "id")))
+    return M.at_k(r, "q", "rank", "rel", 5).select("q", F.round("recall", 9).alias("recall"))
+
+
+@query(_RANKED + "SELECT q, round(sum(CASE WHEN rank <= 5 THEN rel ELSE 0 END) / 5, 9) AS precision FROM r GROUP BY q")
+def precision_at_k(t):
+    r = _ranked(t).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(c("score").desc(), "id")))
+    return M.at_k(r, "q", "rank", "rel", 5).select("q", F.round("precision", 9).alias("precision"))
+
+
+@query(r"SELECT role, sum(n) AS tokens, round(sum(n) * 5.0 / 1e6 * 0.5, 9) AS usd, round(sum(n) * 5.0 / 1e6 * 0.5 * 0.78, 9) AS gbp FROM (SELECT role, len(regexp_extract_all(text, '\S+')) + 3 AS n FROM conversations) GROUP BY role")
+def token_cost(t):
+    n = t("conversations").groupBy("role").agg(F.sum(T.word_count(c("text")) + 3).alias("tokens"))
+    usd, gbp = P.token_cost(c("tokens"), lit(0), 5.0, 15.0)
+    return n.select("role", "tokens", F.round(usd, 9).alias("usd"), F.round(gbp, 9).alias("gbp"))
+
+
+# JSON, repairs, requests
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_extract(t):
+    return t("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '{"content": "{\\n\\"Keywords\\": \\"x.\\"\\n}", "refusal": null}' ELSE '{"content": "{\\n\\"Keywords\\": \\"x\\"\\n}", "refusal": null}' END AS line FROM documents""")
+def regex_repair(t):
+    cut, whole = '{"content": "{\\n\\"Keywords\\": \\"x", "refusal": null}', '{"content": "{\\n\\"Keywords\\": \\"x\\"\\n}", "refusal": null}'
+    return t("documents").select("doc_id", K.repair(F.when(c("doc_id") % 2 == 0, lit(cut)).otherwise(lit(whole))).alias("line"))
+
+
+@query("SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 300) + 1 AS INTEGER) AS file FROM documents")
+def split_batches(t):
+    return O.number_rows(t("documents").select("doc_id"), "doc_id").select("doc_id", K.split_number(c("n"), 300).alias("file"))
+
+
+TEMPLATE = "Case {name} in {lang}: {text}\nAnswer with a level."
+
+
+@query("SELECT doc_id, md5(replace(replace(replace('Case {name} in {lang}: {text}' || chr(10) || 'Answer with a level.', '{lang}', lang), '{name}', source), '{text}', text)) AS digest FROM documents")
+def prompt_render(t):
+    return t("documents").select("doc_id", F.md5(P.render(lit(TEMPLATE), name=c("source"), lang=c("lang"), text=c("text")).cast("binary")).alias("digest"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS custom_id, 'POST' AS method, 'gpt-4o' AS model, 'user' AS role, length(text) AS chars, 42 AS seed FROM documents")
+def batch_request(t):
+    r = t("documents").select(K.request(c("doc_id"), c("text")).alias("r"))
+    m = c("r.body.messages")[0]
+    return r.select("r.custom_id", "r.method", "r.body.model", m["role"].alias("role"), F.length(m["content"]).cast("long").alias("chars"), "r.body.seed")
+
+
+@query("SELECT string_agg(quality || ':' || doc_id, ' ' ORDER BY quality, doc_id) AS examples FROM (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5('3:' || doc_id), doc_id) AS r FROM labels) WHERE r <= 2")
+def few_shot_examples(t):
+    picked = O.sample_strata(t("labels").select("doc_id", "quality"), "quality", "doc_id", 2, "3")
+    ordered = F.sort_array(F.collect_list(F.struct("quality", "doc_id")))
+    return picked.agg(F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["quality"].cast("string"), x["doc_id"].cast("string"))), " ").alias("examples"))
+
+
+# mining
+
+
+@query("WITH l AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS cands FROM orders GROUP BY o_custkey), n AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) SELECT n.o_custkey, n.o_orderkey, CASE WHEN 11 - n.n >= 1 THEN cands[11 - n.n] END AS negative FROM n JOIN l ON n.o_custkey = l.o_custkey WHERE CASE WHEN 11 - n.n >= 1 THEN cands[11 - n.n] END IS NOT NULL")
+def negative_mining(t):
+    own = t("orders").select("o_custkey", "o_orderkey")
+    ranked = own.groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("cands"))
+    n = own.withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    return n.join(ranked, "o_custkey").select("o_custkey", "o_orderkey", F.get("cands", lit(10) - c("n")).alias("negative")).filter("negative is not null")
+
+
+@query("SELECT d.doc_id, md5(lower(d.lang)) AS a, md5(lower(CASE WHEN label = 1 THEN d.source ELSE reverse(d.source) END)) AS b, label FROM documents d CROSS JOIN (SELECT unnest([1, 0]) AS label)")
+def rerank_pairs(t):
+    pair = lambda x, y: F.struct(F.md5(F.lower("lang").cast("binary")).alias("a"), F.md5(F.lower(x).cast("binary")).alias("b"), lit(y).alias("label"))
+    return t("documents").select("doc_id", F.explode(F.array(pair(c("source"), 1), pair(F.reverse("source"), 0))).alias("x")).select("doc_id", "x.*")
+
+
+# chunks and retrieval
+
+
+@query(r"WITH w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents), s AS (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 10, 1), 54)) AS st FROM w WHERE len(w) > 0) SELECT doc_id, CAST((st - 1) // 54 AS INTEGER) AS pos, md5(array_to_string(list_slice(w, st, st + 63), ' ')) AS digest FROM s")
+def chunk_tokens(t):
+    return R.chunk_tokens(t("documents"), "doc_id", "text", 64, 10).select("doc_id", "pos", F.md5(c("chunk").cast("binary")).alias("digest"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(list_transform(embedding::DOUBLE[], lambda x: x / n), lambda x: x * x)), 6) AS norm FROM (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)")
+def l2_normalise(t):
+    return t("embeddings").select("vec_id", F.round(F.aggregate(R.l2_normalise(c("embedding")), lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+
+
+@query(f"SELECT q, id, d, rank FROM (SELECT q, id, d, CAST(row_number() OVER (PARTITION BY q ORDER BY d, id) AS INTEGER) AS rank FROM (SELECT q.vec_id AS q, e.vec_id AS id, {_D} AS d FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 25 = 0)) WHERE rank <= 5")
+def knn_topk(t):
+    e = t("embeddings")
+    q = e.filter("vec_id % 25 = 0").select(c("vec_id").alias("q"), c("embedding").alias("qv"))
+    return R.nearest(q, e.select(c("vec_id").alias("id"), c("embedding").alias("v")), 5).select("q", "id", "d", "rank")
+
+
+@query(f"WITH v AS (SELECT e.vec_id, e.embedding, ev.ts, ev.user_id FROM embeddings e JOIN events ev ON e.vec_id = ev.event_id), p AS (SELECT q.vec_id AS q, e.user_id AS grp, min({_D}) AS d FROM v q JOIN v e ON e.ts < q.ts WHERE q.vec_id % 25 = 0 GROUP BY 1, 2) SELECT q, grp, d, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY d, grp) AS INTEGER) AS rank FROM p) WHERE rank <= 10")
+def asof_knn(t):
+    v = t("embeddings").join(t("events"), c("vec_id") == c("event_id")).select("vec_id", c("embedding").alias("v"), "ts", c("user_id").alias("grp"))
+    q = v.filter("vec_id % 25 = 0").select(c("vec_id").alias("q"), c("v").alias("qv"), c("ts").alias("qts"))
+    return R.nearest(q, v, 10, earlier=True, group="grp").select("q", "grp", "d", "rank")
+
+
+@query(None)
+def mmr(t):
+    e = t("embeddings").select(c("vec_id").alias("id"), c("embedding").alias("v"))
+    q = e.filter("id % 25 = 0").select(c("id").alias("q"), c("v").alias("qv"))
+    fetched = R.nearest(q, e, 50).select("q", "id")
+    return R.mmr(fetched.join(e, "id").join(F.broadcast(q), "q").select("q", "qv", "id", "v"), 10)
+
+
+@query(
+    r"WITH tf AS (SELECT doc_id, term, count(*) AS f FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS term FROM documents) GROUP BY 1, 2), sz AS (SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS len FROM documents), st AS (SELECT count(*) AS n, avg(len) AS avglen FROM sz), "
+    r"df AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS w FROM tf, st GROUP BY term, n), m AS (SELECT avg(w) AS mean FROM df), qt AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest(regexp_extract_all(text, '\S+')) AS term FROM benchmark) GROUP BY 1, 2), "
+    r"s AS (SELECT item_id AS q, tf.doc_id AS id, round(sum(qf * CASE WHEN w < 0 THEN 0.25 * mean ELSE w END * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len / avglen))), 6) AS score FROM qt JOIN df ON qt.term = df.term JOIN tf ON tf.term = qt.term JOIN sz ON sz.doc_id = tf.doc_id, st, m GROUP BY 1, 2) SELECT q, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS INTEGER) AS rank FROM s) WHERE rank <= 5"
+)
+def bm25_topk(t):
+    return R.bm25(t("benchmark").select(c("item_id").alias("q"), "text"), t("documents").select(c("doc_id").alias("id"), "text"), 5)

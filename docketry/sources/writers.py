@@ -23,7 +23,7 @@ def write_requests(df: DataFrame, path: str, by: list[str], rows_a_file: int = 3
 
 def repair(line: Column) -> Column:
     """A response line cut short inside its JSON content gets the content's end back; others stay."""
-    return F.when(~line.rlike(r"\\\"\\n\}\"[^\"]*\"ref"), F.regexp_replace(line, r"\", \"refusal\"", r'.\\\\"\\\\n}", "refusal"')).otherwise(line)
+    return F.when(~line.rlike(r'\\"\\n\}"[^"]*"ref'), F.regexp_replace(line, '", "refusal"', r'.\\"\\n}", "refusal"')).otherwise(line)
 
 
 def split_number(n: Column, size: int) -> Column:
