@@ -98,13 +98,32 @@ def groups(blobs: DataFrame) -> DataFrame:
     return found.dropDuplicates(["gid", "id"])
 
 
+def _contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The edges of a partition as stars around the smallest id that they reach within it: fewer rounds follow."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for frame in frames:
+        for x, y in zip(frame["a"].tolist(), frame["b"].tolist(), strict=True):
+            u, v = root(x), root(y)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+    ids = [x for x in parent if root(x) != x]
+    yield pd.DataFrame({"a": np.array(ids, np.int64), "b": np.array([root(x) for x in ids], np.int64)})
+
+
 def components(edges: DataFrame, name: str = "links") -> DataFrame:
     """(id, component) for every end of ``edges(a, b)``: the smallest id reachable, by alternating large and small stars.
 
     Each round is two keyed joins on the edges; it ends when a round changes nothing.
     """
     a, b = F.col("a"), F.col("b")
-    now = settle(edges.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), name)
+    now = settle(edges.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct().mapInPandas(_contract, "a long, b long"), name)
     mark = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
     seen = mark(now)
     while seen["n"]:
@@ -150,7 +169,7 @@ def link(found: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     at = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     dealt = left.join(sketch, "id").withColumn("chunks", chunks).withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select(F.xxhash64("gid", F.least("at", "other"), F.greatest("at", "other")).alias("cell"), F.xxhash64("lead", F.pmod("gid", F.lit(SPREAD))).alias("near"), "id", "prober", "c", "n", "bits", (F.col("at") <= F.col("other")).alias("low"), (F.col("at") >= F.col("other")).alias("high"), F.col("chunks").alias("cells"))
+    dealt = dealt.select(F.xxhash64("gid", F.least("at", "other"), F.greatest("at", "other")).alias("cell"), F.xxhash64("lead", F.pmod("gid", F.lit(2 if inside else SPREAD))).alias("near"), "id", "prober", "c", "n", "bits", (F.col("at") <= F.col("other")).alias("low"), (F.col("at") >= F.col("other")).alias("high"), F.col("chunks").alias("cells"))
     buckets = max(partitions(spark), left.count() // 100_000 + 1)
     more = dealt.groupBy(F.pmod(F.xxhash64("near", F.when(F.col("cells") > 1, F.col("cell"))), F.lit(buckets)).alias("bucket")).applyInPandas(_survivors(num, den, unpack if inside else None), "a long, b long").distinct()
     second = settle(more if inside else verify(more, sets, num, den, unpack, own), "rest")
@@ -161,7 +180,8 @@ def link(found: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den
 
 #: Members of a group that meet in one piece of work; larger groups are dealt into pairs of chunks.
 CHUNK = 4096
-#: Groups with one smallest member (those of one cluster) go to so many buckets, each of which names a pair once.
+#: Groups with one smallest member (those of one cluster) go to so many buckets, each of which names a pair once; where items
+#: go along, to two, so that a set is unpacked less often.
 SPREAD = 16
 
 
