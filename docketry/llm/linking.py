@@ -36,11 +36,13 @@ def pack(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray, sig: np.ndarray, pr
     short = ((sig & U(0x7FFFFFFFFF)) << U(1)) | prober.astype(U)
     order = np.argsort(where, kind="stable")
     cuts = np.searchsorted(where[order], np.arange(buckets + 1))
+    direct = len(sig) <= 24 * len(ids)  # few signatures a member: each has its member beside it
     for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
         mine = order[cuts[b] : cuts[b + 1]]
-        here, local = np.unique(at[mine], return_inverse=True)
-        if 12 * len(here) > 6 * len(mine):  # few signatures a member: each has its member beside it
-            here, local = at[mine], local[:0]
+        if direct:
+            here, local = at[mine], at[:0]
+        else:
+            here, local = np.unique(at[mine], return_inverse=True)
         size = sizes[here].astype(np.int32)
         yield {
             "bucket": b, "ids": ids[here].astype(np.int64).tobytes(), "sizes": size.tobytes() if size.any() else b"", "at": local.astype(np.uint16 if len(here) < 65536 else np.uint32).tobytes(),
