@@ -89,7 +89,7 @@ def scan(df: DataFrame) -> DataFrame:
     confidence left, at least 0.85 where a base phrase stands.
     """
     lower = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    step = hold(df, __low=lower)
+    step = hold(df.drop("license"), __low=lower)
     step = hold(step, __w=F.array_remove(F.split("__low", BREAK), ""))
     # every base phrase and every rule holds one of these
     gate = F.col("__low").contains("licen") | F.col("__low").contains("cc") | F.col("__low").contains("public") | F.col("__low").contains("gpl") | F.col("__low").contains("spdx")

@@ -54,11 +54,11 @@ def quality(df: DataFrame) -> DataFrame:
     """``df`` with a struct ``quality``: base counts, base_failed, kept, lines and characters lost, and the cleaned ``text``.
 
     Null text: no words, base_failed, not kept, cleaned text null. A text whose lines all pass keeps its very text. Other
-    columns pass through unless named like this struct.
+    columns pass through; one named like the struct is replaced by it.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n", -1)
-    step = hold(df, __w=words(F.col("text")), __l=F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    step = hold(df.drop("quality"), __w=words(F.col("text")), __l=F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     step = step.withColumn("__n", F.size("__w"))
     step = hold(step, __h=window_hashes(F.col("__w"), F.col("__n")), __fails=F.filter("__l", line_fails))
     step = hold(step, __d=F.size("__h") != F.size(F.array_distinct("__h")))
@@ -98,7 +98,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose their failing lines."""
-    out = quality(docs).filter("quality.kept")
+    out = quality(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "text")).filter("quality.kept")
     new = {"text": F.col("quality.text"), "n_chars": F.length("quality.text").cast("long")}
-    return out.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
-
+    return out.select(*((new[c] if c in new else F.col("__row")[c]).alias(c) for c in docs.columns))
