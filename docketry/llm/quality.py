@@ -96,6 +96,45 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(F.col(f"quality.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lines_lost", "chars_lost")))
 
 
+#: ``query`` as SQL for DuckDB. Its regular expressions have no lookahead: separators are counted among words split at blanks.
+ORACLE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+l AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d),
+j AS (
+  SELECT rid, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+    len(list_filter(regexp_split_to_array(regexp_replace(line, '[\r\x{{85}}\x{{2028}}\x{{2029}}]$', ''), '[\x20\t]'), lambda x: regexp_full_match(x, '[|>»•·/\\-]+'))) AS separators,
+    len(regexp_extract_all(line, '{NOISY.replace(chr(92) + "S", "[^ " + chr(92) + "t" + chr(92) + "n" + chr(92) + "x0B" + chr(92) + "f" + chr(92) + "r]")}')) AS noisy
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+),
+f AS (
+  SELECT rid, line,
+    (n >= 4 AND separators * 100 > n * {MAX_SEPARATOR_PERCENT}) OR (n >= 4 AND noisy * 100 > n * {MAX_SEPARATOR_PERCENT})
+    OR (n >= {UNPUNCTUATED_WORDS} AND NOT regexp_matches(line, '[.!?…。！？]')) OR (n <= {BOILERPLATE_WORDS} AND regexp_matches(line, '{BOILERPLATE}')) AS fails
+  FROM j
+),
+s AS (
+  SELECT rid, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (fails) AS lines_lost, coalesce(sum(length(line)) FILTER (fails), 0) AS chars_lost FROM f GROUP BY rid
+),
+v AS (SELECT rid, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d)),
+c AS (SELECT rid, count(*) AS n FROM v GROUP BY rid),
+k AS (
+  SELECT rid, i, lead(x, {WINDOW - 1}) OVER o AS last, concat_ws(' ', x, {", ".join(f"lead(x, {i}) OVER o" for i in range(1, WINDOW))}) AS words
+  FROM v WINDOW o AS (PARTITION BY rid ORDER BY i)
+),
+p AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, words) AS n FROM k WHERE last IS NOT NULL),
+r AS (SELECT rid, count(DISTINCT i + o) AS n FROM p, range({WINDOW}) AS q(o) WHERE n > 1 GROUP BY rid),
+e AS (
+  SELECT doc_id, t, coalesce(c.n, 0) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')) AS n_symbols,
+    coalesce(dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(lines_lost, 0) AS lines_lost, coalesce(chars_lost, 0) AS chars_lost,
+    coalesce(c.n, 0) < {MIN_WORDS} OR coalesce(r.n, 0) * 100 > coalesce(c.n, 0) * {MAX_REPEAT_PERCENT} AS base_failed
+  FROM d LEFT JOIN s USING (rid) LEFT JOIN c USING (rid) LEFT JOIN r USING (rid)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND chars_lost * 100 <= length(t) * {MAX_LOST_PERCENT} AS kept, lines_lost, CAST(chars_lost AS BIGINT) AS chars_lost
+FROM e
+"""
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose their failing lines."""
     out = quality(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "text")).filter("quality.kept")
