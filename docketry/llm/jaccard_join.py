@@ -156,12 +156,12 @@ def _signer(buckets: int, extra: frozenset[int]):
 
 
 def _sets(batches):
+    """(id, items) of each text, a block of texts at a time, so that no more than that is held beside the input."""
     for batch in batches:
-        out = []
-        for _, data, offsets in kernel.blocks(batch.column("text")):
+        for first, data, offsets in kernel.blocks(batch.column("text")):
             items, cut = kernel.shingle_sets(data, offsets, K)
-            out += [items[x:y].tobytes() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "items"])
+            sets = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut * 8), pa.py_buffer(items)])
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(cut) - 1), sets.cast(pa.binary())], names=["id", "items"])
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
