@@ -7,9 +7,10 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 
-from docketry.llm import chat_format, decontaminate, license_scan, line_dedup, quality, registry, suffix_tree_lm, url_filter
+from docketry.llm import chat_format, decontaminate, html_extract, license_scan, line_dedup, quality, registry, suffix_tree_lm, url_filter
 
 SF = "/root/testdata/sf0.001"
 LOW = {i: i + 32 for i in range(65, 91)}
@@ -204,3 +205,28 @@ def test_chat_digests_match_the_table(spark):
     want = {k: (len(t), sha("".join(f"{a}\n{b}\n" for a, b in t)), len("".join(b for a, b in t if a == "assistant")), sha("".join(b for a, b in t if a == "assistant"))) for k, t in turns.items()}
     got = chat_format.query(spark, SF).collect()
     assert len(got) == len(want) and {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == want
+
+
+def test_suffix_array_finds_every_repeated_run():
+    rng = np.random.default_rng(9)
+    for n, letters, run in [(0, 2, 3), (2, 2, 3), (60, 2, 4), (300, 3, 5), (400, 2, 8), (200, 40, 1)]:
+        tokens, page = rng.integers(0, letters, n), np.sort(rng.integers(0, 1 + n // 20, n))
+        on = collections.defaultdict(set)
+        runs = [(tuple(tokens[i : i + run]), i) for i in range(n - run + 1) if page[i] == page[i + run - 1]]
+        for r, i in runs:
+            on[r].add(page[i])
+        want = np.zeros(n, bool)
+        for r, i in runs:
+            if len(on[r]) >= 3:
+                want[i : i + run] = True
+        assert html_extract.repeated(tokens, page, run, 3).tolist() == want.tolist()
+
+
+def test_html_extraction_drops_what_many_pages_of_a_host_share(spark):
+    rng = random.Random(12)
+    menu = "Home News Sport Weather Travel Culture Money Contact"
+    own = {i: [" ".join(f"{rng.choice('abcdef')}{rng.randrange(10**6)}" for _ in range(rng.randrange(3, 30))) for _ in range(rng.randrange(1, 5))] for i in range(40)}
+    pages = [(i, f"http://site{i % 2}.org/{i}", "".join(f"<div>{b}</div>" for b in [menu, *blocks, "All pages end with this very same footer line"])) for i, blocks in own.items()]
+    pages.append((99, "http://alone.org/", f"<div>{menu}</div><div>one page of its host</div>"))
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n\n".join(b) for i, b in own.items()} | {99: f"{menu}\n\none page of its host"}
