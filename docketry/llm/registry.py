@@ -17,4 +17,4 @@ QUERIES = {
     "op10_html_extraction": html_extract.query,
 }
 
-ORACLES: dict[str, str] = {"op6_quality_rules": quality.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op1_url_filter": url_filter.oracle_sql(), "op6_quality_rules": quality.ORACLE_SQL}

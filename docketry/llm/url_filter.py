@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.shared import ascii_lower, settle, table
+from docketry.llm.shared import LOWER, UPPER, ascii_lower, settle, table
 
 #: (host, path prefix, verdict)
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -83,3 +83,33 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def oracle_sql(rules=RULES) -> str:
+    """``query`` as SQL for DuckDB: each round one common table, all ROUNDS of them, so scores agree within TOLERANCE's effect."""
+    fits = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r))
+    case = lambda pick: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{pick(h, p, v)}'" for h, p, v in fits) + " END"
+    link = LINK.replace("'", "''")
+    rounds = ", ".join(
+        f"s{k + 1} AS (SELECT host, kind, sum(s) AS s FROM (SELECT a.dst AS host, a.kind, s{k}.s * a.w * {DAMPING} AS s FROM s{k} JOIN arcs a ON a.src = s{k}.host AND a.kind = s{k}.kind UNION ALL SELECT host, kind, s FROM s0) GROUP BY host, kind)"
+        for k in range(ROUNDS)
+    )
+    return f"""
+WITH u AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+m AS (SELECT *, {case(lambda h, p, v: h + p)} AS rule, {case(lambda h, p, v: v)} AS own FROM h),
+seeds AS (
+  SELECT host, CAST(avg(CASE WHEN own = 'allow' THEN 1 ELSE 0 END) AS DOUBLE) AS trust, CAST(avg(CASE WHEN own = 'block' THEN 1 ELSE 0 END) AS DOUBLE) AS distrust
+  FROM m WHERE host <> '' GROUP BY host
+),
+l AS (SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS target FROM m WHERE host <> ''),
+e AS (SELECT src, dst, count(*) AS n FROM (SELECT src, translate(regexp_extract(target, '//([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS dst FROM l) WHERE dst <> '' AND src <> dst GROUP BY src, dst),
+arcs AS MATERIALIZED (
+  SELECT 'trust' AS kind, src, dst, n / sum(n) OVER (PARTITION BY src) AS w FROM e UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM e
+),
+s0 AS MATERIALIZED (SELECT host, 'trust' AS kind, trust AS s FROM seeds WHERE trust > 0 UNION ALL SELECT host, 'distrust', distrust FROM seeds WHERE distrust > 0),
+{rounds},
+scores AS (SELECT host, coalesce(sum(s) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(s) FILTER (kind = 'distrust'), 0) AS distrust FROM s{ROUNDS} GROUP BY host),
+j AS (SELECT page_id, m.host, path, rule, own, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM m LEFT JOIN scores USING (host))
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN distrust >= {BLOCK_AT} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict, trust, distrust FROM j
+"""

@@ -121,6 +121,27 @@ def test_url_scores_match_power_iteration(spark):
         assert r.verdict == (rule(url) or ("block" if r.distrust >= 0.5 and r.distrust > r.trust else "allow"))
 
 
+def test_url_query_matches_its_sql(spark):
+    """On the given pages, whose links are all internal, and on pages with links between hosts."""
+    rng = random.Random(3)
+    hosts = ["a.com", "b.net", "www.c.org", "d.io", "e.example.net"]
+    pages = [(900_000 + i, f"https://{rng.choice(hosts).upper()}/{rng.choice(['en', 'de', 'es', 'x'])}/{rng.randrange(99)}?q#f", f"<a href='//{rng.choice(hosts)}/x'> <A HREF = \"https://{rng.choice(hosts)}\">") for i in range(60)]
+    pages += [(1, None, None), (1, None, None), (2, "no scheme", ""), (None, "://", "<a href=http://a.com>")]
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", pages)
+    con.execute(f"insert into pages select page_id, url, html from '{SF}/pages.parquet'")
+    cur = con.execute(registry.ORACLES["op1_url_filter"])
+    names = [c[0] for c in cur.description]
+    sort = lambda rows: sorted(rows, key=lambda r: (r[0] is None, *map(str, r[:5])))
+    want = sort(cur.fetchall())
+    df = url_filter.judge(spark.createDataFrame(con.execute("select * from pages").fetchall(), "page_id long, url string, html string"))
+    got = sort(map(tuple, df.select(*names).collect()))
+    assert sorted(df.columns) == sorted(names) and [r[:5] for r in got] == [r[:5] for r in want]
+    assert [x for r in got for x in r[5:]] == pytest.approx([x for r in want for x in r[5:]], abs=1e-3)
+    assert all(r[5] > 0 and r[6] > 0 for r in want if r[1] == "d.io")  # no rule fits it: what it has came along links
+
+
 def test_license_rules_one_by_one(spark):
     rng = random.Random(8)
     names = ["mit", "Apache-2.0", "the GPL v3", "gpl version 2", "CC-BY-NC-SA 4.0", "bsd 3-clause", "mozilla public license 2.0", "lesser general public", "zlib", "EUPL-1.2"]
