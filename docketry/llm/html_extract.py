@@ -1,10 +1,13 @@
-"""HTML extraction: the article's blocks, with a suffix array per host against boilerplate.
+"""HTML extraction: the article's blocks, with suffix arrays and counts over each whole host against boilerplate.
 
-Markup decides where it can: inside ``article`` (else ``main``) every block is main text; menus, headers, footers, sidebars,
+Markup comes first: inside ``article`` (else ``main``) every block may be main text; menus, headers, footers, sidebars,
 forms, scripts, styles, and elements whose class, id or role names an advert, notice, comment or the like are not. Pages
-without such an element go through their host's suffix array: token streams of the host's pages are concatenated, runs of at
-least MIN_RUN tokens that stand on MIN_PAGES distinct pages are found, and blocks mostly covered by them go; others stay
-whole. (Applied inside articles, the array would remove passages that pages share rightly, such as copies of one article.)
+without such an element offer all their other blocks. These then go through their host: runs of at least MIN_RUN tokens
+that stand on MIN_PAGES distinct pages of the host are found, and blocks mostly covered by them go; others stay whole. Pages
+with equal blocks count as one, so exact copies of an article survive; pages whose markup names the article stay as they are.
+
+Pages are dealt into chunks. A suffix array numbers the runs of a chunk and counts their pages; the counts meet by the run's
+hash, over all chunks, and each chunk gets back which of its runs are repeated. So no host is in one task, nor in one array.
 """
 
 from __future__ import annotations
@@ -18,13 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.shared import narrow, settle, table
+from docketry.llm import kernel
+from docketry.llm.kernel import U, mix
+from docketry.llm.shared import narrow, partitions, settle, table
 from docketry.llm.url_filter import host_path
 
 #: A run of so many tokens on so many distinct pages of a host is boilerplate; a block goes when more than this share of it is covered.
 MIN_RUN, MIN_PAGES, COVERED = 6, 3, 0.5
-#: Pages of one host that share one suffix array; larger hosts are dealt into several.
-SHARD = 400
+#: Bytes of text in a chunk, and of all text for each bucket in which the runs' counts meet.
+CHUNK, MEET = 4_000_000, 16_000_000
+#: Bits of a run's hash beside its bucket.
+SHORT = U(2**48 - 1)
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -115,21 +122,22 @@ def blocks(page: str) -> tuple[list[str], bool]:
 
 
 def _parse(batches):
+    """Blocks joined by two line breaks (a block has none inside), and the chunk of each page: the uid of its first page."""
     for batch in batches:
         found = [blocks(x or "") for x in batch.column("html").to_pylist()]
+        text = pa.array(["\n\n".join(b) for b, _ in found], pa.string())
+        uid = batch.column("uid").to_numpy()
+        chunk = np.empty(len(uid), np.int64)
+        for first, _, offsets in kernel.blocks(text, CHUNK):
+            chunk[first : first + len(offsets) - 1] = uid[first]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("page_id", "url", "host", "uid")), pa.array([b for b, _ in found], pa.list_(pa.string())), pa.array([s or not b for b, s in found])], names=["page_id", "url", "host", "uid", "blocks", "sure"]
+            [*(batch.column(c) for c in ("page_id", "url", "host", "uid")), text, pa.array([s for _, s in found], pa.bool_()), pa.array(chunk)], names=["page_id", "url", "host", "uid", "text", "sure", "chunk"]
         )
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, run: int = MIN_RUN, pages: int = MIN_PAGES) -> np.ndarray:
-    """Which tokens lie in a run of ``run`` tokens that stands on ``pages`` distinct pages.
-
-    The suffix array is built by doubling up to ``run`` tokens: suffixes that agree so far are neighbours in it.
-    """
+def _suffixes(tokens: np.ndarray, run: int) -> np.ndarray:
+    """The rank of each suffix by its first ``run`` tokens, equal for equal ones."""
     n = len(tokens)
-    if n < run:
-        return np.zeros(n, bool)
     rank, length = np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1
     while length < run:
         step = min(length, run - length)
@@ -140,36 +148,116 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int = MIN_RUN, pages: in
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
         length += step
+    return rank
+
+
+def repeated(tokens: np.ndarray, page: np.ndarray, run: int = MIN_RUN, pages: int = MIN_PAGES) -> np.ndarray:
+    """Which tokens lie in a run of ``run`` tokens that stands on ``pages`` distinct pages.
+
+    The suffix array is built by doubling up to ``run`` tokens: suffixes that agree so far are neighbours in it.
+    """
+    n = len(tokens)
+    if n < run:
+        return np.zeros(n, bool)
+    rank = _suffixes(tokens, run)
     whole = np.zeros(n, bool)  # runs that stay on their page
     whole[: n - run + 1] = page[run - 1 :] == page[: n - run + 1]
     at = np.flatnonzero(whole)
     pairs = np.unique(np.stack((rank[at], page[at])), axis=1)
     count = np.bincount(pairs[0], minlength=int(rank.max()) + 1)
-    starts = at[count[rank[at]] >= pages]
+    return _covered(at[count[rank[at]] >= pages], n, run)
+
+
+def _covered(starts: np.ndarray, n: int, run: int = MIN_RUN) -> np.ndarray:
     cover = np.zeros(n + 1, np.int64)
     np.add.at(cover, starts, 1)
     np.add.at(cover, np.minimum(starts + run, n), -1)
     return np.cumsum(cover[:-1]) > 0
 
 
-def _shard(frame: pd.DataFrame) -> pd.DataFrame:
-    """One suffix array over the blocks of a shard; equal pages count once."""
-    frame = frame.sort_values(["uid", "no"], kind="stable").reset_index(drop=True)
-    words = [t.split() for t in frame["block"]]
-    size = np.array([len(w) for w in words])
-    of: dict[int, list[str]] = {}
-    for uid, block in zip(frame["uid"], frame["block"], strict=True):
-        of.setdefault(uid, []).append(block)
-    number: dict[str, int] = {}
-    distinct = {uid: number.setdefault("\x00".join(own), len(number)) for uid, own in of.items()}
-    page = np.repeat([distinct[uid] for uid in frame["uid"]], size)
-    tokens = pd.factorize(np.array([x for w in words for x in w], object))[0] if size.sum() else np.zeros(0, np.int64)
-    covered = repeated(tokens, page)
-    ends = np.concatenate(([0], np.cumsum(size)))
-    hidden = np.concatenate(([0], np.cumsum(covered)))
-    share = (hidden[ends[1:]] - hidden[ends[:-1]]) / np.maximum(size, 1)
-    frame["keep"] = share <= COVERED
-    return frame[["uid", "page_id", "url", "no", "block", "keep"]]
+def _runs(host: pa.Array, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens (hashes that hold the host), the page of each, the starts of runs that stay on their page, and their hashes."""
+    begin, end, first = kernel.word_spans(data, offsets)
+    page = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    _, names, cut = next(kernel.blocks(host, 1 << 62))
+    tokens = mix(kernel.span_hash(kernel.prefix(data), begin, end) + kernel.span_hash(kernel.prefix(names), cut[:-1], cut[1:])[page])
+    last = max(0, len(tokens) - MIN_RUN + 1)
+    at = np.flatnonzero(page[:last] == page[len(page) - last :]) if last else np.zeros(0, np.int64)
+    return tokens, page, at, kernel.combine(tokens, MIN_RUN)[at]
+
+
+def _counter(buckets: int):
+    """Rows (bucket, chunk, keys, n): the distinct runs of a chunk, and on how many of its pages each stands, at most MIN_PAGES."""
+
+    def run(batches):
+        for batch in batches:
+            for first, data, offsets in kernel.blocks(batch.column("text"), CHUNK):
+                size = len(offsets) - 1
+                chunk, again = (batch.column(c).slice(first, size).to_numpy(zero_copy_only=False) for c in ("chunk", "again"))
+                tokens, page, at, hashes = _runs(batch.column("host").slice(first, size), data, offsets)
+                if not len(at):
+                    continue
+                rank = _suffixes(tokens, MIN_RUN)[at]
+                for own in np.unique(chunk).tolist():
+                    mine = np.flatnonzero(chunk[page[at]] == own)
+                    if not len(mine):
+                        continue
+                    order = mine[np.lexsort((page[at[mine]], rank[mine]))]
+                    new = np.concatenate(([True], rank[order][1:] != rank[order][:-1]))
+                    fresh = (new | np.concatenate(([True], page[at[order]][1:] != page[at[order]][:-1]))) & ~again[page[at[order]]]
+                    starts = np.flatnonzero(new)
+                    n = np.minimum(np.add.reduceat(fresh.astype(np.int64), starts), MIN_PAGES).astype(np.uint8)
+                    keys = hashes[order[starts]]
+                    bucket = ((keys >> U(48)) % U(buckets)).astype(np.int64)
+                    order = np.argsort(bucket, kind="stable")
+                    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                    short = keys[order].view(np.uint8).reshape(-1, 8)[:, :6]
+                    some = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(some, pa.int32()), pa.array(np.full(len(some), own, np.int64)), pa.array([short[cuts[b] : cuts[b + 1]].tobytes() for b in some], pa.binary()),
+                            pa.array([n[order[cuts[b] : cuts[b + 1]]].tobytes() for b in some], pa.binary()),
+                        ],
+                        names=["bucket", "chunk", "keys", "n"],
+                    )
+
+    return run
+
+
+def _wide(keys: bytes) -> np.ndarray:
+    out = np.zeros((len(keys) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(keys, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(U)
+
+
+def _meet(frame: pd.DataFrame) -> pd.DataFrame:
+    """(chunk, keys): those of a chunk's runs that stand on MIN_PAGES pages of their host, over all chunks of a bucket."""
+    each = [_wide(x) for x in frame["keys"]]
+    _, at = np.unique(np.concatenate(each), return_inverse=True)
+    many = np.bincount(at, np.frombuffer(b"".join(frame["n"]), np.uint8)) >= MIN_PAGES
+    hit = np.split(many[at], np.cumsum([len(x) for x in each])[:-1])
+    out = pd.DataFrame({"chunk": frame["chunk"], "keys": [x[h].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for x, h in zip(each, hit, strict=True)]})
+    return out[out["keys"].str.len() > 0]
+
+
+def _judge(pages: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
+    """The pages of a chunk less their blocks that the host's repeated runs cover."""
+    if len(pages) and len(hits):
+        known, texts = np.unique(np.concatenate([_wide(x) for x in hits["keys"]])), pages["text"].tolist()
+        column, host = pa.array(texts, pa.string()), pa.array(pages["host"], pa.string())
+        for first, data, offsets in kernel.blocks(column, 2 * CHUNK):
+            tokens, page, at, hashes = _runs(host.slice(first, len(offsets) - 1), data, offsets)
+            covered = _covered(at[np.isin(hashes & SHORT, known)], len(tokens))
+            hidden = np.concatenate(([0], np.cumsum(covered)))
+            bounds = np.searchsorted(page, np.arange(len(offsets)))
+            for k in np.flatnonzero(hidden[bounds[1:]] > hidden[bounds[:-1]]).tolist():
+                own = texts[first + k].split("\n\n")
+                ends = bounds[k] + np.concatenate(([0], np.cumsum([b.count(" ") + 1 for b in own])))
+                kept = [b for b, x, y in zip(own, ends[:-1].tolist(), ends[1:].tolist(), strict=True) if hidden[y] - hidden[x] <= COVERED * (y - x)]
+                if not pages["sure"].iat[first + k]:
+                    texts[first + k] = "\n\n".join(kept)
+        pages = pages.assign(text=texts)
+    return pages[["page_id", "url", "text"]]
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -179,20 +267,22 @@ def extract(pages: DataFrame) -> DataFrame:
     white space inside a block is one space, nothing is cut.
     """
     host, _ = host_path(F.col("url"))
-    own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), F.monotonically_increasing_id().alias("uid"))
-    kinds = dict(own.dtypes)
-    parsed = own.mapInArrow(_parse, f"page_id {kinds['page_id']}, url string, host string, uid long, blocks array<string>, sure boolean")
-    sure = parsed.filter("sure").select("page_id", "url", F.array_join("blocks", "\n\n").alias("text"))
-    open_ = settle(parsed.filter("not sure").drop("sure"), "open_pages")
-    if open_.isEmpty():
-        return sure
-    shards = settle(open_.groupBy("host").agg(F.ceil(F.count("*") / SHARD).alias("shards")), "hosts")
-    dealt = narrow(open_, shards, ["host"], "inner").withColumn("shard", F.pmod(F.xxhash64(F.array_join("blocks", "\n")), F.col("shards")))
-    each = dealt.select("host", "shard", "uid", "page_id", "url", F.posexplode("blocks").alias("no", "block"))
-    judged = each.groupBy("host", "shard").applyInPandas(_shard, f"uid long, page_id {kinds['page_id']}, url string, no int, block string, keep boolean")
-    kept = F.sort_array(F.collect_list(F.when(F.col("keep"), F.struct("no", "block"))))
-    rest = judged.groupBy("uid").agg(F.first("page_id").alias("page_id"), F.first("url").alias("url"), F.array_join(F.transform(kept, lambda b: b["block"]), "\n\n").alias("text"))
-    return sure.union(rest.select("page_id", "url", "text"))
+    own = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), F.monotonically_increasing_id().alias("uid"))
+    kind = dict(pages.dtypes)["page_id"]
+    parsed = settle(own.mapInArrow(_parse, "page_id string, url string, host string, uid long, text string, sure boolean, chunk long"), "parsed")
+    size = parsed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    if not size:
+        return parsed.select(F.col("page_id").cast(kind).alias("page_id"), "url", "text")
+    # pages of a host with equal blocks count as one: all but the first are marked
+    each = settle(parsed.select("uid", F.xxhash64("host", "text").alias("digest")), "digests")
+    heads = each.groupBy("digest").agg(F.min("uid").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    again = settle(each.join(heads, "digest").filter("uid <> first").select("uid", F.lit(True).alias("again")), "again")
+    marked = narrow(parsed, again, ["uid"], "left").select("host", "text", "chunk", (F.coalesce("again", F.lit(False)) | F.col("sure")).alias("again"))
+    buckets = max(partitions(pages.sparkSession), size // MEET + 1)
+    runs = marked.mapInArrow(_counter(int(buckets)), "bucket int, chunk long, keys binary, n binary")
+    hits = runs.groupBy("bucket").applyInPandas(_meet, "chunk long, keys binary")
+    left = parsed.drop("uid").groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInPandas(_judge, "page_id string, url string, text string")
+    return left.select(F.col("page_id").cast(kind).alias("page_id"), "url", "text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -251,3 +251,12 @@ def test_html_extraction_drops_what_many_pages_of_a_host_share(spark):
     pages.append((99, "http://alone.org/", f"<div>{menu}</div><div>one page of its host</div>"))
     got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {i: "\n\n".join(b) for i, b in own.items()} | {99: f"{menu}\n\none page of its host"}
+
+
+def test_html_extraction_counts_over_the_whole_host(spark):
+    """A notice on few pages of a large host goes."""
+    rng = random.Random(13)
+    own = {i: " ".join(f"{rng.choice('abcdef')}{rng.randrange(10**9)}" for _ in range(12)) for i in range(2000)}
+    notice = "This very notice stands on few pages of its host"
+    pages = [(i, "http://big.org/", f"<div>{b}</div>" + f"<div>{notice}</div>" * (i % 500 == 0)) for i, b in own.items()]
+    assert {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()} == own
