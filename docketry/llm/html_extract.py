@@ -2,9 +2,9 @@
 
 Markup comes first: inside ``article`` (else ``main``) every block may be main text; menus, headers, footers, sidebars,
 forms, scripts, styles, and elements whose class, id or role names an advert, notice, comment or the like are not. Pages
-without such an element offer all their other blocks. These then go through their host: runs of at least MIN_RUN tokens
+without such an element offer all their other blocks. Then every page goes through its host: runs of at least MIN_RUN tokens
 that stand on MIN_PAGES distinct pages of the host are found, and blocks mostly covered by them go; others stay whole. Pages
-with equal blocks count as one, so exact copies of an article survive; pages whose markup names the article stay as they are.
+with equal blocks count as one, so exact copies of an article survive; a page whose markup names the article is never emptied.
 
 Pages are dealt into chunks. A suffix array numbers the runs of a chunk and counts their pages; the counts meet by the run's
 hash, over all chunks, and each chunk gets back which of its runs are repeated. So no host is in one task, nor in one array.
@@ -254,7 +254,7 @@ def _judge(pages: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
                 own = texts[first + k].split("\n\n")
                 ends = bounds[k] + np.concatenate(([0], np.cumsum([b.count(" ") + 1 for b in own])))
                 kept = [b for b, x, y in zip(own, ends[:-1].tolist(), ends[1:].tolist(), strict=True) if hidden[y] - hidden[x] <= COVERED * (y - x)]
-                if not pages["sure"].iat[first + k]:
+                if kept or not pages["sure"].iat[first + k]:
                     texts[first + k] = "\n\n".join(kept)
         pages = pages.assign(text=texts)
     return pages[["page_id", "url", "text"]]
@@ -277,7 +277,7 @@ def extract(pages: DataFrame) -> DataFrame:
     each = settle(parsed.select("uid", F.xxhash64("host", "text").alias("digest")), "digests")
     heads = each.groupBy("digest").agg(F.min("uid").alias("first"), F.count("*").alias("n")).filter("n > 1")
     again = settle(each.join(heads, "digest").filter("uid <> first").select("uid", F.lit(True).alias("again")), "again")
-    marked = narrow(parsed, again, ["uid"], "left").select("host", "text", "chunk", (F.coalesce("again", F.lit(False)) | F.col("sure")).alias("again"))
+    marked = narrow(parsed, again, ["uid"], "left").select("host", "text", "chunk", F.coalesce("again", F.lit(False)).alias("again"))
     buckets = max(partitions(pages.sparkSession), size // MEET + 1)
     runs = marked.mapInArrow(_counter(int(buckets)), "bucket int, chunk long, keys binary, n binary")
     hits = runs.groupBy("bucket").applyInPandas(_meet, "chunk long, keys binary")

@@ -260,3 +260,19 @@ def test_html_extraction_counts_over_the_whole_host(spark):
     notice = "This very notice stands on few pages of its host"
     pages = [(i, "http://big.org/", f"<div>{b}</div>" + f"<div>{notice}</div>" * (i % 500 == 0)) for i, b in own.items()]
     assert {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()} == own
+
+
+def test_html_extraction_counts_over_the_whole_host_and_inside_articles(spark):
+    """A notice on few pages of a large host goes, also inside articles; exact copies of one article stay."""
+    rng = random.Random(13)
+    words = lambda n: " ".join(f"{rng.choice('abcdef')}{rng.randrange(10**9)}" for _ in range(n))
+    notice, copy = "This very notice stands on few pages of its host", words(40)
+    own = {i: words(12) for i in range(2000)}
+    page = lambda i, more: (i, f"http://big{i % 2}.org/{i}", (f"<article><p>{own[i]}</p>{more}</article>" if i % 4 < 2 else f"<div>{own[i]}</div>{more}"))
+    pages = [page(i, f"<p>{notice}</p>" if i % 2 == 0 and i % 250 < 2 else "") for i in own]
+    pages += [(5000 + i, "http://big0.org/copy", f"<article><p>{copy}</p></article>") for i in range(5)]
+    pages += [(6000 + i, f"http://two{i // 2}.org/", f"<article><p>{words(9)}</p><p>{notice}</p></article>") for i in range(4)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert sum(notice in p[2] for p in pages[:2000]) == 8
+    assert {i: t for i, t in got.items() if i < 5000} == own
+    assert all(got[5000 + i] == copy for i in range(5)) and all(got[6000 + i].endswith(f"\n\n{notice}") for i in range(4))
