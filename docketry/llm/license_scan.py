@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
-Texts become words (A-Z lower-cased). A keyword prefilter decides which texts are looked at, and which rules over them:
-a rule runs only where its keyword stands. Each rule is a regular expression over the words joined by single spaces, with a
+Texts become words (A-Z lower-cased). A keyword prefilter decides which rules are tried: a rule runs only where its keyword
+and the words that its template always holds stand; nothing else is asked of a text. Each rule is a regular expression over the words joined by single spaces, with a
 priority and a confidence. A detection that lies within another of higher priority, or of equal priority and more words, is
 suppressed. Only built-in functions; one scan, no shuffle.
 """
@@ -36,14 +36,15 @@ FAMILIES = [
     ("psf", "python software", "python software foundation", "psf 2 0"), ("openssl", "openssl", "openssl", "openssl"), ("ofl", "open font", "(?:sil )?open font", "ofl 1 1"), ("postgresql", "postgresql", "postgresql", "postgresql"),
     ("ms-pl", "microsoft public", "microsoft public", "ms pl"), ("eupl", "european union public", "european union public", "eupl 1 2"), ("php", "php", "php", "php 3 01"), ("ruby", "ruby", "ruby", "ruby"), ("x11", "x11", "x11", "x11"),
 ]
-#: (expression around a name N or id I, confidence); earlier templates have the higher priority.
+#: (expression around a name N or id I, confidence); earlier templates have the higher priority. ANCHORS: words that each always holds.
 TEMPLATES = [
     ("spdx license identifier I(?: only| or later)?", 1.0), ("licensed under(?: the)?(?: terms of(?: the)?)? N(?: license)?", 0.95), ("(?:released|distributed|published) under(?: the)?(?: terms of(?: the)?)? N(?: license)?", 0.95),
     ("(?:available|made available) under(?: the)? N(?: license)?", 0.9), ("under(?: the)? terms of(?: the)? N(?: license)?", 0.9), ("under(?: the)? N license", 0.85), ("subject to(?: the)?(?: terms of(?: the)?)? N license", 0.85), ("license[sd]? N", 0.7), ("N licen[sc]ed?", 0.6),
 ]
+ANCHORS = ["spdx license identifier", "licensed under", "ed under", "available under", "terms of", "license", "subject to", "license", "licen"]
 #: Labels that a name alone detects: rules without a template, of the lowest priority.
 BARE = {"cc0", "cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd", "gpl", "lgpl", "agpl", "mpl", "epl", "unlicense"}
-RULE = "array<struct<label:string,keyword:string,pattern:string,priority:int,confidence:double>>"
+RULE = "struct<label:string,keyword:string,anchor:string,pattern:string,priority:int,confidence:double>"
 
 
 def rules() -> list[dict]:
@@ -52,9 +53,9 @@ def rules() -> list[dict]:
     for label, keyword, name, spdx in FAMILIES:
         for k, (around, confidence) in enumerate(TEMPLATES):
             pattern = f"(?<= ){around.replace('N', f'(?:{name})').replace('I', spdx)}(?= )"
-            out.append({"label": label, "keyword": spdx if "I" in around else keyword, "pattern": pattern, "priority": len(TEMPLATES) - k, "confidence": confidence})
+            out.append({"label": label, "keyword": spdx if "I" in around else keyword, "anchor": ANCHORS[k], "pattern": pattern, "priority": len(TEMPLATES) - k, "confidence": confidence})
         if label in BARE:
-            out.append({"label": label, "keyword": keyword, "pattern": f"(?<= ){name}(?= )", "priority": 0, "confidence": 0.4})
+            out.append({"label": label, "keyword": keyword, "anchor": "", "pattern": f"(?<= ){name}(?= )", "priority": 0, "confidence": 0.4})
     return out
 
 
@@ -91,16 +92,18 @@ def scan(df: DataFrame) -> DataFrame:
     lower = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     step = hold(df.drop("license"), __low=lower)
     step = hold(step, __w=F.array_remove(F.split("__low", BREAK), ""))
-    # every base phrase and every rule holds one of these
-    gate = F.col("__low").contains("licen") | F.col("__low").contains("cc") | F.col("__low").contains("public") | F.col("__low").contains("gpl") | F.col("__low").contains("spdx")
-    step = hold(step, __n=F.size("__w"), __norm=F.when(gate, F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" "))))
+    step = hold(step, __n=F.size("__w"), __norm=F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" ")))
     base = [_places(phrase, label) for phrase, label in BASE]
     empty = F.array().cast("array<struct<at:int,label:string>>")
-    known = F.from_json(F.lit(json.dumps(rules())), RULE)
-    near = F.filter(known, lambda r: F.contains(F.col("__norm"), r["keyword"]))
-    found = F.flatten(F.transform(near, lambda r: _found(F.col("__norm"), r)))
-    worth = F.col("__norm").isNotNull() & F.col("__norm").rlike(r" (?:licen\w+|spdx|cc by|cc0|unlicense|gnu|[al]?gpl|public) ")
-    step = hold(step, __base=F.flatten(F.array(*(F.coalesce(b, empty) for b in base))), __found=F.coalesce(F.when(worth, found), F.array().cast(FOUND)))
+    groups: dict[str, list[dict]] = {}  # by what is looked for first
+    for rule in rules():
+        groups.setdefault(rule["anchor"] if rule["anchor"] == ANCHORS[0] else rule["keyword"], []).append(rule)
+    known = F.from_json(F.lit(json.dumps([{"first": k, "rules": v} for k, v in groups.items()])), f"array<struct<first:string,rules:array<{RULE}>>>")
+    first = F.filter(known, lambda g: F.contains(F.col("__norm"), g["first"]))
+    near = F.filter(F.flatten(F.transform(first, lambda g: g["rules"])), lambda r: F.contains(F.col("__norm"), r["anchor"]) & F.contains(F.col("__norm"), r["keyword"]))
+    step = hold(step, __near=near)
+    found = F.flatten(F.transform("__near", lambda r: _found(F.col("__norm"), r)))
+    step = hold(step, __base=F.flatten(F.array(*(F.coalesce(b, empty) for b in base))), __found=F.coalesce(found, F.array().cast(FOUND)))
     inside = lambda d, e: (e["at"] <= d["at"]) & (d["at"] + d["n"] <= e["at"] + e["n"]) & ((e["priority"] > d["priority"]) | ((e["priority"] == d["priority"]) & (e["n"] > d["n"])))
     step = hold(step, __left=F.array_sort(F.array_distinct(F.filter("__found", lambda d: ~F.exists("__found", lambda e: inside(d, e))))))
     labels = lambda c: F.transform(c, lambda d: d["label"])
@@ -109,7 +112,7 @@ def scan(df: DataFrame) -> DataFrame:
         F.col("__n").cast("long").alias("n_words"), F.col("__base").alias("base"), F.col("__left").alias("detections"),
         F.array_sort(F.array_distinct(labels("__base"))).alias("base_labels"), F.array_sort(F.array_distinct(F.concat(labels("__base"), labels("__left")))).alias("labels"), best.alias("score"),
     )
-    return step.withColumn("license", out).drop("__low", "__w", "__n", "__norm", "__base", "__found", "__left")
+    return step.withColumn("license", out).drop("__low", "__w", "__n", "__norm", "__near", "__base", "__found", "__left")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -276,3 +276,22 @@ def test_html_extraction_counts_over_the_whole_host_and_inside_articles(spark):
     assert sum(notice in p[2] for p in pages[:2000]) == 8
     assert {i: t for i, t in got.items() if i < 5000} == own
     assert all(got[5000 + i] == copy for i in range(5)) and all(got[6000 + i].endswith(f"\n\n{notice}") for i in range(4))
+
+
+def test_license_rules_need_no_word_but_their_own(spark):
+    """Texts that never say license, against each rule alone; the anchors stand in whatever their templates match."""
+    rng = random.Random(14)
+    names = ["MIT", "the BSD 3-clause", "Apache 2.0", "zlib", "the GNU Free Documentation", "Python Software Foundation", "FreeBSD", "x11", "ruby", "GPL v3", "cc0", "the Unlicense", "Apache 1.1", "the OpenSSL"]
+    around = ["Released under the {}.", "distributed under the terms of {}", "made available under {}", "Published under {}", "under the terms of {}, as is", "under {}", "{} only", "subject to {}"]
+    texts = {k: f" -- {rng.randrange(9)} ".join(rng.choice(around).format(rng.choice(names)) for _ in range(rng.randrange(1, 4))) for k in range(300)}
+    got = {r.doc_id: r.license for r in license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for d, t in texts.items():
+        norm, found = " " + " ".join(ALNUM.findall(t.translate(LOW))) + " ", set()
+        for r in license_scan.rules():
+            for m in re.finditer(r["pattern"], norm):
+                assert r["anchor"] in norm and r["keyword"] in norm
+                found.add((norm[: m.start()].count(" ") - 1, m.group().count(" ") + 1, r["label"], r["priority"], r["confidence"]))
+        left = {a for a in found if not any(b[0] <= a[0] and a[0] + a[1] <= b[0] + b[1] and (b[3] > a[3] or (b[3] == a[3] and b[1] > a[1])) for b in found)}
+        assert {tuple(x) for x in got[d].detections} == left and got[d].score == max([a[4] for a in left], default=0.0)
+    scored = license_scan.scan(spark.createDataFrame([(1, "Released under the MIT"), (2, "distributed under the terms of the BSD 3-clause")], "doc_id long, text string")).collect()
+    assert [r.license.labels for r in sorted(scored)] == [["mit"], ["bsd-3"]]
