@@ -295,3 +295,22 @@ def test_license_rules_need_no_word_but_their_own(spark):
         assert {tuple(x) for x in got[d].detections} == left and got[d].score == max([a[4] for a in left], default=0.0)
     scored = license_scan.scan(spark.createDataFrame([(1, "Released under the MIT"), (2, "distributed under the terms of the BSD 3-clause")], "doc_id long, text string")).collect()
     assert [r.license.labels for r in sorted(scored)] == [["mit"], ["bsd-3"]]
+
+
+def test_line_bands_miss_few_pairs_of_short_lines():
+    """Pairs at 0.75 and a little above, of few shingles, across the change of scheme, and with repeated shingles."""
+    rng, n = np.random.default_rng(15), 1500
+    for common, a, b in [(3, 1, 0), (6, 1, 1), (5, 1, 0), (9, 1, 2), (12, 2, 2), (15, 5, 0), (39, 0, 12), (40, 0, 13), (41, 0, 13), (60, 10, 10)]:
+        first, second = [], []
+        for _ in range(n):
+            x = rng.integers(0, 2**63, common + a + b).astype(np.uint64)
+            first.append(np.repeat(x[: common + a], 1 + common % 2))
+            second.append(np.concatenate((x[:common], x[common + a :])))
+        spans = first + second
+        span, band = line_dedup._bands(np.concatenate(spans), np.repeat(np.arange(2 * n), [len(x) for x in spans]), 2 * n)
+        keys = collections.defaultdict(set)
+        for s, k in zip(span.tolist(), band.tolist(), strict=True):
+            keys[s].add(k)
+        missed = sum(not keys[i] & keys[n + i] for i in range(n)) / n
+        print(common, a, b, missed)
+        assert missed <= 0.01
