@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.shared import WORD, table
+from docketry.llm.shared import WORD, hold, table
 
 BUDGET, HISTORY, HISTORY_TOKENS, PER_TURN = 512, 2, 128, 4
 #: Fixed pairs: a character that the template uses, and its escape. Escapes are undone in this order.
@@ -44,35 +44,36 @@ def format_conversations(df: DataFrame, budget: int = BUDGET) -> DataFrame:
     """
     role, text = F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text")
     own = df.select("conv_id", F.struct("turn", role, text).alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    own = own.withColumn("tokens", F.transform("turns", lambda t: F.regexp_count(t["text"], F.lit(WORD)) + PER_TURN))
-    own = own.withColumn("system", (F.get("turns", F.lit(0))["role"] == "system").cast("int"))
+    own = hold(own, tokens=F.transform("turns", lambda t: F.regexp_count(t["text"], F.lit(WORD)) + PER_TURN), system=(F.get("turns", F.lit(0))["role"] == "system").cast("int"))
     head = F.when(F.col("system") == 1, F.get("tokens", F.lit(0))).otherwise(0)
-    room = F.greatest(F.lit(budget) - head - HISTORY_TOKENS, F.lit(1))
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("sum"), F.lit(0).alias("open"), F.array(F.lit(0)).alias("starts"))
+    own = hold(own, room=F.greatest(F.lit(budget) - head - HISTORY_TOKENS, F.lit(1)))
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(0).alias("i"), zero.alias("sum"), zero.alias("open"), F.lit(0).alias("last"), F.lit("0").alias("starts"))
 
     def step(acc: Column, n: Column) -> Column:
-        full = (acc["sum"] + n - acc["open"] > room) & (acc["i"] > F.element_at(acc["starts"], -1))
+        """One turn more. The state is copied at each step: starts are text there, of which a copy costs least."""
+        full = (acc["sum"] + n - acc["open"] > F.col("room")) & (acc["i"] > acc["last"])
         return F.struct(
-            (acc["i"] + 1).alias("i"), (acc["sum"] + n).alias("sum"), F.when(full, acc["sum"]).otherwise(acc["open"]).alias("open"),
-            F.when(full, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"),
+            (acc["i"] + 1).alias("i"), (acc["sum"] + n).alias("sum"), F.when(full, acc["sum"]).otherwise(acc["open"]).alias("open"), F.when(full, acc["i"]).otherwise(acc["last"]).alias("last"),
+            F.when(full, F.concat(acc["starts"], F.lit(","), acc["i"].cast("string"))).otherwise(acc["starts"]).alias("starts"),
         )
 
-    own = own.withColumn("starts", F.aggregate("tokens", start, step, lambda acc: acc["starts"]))
+    own = hold(own, starts=F.split(F.aggregate("tokens", start, step, lambda acc: acc["starts"]), ",").cast("array<int>"))
 
     def window(at: Column, k: Column) -> Column:
         until = F.coalesce(F.get("starts", k + 1), F.size("turns"))
         low = F.greatest(at - HISTORY, F.col("system"))
         recent = F.filter(
             F.when(at > low, F.sequence(low, at - 1)).otherwise(F.array().cast("array<int>")),
-            lambda i: F.aggregate(F.slice("tokens", i + 1, at - i), F.lit(0), lambda a, x: a + x) <= HISTORY_TOKENS,
+            lambda i: F.aggregate(F.sequence(i, at - 1), F.lit(0), lambda a, j: a + F.get("tokens", j)) <= HISTORY_TOKENS,  # slices copy their whole array
         )
         repeated = F.concat(F.when((F.col("system") == 1) & (at > 0), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), recent)
         shown = F.concat(repeated, F.sequence(at, until - 1))
         return F.struct(F.transform(shown, lambda i: F.get("turns", i)).alias("turns"), F.size(repeated).alias("n_context"))
 
-    own = own.withColumn("plan", F.transform("starts", window))
+    own = hold(own, plan=F.transform("starts", window))
     pieces = F.transform("plan", lambda w: F.struct(F.transform(w["turns"], _render).alias("parts"), w["turns"].alias("turns"), w["n_context"].alias("n_context")))
-    own = own.select("conv_id", pieces.alias("pieces"))
+    own = hold(own, pieces=pieces).select("conv_id", "pieces")
 
     def finish(w: Column) -> Column:
         ends = F.aggregate(w["parts"], F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
@@ -110,7 +111,8 @@ def lost_text(windows: Column) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.sql(r"select -7L conv_id, turn, role, r'\### Assistant: </turn> ok' text from values (0L, 'user'), (1L, 'assistant') t(turn, role)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    out = format_conversations(rows).select("conv_id", "windows", read_back(F.col("windows")).alias("turns"), lost_text(F.col("windows")).alias("loss"))
+    out = hold(format_conversations(rows), out=F.col("windows")).select("conv_id", F.col("out").alias("windows"))
+    out = hold(out, turns=read_back(F.col("windows")), loss=lost_text(F.col("windows")))
     every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every.cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),

@@ -90,7 +90,8 @@ def scan(df: DataFrame) -> DataFrame:
     confidence left, at least 0.85 where a base phrase stands.
     """
     lower = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    step = hold(df.drop("license"), __low=lower)
+    names = [c for c in df.columns if c != "license"]
+    step = hold(df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), "text"), __low=lower).drop("text")
     step = hold(step, __w=F.array_remove(F.split("__low", BREAK), ""))
     step = hold(step, __n=F.size("__w"), __norm=F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" ")))
     base = [_places(phrase, label) for phrase, label in BASE]
@@ -112,7 +113,7 @@ def scan(df: DataFrame) -> DataFrame:
         F.col("__n").cast("long").alias("n_words"), F.col("__base").alias("base"), F.col("__left").alias("detections"),
         F.array_sort(F.array_distinct(labels("__base"))).alias("base_labels"), F.array_sort(F.array_distinct(F.concat(labels("__base"), labels("__left")))).alias("labels"), best.alias("score"),
     )
-    return step.withColumn("license", out).drop("__low", "__w", "__n", "__norm", "__near", "__base", "__found", "__left")
+    return step.select("row", out.alias("license")).select(*(F.col("row")[c].alias(c) for c in names), "license")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ BOILERPLATE = (
     r"|subscribe to|sign (?:in|up)|log ?in|share (?:this|on)|follow us|read more|click here|skip to (?:main )?content|back to top|advertisement|powered by)\b"
 )
 BOILERPLATE_WORDS = 25
+WORDED = r"[^\x20\x09-\x0D]"
 
 
 def line_fails(line: Column) -> Column:
@@ -54,41 +55,47 @@ def quality(df: DataFrame) -> DataFrame:
     """``df`` with a struct ``quality``: base counts, base_failed, kept, lines and characters lost, and the cleaned ``text``.
 
     Null text: no words, base_failed, not kept, cleaned text null. A text whose lines all pass keeps its very text. Other
-    columns pass through; one named like the struct is replaced by it.
+    columns pass through, whatever their names; one named like the struct is replaced by it. Counts are 64-bit. Repeated rows
+    come back as often as they stand there; an empty table gives none.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(text, "\n", -1)
-    step = hold(df.drop("quality"), __w=words(F.col("text")), __l=F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    step = step.withColumn("__n", F.size("__w"))
-    step = hold(step, __h=window_hashes(F.col("__w"), F.col("__n")), __fails=F.filter("__l", line_fails))
-    step = hold(step, __d=F.size("__h") != F.size(F.array_distinct("__h")))
-    step = hold(step, __s=F.when(F.col("__d"), F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    same = lambda i: F.get(F.col("__s"), i)["h"]
-    twice = F.filter(F.sequence(F.lit(0), F.size("__s") - 1), lambda i: F.coalesce(same(i) == F.when(i > 0, same(i - 1)), F.lit(False)) | F.coalesce(same(i) == same(i + 1), F.lit(False)))
-    step = hold(step, __p=F.when(F.col("__d"), F.array_sort(F.transform(twice, lambda i: F.get(F.col("__s"), i)["i"]))))
+    names = [c for c in df.columns if c != "quality"]
+    step = df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text").alias("t"))
+    text = F.coalesce(F.col("t"), F.lit(""))
+    judged = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("line"), x.rlike(WORDED).alias("worded")))
+    judged = F.transform(judged, lambda x: F.struct(x["line"].alias("line"), x["worded"].alias("worded"), F.when(x["worded"], line_fails(x["line"])).otherwise(F.lit(False)).alias("fails")))
+    step = hold(step, w=words(F.col("t")), l=judged)
+    step = step.withColumn("n", F.size("w"))
+    step = hold(step, h=window_hashes(F.col("w"), F.col("n")), worded=F.transform(F.filter("l", lambda x: x["worded"]), lambda x: x["line"]), fails=F.filter("l", lambda x: x["fails"]))
+    step = hold(step, d=F.size("h") != F.size(F.array_distinct("h")))
+    step = hold(step, s=F.when(F.col("d"), F.array_sort(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    same = lambda i: F.get(F.col("s"), i)["h"]
+    twice = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.coalesce(same(i) == F.when(i > 0, same(i - 1)), F.lit(False)) | F.coalesce(same(i) == same(i + 1), F.lit(False)))
+    step = hold(step, p=F.when(F.col("d"), F.array_sort(F.transform(twice, lambda i: F.get(F.col("s"), i)["i"]))))
     reach = F.aggregate(
-        "__p",
+        "p",
         F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
         lambda acc, p: F.struct((p + WINDOW).alias("end"), (acc["n"] + p + WINDOW - F.greatest(p, acc["end"])).alias("n")),
         lambda acc: acc["n"],
     )
-    step = hold(step, __r=F.coalesce(F.when(F.col("__d"), reach), F.lit(0)))
-    lost = F.aggregate("__fails", F.lit(0), lambda acc, x: acc + F.length(x))
-    clean = F.when(F.size("__fails") == 0, F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & line_fails(x))), "\n"))
-    failed = (F.col("__n") < MIN_WORDS) | (F.col("__r") * 100 > F.col("__n") * MAX_REPEAT_PERCENT)
+    long = lambda c: c.cast("long")
+    n, repeats = long(F.col("n")), long(F.coalesce(F.when(F.col("d"), reach), F.lit(0)))
+    lost = F.aggregate("fails", F.lit(0).cast("long"), lambda acc, x: acc + F.length(x["line"]))
+    step = hold(step, r=repeats, lost=lost)
+    clean = F.when(F.size("fails") == 0, F.col("t")).otherwise(F.array_join(F.transform(F.filter("l", lambda x: ~x["fails"]), lambda x: x["line"]), "\n"))
+    failed = (n < MIN_WORDS) | (F.col("r") * 100 > n * MAX_REPEAT_PERCENT)
     out = F.struct(
-        F.col("__n").cast("long").alias("n_words"),
-        F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        F.col("__r").cast("long").alias("n_repeat_words"),
+        n.alias("n_words"),
+        long(F.length(F.translate(text, BLANKS, ""))).alias("word_chars"),
+        long(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).alias("n_symbols"),
+        long(F.size("worded") - F.size(F.array_distinct("worded"))).alias("n_dup_lines"),
+        F.col("r").alias("n_repeat_words"),
         failed.alias("base_failed"),
-        (~failed & (lost * 100 <= F.length(text) * MAX_LOST_PERCENT)).alias("kept"),
-        F.size("__fails").cast("long").alias("lines_lost"),
-        lost.cast("long").alias("chars_lost"),
+        (~failed & (F.col("lost") * 100 <= long(F.length(text)) * MAX_LOST_PERCENT)).alias("kept"),
+        long(F.size("fails")).alias("lines_lost"),
+        F.col("lost").alias("chars_lost"),
         clean.alias("text"),
     )
-    return hold(step, quality=out).drop("__w", "__l", "__n", "__h", "__fails", "__d", "__s", "__p", "__r")
+    return hold(step, quality=out).select(*(F.col("row")[c].alias(c) for c in names), "quality")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +143,10 @@ FROM e
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others lose their failing lines."""
-    out = quality(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "text")).filter("quality.kept")
+    """Rejected documents go, those with a null or empty text among them; the others lose their failing lines.
+
+    Each row is judged alone, so repeated rows share a fate, and null ids and columns of any other name pass through (one
+    named ``quality`` goes)."""
+    out = quality(docs).filter("quality.kept")
     new = {"text": F.col("quality.text"), "n_chars": F.length("quality.text").cast("long")}
-    return out.select(*((new[c] if c in new else F.col("__row")[c]).alias(c) for c in docs.columns))
+    return out.select(*((new[c] if c in new else F.col(f"`{c}`")).alias(c) for c in docs.columns if c != "quality"))
