@@ -1,11 +1,14 @@
-"""BPE encoding and decoding by a deterministic automaton over tokens.
+"""BPE encoding and decoding by a compiled deterministic automaton over tokens.
 
-``Automaton`` starts with one state that loops on every byte and adds a merge gadget for each merge (u, v) in order of rank.
+Compilation starts with one state that loops on every byte and adds a merge gadget for each merge (u, v) in order of rank.
 All arcs of a token lead to one state. The gadget splits the state q that u's arcs reach: they now reach a copy of q without
 its v-arc (after u, a v would have been merged), and each state with a u-arc gets an arc for uv to where v led from q. So a
-state is the trail of arcs removed on the way to it, with the rank of the merge that removed them, and a state has an arc for
-a token unless a token on its left spine was removed before it grew into the next one. A word's encoding is the only path
-that the automaton accepts: a table of (state, token) transitions, filled as words need them, finds it from left to right.
+state is the trail of arcs removed on the way to it, with the rank of the merge that removed them, and it has an arc for a
+token unless a token on its left spine was removed before it grew into the next one. States that nothing reaches go, and the
+arcs that the others lack are compiled into one bit table, state by token.
+
+A pre-split word's encoding is the only path that the automaton accepts. Words are encoded many at a time: a trie of the
+labels gives the arcs that fit at each byte, the bit table says which of them their state has, from left to right.
 Decoding emits the labels (byte strings) of the arcs.
 """
 
@@ -14,6 +17,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +29,11 @@ from pyspark.sql import functions as F
 from docketry.llm.shared import table
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Cached words of a worker: at about 200 bytes each, some 100 MB. When full, the cache starts anew.
-CACHE = 400_000
+#: Words that a task remembers, at about 250 bytes each; when full, it starts anew. Nothing is kept between tasks.
+CACHE = 200_000
+#: Characters that are split at a time; longer texts are cut where white space follows something else, as words end there.
+PIECE = 1_000_000
+CUT = re.compile(r"(?<=\S)(?=\s)")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -42,84 +50,168 @@ class Automaton:
         letters = _byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        vocab = {raw(k): v for k, v in spec["model"]["vocab"].items() if k not in self.special}
-        self.label = {v: k for k, v in vocab.items()} | {v: k.encode() for k, v in self.special.items()}
-        self.ids = vocab
-        self.longest = max(map(len, vocab))
+        ids = {raw(k): v for k, v in spec["model"]["vocab"].items() if k not in self.special}
         self.pattern = regex.compile(pattern)
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.spine: dict[int, list[tuple[int, int]]] = {vocab[bytes([b])]: [] for b in range(256)}
-        trail: dict[int, dict[int, int]] = {t: {} for t in self.spine}  # arcs removed from the state that a token's arcs reach
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            u, v = (raw(x) for x in (pair if isinstance(pair, list) else pair.split(" ")))
-            a, b, c = vocab[u], vocab[v], vocab[u + v]
-            trail[c] = dict(trail[b])
-            trail[a].setdefault(b, rank)
-            self.spine[c] = [*self.spine[a], (a, rank)]
-        self.trail = trail
-        self.arcs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, bytes] = {}
-        self.table = np.zeros(max(self.label) + 1, object)
-        for k, v in self.label.items():
-            self.table[k] = v
-
-    def allowed(self, last: int, token: int) -> bool:
-        """Whether the state that ``last`` leads to has an arc for ``token``."""
-        gone = self.trail[last]
-        if token in gone:
-            return False
-        return not any(t in gone and gone[t] <= grown for t, grown in self.spine[token])
-
-    def word(self, text: bytes) -> list[int]:
-        """The accepted path over one pre-split word."""
-        ids, arcs, n, longest = self.ids, self.arcs, len(text), self.longest
-        if text in ids:  # each token's own label is accepted as that token
-            return [ids[text]]
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                token = ids.get(text[start:end])
-                if token is None:
-                    continue
-                if start:
-                    key = (last[start], token)
-                    ok = arcs.get(key)
-                    if ok is None:
-                        if len(arcs) > 4 * CACHE:
-                            arcs.clear()
-                        ok = arcs[key] = self.allowed(*key)
-                    if not ok:
-                        continue
-                last[end], back[end] = token, start
+        self.label = np.zeros(max([*ids.values(), *self.special.values()]) + 1, object)
+        for k, v in ids.items():
+            self.label[v] = k
+        for k, v in self.special.items():
+            self.label[v] = k.encode()
+        merges = [tuple(ids[raw(x)] for x in (m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"]]
+        made = [ids[self.label[u] + self.label[v]] for u, v in merges]
+        reached, spine = self._gadgets([ids[bytes([b])] for b in range(256)], merges, made)
+        self._compile(reached, spine)
+        self._trie(ids)
+
+    def _gadgets(self, single: list[int], merges: list[tuple[int, int]], made: list[int]) -> tuple[dict[int, int], dict[int, list[tuple[int, int]]]]:
+        """The state that each token's arcs reach, and each token's left spine with the rank at which each part of it grew."""
+        reached, spine = dict.fromkeys(single, 0), {t: [] for t in single}
+        self.before, self.gone = [0], [(-1, -1)]  # of a state: the one it was split from, and (token, rank) of the arc it lacks
+        for rank, ((u, v), w) in enumerate(zip(merges, made, strict=True)):
+            q, to = reached[u], reached[v]
+            self.before.append(q)
+            self.gone.append((v, rank))
+            reached[u] = len(self.gone) - 1
+            reached[w] = to
+            spine[w] = [*spine[u], (u, rank)]
+        return reached, spine
+
+    def _compile(self, reached: dict[int, int], spine: dict[int, list[tuple[int, int]]]) -> None:
+        """``state``: of each token the number of the state it leads to. ``lacks``: a bit for each state and ``column`` of a token."""
+        never = len(self.gone) + 1
+        over: dict[int, list[tuple[int, int]]] = {}  # of each token: tokens that have it on their left spine, and when it grew there
+        for token, parts in spine.items():
+            for part, grown in [*parts, (token, never)]:
+                over.setdefault(part, []).append((grown, token))
+        grown = {k: np.array(sorted(v, reverse=True), np.int64) for k, v in over.items()}
+        live = sorted(set(reached.values()))
+        number = {q: k for k, q in enumerate(live)}
+        self.state = np.zeros(len(self.label), np.int32)
+        for token, q in reached.items():
+            self.state[token] = number[q]
+        width, rng = len(self.label), np.random.Generator(np.random.PCG64(5))
+        rows, mark = [], np.zeros(width, np.uint64)
+        for q in live:
+            row = np.zeros(width, np.uint8)
+            while q:
+                token, rank = self.gone[q]
+                since = grown[token]
+                row[since[: np.searchsorted(-since[:, 0], -rank, "right"), 1]] = 1
+                q = self.before[q]
+            mark ^= row * rng.integers(0, 2**63, dtype=np.uint64)
+            rows.append(np.flatnonzero(row).astype(np.int32))
+        # tokens that the same states lack share a column
+        _, first, column = np.unique(mark, return_index=True, return_inverse=True)
+        self.column = column.astype(np.int32)
+        self.lacks = np.zeros((len(live), (len(first) + 7) // 8), np.uint8)
+        for k, row in enumerate(rows):
+            bits = np.zeros(len(first), np.uint8)
+            bits[column[row]] = 1
+            packed = np.packbits(bits, bitorder="little")
+            self.lacks[k, : len(packed)] = packed
+        del self.before, self.gone
+
+    def _trie(self, ids: dict[bytes, int]) -> None:
+        """``edge``: sorted node * 256 + byte; ``child``: the node each leads to; ``token``: the token that ends there, or -1."""
+        nodes, edges, ends = {b"": 0}, [], [-1]
+        for label in sorted(ids):
+            for n in range(1, len(label) + 1):
+                if label[:n] not in nodes:
+                    edges.append((nodes[label[: n - 1]] * 256 + label[n - 1], len(ends)))
+                    nodes[label[:n]] = len(ends)
+                    ends.append(-1)
+            ends[nodes[label]] = ids[label]
+        edges.sort()
+        self.edge, self.child = (np.array(x, np.int32) for x in zip(*edges, strict=True))
+        self.token = np.array(ends, np.int32)
+
+    def paths(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The accepted paths of words, end to end, and their bounds."""
+        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
+        size = np.array([len(w) for w in words], np.int64)
+        end = np.cumsum(size)
+        begin = np.repeat(end - size, size)
+        stop = np.repeat(end, size)
+        at, node, found = np.arange(len(data)), np.zeros(len(data), np.int32), []
+        step = 0
+        while len(at):
+            key = node * 256 + data[at + step]
+            to = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+            hit = self.edge[to] == key
+            at, node = at[hit], self.child[to[hit]]
+            step += 1
+            ends = self.token[node]
+            arc = np.flatnonzero(ends >= 0)
+            found.append((at[arc], np.full(len(arc), step, np.int32), ends[arc]))
+            more = at + step < stop[at]
+            at, node = at[more], node[more]
+        start, length, token = (np.concatenate(x) for x in zip(*found, strict=True))
+        place = start - begin[start]
+        order = np.argsort(place, kind="stable")
+        start, token, finish = start[order], token[order], (start + length)[order]
+        cut = np.searchsorted(place[order], np.arange(int(size.max(initial=0)) + 1)).tolist()
+        # by the byte at which it ends: the only arc there that is on an accepted path; position 0 of a word is its start
+        last, back = np.full(len(data) + 1, -1, np.int32), np.zeros(len(data) + 1, np.int64)
+        for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            s, t, f = start[x:y], token[x:y], finish[x:y]
+            if k:
+                on = np.flatnonzero(last[s - 1] >= 0)
+                s, t, f = s[on], t[on], f[on]
+                at = self.column[t]
+                ok = (self.lacks[self.state[last[s - 1]], at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 0
+                s, t, f = s[ok], t[ok], f[ok]
+            last[f - 1], back[f - 1] = t, s
+        on = np.zeros(len(data), bool)
+        at = end - 1
+        while len(at):
+            on[at] = True
+            at = back[at] - 1
+            at = at[at >= begin[at + 1]]
+        marks = np.concatenate(([0], np.cumsum(on)))
+        return last[:-1][on], np.concatenate(([0], marks[end]))
+
+    def learn(self, pieces: set[str]) -> None:
+        """Remember the paths of words."""
+        if len(self.words) + len(pieces) > CACHE:
+            self.words.clear()
+        new = [p for p in pieces if p not in self.words]
+        for k in range(0, len(new), 50_000):
+            some = new[k : k + 50_000]
+            tokens, bounds = self.paths([p.encode() for p in some])
+            flat, cut = tokens.astype("<u4").tobytes(), (bounds * 4).tolist()
+            self.words.update((p, flat[x:y]) for p, x, y in zip(some, cut[:-1], cut[1:], strict=True))
+
+    def parts(self, text: str) -> Iterator[str]:
+        """The text in runs of about PIECE characters that can be split on their own."""
+        at = 0
+        while len(text) - at > PIECE:
+            m = CUT.search(text, at + PIECE)
+            if m is None:
                 break
-        path = []
-        while n:
-            path.append(last[n])
-            n = back[n]
-        return path[::-1]
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:] if at else text
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        split, seen = [], set()
+        for text in texts:
+            some = self.split.split(text) if self.split is not None and any(s in text for s in self.special) else (text,)
+            split.append([(s, None) if s in self.special else (s, self.pattern.findall(s)) for s in some])
+            for _, pieces in split[-1]:
+                seen.update(pieces or ())
+        self.learn(seen)
+        words = self.words
+        return [b"".join([self.special[s].to_bytes(4, "little") if pieces is None else b"".join([words[p] for p in pieces]) for s, pieces in one]) for one in split]
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        out, words = [], self.words
-        for part in self.split.split(text) if self.split is not None and any(s in text for s in self.special) else (text,):
-            if part in self.special:
-                out.append(self.special[part].to_bytes(4, "little"))
-                continue
-            pieces = self.pattern.findall(part)
-            try:
-                out.append(b"".join([words[p] for p in pieces]))
-            except KeyError:
-                if len(words) > CACHE:
-                    words.clear()
-                for p in pieces:
-                    if p not in words:
-                        words[p] = np.array(self.word(p.encode()), "<u4").tobytes()
-                out.append(b"".join([words[p] for p in pieces]))
-        return b"".join(out)
+        return b"".join(self.encode_all([part])[0] for part in self.parts(text))
 
     def decode(self, ids: bytes) -> str:
         """The labels of the arcs, end to end; bytes that are not UTF-8 become U+FFFD."""
-        return b"".join(self.table[np.frombuffer(ids, "<u4")].tolist()).decode("utf-8", "replace")
+        return b"".join(self.label[np.frombuffer(ids, "<u4")].tolist()).decode("utf-8", "replace")
 
 
 @functools.cache
@@ -136,22 +228,41 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def _together(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of consecutive texts of about PIECE characters."""
+    run, size = [], 0
+    for text in texts:
+        if run and size + len(text) > PIECE:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text)
+    if run:
+        yield run
+
+
 def _coder(path: str, with_ids: bool):
     def run(batches):
         coder = automaton(path)
         for batch in batches:
-            n, ids, shas, texts, lists = [], batch.column("row"), [], [], []
-            for text in batch.column("text"):
-                code = coder.encode(text.as_py() or "")
-                n.append(len(code) // 4)
-                shas.append(hashlib.sha256(code).hexdigest())
-                texts.append(hashlib.sha256(coder.decode(code).encode()).hexdigest())
-                if with_ids:
-                    lists.append(np.frombuffer(code, "<u4").astype(np.int32))
-            columns = {"row": ids, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array(texts, pa.string())}
+            n, shas, texts, lists = [], [], [], []
+            for some in _together([x or "" for x in batch.column("text").to_pylist()]):
+                codes = [[c] for c in coder.encode_all(some)] if len(some) > 1 else [[coder.encode_all([part])[0] for part in coder.parts(some[0])]]
+                for code in codes:
+                    ids, back = hashlib.sha256(), hashlib.sha256()
+                    for part in code:
+                        ids.update(part)
+                        back.update(coder.decode(part).encode())
+                    n.append(sum(map(len, code)) // 4)
+                    shas.append(ids.hexdigest())
+                    texts.append(back.hexdigest())
+                    if with_ids:
+                        lists.append(np.frombuffer(b"".join(code), "<u4").astype(np.int32))
+            columns = {"row": batch.column("row"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array(texts, pa.string())}
             if with_ids:
                 columns["ids"] = pa.array(lists, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        coder.words.clear()
 
     return run
 
