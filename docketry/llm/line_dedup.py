@@ -3,9 +3,9 @@
 Lines are compared trimmed and with A-Z lower-cased. Equal lines are one class at once; between classes, MinHash signatures
 of BANDS bands of ROWS find candidates. Lines of at most FEW shingles have as many independent minima; longer ones have
 one-permutation signatures (a bin a minimum, empty ones densified), and so have those that can link with longer ones. By
-calculation for independent minima a pair at the threshold of 0.75 is missed with a chance of 0.0044, one at 0.85 of 1e-5;
-of 20,000 simulated pairs at 0.75 for each of five sizes (8 to 80 shingles in the union) 0.0046 to 0.0053 were missed. Candidates are verified on their whole sets of 8-character shingles and joined to
-components; of each component the first line, by doc_id and line number, stays. Lines without a word always stay.
+calculation for independent minima a pair at the threshold of 0.75 is missed with a chance of 0.0049, one at 0.85 of 3e-5.
+Candidates are verified on their whole sets of 8-character shingles and joined to components; of each component the first
+line, by doc_id and line number, stays. Lines without a word always stay.
 """
 
 from __future__ import annotations
@@ -20,14 +20,16 @@ from docketry.llm.kernel import LOWERED, U, mix
 from docketry.llm.shared import narrow, partitions, settle, table
 
 K, NUM, DEN = 8, 75, 100
-BANDS, ROWS = 20, 5
+BANDS, ROWS = 14, 4
 BINS = BANDS * ROWS
 #: Shingles up to which a line has independent minima: with fewer in hand, bins copy each other, and bands fail together.
 FEW = 53
 FACTORS = np.random.Generator(np.random.PCG64(75)).integers(1, 2**62, BINS, dtype=np.int64).astype(U) * U(2) + U(1)
 #: Times that an empty bin looks for a full one, each time in a place of its own; the few left take the least hash of all.
 ATTEMPTS = 12
-BLOCK = 500_000
+BLOCK = 250_000
+#: Items of a span that are looked at first to tell whether it has more than FEW.
+HEAD = 96
 #: Dropped lines (and eight for each text) that may be broadcast, at four bytes each; beyond that the join shuffles.
 BROADCAST_NUMBERS = 4_000_000
 
@@ -55,16 +57,31 @@ def _lines(data: np.ndarray, offsets: np.ndarray):
 
 def _shingles(data: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.ndarray):
     """Hashes of the K-character shingles of each span, end to end, and each one's span; short spans are one shingle. Spans ascend."""
-    chars = np.flatnonzero((data & 0xC0) != 0x80)
-    a, b = np.searchsorted(chars, start), np.searchsorted(chars, end)
-    chars = np.append(chars, len(data))
+    solid = (data & 0xC0) != 0x80
+    if solid.all():
+        a, b, wide, sums_at, inverse = start, end, None, sums, kernel._powers(len(sums))[1]
+    else:
+        wide = np.flatnonzero(solid)
+        a, b = np.searchsorted(wide, start), np.searchsorted(wide, end)
+        inverse = kernel._powers(len(sums))[1][wide]
+        wide = np.append(wide, len(data))
+        sums_at = sums[wide]
     n = np.maximum(b - a - K + 1, 0)
     some = np.flatnonzero(n)
-    inside = np.zeros(len(chars) + 1, np.int8)
-    inside[a[some]] += 1
-    np.subtract.at(inside, a[some] + n[some], 1)
-    at = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
-    items, own = kernel.span_hash(sums, chars[at], chars[at + K]), np.repeat(np.arange(len(start)), n)
+    last = len(sums_at) - K
+    if last > 0:
+        every = (sums_at[K:] - sums_at[:-K]) * inverse[:last]
+        every += U(K) if wide is None else (wide[K:] - wide[:-K]).astype(U)
+        inside = np.zeros(last + 1, np.int8)
+        inside[a[some]] = 1
+        np.subtract.at(inside, a[some] + n[some], 1)
+        items = every[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+        items ^= items >> U(32)
+        items *= U(0xBF58476D1CE4E5B9)
+        items ^= items >> U(29)
+    else:
+        items = np.zeros(0, U)
+    own = np.repeat(np.arange(len(start)), n)
     if len(some) < len(start):
         tiny = np.flatnonzero(n == 0)
         items, own = np.concatenate((items, kernel.span_hash(sums, start[tiny], end[tiny]))), np.concatenate((own, tiny))
@@ -104,9 +121,15 @@ def _minima(items: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
 def _sizes(items: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
     """Distinct items of each span; where that is at most NUM / DEN of FEW, or above FEW, any number on that side."""
     size = np.bincount(own, minlength=n)
-    full = np.zeros(n * BINS, bool)
-    full[own * BINS + (((items & U(0xFFFFFFFF)) * U(BINS)) >> U(32)).astype(np.int64)] = True
-    open_ = (size * DEN > FEW * NUM) & (full.reshape(n, BINS).sum(axis=1) <= FEW)
+    start = np.cumsum(size) - size
+    some = np.flatnonzero(size * DEN > FEW * NUM)
+    # the first HEAD items of a span show for most that it has more than FEW distinct ones
+    head = np.minimum(size[some], HEAD)
+    at = np.repeat(start[some] - (np.cumsum(head) - head), head) + np.arange(int(head.sum()))
+    full = np.zeros(len(some) * 256, bool)
+    full[np.repeat(np.arange(0, 256 * len(some), 256), head) + (items[at] >> U(56)).astype(np.int64)] = True
+    open_ = np.zeros(n, bool)
+    open_[some[np.count_nonzero(full.reshape(-1, 256), axis=1) <= FEW]] = True
     mine = open_[own]
     item, line = items[mine], own[mine]
     order = np.lexsort((item, line))
