@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that may be broadcast: a stated query set. More are searched in blocks of this size.
+#: Query vectors that are broadcast at a time; a larger stated set is searched in blocks of this size.
 QUERY_BLOCK = 20_000
+#: Distinct query terms that may be broadcast; beyond that the join shuffles.
+FEW_TERMS = 200_000
 
 
 def chunk_tokens(df: DataFrame, key: str, text: str, size: int = 512, overlap: int = 50) -> DataFrame:
@@ -20,6 +24,63 @@ def chunk_tokens(df: DataFrame, key: str, text: str, size: int = 512, overlap: i
     return w.select(key, "w", F.posexplode(starts).alias("pos", "start")).select(key, "pos", F.array_join(F.slice("w", F.col("start"), size), " ").alias("chunk"))
 
 
+SEPARATORS = ("\n\n", "\n", " ", "")
+
+
+def _pieces(text: str, size: int, overlap: int, separators: tuple[str, ...], count: Callable[[str], int]) -> list[str]:
+    """Chunks of at most ``size`` by ``count``: split at the first separator that occurs, at finer ones where a part is too long."""
+    at = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
+    mark, finer = separators[at], separators[at + 1 :]
+    parts = [x for x in (text.split(mark) if mark else list(text)) if x]
+    between, out, run, sizes = count(mark) if mark else 0, [], [], []
+
+    def total() -> int:
+        return sum(sizes) + between * max(0, len(sizes) - 1)
+
+    def close() -> None:
+        if joined := mark.join(run).strip():
+            out.append(joined)
+
+    for part in parts:
+        n = count(part)
+        if n > size and finer:
+            if run:
+                close()
+                run, sizes = [], []
+            out += _pieces(part, size, overlap, finer, count)
+            continue
+        if run and total() + n + between > size:
+            close()
+            while run and (total() > overlap or total() + n + between > size):
+                run, sizes = run[1:], sizes[1:]
+        run, sizes = [*run, part], [*sizes, n]
+    if run:
+        close()
+    return out
+
+
+def recursive_chunks(df: DataFrame, key: str, text: str, size: int, overlap: int, count: Callable[[str], int] = len, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
+    """(key, pos, chunk): texts split at paragraphs, else lines, else words, else characters, so that each chunk counts at most
+    ``size`` and begins with up to ``overlap`` of the chunk before. ``count`` is any tokenizer's; null and empty texts have none."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            found = [_pieces(x, size, overlap, separators, count) if x else [] for x in batch.column("text").to_pylist()]
+            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            pos = np.concatenate([np.arange(len(x), dtype=np.int32) for x in found] or [np.zeros(0, np.int32)])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at)), pa.array(pos), pa.array([c for x in found for c in x], pa.string())], names=["key", "pos", "chunk"])
+
+    out = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, pos int, chunk string")
+    return out.withColumnRenamed("key", key)
+
+
+def with_parents(hits: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """The parent documents of chunk hits: each once for a query, at its best chunk's rank."""
+    best = hits.groupBy("q", key).agg(F.min("rank").alias("rank"))
+    return best.join(parents, key)
+
+
 def distance2(a: Column, b: Column) -> Column:
     """Squared Euclidean distance, in doubles."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
@@ -33,14 +94,47 @@ def l2_normalise(v: Column) -> Column:
 def nearest(queries: DataFrame, items: DataFrame, k: int, earlier: bool = False, group: str | None = None) -> DataFrame:
     """(q, id or group, d, rank): the k nearest of ``items(id, v[, ts][, group])`` for each of ``queries(q, qv[, qts])``.
 
-    The query set is stated and small, and is broadcast; each task keeps k rows a query before anything is shuffled.
-    ``earlier``: only items dated strictly before the query. ``group``: the best item stands for each group.
+    The query set is stated: it is counted, and broadcast in blocks of QUERY_BLOCK, dealt by the hash of q; each task keeps k
+    rows a query before anything is shuffled. ``earlier``: only items dated strictly before the query. ``group``: the best
+    item stands for each group.
     """
+    blocks = -(-queries.count() // QUERY_BLOCK) or 1
     admissible = F.col("ts") < F.col("qts") if earlier else F.lit(True)
-    pairs = items.join(F.broadcast(queries), admissible).withColumn("d", F.round(distance2(F.col("qv"), F.col("v")), 6))
     key = group or "id"
-    best = pairs.groupBy("q", key).agg(F.min("d").alias("d")) if group else pairs.select("q", "id", "d")
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", key))).filter(F.col("rank") <= k)
+
+    def search(some: DataFrame) -> DataFrame:
+        pairs = items.join(F.broadcast(some), admissible).withColumn("d", F.round(distance2(F.col("qv"), F.col("v")), 6))
+        best = pairs.groupBy("q", key).agg(F.min("d").alias("d")) if group else pairs.select("q", "id", "d")
+        return best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", key))).filter(F.col("rank") <= k)
+
+    if blocks == 1:
+        return search(queries)
+    blocks = 2 * blocks  # uneven hashes stay below the block's size
+    return functools.reduce(DataFrame.unionByName, [search(queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == n)) for n in range(blocks)])
+
+
+def relevance(distance2: Column) -> Column:
+    """A score for unit vectors: 1 where they are equal, 0 at a right angle, from the squared distance."""
+    return 1 - F.sqrt(distance2) / F.sqrt(F.lit(2.0))
+
+
+def metadata_filter(rules: dict) -> Column:
+    """The rows that all rules admit: ``{column: value}`` or ``{column: {"$lt": value, ...}}`` with $eq $ne $lt $lte $gt $gte $in."""
+    tests = {"$eq": lambda c, v: c == v, "$ne": lambda c, v: c != v, "$lt": lambda c, v: c < v, "$lte": lambda c, v: c <= v, "$gt": lambda c, v: c > v, "$gte": lambda c, v: c >= v, "$in": lambda c, v: c.isin(list(v))}
+    out = F.lit(True)
+    for column, rule in rules.items():
+        for name, value in (rule if isinstance(rule, dict) else {"$eq": rule}).items():
+            out = out & tests[name](F.col(column), value)
+    return out
+
+
+def count_found(queries: DataFrame, ranked: DataFrame, wanted: int, strict: bool = False) -> DataFrame:
+    """(q, n_found) for each query, at most ``wanted``; with ``strict``, an error for a query that found fewer."""
+    n = queries.select("q").join(ranked.groupBy("q").agg(F.count("*").alias("n")), "q", "left").select("q", F.least(F.coalesce("n", F.lit(0)), F.lit(wanted)).alias("n_found"))
+    if not strict:
+        return n
+    lacking = F.raise_error(F.concat(F.lit("too few results for query "), F.col("q").cast("string"))).cast("long")
+    return n.select("q", F.when(F.col("n_found") < wanted, lacking).otherwise(F.col("n_found")).alias("n_found"))
 
 
 def mmr(candidates: DataFrame, k: int, trade: float = 0.5) -> DataFrame:
@@ -67,25 +161,61 @@ def terms(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(F.regexp_extract_all(text, F.lit(r"(?U)(\S+)"), F.lit(1))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("f"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
-    """(q, id, score, rank) over ``queries(q, text)`` and ``docs(id, text)``; negative idf become ``floor`` times the mean idf.
+def bm25_tables(docs: DataFrame, floor: float = 0.25) -> dict[str, DataFrame]:
+    """What BM25 needs of ``docs(id, text)``: ``postings(id, term, f)``, ``sizes(id, len)``, ``weights(term, w)``, ``stats(n, avglen)``.
 
-    Query terms are a stated set: they thin the documents' terms before the shuffle that counts the scores.
+    ``w`` is the idf; negative ones become ``floor`` times the mean idf. ``save_tables`` keeps them for later searches.
     """
     tf = terms(docs, "id", "text")
     size = docs.select("id", F.regexp_count("text", F.lit(r"(?U)\S+")).alias("len"))
     stats = size.agg(F.count("*").alias("n"), F.avg("len").alias("avglen"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats)).withColumn("w", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = df.agg(F.avg("w").alias("mean"))
+    weight = df.join(F.broadcast(mean)).select("term", F.when(F.col("w") < 0, floor * F.col("mean")).otherwise(F.col("w")).alias("w"))
+    return {"postings": tf, "sizes": size, "weights": weight, "stats": stats}
+
+
+def bm25_search(queries: DataFrame, tables: dict[str, DataFrame], k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(q, id, score, rank) over ``queries(q, text)``, a stated set, which thins the postings before scores are summed."""
     asked = terms(queries, "q", "text").withColumnRenamed("f", "qf")
-    weight = asked.join(df.select("term", "w"), "term").join(F.broadcast(mean)).withColumn("w", F.when(F.col("w") < 0, floor * F.col("mean")).otherwise(F.col("w"))).select("q", "term", "qf", "w")
-    hit = tf.join(weight, "term").join(size, "id").join(F.broadcast(stats))
+    wanted = asked.select("term").distinct()
+    postings = tables["postings"].join(F.broadcast(wanted) if wanted.limit(FEW_TERMS + 1).count() <= FEW_TERMS else wanted, "term", "left_semi")
+    hit = postings.join(asked.join(tables["weights"], "term"), "term").join(tables["sizes"], "id").join(F.broadcast(tables["stats"]))
     score = F.sum(F.col("qf") * F.col("w") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / F.col("avglen"))))
     scored = hit.groupBy("q", "id").agg(F.round(score, 6).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "id"))).filter(F.col("rank") <= k)
 
 
-def embed(model, batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """An injected model over batches of texts, loaded once a worker."""
-    for batch in batches:
-        yield pd.Series(list(model(batch.tolist())))
+def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
+    """Tables and search in one."""
+    return bm25_search(queries, bm25_tables(docs, floor), k, k1, b)
+
+
+def save_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """Tables of an index (chunks with their vectors, postings and the like), each a folder of Parquet."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load_tables(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+
+
+def pool(hidden: np.ndarray, mask: np.ndarray, how: str = "mean") -> np.ndarray:
+    """One vector a text from (texts, tokens, width): the mean over unmasked tokens (zeros where there are none), or the first token's."""
+    if how == "cls":
+        return hidden[:, 0]
+    weight = mask[:, :, None].astype(hidden.dtype)
+    return (hidden * weight).sum(axis=1) / np.maximum(weight.sum(axis=1), 1)
+
+
+def embedder(load: Callable[[], Callable[[list[str]], np.ndarray]]):
+    """A Pandas UDF from texts to vectors; ``load`` gives the model, once a task."""
+
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for batch in batches:
+            yield pd.Series(list(np.asarray(model(batch.fillna("").tolist()), np.float32)))
+
+    return run

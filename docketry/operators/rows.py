@@ -12,7 +12,9 @@ from docketry.functions.text import key_order
 
 def keep_unique(df: DataFrame, *key: str) -> DataFrame:
     """Rows whose key stands once; every row of a repeated key goes."""
-    return df.withColumn("__n", F.count("*").over(Window.partitionBy(*key))).filter("__n = 1").drop("__n")
+    once = df.groupBy(*key).agg(F.count("*").alias("__n")).filter("__n = 1").drop("__n")
+    same = [F.col(f"__a.{k}").eqNullSafe(F.col(f"__b.{k}")) for k in key]
+    return df.alias("__a").join(once.alias("__b"), same, "left_semi")
 
 
 def keep_last(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -37,11 +39,23 @@ def sample_n(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     return df.orderBy(key_order(seed, F.col(key)), F.col(key)).limit(n)
 
 
-def sample_strata(df: DataFrame, stratum: str, key: str, sizes: dict[str, int] | int, seed: str) -> DataFrame:
-    """Up to so many rows of each stratum; strata without a size give none."""
-    w = Window.partitionBy(stratum).orderBy(key_order(seed, F.col(key)), F.col(key))
-    wanted = F.lit(sizes) if isinstance(sizes, int) else F.coalesce(*(F.when(F.col(stratum) == k, F.lit(v)) for k, v in sizes.items()), F.lit(0))
-    return df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= wanted).drop("__r")
+def sample_strata(df: DataFrame, stratum: str, key: str, sizes: dict[str, int] | int, seed: str, forced: list | None = None) -> DataFrame:
+    """Up to so many rows of each stratum; strata without a size give none. Rows whose key is ``forced`` come first.
+
+    The largest size is a literal limit, so each task keeps no more rows of a stratum before the shuffle.
+    """
+    first = [(~F.col(key).isin(forced)).cast("int")] if forced else []
+    w = Window.partitionBy(stratum).orderBy(*first, key_order(seed, F.col(key)), F.col(key))
+    most = sizes if isinstance(sizes, int) else max(sizes.values(), default=0)
+    ranked = df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most)
+    if not isinstance(sizes, int):
+        ranked = ranked.filter(F.col("__r") <= F.coalesce(*(F.when(F.col(stratum) == k, F.lit(v)) for k, v in sizes.items()), F.lit(0)))
+    return ranked.drop("__r")
+
+
+def sample_strata_seeds(df: DataFrame, stratum: str, key: str, sizes: dict[str, int] | int, seeds: list[str]) -> DataFrame:
+    """``sample_strata`` once for each seed, with the seed as a column."""
+    return reduce(DataFrame.unionByName, [sample_strata(df, stratum, key, sizes, s).withColumn("seed", F.lit(s)) for s in seeds])
 
 
 def complement(df: DataFrame, chosen: DataFrame, key: str) -> DataFrame:

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docketry.functions import results as A
 from docketry.functions import text as T
 from docketry.operators import metrics as M
+from docketry.operators import mining as N
 from docketry.operators import prompts as P
 from docketry.operators import retrieval as R
 from docketry.operators import rows as O
@@ -43,9 +45,9 @@ def clean_text(t):
     return t("documents").select("doc_id", F.md5(T.clean(c("text")).cast("binary")).alias("digest"))
 
 
-@query("SELECT doc_id, replace(CAST(doc_id AS VARCHAR) || '.txt', '.txt', '') AS name FROM documents")
+@query("SELECT doc_id, source || lang AS name FROM documents")
 def drop_extension(t):
-    return t("documents").select("doc_id", T.drop_extension(F.concat(c("doc_id").cast("string"), lit(".txt"))).alias("name"))
+    return t("documents").select("doc_id", T.drop_extension(F.concat("source", lit(".txt"), "lang", lit(".txt"))).alias("name"))
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS words FROM documents")
@@ -375,10 +377,14 @@ def json_extract(t):
     return t("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '{"content": "{\\n\\"Keywords\\": \\"x.\\"\\n}", "refusal": null}' ELSE '{"content": "{\\n\\"Keywords\\": \\"x\\"\\n}", "refusal": null}' END AS line FROM documents""")
+_LINE = '{"content": "{\\n\\"Keywords\\": \\"'
+
+
+@query(f"""SELECT doc_id, '{_LINE}' || md5(text) || CASE WHEN lang = 'en' THEN '.' ELSE '' END || '\\"\\n}}", "refusal": null}}' AS line FROM documents""")
 def regex_repair(t):
-    cut, whole = '{"content": "{\\n\\"Keywords\\": \\"x", "refusal": null}', '{"content": "{\\n\\"Keywords\\": \\"x\\"\\n}", "refusal": null}'
-    return t("documents").select("doc_id", K.repair(F.when(c("doc_id") % 2 == 0, lit(cut)).otherwise(lit(whole))).alias("line"))
+    """English texts' lines are cut short, the others whole."""
+    said = F.concat(lit(_LINE), F.md5(c("text").cast("binary")))
+    return t("documents").select("doc_id", K.repair(F.concat(said, F.when(c("lang") == "en", lit('", "refusal": null}')).otherwise(lit('\\"\\n}", "refusal": null}')))).alias("line"))
 
 
 @query("SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 300) + 1 AS INTEGER) AS file FROM documents")
@@ -433,9 +439,9 @@ def chunk_tokens(t):
     return R.chunk_tokens(t("documents"), "doc_id", "text", 64, 10).select("doc_id", "pos", F.md5(c("chunk").cast("binary")).alias("digest"))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(list_transform(embedding::DOUBLE[], lambda x: x / n), lambda x: x * x)), 6) AS norm FROM (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)")
+@query("SELECT vec_id, i, round(x / n, 6) AS x FROM (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS i, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)")
 def l2_normalise(t):
-    return t("embeddings").select("vec_id", F.round(F.aggregate(R.l2_normalise(c("embedding")), lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+    return t("embeddings").select("vec_id", F.posexplode(R.l2_normalise(c("embedding"))).alias("i", "x")).select("vec_id", c("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
 @query(f"SELECT q, id, d, rank FROM (SELECT q, id, d, CAST(row_number() OVER (PARTITION BY q ORDER BY d, id) AS INTEGER) AS rank FROM (SELECT q.vec_id AS q, e.vec_id AS id, {_D} AS d FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 25 = 0)) WHERE rank <= 5")
@@ -467,3 +473,191 @@ def mmr(t):
 )
 def bm25_topk(t):
     return R.bm25(t("benchmark").select(c("item_id").alias("q"), "text"), t("documents").select(c("doc_id").alias("id"), "text"), 5)
+
+
+@query(f"SELECT q, id, round(1 - sqrt(d) / sqrt(2.0), 9) AS relevance FROM (SELECT q, id, d, row_number() OVER (PARTITION BY q ORDER BY d, id) AS rank FROM (SELECT q.vec_id AS q, e.vec_id AS id, {_D} AS d FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 25 = 0)) WHERE rank <= 5")
+def knn_relevance(t):
+    return knn_topk(t).select("q", "id", F.round(R.relevance(c("d")), 9).alias("relevance"))
+
+
+@query(f"WITH v AS (SELECT e.vec_id, e.embedding, ev.ts, ev.user_id FROM embeddings e JOIN events ev ON e.vec_id = ev.event_id), p AS (SELECT q.vec_id AS q, count(DISTINCT e.user_id) AS n FROM v q JOIN v e ON e.ts < q.ts WHERE q.vec_id % 25 = 0 GROUP BY 1) SELECT v.vec_id AS q, least(coalesce(n, 0), 10) AS n_found FROM v LEFT JOIN p ON v.vec_id = p.q WHERE v.vec_id % 25 = 0")
+def asof_found(t):
+    v = t("embeddings").join(t("events"), c("vec_id") == c("event_id")).filter("vec_id % 25 = 0").select(c("vec_id").alias("q"))
+    return R.count_found(v, asof_knn(t), 10)
+
+
+@query(f"WITH h AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY d, id) AS rank FROM (SELECT q.vec_id AS q, e.vec_id AS id, {_D} AS d FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 25 = 0)) SELECT q, label, CAST(min(rank) AS INTEGER) AS rank, n FROM h JOIN embeddings e ON e.vec_id = h.id JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) USING (label) WHERE rank <= 5 GROUP BY q, label, n")
+def parent_hits(t):
+    e = t("embeddings")
+    hits = knn_topk(t).join(e.select(c("vec_id").alias("id"), "label"), "id")
+    return R.with_parents(hits.select("q", "label", "rank"), e.groupBy("label").agg(F.count("*").alias("n")), "label").select("q", "label", "rank", "n")
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' AND n_chars < 2000 AND source IN ('src0', 'src1')")
+def metadata_filter(t):
+    return t("documents").filter(R.metadata_filter({"lang": "en", "n_chars": {"$lt": 2000}, "source": {"$in": ["src0", "src1"]}})).select("doc_id")
+
+
+@query(None)
+def recursive_chunks(t):
+    """Split by a recursive rule that SQL can't express; a test holds it against the rule's properties and worked cases."""
+    return R.recursive_chunks(t("documents"), "doc_id", "text", 1000, 100).select("doc_id", "pos", F.md5(c("chunk").cast("binary")).alias("digest"))
+
+
+# responses, code lists, costs
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def nested_json(t):
+    """The field of a JSON text inside a response line's JSON."""
+    choices = F.array(F.struct(F.struct(c("props").alias("content")).alias("message")))
+    line = F.to_json(F.struct(F.struct(F.struct(choices.alias("choices")).alias("body")).alias("response")))
+    return t("events").select("event_id", A.answer(line, "k", strict=True).alias("k"))
+
+
+_SAID = "CASE split_part(o_orderpriority, '-', 1) WHEN '4' THEN 'key_case' WHEN '5' THEN 'I do not have enough information' ELSE split_part(o_orderpriority, '-', 1) END"
+
+
+@query("SELECT o_orderkey, CAST(CASE split_part(o_orderpriority, '-', 1) WHEN '4' THEN 1 WHEN '1' THEN 2 WHEN '2' THEN 3 WHEN '3' THEN 4 WHEN '5' THEN 0 END AS VARCHAR) AS level FROM orders")
+def prediction_scale(t):
+    return t("orders").select("o_orderkey", A.on_scale(F.expr(_SAID), 1).alias("level"))
+
+
+@query("SELECT doc_id, CAST(n_chars AS VARCHAR) AS a, CASE WHEN bool_and(try_cast(n_chars AS BIGINT) IS NOT NULL) OVER () THEN n_chars END AS a_long, CASE WHEN lang = 'en' THEN '7' ELSE lang END AS b, CAST(NULL AS BIGINT) AS b_long FROM documents")
+def cast_whole(t):
+    df = t("documents").select("doc_id", c("n_chars").cast("string").alias("a"), F.when(c("lang") == "en", "7").otherwise(c("lang")).alias("b"))
+    return A.cast_whole(A.cast_whole(df, "a"), "b")
+
+
+@query("SELECT doc_id, coalesce(array_to_string(list_filter(list_transform([lang, source, 'de'], lambda x: CASE x WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'src0' THEN 'first' END), lambda x: x IS NOT NULL), '|'), '') AS names FROM documents")
+def map_codes(t):
+    names = F.create_map(*(lit(x) for pair in {"en": "English", "de": "German", "src0": "first"}.items() for x in pair))
+    return t("documents").select("doc_id", F.array_join(T.map_codes(F.array("lang", "source", lit("de")), names), "|").alias("names"))
+
+
+_COST = "SELECT '{m}' AS model, {z} AS zero_shot, CAST(s + q + n * {e} AS BIGINT) AS tokens_in, n * 500 AS tokens_out, round(((s + q + n * {e}) * {i} + n * 500 * {o}) / 2e6, 9) AS usd, round(((s + q + n * {e} + n * {x}) * {i} + n * 1000 * {o}) / 2e6, 9) AS ablation_usd FROM w"
+_RUNS = [(m, z) for m in ("gpt-4", "gpt-4o") for z in (True, False)]
+
+
+@query(r"WITH w AS (SELECT count(*) AS n, sum(len(regexp_extract_all(text, '\S+'))) AS s, sum(len(regexp_extract_all(source || ' ' || lang, '\S+'))) AS q FROM documents) " + " UNION ALL ".join(_COST.format(m=m, z=str(z).lower(), e=303 if z else 3003, x=300 if z else 3000, i=10.0 if m == "gpt-4" else 5.0, o=30.0 if m == "gpt-4" else 15.0) for m, z in _RUNS))
+def text_cost(t):
+    w = t("documents").agg(F.count("*").alias("n"), F.sum(T.word_count(c("text"))).alias("s"), F.sum(T.word_count(F.concat_ws(" ", "source", "lang"))).alias("q"))
+    made = [{k: F.round(v, 9) if "usd" in k else v for k, v in P.text_cost(c("n"), c("s"), c("q"), m, z).items()} for m, z in _RUNS]
+    rows = F.array(*(F.struct(lit(m).alias("model"), lit(z).alias("zero_shot"), *(v.alias(k) for k, v in one.items())) for (m, z), one in zip(_RUNS, made, strict=True)))
+    return w.select(F.inline(rows))
+
+
+@query(r"SELECT conv_id, turn, CAST(n AS BIGINT) AS tokens_in, 15 AS tokens_out, round((n * 5.0 + 15 * 15.0) / 2e6 * 0.78, 12) AS gbp FROM (SELECT conv_id, turn, len(regexp_extract_all(text, '\S+')) + len(regexp_extract_all(role, '\S+')) + 6 + CASE WHEN role = 'system' THEN 1 ELSE 0 END AS n FROM conversations)")
+def request_cost(t):
+    cost = P.request_cost((T.word_count(c("text")) + T.word_count(c("role"))).cast("long"), (c("role") == "system").cast("int"))
+    return t("conversations").select("conv_id", "turn", *((F.round(v, 12) if k == "gbp" else v).alias(k) for k, v in cost.items()))
+
+
+# samples
+
+
+@query("SELECT seed, doc_id, lang FROM (SELECT CAST(s AS VARCHAR) AS seed, doc_id, lang, row_number() OVER (PARTITION BY s, lang ORDER BY md5(s || ':' || doc_id), doc_id) AS r FROM documents CROSS JOIN range(20) q(s)) WHERE r <= 1")
+def stratified_seeds(t):
+    return O.sample_strata_seeds(t("documents").select("doc_id", "lang"), "lang", "doc_id", 1, [str(s) for s in range(20)]).select("seed", "doc_id", "lang")
+
+
+@query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id NOT IN (3, 5, 8), md5('154:' || doc_id), doc_id) AS r FROM documents) WHERE r <= CASE lang WHEN 'en' THEN 32 WHEN 'de' THEN 10 WHEN 'fr' THEN 4 WHEN 'es' THEN 4 ELSE 0 END")
+def stratified_forced(t):
+    return O.sample_strata(t("documents").select("doc_id", "lang"), "lang", "doc_id", {"en": 32, "de": 10, "fr": 4, "es": 4}, "154", forced=[3, 5, 8])
+
+
+# prompt families
+
+_TEXTS = {1: "lang", 2: "text", 3: "lang || ' ' || text", 4: "source"}
+
+
+def _literal(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _prompts(rows: list[tuple[str, dict]]) -> tuple[str, Callable]:
+    """The SQL, and the function of a query, that renders each configuration for each document."""
+
+    def sql(n: int, family: str, o: dict) -> str:
+        made = _literal(P.template(family, f"schema {n}", few_shot="examples" in o, **{k: v for k, v in o.items() if k != "examples"}))
+        places = {"appnos": "CAST(doc_id AS VARCHAR)", "name": "source", "text": _TEXTS[o.get("text", 3)]} | ({"examples": _literal(o["examples"])} if "examples" in o else {})
+        for k, v in sorted(places.items()):
+            made = f"replace({made}, '{{{k}}}', {v})"
+        return f"SELECT doc_id, {n} AS run, md5({made}) AS digest FROM documents"
+
+    def run(t):
+        def one(n, family, o):
+            o = dict(o)
+            shown = lit(o.get("text", 3))
+            fields = {"name": c("source"), "appnos": c("doc_id"), "text": P.select_text(shown, c("lang"), c("text"), c("source"))}
+            said = P.prompt(family, f"schema {n}", fields, lit(o.pop("examples")) if "examples" in o else None, **o)
+            return F.struct(lit(n).alias("run"), F.md5(said.cast("binary")).alias("digest"))
+
+        return t("documents").select("doc_id", F.inline(F.array(*(one(n, f, o) for n, (f, o) in enumerate(rows)))))
+
+    return " UNION ALL ".join(sql(n, f, o) for n, (f, o) in enumerate(rows)), run
+
+
+_SHOTS = "key_case: a; 1: b"
+for _name, _rows in {
+    "prompt_by_name": [("importance_by_name", {"variant": v}) for v in P.BY_NAME],
+    "prompt_importance": [("importance", {"text": x}) for x in (1, 2, 3, 4)] + [("importance", {"examples": _SHOTS, "unsure": False}), ("importance", {"steps": True})],
+    "prompt_difficulty": [("difficulty", {"text": x}) for x in (1, 2, 3)] + [("difficulty", {"examples": "Easy: a; Hard: b"})],
+    "prompt_court": [("court", {}), ("court", {"text": 1, "unsure": False}), ("court", {"examples": "Judgment: a; Decision: b"})],
+    "prompt_chamber": [("chamber", {}), ("chamber", {"grand_chamber": False}), ("chamber", {"text": 2, "examples": "Committee: a"})],
+    "prompt_keywords": [("keywords", {}), ("keywords", {"text": 1}), ("keywords", {"examples": "Example: a; Keywords: 350, 89"})],
+    "prompt_summary": [("summary_communicated", {}), ("summary_outcome", {"text": 2})],
+}.items():
+    _sql, _run = _prompts(_rows)
+    _run.__name__ = _name
+    query(_sql)(_run)
+
+
+@query("SELECT doc_id, CASE source WHEN 'src0' THEN 'difficulty' WHEN 'src1' THEN 'court' WHEN 'src2' THEN 'chamber' ELSE 'importance' END AS family FROM documents")
+def prompt_dispatch(t):
+    kind = F.when(c("source") == "src0", "binary_difficulty").when(c("source") == "src1", "binary_court").when(c("source") == "src2", "chamber_court")
+    return t("documents").select("doc_id", P.family_of(kind).alias("family"))
+
+
+@query("WITH s AS (SELECT * FROM documents ORDER BY md5('47:' || doc_id), doc_id LIMIT 20) SELECT string_agg('Example: ' || lang || '; Keywords: ' || k, ' ' ORDER BY o) AS examples FROM (SELECT lang, min(doc_id) AS o, arg_max(source || ', 350', doc_id) AS k FROM s GROUP BY lang)")
+def few_shot_keywords(t):
+    s = O.sample_n(t("documents").select("doc_id", "lang", "source"), "doc_id", 20, "47")
+    return s.agg(P.examples_by_keywords(c("lang"), F.array(c("source"), lit("350")), c("doc_id")).alias("examples"))
+
+
+# the mining chain
+
+
+def _cited(t):
+    code = lambda x: F.concat(lit("c"), x.cast("string"))
+    cases = t("orders").select(c("o_orderkey").alias("case"), F.array(code(c("o_custkey")), code(c("o_custkey") + 3)).alias("cited"))
+    outcomes = t("customer").select(F.concat(code(c("c_custkey")), lit(";also")).alias("appno"), c("c_custkey").alias("file"), c("c_name").alias("summary"))
+    more = t("supplier").select(code(c("s_suppkey")).alias("appno"), (c("s_suppkey") + 10_000_000).alias("file"), c("s_name").alias("summary"))
+    return cases, outcomes.unionByName(more)
+
+
+_OUT = "o AS (SELECT appno, arg_max(summary, file) AS summary FROM (SELECT 'c' || c_custkey AS appno, c_custkey AS file, c_name AS summary FROM customer UNION ALL SELECT 'c' || s_suppkey, s_suppkey + 10000000, s_name FROM supplier) GROUP BY appno), x AS (SELECT o_orderkey AS case_, 0 AS \"at\", 'c' || o_custkey AS appno FROM orders UNION ALL SELECT o_orderkey, 1, 'c' || (o_custkey + 3) FROM orders)"
+
+
+@query(f"WITH {_OUT} SELECT case_ AS \"case\", \"at\", x.appno, summary AS positive FROM x LEFT JOIN o ON x.appno = o.appno")
+def mine_positives(t):
+    return N.positives(*_cited(t), "file")
+
+
+@query("SELECT l_orderkey, coalesce(array_to_string(list_slice(list(CAST(l_partkey AS VARCHAR) ORDER BY l_linenumber, l_partkey || ';x') FILTER (l_returnflag <> 'R'), 3, 99), ','), '') AS kept FROM lineitem GROUP BY l_orderkey")
+def ranked_candidates(t):
+    """Ranked lists with empty entries, and entries of several codes."""
+    entry = F.when(c("l_returnflag") == "R", lit("")).otherwise(F.concat(c("l_partkey").cast("string"), lit(";x")))
+    ranked = t("lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", entry.alias("e")))), lambda x: x["e"]).alias("r"))
+    return ranked.select("l_orderkey", F.array_join(N.candidates(c("r"), 2), ",").alias("kept"))
+
+
+@query(
+    f"WITH {_OUT}, r AS (SELECT l_orderkey, list('c' || l_suppkey ORDER BY l_linenumber, l_suppkey) AS cands FROM lineitem GROUP BY l_orderkey), n AS (SELECT x.case_, o.summary AS positive, cands[4 - row_number() OVER (PARTITION BY case_ ORDER BY \"at\")] AS negative FROM x LEFT JOIN o ON x.appno = o.appno JOIN r ON r.l_orderkey = x.case_), "
+    "p AS (SELECT o_orderpriority AS text, positive, o.summary AS negative FROM n JOIN o ON o.appno = n.negative JOIN orders ON o_orderkey = case_) SELECT text AS text_a, positive AS text_b, 1 AS label FROM p UNION ALL SELECT text, negative, 0 FROM p"
+)
+def mine_pairs(t):
+    cases, outcomes = _cited(t)
+    ranked = t("lineitem").groupBy(c("l_orderkey").alias("case")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: F.concat(lit("c"), x["l_suppkey"].cast("string"))).alias("candidates"))
+    pairs = N.with_negatives(N.positives(cases, outcomes, "file"), ranked, 2)
+    return N.labelled(N.with_texts(pairs, outcomes, t("orders").select(c("o_orderkey").alias("case"), c("o_orderpriority").alias("summary")), "file"))

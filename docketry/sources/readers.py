@@ -39,3 +39,8 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, schema: str, separator: str = ",", header: bool = True) -> DataFrame:
     return spark.read.schema(schema).csv(path, sep=separator, header=header)
+
+
+def read_lookup(spark: SparkSession, path: str) -> DataFrame:
+    """(names): one row with the map of a file that holds one JSON object of texts."""
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("names"))
