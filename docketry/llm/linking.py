@@ -171,7 +171,7 @@ def link(found: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     at = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     dealt = left.join(sketch, "id").withColumn("chunks", chunks).withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select(F.xxhash64("gid", F.least("at", "other"), F.greatest("at", "other")).alias("cell"), F.xxhash64("lead", F.pmod("gid", F.lit(4 if inside else SPREAD))).alias("near"), "id", "prober", "c", "n", "bits", (F.col("at") <= F.col("other")).alias("low"), (F.col("at") >= F.col("other")).alias("high"), F.col("chunks").alias("cells"))
+    dealt = dealt.select(F.xxhash64("gid", F.least("at", "other"), F.greatest("at", "other")).alias("cell"), F.xxhash64("lead", F.pmod("gid", F.lit(SPREAD // 4 if inside else SPREAD))).alias("near"), "id", "prober", "c", "n", "bits", (F.col("at") <= F.col("other")).alias("low"), (F.col("at") >= F.col("other")).alias("high"), F.col("chunks").alias("cells"))
     buckets = max(partitions(spark), left.count() // 100_000 + 1)
     more = dealt.groupBy(F.pmod(F.xxhash64("near", F.when(F.col("cells") > 1, F.col("cell"))), F.lit(buckets)).alias("bucket")).applyInPandas(_survivors(num, den, unpack if inside else None), "a long, b long").distinct()
     second = settle(more if inside else verify(more, sets, num, den, unpack, own), "rest")
@@ -183,7 +183,7 @@ def link(found: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den
 #: Members of a group that meet in one piece of work; larger groups are dealt into pairs of chunks.
 CHUNK = 4096
 #: Groups with one smallest member (those of one cluster) go to so many buckets, each of which names a pair once; where items
-#: go along, to four, so that a set is unpacked less often.
+#: go along, to a quarter of that, so that a set is unpacked less often.
 SPREAD = 64
 
 
