@@ -1,11 +1,12 @@
 """Benchmark decontamination by SimHash over item-sized windows, with exact verification. Only built-in functions.
 
 Words are runs of letters and digits (A-Z lower-cased, other scripts whole), so case and punctuation don't hide a passage. A
-window similar to an item shares most of its 5-word shingles, so windows are laid where shared shingles align them with the
-item: for a text that holds at least THRESHOLD of the item's shingles, one window, as long as the item, at each alignment.
-Its SimHash and the items' are cut into RADIUS + 1 blocks: fingerprints within RADIUS agree in a block, so the block index
-finds all of them. Pairs within RADIUS are verified on shingles weighted by their counts, sum of minima over sum of maxima.
-At similarity 0.75 a pair of fingerprints lies outside RADIUS with a chance near 1e-5.
+window similar to an item shares most of its 5-word shingles, and the window that shares most can begin at a shared one (or
+be the text's last): so for a text that holds enough of an item's shingles, a window as long as the item begins at each place
+that has enough of them ahead. No arrangement of the shared shingles is lost by that. The windows' SimHash and the items' are
+cut into RADIUS + 1 blocks: fingerprints within RADIUS agree in a block, so the block index finds all of them. Pairs within
+RADIUS are verified on shingles weighted by their counts, sum of minima over sum of maxima. At similarity 0.75 a pair of
+fingerprints lies outside RADIUS with a chance near 1e-5. Items under K words are one shingle, their whole sequence.
 """
 
 from __future__ import annotations
@@ -52,25 +53,46 @@ def _overlap(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, x: acc + F.least(count(a, x), count(b, x)))
 
 
+def _runs(k: int) -> Column:
+    """(pos, h) of each run of k words, for items of k words; the hash holds k."""
+    some = F.transform(F.sequence(F.lit(1), F.col("n") - (k - 1)), lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.lit(k), F.slice("w", i, F.lit(k))).alias("h")))
+    return F.when(F.col("n") >= k, some).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
+
+
+def _short(words: DataFrame, items: DataFrame) -> DataFrame | None:
+    """Leaks of the items under K words, as whole sequences; None if there are none of them."""
+    lengths = sorted(r[0] for r in items.filter(F.col("n_item").between(1, K - 1)).select("n_item").distinct().collect())
+    if not lengths:
+        return None
+    own = items.filter(F.col("n_item").between(1, K - 1)).select("item_id", F.xxhash64(F.col("n_item"), F.col("iw")).alias("h")).distinct()
+    runs = words.select("doc_id", "digest", F.inline(F.concat(*(_runs(k) for k in lengths)))).groupBy("doc_id", "digest", "h").agg(F.min("pos").alias("start_word"))
+    few = own.limit(FEW_SHINGLES + 1).count() <= FEW_SHINGLES
+    return runs.join(F.broadcast(own) if few else own, "h").select("doc_id", "digest", "item_id", F.lit(1.0).alias("similarity"), "start_word")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, digest, item_id, start_word, similarity): for each text and item at least THRESHOLD similar, its best window.
 
-    Null and short texts (under K words) leak nothing; items under K words are not searched for. Rows with equal doc_id and
-    text are one; a null doc_id takes part like any other. Items with equal texts are reported each.
+    Null and empty texts leak nothing, and items without a word are not searched for. Rows with equal doc_id and text are
+    one; a null doc_id takes part like any other. Items with equal texts are reported each.
     """
-    items = hold(benchmark.select("item_id", "text"), iw=shingles(F.col("text"))).withColumn("n_item", F.size("iw"))
-    items = hold(items, ih=hashes(F.col("iw"), F.col("n_item")))
-    items = settle(items.filter(F.col("n_item") >= K).select("item_id", "n_item", "ih", simhash(F.col("ih")).alias("fp")).distinct(), "items")
+    every = hold(benchmark.select("item_id", "text"), iw=shingles(F.col("text"))).withColumn("n_item", F.size("iw"))
+    items = hold(every.filter(F.col("n_item") >= K), ih=hashes(F.col("iw"), F.col("n_item")))
+    items = settle(items.select("item_id", "n_item", "ih", simhash(F.col("ih")).alias("fp")).distinct(), "items")
     index = items.select("item_id", "n_item", F.posexplode("ih").alias("at", "h"))
     few = index.limit(FEW_SHINGLES + 1).count() <= FEW_SHINGLES
     key = docs.select(F.col("doc_id"), F.xxhash64("text").alias("digest"), "text")
-    step = hold(key, w=shingles(F.col("text"))).select("doc_id", "digest", "w", F.size("w").alias("n"))
-    rows = step.select("doc_id", "digest", "n", F.posexplode_outer(hashes(F.col("w"), F.col("n"))).alias("pos", "h"))
+    words = hold(key, w=shingles(F.col("text"))).select("doc_id", "digest", "w", F.size("w").alias("n"))
+    rows = words.select("doc_id", "digest", "n", F.posexplode_outer(hashes(F.col("w"), F.col("n"))).alias("pos", "h"))
     hits = rows.join(F.broadcast(index) if few else index, "h")
-    start = F.greatest(F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("n_item")), F.lit(0))
-    # alignments first, each a row that tasks count before shuffling; the shingles seen are at most the item's
-    found = hits.groupBy("doc_id", "digest", "item_id", "n_item").agg(F.collect_set("at").alias("seen"), F.collect_set(start).alias("starts"))
-    found = settle(found.filter(F.size("seen") >= F.lit(THRESHOLD) * (F.col("n_item") - (K - 1))).select("doc_id", "digest", "n_item", "starts"), "anchors")
+    found = hits.groupBy("doc_id", "digest", "item_id", "n_item", "n").agg(F.collect_set("at").alias("seen"), F.collect_set("pos").alias("places"))
+    whole = F.col("n_item") - (K - 1)  # shingles of the item, and of a window unless its text is shorter
+    # similarity t needs an overlap of t / (1 + t) times both sizes
+    need = F.ceil((whole + F.least(whole, F.col("n") - (K - 1))) * (THRESHOLD / (1 + THRESHOLD)) - 1e-9).cast("int")
+    found = hold(found.withColumn("need", need).filter(F.size("seen") >= F.col("need")), p=F.array_sort("places"))
+    last = F.greatest(F.col("n") - F.col("n_item"), F.lit(0))
+    ahead = F.filter("p", lambda x, i: (x < last) & F.coalesce(F.get("p", i + F.col("need") - 1) < x + whole, F.lit(False)))
+    found = settle(found.select("doc_id", "digest", "n_item", F.array_union(ahead, F.array(last)).alias("starts")), "anchors")
     place = found.select("doc_id", "digest", "n_item", F.explode("starts").alias("start_word")).distinct()
     some = found.select("doc_id", "digest").distinct()
     texts = narrow(key.withColumns({"a": F.coalesce(F.col("doc_id"), F.lit(-1)), "b": F.col("doc_id").isNull()}).drop("doc_id"),
@@ -87,7 +109,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g")) & (F.col("start_word") == F.col("s")) & (F.col("n_item") == F.col("m"))
     full = near.join(window.select(F.col("doc_id").alias("d"), F.col("digest").alias("g"), F.col("start_word").alias("s"), F.col("n_item").alias("m"), "wh"), same).join(items.select("item_id", "ih"), "item_id")
     scored = hold(full, c=_overlap(F.col("wh"), F.col("ih"))).withColumn("similarity", F.col("c") / (F.size("wh") + F.size("ih") - F.col("c"))).filter(F.col("similarity") >= THRESHOLD)
-    return scored.groupBy("doc_id", "digest", "item_id").agg(F.max("similarity").alias("similarity"), F.min_by("start_word", F.struct(-F.col("similarity"), "start_word")).alias("start_word"))
+    best = scored.groupBy("doc_id", "digest", "item_id").agg(F.max("similarity").alias("similarity"), F.min_by("start_word", F.struct(-F.col("similarity"), "start_word")).alias("start_word"))
+    short = _short(words, every)
+    return best if short is None else best.unionByName(short)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +120,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, all rows of an equal doc_id and text; null and empty texts stay."""
     found = leaks(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
     bad = settle(found.select(F.coalesce("doc_id", F.lit(-1)).alias("__a"), F.col("doc_id").isNull().alias("__b"), F.col("digest").alias("__c")).distinct(), "leaking")
     named = docs.withColumns({"__a": F.coalesce("doc_id", F.lit(-1)), "__b": F.col("doc_id").isNull(), "__c": F.xxhash64("text")})

@@ -50,6 +50,17 @@ NAMES = re.compile(
 )
 
 
+#: Names that look like boilerplate but hold the article's own head or body.
+OWN = re.compile(r"(?:article|entry|post|story|content|main)[_-]+(?:header|head|title|body|text|content)", re.I)
+#: Of elements that may be left open: the containers that nest them, and the siblings that end them (fixed by HTML).
+IMPLIED = {
+    "li": ({"ul", "ol", "menu"}, {"li"}), "dt": ({"dl"}, {"dt", "dd"}), "dd": ({"dl"}, {"dt", "dd"}), "td": ({"table"}, {"td", "th", "tr", "thead", "tbody", "tfoot"}), "th": ({"table"}, {"td", "th", "tr", "thead", "tbody", "tfoot"}),
+    "tr": ({"table"}, {"tr", "thead", "tbody", "tfoot"}),
+}
+#: Start tags that end an open paragraph.
+ENDS_P = BLOCKS - {"td", "th", "tr", "thead", "tbody", "tfoot", "caption", "li", "dt", "dd", "body", "html"} | {"nav", "header", "footer", "aside", "form", "menu"}
+
+
 def blocks(page: str) -> tuple[list[str], bool]:
     """The candidate blocks of a page, in order, and whether its markup names the article."""
     article: list[str] = []
@@ -57,7 +68,7 @@ def blocks(page: str) -> tuple[list[str], bool]:
     rest: list[str] = []
     held: list[str] = []
     inside = {"article": 0, "main": 0}
-    away, depth, at, seen = "", 0, 0, {"article": False, "main": False}
+    away, depth, nested, at, seen = "", 0, 0, 0, {"article": False, "main": False}
 
     def flush() -> None:
         if held:
@@ -85,6 +96,16 @@ def blocks(page: str) -> tuple[list[str], bool]:
                 end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
+        if away and away in IMPLIED:
+            around, siblings = IMPLIED[away]
+            if name in around:
+                nested += -1 if closing else 1
+            if nested < 0 or (nested == 0 and name in siblings and not (closing and name == away)):  # its container or a sibling ends it
+                away, depth, nested = "", 0, 0
+        elif away == "p" and name != "p" and ((name in ENDS_P and not closing) or (closing and name in BLOCKS)):
+            away, depth = "", 0
+        elif away == "p" and name == "p" and not closing:
+            away, depth = "", 0
         if away:
             if name == away and not open_ended:
                 depth += -1 if closing else 1
@@ -96,12 +117,12 @@ def blocks(page: str) -> tuple[list[str], bool]:
                 if name in inside and inside[name]:
                     inside[name] -= 1
             continue
-        named = not closing and name not in WHOLE and name not in VOID and any(NAMES.search(a or b or c or "") for _, a, b, c in ATTRIBUTE.findall(m[3]))
+        named = not closing and name not in WHOLE and name not in VOID and any(NAMES.search(OWN.sub(" ", a or b or c or "")) for _, a, b, c in ATTRIBUTE.findall(m[3]))
         named = named or (not closing and name == "article" and any(re.search(r"comment|repl(?:y|ies)|teaser|related", a or b or c or "", re.I) for _, a, b, c in ATTRIBUTE.findall(m[3])))
         if not closing and (name in AWAY or named):
             flush()
             if not open_ended:
-                away, depth = name, 1
+                away, depth, nested = name, 1, 0
             continue
         if name in BLOCKS:
             flush()

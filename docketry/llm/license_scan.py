@@ -44,12 +44,89 @@ TEMPLATES = [
 ANCHORS = ["spdx license identifier", "licensed under", "ed under", "available under", "terms of", "license", "subject to", "license", "licen"]
 #: Labels that a name alone detects: rules without a template, of the lowest priority.
 BARE = {"cc0", "cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd", "gpl", "lgpl", "agpl", "mpl", "epl", "unlicense"}
+#: Signatures from the licenses' own words: (label, words that the signature always holds, regular expression). They come before all templates.
+SIGNATURES = [
+    ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "the above copyright notice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions"),
+    ("mit", "express or implied including", "the software is provided as is without warranty of any kind express or implied including but not limited to"),
+    ("x11", "of the x consortium", "except as contained in this notice the name of the x consortium"),
+    ("bsd-2", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted(?! provided that the following conditions are met.{0,900} neither the name)"),
+    ("bsd-3", "neither the name", "neither the names? of .{1,80} nor the names of (?:its|their|any) contributors may be used to endorse or promote"),
+    ("bsd-4", "all advertising materials", "all advertising materials mentioning features or use of this software must display"),
+    ("bsd", "redistributions of source code", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions in binary form", "redistributions in binary form must reproduce the above copyright notice"),
+    ("0bsd", "with or without fee is hereby granted", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted(?! provided)"),
+    ("isc", "with or without fee is hereby granted", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that"),
+    ("apache-2", "in compliance with the license", "you may not use this file except in compliance with the license"),
+    ("apache-2", "limitations under the license", "for the specific language governing permissions and limitations under the license"),
+    ("apache-2", "apache org licenses license 2 0", "(?:www )?apache org licenses license 2 0(?: txt| html)?"),
+    ("apache-1.1", "this product includes software developed by the apache", "this product includes software developed by the apache (?:software foundation|group)"),
+    ("gpl", "this program is free software", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl-2", "either version 2 of the license", "gnu general public license as published by the free software foundation either version 2 of the license"),
+    ("gpl-3", "either version 3 of the license", "gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("gpl", "should have received a copy of the gnu general", "you should have received a copy of the gnu general public license"),
+    ("lgpl", "should have received a copy of the gnu lesser", "you should have received a copy of the gnu lesser general public license"),
+    ("lgpl", "gnu library general public license", "gnu library general public license"),
+    ("lgpl-2.1", "either version 2 1 of the license", "gnu lesser general public license as published by the free software foundation either version 2 1 of the license"),
+    ("agpl", "should have received a copy of the gnu affero", "you should have received a copy of the gnu affero general public license"),
+    ("agpl-3", "gnu affero general public license", "gnu affero general public license(?: as published by the free software foundation either)? version 3(?: of the license)?"),
+    ("gfdl", "copy distribute and or modify this document", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mpl-2", "this source code form is subject", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl", "mozilla org mpl", "(?:www )?mozilla org mpl(?: 2 0| mpl 1 1 html)?"),
+    ("epl-1", "eclipse org legal epl v10", "(?:www )?eclipse org legal epl v10(?: html)?"),
+    ("epl-2", "eclipse org legal epl 2 0", "(?:www )?eclipse org legal epl 2 0(?: html)?"),
+    ("epl", "the accompanying materials are made available", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", "the contents of this file are subject to the terms of the common development", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("unlicense", "free and unencumbered software", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "unlicense org", "(?:please refer to )?(?:http |https )?unlicense org"),
+    ("public-domain", "public domain", "(?:released|placed|dedicated) (?:in|into|to) the public domain"),
+    ("public-domain", "public domain", "this (?:file|work|code|software|document|text) is in the public domain"),
+    ("zlib", "in no event will the authors be held liable", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "altered source versions", "altered source versions must be plainly marked as such and must not be misrepresented"),
+    ("boost", "boost software license", "boost software license version 1 0(?: august 17th 2003)?"),
+    ("boost", "boost org license 1 0", "(?:www )?boost org license 1 0 txt"),
+    ("artistic", "you may charge a reasonable copying fee", "you may charge a reasonable copying fee for any distribution of this package"),
+    ("artistic", "same terms as perl", "(?:under|on) the same terms as perl(?: itself)?"),
+    ("wtfpl", "do what the fuck you want to", "do what the fuck you want to public license"),
+    ("wtfpl", "do what the fuck you want to", "you just do what the fuck you want to"),
+    ("psf", "psf is making python available", "psf is making python available to licensee on an as is basis"),
+    ("psf", "python software foundation license", "python software foundation license version 2"),
+    ("openssl", "openssl toolkit", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ofl", "reserved font name", "with reserved font name"),
+    ("ofl", "this font software is licensed", "this font software is licensed under the sil open font license"),
+    ("ofl", "scripts sil org ofl", "(?:http |https )?scripts sil org ofl"),
+    ("postgresql", "university of california", "in no event shall the university of california be liable to any party for direct indirect special"),
+    ("cc0", "to the extent possible under law", "to the extent possible under law .{1,120} has waived all copyright and related or neighboring rights"),
+    ("cc0", "creativecommons org publicdomain zero", "creativecommons org publicdomain zero 1 0"),
+    ("cc-by", "creativecommons org licenses by", "creativecommons org licenses by [1234] 0"),
+    ("cc-by-sa", "creativecommons org licenses by sa", "creativecommons org licenses by sa [1234] 0"),
+    ("cc-by-nd", "creativecommons org licenses by nd", "creativecommons org licenses by nd [1234] 0"),
+    ("cc-by-nc", "creativecommons org licenses by nc", "creativecommons org licenses by nc [1234] 0"),
+    ("cc-by-nc-sa", "creativecommons org licenses by nc sa", "creativecommons org licenses by nc sa [1234] 0"),
+    ("cc-by-nc-nd", "creativecommons org licenses by nc nd", "creativecommons org licenses by nc nd [1234] 0"),
+    ("cc-by", "creative commons attribution", "creative commons attribution(?: license)?(?: [1234] 0)?(?: international| unported| generic)?(?: license)?"),
+    ("cc-by-sa", "creative commons attribution share", "creative commons attribution share ?alike(?: [1234] 0)?(?: international| unported| generic)?(?: license)?"),
+    ("cc-by-nc", "creative commons attribution non", "creative commons attribution non ?commercial(?: [1234] 0)?(?: international| unported| generic)?(?: license)?"),
+    ("cc-by-nc-sa", "creative commons attribution non", "creative commons attribution non ?commercial share ?alike(?: [1234] 0)?(?: international| unported| generic)?(?: license)?"),
+    ("cc-by-nc-nd", "creative commons attribution non", "creative commons attribution non ?commercial no ?deriv(?:ative|ate)?s?(?: works)?(?: [1234] 0)?(?: international| unported| generic)?(?: license)?"),
+    ("cc-by-nd", "creative commons attribution no", "creative commons attribution no ?deriv(?:ative|ate)?s?(?: works)?(?: [1234] 0)?(?: international| unported| generic)?(?: license)?"),
+    ("ms-pl", "microsoft public license", "microsoft public license ms pl"),
+    ("eupl", "licensed under the eupl", "licensed under the eupl version 1 [12]"),
+    ("eupl", "european union public licence", "european union public licence v 1 [12]"),
+    ("php", "php license", "subject to version 3 0(?:1)? of the php license"),
+    ("ruby", "ruby s license", "(?:under|by) ruby s license"),
+    ("proprietary", "all rights reserved", "all rights reserved (?:unauthorized copying|no part of this)"),
+    ("proprietary", "confidential and proprietary", "(?:this is )?confidential and proprietary (?:information|material|software)"),
+    ("proprietary", "without the prior written permission", "(?:copied|reproduced|distributed|used) without the prior written permission"),
+]
 RULE = "struct<label:string,keyword:string,anchor:string,pattern:string,priority:int,confidence:double>"
 
 
 def rules() -> list[dict]:
-    """One rule for each family and template, and one for each bare name."""
-    out = []
+    """One rule for each signature, each family and template, and each bare name; a keyword stands in all that its rule matches."""
+    top = len(TEMPLATES) + 1
+    out = [{"label": label, "keyword": keyword, "anchor": "", "pattern": f"(?<= )(?:{pattern})(?= )", "priority": top, "confidence": 1.0} for label, keyword, pattern in SIGNATURES]
     for label, keyword, name, spdx in FAMILIES:
         for k, (around, confidence) in enumerate(TEMPLATES):
             pattern = f"(?<= ){around.replace('N', f'(?:{name})').replace('I', spdx)}(?= )"

@@ -7,14 +7,20 @@ A page that no rule judges is blocked when its host's distrust reaches BLOCK_AT
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.shared import LOWER, UPPER, ascii_lower, settle, table
+from docketry.llm.shared import LOWER, UPPER, ascii_lower, discard, settle, table
 
 #: (host, path prefix, verdict)
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
-DAMPING, TOLERANCE, ROUNDS = 0.85, 1e-6, 50
+DAMPING, TOLERANCE = 0.85, 1e-6
+#: Steps between two looks at what has moved; what moves less than TOLERANCE in them has less than that still to come.
+STRIDE = 5
+#: Steps that the SQL makes: 0.85^120 is under 1e-8.
+ROUNDS = 120
 BLOCK_AT = 0.5
 LINK = r"(?i)href\s*=\s*[\"']?\s*((?:https?:)?//[^\"'\s>]+)"
 
@@ -45,7 +51,9 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """(host, trust, distrust) from ``seeds(host, trust, distrust)`` over ``edges(src, dst, n)``."""
+    """(host, trust, distrust) from ``seeds(host, trust, distrust)`` over ``edges(src, dst, n)``: each a personalised PageRank
+    in units of 1 - DAMPING, so that a host without links has its seed. Scores grow with what links to a host: more than 1 is
+    more than a host that is all seed has of its own."""
     edges = settle(edges, "edges")
     out, into = edges.groupBy("src").agg(F.sum("n").alias("all")), edges.groupBy("dst").agg(F.sum("n").alias("all"))
     arcs = edges.join(out, "src").select(F.lit("trust").alias("kind"), "src", "dst", (F.col("n") / F.col("all")).alias("w"))
@@ -53,14 +61,16 @@ def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     base = seeds.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "seed")).filter("seed > 0")
     base = settle(base, "seeds")
     score = base.select("host", "kind", F.col("seed").alias("s"))
-    for _ in range(0 if arcs.isEmpty() else ROUNDS):
-        flow = score.withColumnRenamed("host", "src").join(arcs, ["kind", "src"]).select(F.col("dst").alias("host"), "kind", (F.col("s") * F.col("w") * DAMPING).alias("s"))
-        now = flow.union(base.select("host", "kind", "seed")).groupBy("host", "kind").agg(F.sum("s").alias("s"))
+    moved = 0.0 if arcs.isEmpty() else math.inf
+    while moved >= TOLERANCE:
+        now = score
+        for _ in range(STRIDE):
+            flow = now.withColumnRenamed("host", "src").join(arcs, ["kind", "src"]).select(F.col("dst").alias("host"), "kind", (F.col("s") * F.col("w") * DAMPING).alias("s"))
+            now = flow.union(base.select("host", "kind", "seed")).groupBy("host", "kind").agg(F.sum("s").alias("s"))
         now = settle(now, "scores")
-        moved = now.join(score.withColumnRenamed("s", "old"), ["host", "kind"], "left").agg(F.max(F.abs(F.col("s") - F.coalesce("old", F.lit(0.0)))).alias("x")).first()["x"]
+        moved = now.join(score.withColumnRenamed("s", "old"), ["host", "kind"], "left").agg(F.coalesce(F.max(F.abs(F.col("s") - F.coalesce("old", F.lit(0.0)))), F.lit(0.0)).alias("x")).first()["x"]
+        discard(score)
         score = now
-        if (moved or 0) < TOLERANCE:
-            break
     pick = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("s"))), F.lit(0.0)).alias(kind)
     return score.groupBy("host").agg(pick("trust"), pick("distrust"))
 
@@ -86,7 +96,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql(rules=RULES) -> str:
-    """``query`` as SQL for DuckDB: each round one common table, all ROUNDS of them, so scores agree within TOLERANCE's effect."""
+    """``query`` as SQL for DuckDB: each step one common table, ROUNDS of them; scores agree within TOLERANCE."""
     fits = sorted(rules, key=lambda r: (-len(r[0] + r[1]), r))
     case = lambda pick: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{pick(h, p, v)}'" for h, p, v in fits) + " END"
     link = LINK.replace("'", "''")
