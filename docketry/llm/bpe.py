@@ -14,11 +14,13 @@ Decoding emits the labels (byte strings) of the arcs.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from docketry.llm.shared import table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that a task remembers, at about 250 bytes each; when full, it starts anew. Nothing is kept between tasks.
-CACHE = 200_000
+CACHE = 100_000
 #: Characters that are split at a time; longer texts are cut where white space follows something else, as words end there.
 PIECE = 1_000_000
 CUT = re.compile(r"(?<=\S)(?=\s)")
@@ -54,16 +56,17 @@ class Automaton:
         self.pattern = regex.compile(pattern)
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.words: dict[str, bytes] = {}
-        self.label = np.zeros(max([*ids.values(), *self.special.values()]) + 1, object)
-        for k, v in ids.items():
-            self.label[v] = k
-        for k, v in self.special.items():
-            self.label[v] = k.encode()
+        label = {v: k for k, v in ids.items()} | {v: k.encode() for k, v in self.special.items()}
+        size = max(label) + 1
         merges = [tuple(ids[raw(x)] for x in (m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"]]
-        made = [ids[self.label[u] + self.label[v]] for u, v in merges]
+        made = [ids[label[u] + label[v]] for u, v in merges]
         reached, spine = self._gadgets([ids[bytes([b])] for b in range(256)], merges, made)
-        self._compile(reached, spine)
+        self._compile(reached, spine, size)
         self._trie(ids)
+        # labels end to end: no object stays that would keep the memory of compiling in use
+        self.labels = np.frombuffer(b"".join(label.get(k, b"") for k in range(size)), np.uint8)
+        self.length = np.array([len(label.get(k, b"")) for k in range(size)], np.int64)
+        self.start = np.cumsum(self.length) - self.length
 
     def _gadgets(self, single: list[int], merges: list[tuple[int, int]], made: list[int]) -> tuple[dict[int, int], dict[int, list[tuple[int, int]]]]:
         """The state that each token's arcs reach, and each token's left spine with the rank at which each part of it grew."""
@@ -78,7 +81,7 @@ class Automaton:
             spine[w] = [*spine[u], (u, rank)]
         return reached, spine
 
-    def _compile(self, reached: dict[int, int], spine: dict[int, list[tuple[int, int]]]) -> None:
+    def _compile(self, reached: dict[int, int], spine: dict[int, list[tuple[int, int]]], width: int) -> None:
         """``state``: of each token the number of the state it leads to. ``lacks``: a bit for each state and ``column`` of a token."""
         never = len(self.gone) + 1
         over: dict[int, list[tuple[int, int]]] = {}  # of each token: tokens that have it on their left spine, and when it grew there
@@ -88,10 +91,10 @@ class Automaton:
         grown = {k: np.array(sorted(v, reverse=True), np.int64) for k, v in over.items()}
         live = sorted(set(reached.values()))
         number = {q: k for k, q in enumerate(live)}
-        self.state = np.zeros(len(self.label), np.int32)
+        self.state = np.zeros(width, np.int32)
         for token, q in reached.items():
             self.state[token] = number[q]
-        width, rng = len(self.label), np.random.Generator(np.random.PCG64(5))
+        rng = np.random.Generator(np.random.PCG64(5))
         rows, mark = [], np.zeros(width, np.uint64)
         for q in live:
             row = np.zeros(width, np.uint8)
@@ -211,7 +214,16 @@ class Automaton:
 
     def decode(self, ids: bytes) -> str:
         """The labels of the arcs, end to end; bytes that are not UTF-8 become U+FFFD."""
-        return b"".join(self.label[np.frombuffer(ids, "<u4")].tolist()).decode("utf-8", "replace")
+        tokens = np.frombuffer(ids, "<u4")
+        n = self.length[tokens]
+        at = np.repeat(self.start[tokens] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return self.labels[at].tobytes().decode("utf-8", "replace")
+
+
+def _give_back() -> None:
+    """Memory that is free goes back to the machine, where the C library can do that; workers live longer than tasks."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 @functools.cache
@@ -219,7 +231,9 @@ def automaton(path: str) -> Automaton:
     """The automaton of a vocabulary file, compiled once in each worker process. Its place is a parameter everywhere."""
     import public_tokenizers
 
-    return Automaton(path, public_tokenizers.PATTERN)
+    made = Automaton(path, public_tokenizers.PATTERN)
+    _give_back()
+    return made
 
 
 def vocabulary() -> str:
@@ -228,7 +242,7 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def _together(texts: list[str]) -> Iterator[list[str]]:
+def _together(texts: Iterable[str]) -> Iterator[list[str]]:
     """Runs of consecutive texts of about PIECE characters."""
     run, size = [], 0
     for text in texts:
@@ -246,7 +260,7 @@ def _coder(path: str, with_ids: bool):
         coder = automaton(path)
         for batch in batches:
             n, shas, texts, lists = [], [], [], []
-            for some in _together([x or "" for x in batch.column("text").to_pylist()]):
+            for some in _together(x.as_py() or "" for x in batch.column("text")):
                 codes = [[c] for c in coder.encode_all(some)] if len(some) > 1 else [[coder.encode_all([part])[0] for part in coder.parts(some[0])]]
                 for code in codes:
                     ids, back = hashlib.sha256(), hashlib.sha256()
@@ -263,6 +277,7 @@ def _coder(path: str, with_ids: bool):
                 columns["ids"] = pa.array(lists, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
         coder.words.clear()
+        _give_back()
 
     return run
 
