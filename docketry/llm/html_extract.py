@@ -6,8 +6,11 @@ without such an element offer all their other blocks. Then every page goes throu
 that stand on MIN_PAGES distinct pages of the host are found, and blocks mostly covered by them go; others stay whole. Pages
 with equal blocks count as one, so exact copies of an article survive; a page whose markup names the article is never emptied.
 
-Pages are dealt into chunks. A suffix array numbers the runs of a chunk and counts their pages; the counts meet by the run's
-hash, over all chunks, and each chunk gets back which of its runs are repeated. So no host is in one task, nor in one array.
+Pages are dealt into chunks, and the parsed pages written in buckets by chunk, so that they are never shuffled. Suffix arrays
+number the runs of a chunk and count their pages; sorted keys of the runs meet in ranges, over all chunks, and each chunk gets
+back one bit a run: whether it is repeated. So no host is in one task, nor in one array. A key has SPARE bits more than the
+number of tokens: two different runs have the same one with a chance of 2**-SPARE at most, at every size. A run that stands
+on two pages may so, once in 2**SPARE times, be taken for one on three; one that stands on one page once in 4**SPARE.
 """
 
 from __future__ import annotations
@@ -23,15 +26,15 @@ from pyspark.sql import functions as F
 
 from docketry.llm import kernel
 from docketry.llm.kernel import U, mix
-from docketry.llm.shared import narrow, partitions, settle, table
+from docketry.llm.shared import partitions, settle, settle_by, table
 from docketry.llm.url_filter import host_path
 
 #: A run of so many tokens on so many distinct pages of a host is boilerplate; a block goes when more than this share of it is covered.
 MIN_RUN, MIN_PAGES, COVERED = 6, 3, 0.5
-#: Bytes of text in a chunk, and of all text for each bucket in which the runs' counts meet.
-CHUNK, MEET = 4_000_000, 16_000_000
-#: Bits of a run's hash beside its bucket.
-SHORT = U(2**48 - 1)
+#: Bytes of text in a chunk, in one suffix array, and for each bucket in which the runs' keys meet.
+CHUNK, BLOCK, MEET = 24_000_000, 4_000_000, 16_000_000
+#: Bits of a run's key beyond those that number all tokens; the least and largest range of a key's high part.
+SPARE, LEAST, MOST = 14, 2**19, 2**23
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -143,16 +146,20 @@ def blocks(page: str) -> tuple[list[str], bool]:
 
 
 def _parse(batches):
-    """Blocks joined by two line breaks (a block has none inside), and the chunk of each page: the uid of its first page."""
+    """Blocks joined by two line breaks (a block has none inside), their bytes, and the chunk of each page: the uid of its first page."""
+    chunk, held = -1, CHUNK
     for batch in batches:
         found = [blocks(x or "") for x in batch.column("html").to_pylist()]
-        text = pa.array(["\n\n".join(b) for b, _ in found], pa.string())
-        uid = batch.column("uid").to_numpy()
-        chunk = np.empty(len(uid), np.int64)
-        for first, _, offsets in kernel.blocks(text, CHUNK):
-            chunk[first : first + len(offsets) - 1] = uid[first]
+        text = ["\n\n".join(b) for b, _ in found]
+        size, own = [len(x.encode()) for x in text], []
+        for uid, n in zip(batch.column("uid").to_pylist(), size, strict=True):
+            if held + n > CHUNK:
+                chunk, held = uid, 0
+            held += n
+            own.append(chunk)
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("page_id", "url", "host", "uid")), text, pa.array([s for _, s in found], pa.bool_()), pa.array(chunk)], names=["page_id", "url", "host", "uid", "text", "sure", "chunk"]
+            [*(batch.column(c) for c in ("page_id", "url", "host", "uid")), pa.array(text, pa.string()), pa.array([s for _, s in found], pa.bool_()), pa.array(size, pa.int64()), pa.array(own, pa.int64())],
+            names=["page_id", "url", "host", "uid", "text", "sure", "size", "chunk"],
         )
 
 
@@ -207,78 +214,139 @@ def _runs(host: pa.Array, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
     return tokens, page, at, kernel.combine(tokens, MIN_RUN)[at]
 
 
-def _counter(buckets: int):
-    """Rows (bucket, chunk, keys, n): the distinct runs of a chunk, and on how many of its pages each stands, at most MIN_PAGES."""
-
-    def run(batches):
-        for batch in batches:
-            for first, data, offsets in kernel.blocks(batch.column("text"), CHUNK):
-                size = len(offsets) - 1
-                chunk, again = (batch.column(c).slice(first, size).to_numpy(zero_copy_only=False) for c in ("chunk", "again"))
-                tokens, page, at, hashes = _runs(batch.column("host").slice(first, size), data, offsets)
-                if not len(at):
-                    continue
-                rank = _suffixes(tokens, MIN_RUN)[at]
-                for own in np.unique(chunk).tolist():
-                    mine = np.flatnonzero(chunk[page[at]] == own)
-                    if not len(mine):
-                        continue
-                    order = mine[np.lexsort((page[at[mine]], rank[mine]))]
-                    new = np.concatenate(([True], rank[order][1:] != rank[order][:-1]))
-                    fresh = (new | np.concatenate(([True], page[at[order]][1:] != page[at[order]][:-1]))) & ~again[page[at[order]]]
-                    starts = np.flatnonzero(new)
-                    n = np.minimum(np.add.reduceat(fresh.astype(np.int64), starts), MIN_PAGES).astype(np.uint8)
-                    keys = hashes[order[starts]]
-                    bucket = ((keys >> U(48)) % U(buckets)).astype(np.int64)
-                    order = np.argsort(bucket, kind="stable")
-                    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                    short = keys[order].view(np.uint8).reshape(-1, 8)[:, :6]
-                    some = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(some, pa.int32()), pa.array(np.full(len(some), own, np.int64)), pa.array([short[cuts[b] : cuts[b + 1]].tobytes() for b in some], pa.binary()),
-                            pa.array([n[order[cuts[b] : cuts[b + 1]]].tobytes() for b in some], pa.binary()),
-                        ],
-                        names=["bucket", "chunk", "keys", "n"],
-                    )
+class Keys:
+    """How the keys of runs are made and packed, for so many bytes of text on so many buckets.
+
+    A key is a high part below ``width`` and ``low`` bytes. A bucket is a range of high parts; the keys of a chunk in it are
+    sorted, their low bytes stand end to end, and their high parts are the gaps between the ones of a bitmap.
+    """
+
+    def __init__(self, size: int, buckets: int):
+        self.low, room = 3, (size // 2 + 1) << SPARE
+        while room >> 8 * self.low > MOST:
+            self.low += 1
+        self.width = max(LEAST, room >> 8 * self.low)
+        self.buckets = min(buckets, self.width)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        shift = U(8 * self.low)
+        return ((hashes >> shift) % U(self.width) << shift) | (hashes & ((U(1) << shift) - U(1)))
+
+    def _begin(self, bucket: np.ndarray) -> np.ndarray:
+        """The least high part in each bucket."""
+        return -(-bucket * self.width // self.buckets)
+
+    def cells(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets that sorted keys fall in, and the bounds of their keys."""
+        bucket = (keys >> U(8 * self.low)).astype(np.int64) * self.buckets // self.width
+        some, first = np.unique(bucket, return_index=True)
+        return some, np.append(first, len(keys))
+
+    def pack(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes], list[bytes]]:
+        """(buckets, bounds, low bytes, high parts) of sorted distinct keys."""
+        some, cuts = self.cells(keys)
+        begin, each = self._begin(some), np.diff(cuts)
+        ends = np.cumsum((self._begin(some + 1) - begin + each + 7) // 8)
+        starts = ends - np.diff(ends, prepend=0)
+        bits = np.zeros(int(ends[-1]) * 8, bool)
+        high = (keys >> U(8 * self.low)).astype(np.int64)
+        bits[np.repeat(starts * 8 - begin - cuts[:-1], each) + high + np.arange(len(keys))] = True
+        bits, low = np.packbits(bits, bitorder="little"), np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, : self.low]
+        pairs = lambda x: zip(x[:-1].tolist(), x[1:].tolist(), strict=True)
+        return some, cuts, [low[i:j].tobytes() for i, j in pairs(cuts)], [bits[i:j].tobytes() for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+    def unpack(self, low: bytes, high: bytes) -> np.ndarray:
+        """The keys of a cell, their high parts less the least of the bucket."""
+        n = len(low) // self.low
+        out = np.zeros((n, 8), np.uint8)
+        out[:, : self.low] = np.frombuffer(low, np.uint8).reshape(n, self.low)
+        rest = np.flatnonzero(np.unpackbits(np.frombuffer(high, np.uint8), bitorder="little")) - np.arange(n)
+        return out.reshape(-1).view(U) | (rest.astype(U) << U(8 * self.low))
+
+
+def _pages(table: pa.Table):
+    """Blocks of a chunk: its first page, and ``_runs`` of its pages."""
+    host = table["host"].combine_chunks() if isinstance(table["host"], pa.ChunkedArray) else table["host"]
+    for first, data, offsets in kernel.blocks(table["text"], BLOCK):
+        size = len(offsets) - 1
+        yield first, size, _runs(host.slice(first, size), data, offsets)
+
+
+def _counter(keys: Keys):
+    """Rows (bucket, chunk, low, high, n): the distinct runs of a chunk, and on how many of its pages each stands, at most MIN_PAGES."""
+    names = ["bucket", "chunk", "low", "high", "n"]
+    kinds = pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)))
+
+    def run(pages: pa.Table, again: pa.Table) -> pa.Table:
+        found, counts = [], []
+        repeat = np.isin(pages["uid"].to_numpy(), again["uid"].to_numpy())
+        for first, size, (tokens, page, at, hashes) in _pages(pages):
+            if not len(at):
+                continue
+            rank, own, fresh = _suffixes(tokens, MIN_RUN)[at], page[at], ~repeat[first : first + size]
+            order = np.lexsort((own, rank))
+            new = np.concatenate(([True], rank[order][1:] != rank[order][:-1]))
+            one = (new | np.concatenate(([True], own[order][1:] != own[order][:-1]))) & fresh[own[order]]
+            starts = np.flatnonzero(new)
+            counts.append(np.minimum(np.add.reduceat(one.astype(np.int64), starts), MIN_PAGES))
+            found.append(keys.of(hashes[order[starts]]))
+        if not found:
+            return kinds.empty_table()
+        whole, n = np.concatenate(found), np.concatenate(counts)
+        order = np.argsort(whole, kind="stable")
+        starts = np.flatnonzero(np.concatenate(([True], whole[order][1:] != whole[order][:-1])))
+        n = np.minimum(np.add.reduceat(n[order], starts), MIN_PAGES).astype(np.uint8)
+        some, cuts, low, high = keys.pack(whole[order[starts]])
+        chunk = np.full(len(some), pages["chunk"][0].as_py(), np.int64)
+        return pa.Table.from_arrays(
+            [pa.array(some), pa.array(chunk), pa.array(low, pa.binary()), pa.array(high, pa.binary()), pa.array([n[i:j].tobytes() for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())], schema=kinds
+        )
 
     return run
 
 
-def _wide(keys: bytes) -> np.ndarray:
-    out = np.zeros((len(keys) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(keys, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view(U)
+def _meet(keys: Keys):
+    """(chunk, bucket, hit): one bit for each of a chunk's runs in a bucket, set if it stands on MIN_PAGES pages of its host over all chunks."""
 
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        each = [keys.unpack(x, y) for x, y in zip(frame["low"], frame["high"], strict=True)]
+        _, at = np.unique(np.concatenate(each), return_inverse=True)
+        many = np.bincount(at, np.frombuffer(b"".join(frame["n"]), np.uint8)) >= MIN_PAGES
+        hit = np.split(many[at], np.cumsum([len(x) for x in each])[:-1])
+        some = np.array([x.any() for x in hit], bool)
+        out = pd.DataFrame({"chunk": frame["chunk"], "bucket": frame["bucket"], "hit": [np.packbits(x).tobytes() for x in hit]})
+        return out[some]
 
-def _meet(frame: pd.DataFrame) -> pd.DataFrame:
-    """(chunk, keys): those of a chunk's runs that stand on MIN_PAGES pages of their host, over all chunks of a bucket."""
-    each = [_wide(x) for x in frame["keys"]]
-    _, at = np.unique(np.concatenate(each), return_inverse=True)
-    many = np.bincount(at, np.frombuffer(b"".join(frame["n"]), np.uint8)) >= MIN_PAGES
-    hit = np.split(many[at], np.cumsum([len(x) for x in each])[:-1])
-    out = pd.DataFrame({"chunk": frame["chunk"], "keys": [x[h].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for x, h in zip(each, hit, strict=True)]})
-    return out[out["keys"].str.len() > 0]
+    return run
 
 
-def _judge(pages: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
+def _judge(keys: Keys):
     """The pages of a chunk less their blocks that the host's repeated runs cover."""
-    if len(pages) and len(hits):
-        known, texts = np.unique(np.concatenate([_wide(x) for x in hits["keys"]])), pages["text"].tolist()
-        column, host = pa.array(texts, pa.string()), pa.array(pages["host"], pa.string())
-        for first, data, offsets in kernel.blocks(column, 2 * CHUNK):
-            tokens, page, at, hashes = _runs(host.slice(first, len(offsets) - 1), data, offsets)
-            covered = _covered(at[np.isin(hashes & SHORT, known)], len(tokens))
-            hidden = np.concatenate(([0], np.cumsum(covered)))
-            bounds = np.searchsorted(page, np.arange(len(offsets)))
-            for k in np.flatnonzero(hidden[bounds[1:]] > hidden[bounds[:-1]]).tolist():
-                own = texts[first + k].split("\n\n")
-                ends = bounds[k] + np.concatenate(([0], np.cumsum([b.count(" ") + 1 for b in own])))
-                kept = [b for b, x, y in zip(own, ends[:-1].tolist(), ends[1:].tolist(), strict=True) if hidden[y] - hidden[x] <= COVERED * (y - x)]
-                if kept or not pages["sure"].iat[first + k]:
-                    texts[first + k] = "\n\n".join(kept)
-        pages = pages.assign(text=texts)
-    return pages[["page_id", "url", "text"]]
+
+    def run(pages: pa.Table, hits: pa.Table) -> pa.Table:
+        if hits.num_rows:
+            texts, sure = pages["text"].to_pylist(), pages["sure"].to_pylist()
+            parts = [(first, size, len(tokens), page, at, keys.of(hashes)) for first, size, (tokens, page, at, hashes) in _pages(pages)]
+            whole = np.unique(np.concatenate([x[-1] for x in parts]))
+            some, cuts = keys.cells(whole)
+            repeats, place = np.zeros(len(whole), bool), np.searchsorted(some, hits["bucket"].to_numpy())
+            for k, bits in zip(place.tolist(), hits["hit"].to_pylist(), strict=True):
+                n = int(cuts[k + 1] - cuts[k])
+                repeats[cuts[k] : cuts[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
+            known = whole[repeats]
+            for first, size, n, page, at, own in parts:
+                hidden = np.concatenate(([0], np.cumsum(_covered(at[np.isin(own, known)], n))))
+                bounds = np.searchsorted(page, np.arange(size + 1))
+                for k in np.flatnonzero(hidden[bounds[1:]] > hidden[bounds[:-1]]).tolist():
+                    text = texts[first + k].split("\n\n")
+                    ends = bounds[k] + np.concatenate(([0], np.cumsum([b.count(" ") + 1 for b in text])))
+                    kept = [b for b, x, y in zip(text, ends[:-1].tolist(), ends[1:].tolist(), strict=True) if hidden[y] - hidden[x] <= COVERED * (y - x)]
+                    if kept or not sure[first + k]:
+                        texts[first + k] = "\n\n".join(kept)
+            pages = pages.set_column(pages.column_names.index("text"), "text", pa.array(texts, pa.string()))
+        return pages.select(["page_id", "url", "text"])
+
+    return run
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -290,19 +358,21 @@ def extract(pages: DataFrame) -> DataFrame:
     host, _ = host_path(F.col("url"))
     own = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), F.monotonically_increasing_id().alias("uid"))
     kind = dict(pages.dtypes)["page_id"]
-    parsed = settle(own.mapInArrow(_parse, "page_id string, url string, host string, uid long, text string, sure boolean, chunk long"), "parsed")
-    size = parsed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    spark = pages.sparkSession
+    raw = own.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("n")).first()["n"]
+    parsed = own.mapInArrow(_parse, "page_id string, url string, host string, uid long, text string, sure boolean, size long, chunk long")
+    parsed = settle_by(parsed, "parsed", "chunk", max(partitions(spark), raw // CHUNK + 1))
+    size = parsed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     if not size:
         return parsed.select(F.col("page_id").cast(kind).alias("page_id"), "url", "text")
     # pages of a host with equal blocks count as one: all but the first are marked
-    each = settle(parsed.select("uid", F.xxhash64("host", "text").alias("digest")), "digests")
+    each = settle(parsed.select("uid", "chunk", F.xxhash64("host", "text").alias("digest")), "digests")
     heads = each.groupBy("digest").agg(F.min("uid").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    again = settle(each.join(heads, "digest").filter("uid <> first").select("uid", F.lit(True).alias("again")), "again")
-    marked = narrow(parsed, again, ["uid"], "left").select("host", "text", "chunk", F.coalesce("again", F.lit(False)).alias("again"))
-    buckets = max(partitions(pages.sparkSession), size // MEET + 1)
-    runs = marked.mapInArrow(_counter(int(buckets)), "bucket int, chunk long, keys binary, n binary")
-    hits = runs.groupBy("bucket").applyInPandas(_meet, "chunk long, keys binary")
-    left = parsed.drop("uid").groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInPandas(_judge, "page_id string, url string, text string")
+    again = each.join(heads, "digest").filter("uid <> first").select("chunk", "uid")
+    keys = Keys(int(size), int(max(partitions(spark), size // MEET + 1)))
+    runs = parsed.select("chunk", "uid", "host", "text").groupBy("chunk").cogroup(again.groupBy("chunk")).applyInArrow(_counter(keys), "bucket long, chunk long, low binary, high binary, n binary")
+    hits = runs.groupBy("bucket").applyInPandas(_meet(keys), "chunk long, bucket long, hit binary")
+    left = parsed.select("chunk", "page_id", "url", "host", "text", "sure").groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(_judge(keys), "page_id string, url string, text string")
     return left.select(F.col("page_id").cast(kind).alias("page_id"), "url", "text")
 
 

@@ -37,6 +37,20 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def settle_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """The same, dealt into ``buckets`` by ``key`` as it is written: what groups by ``key`` need not shuffle it.
+
+    Spark keeps buckets only for tables with a name; this one's files lie in the shared folder, and its name is its own.
+    """
+    title = f"docketry_{name}_{uuid.uuid4().hex}"
+    place = f"{shared_dir(df.sparkSession)}/docketry/{title}"
+    how = {"path": place, "compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
+    df.write.options(**how).format("parquet").bucketBy(buckets, key).saveAsTable(title)
+    out = df.sparkSession.table(title)
+    out._settled_at = place
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete settled tables that nothing still to be computed reads."""
     for df in tables:
