@@ -145,22 +145,26 @@ def blocks(page: str) -> tuple[list[str], bool]:
     return rest + article + central, False
 
 
-def _parse(batches):
+def _parser(most: int):
     """Blocks joined by two line breaks (a block has none inside), their bytes, and the chunk of each page: the uid of its first page."""
-    chunk, held = -1, CHUNK
-    for batch in batches:
-        found = [blocks(x or "") for x in batch.column("html").to_pylist()]
-        text = ["\n\n".join(b) for b, _ in found]
-        size, own = [len(x.encode()) for x in text], []
-        for uid, n in zip(batch.column("uid").to_pylist(), size, strict=True):
-            if held + n > CHUNK:
-                chunk, held = uid, 0
-            held += n
-            own.append(chunk)
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("page_id", "url", "host", "uid")), pa.array(text, pa.string()), pa.array([s for _, s in found], pa.bool_()), pa.array(size, pa.int64()), pa.array(own, pa.int64())],
-            names=["page_id", "url", "host", "uid", "text", "sure", "size", "chunk"],
-        )
+
+    def run(batches):
+        chunk, held = -1, most + 1
+        for batch in batches:
+            found = [blocks(x or "") for x in batch.column("html").to_pylist()]
+            text = ["\n\n".join(b) for b, _ in found]
+            size, own = [len(x.encode()) for x in text], []
+            for uid, n in zip(batch.column("uid").to_pylist(), size, strict=True):
+                if held + n > most:
+                    chunk, held = uid, 0
+                held += n + 100  # an empty page takes some room too
+                own.append(chunk)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("page_id", "url", "host", "uid")), pa.array(text, pa.string()), pa.array([s for _, s in found], pa.bool_()), pa.array(size, pa.int64()), pa.array(own, pa.int64())],
+                names=["page_id", "url", "host", "uid", "text", "sure", "size", "chunk"],
+            )
+
+    return run
 
 
 def _suffixes(tokens: np.ndarray, run: int) -> np.ndarray:
@@ -349,19 +353,19 @@ def _judge(keys: Keys):
     return run
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(page_id, url, text) for each row of ``pages(page_id, url, html)``: blocks joined by two line breaks.
 
     Null or empty html has the empty text. Repeated rows come back as often as they stand there. References are decoded,
-    white space inside a block is one space, nothing is cut.
+    white space inside a block is one space, nothing is cut. ``chunk`` (bytes of text) bounds a task, not the result.
     """
     host, _ = host_path(F.col("url"))
     own = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), F.monotonically_increasing_id().alias("uid"))
     kind = dict(pages.dtypes)["page_id"]
     spark = pages.sparkSession
     raw = own.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("n")).first()["n"]
-    parsed = own.mapInArrow(_parse, "page_id string, url string, host string, uid long, text string, sure boolean, size long, chunk long")
-    parsed = settle_by(parsed, "parsed", "chunk", max(partitions(spark), raw // CHUNK + 1))
+    parsed = own.mapInArrow(_parser(chunk), "page_id string, url string, host string, uid long, text string, sure boolean, size long, chunk long")
+    parsed = settle_by(parsed, "parsed", "chunk", max(partitions(spark), 4 * (raw // chunk + 1)))  # most buckets hold one chunk or none
     size = parsed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     if not size:
         return parsed.select(F.col("page_id").cast(kind).alias("page_id"), "url", "text")

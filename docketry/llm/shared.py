@@ -40,8 +40,10 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def settle_by(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """The same, dealt into ``buckets`` by ``key`` as it is written: what groups by ``key`` need not shuffle it.
 
-    Spark keeps buckets only for tables with a name; this one's files lie in the shared folder, and its name is its own.
+    Spark keeps buckets only for tables with a name; this one's files lie in the shared folder, and its name is its own. Spark
+    sets a limit on buckets, beyond which each holds more.
     """
+    buckets = min(buckets, int(df.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
     title = f"docketry_{name}_{uuid.uuid4().hex}"
     place = f"{shared_dir(df.sparkSession)}/docketry/{title}"
     how = {"path": place, "compression": "zstd", "parquet.compression.codec.zstd.level": "6"}

@@ -243,6 +243,27 @@ def test_suffix_array_finds_every_repeated_run():
         assert html_extract.repeated(tokens, page, run, 3).tolist() == want.tolist()
 
 
+def test_packed_keys_of_runs_come_back():
+    rng = np.random.default_rng(3)
+    for size, buckets, n in ((10, 1, 1), (5_000_000, 8, 40_000), (60_000_000_000, 3000, 200_000), (10**14, 10**6, 5_000)):
+        keys = html_extract.Keys(size, buckets)
+        own = np.unique(keys.of(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)))
+        assert len(own) >= n - 2
+        some, cuts, low, high = keys.pack(own)
+        assert sorted(set(some.tolist())) == some.tolist() and cuts[-1] == len(own) and some.max() < keys.buckets
+        begin = keys._begin(some).astype(np.uint64) << np.uint64(8 * keys.low)
+        got = np.concatenate([keys.unpack(x, y) + b for x, y, b in zip(low, high, begin, strict=True)])
+        assert got.tolist() == own.tolist()
+        assert all(np.array_equal(x, y) for x, y in zip(keys.cells(own), (some, cuts), strict=True))
+
+
+def test_html_extraction_over_many_chunks_equals_one(spark):
+    """Chunks of a few pages find what one of all pages finds."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    whole = {tuple(r) for r in html_extract.extract(pages).collect()}
+    assert {tuple(r) for r in html_extract.extract(pages, chunk=20_000).collect()} == whole
+
+
 def test_html_extraction_drops_what_many_pages_of_a_host_share(spark):
     rng = random.Random(12)
     menu = "Home News Sport Weather Travel Culture Money Contact"
