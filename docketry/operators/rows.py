@@ -69,7 +69,7 @@ def folds(df: DataFrame, key: str, n: int = 5, seed: str = "42") -> DataFrame:
     offset, from a small table of block counts, gives the global number.
     """
     h = key_order(seed, F.col(key))
-    blocked = df.withColumn("__h", h).withColumn("__b", F.substr("__h", F.lit(1), F.lit(2)))
+    blocked = df.withColumn("__h", h).withColumn("__b", F.substr("__h", F.lit(1), F.lit(3)))
     counts = blocked.groupBy("__b").agg(F.count("*").alias("__c"))
     before = counts.withColumn("__o", F.coalesce(F.sum("__c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__t", F.sum("__c").over(Window.partitionBy(F.lit(1))))
     w = Window.partitionBy("__b").orderBy("__h", key)
