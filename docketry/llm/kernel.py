@@ -76,9 +76,9 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and each text's first word (one more than texts)."""
-    solid = _SOLID[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray = _SOLID) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, or of runs of other ``solid`` bytes, and each text's first word (one more than texts)."""
+    solid = solid[data]
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     before[1:], after[:-1] = solid[:-1], solid[1:]
     edge = offsets[(offsets > 0) & (offsets < len(data))]

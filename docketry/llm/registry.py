@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docketry.llm import bpe, chat_format, decontaminate, html_extract, jaccard_join, license_scan, line_dedup, quality, suffix_tree_lm, url_filter
+from docketry.llm import bpe, chat_format, decontaminate, html_extract, jaccard_join, lexical, license_scan, line_dedup, projection_forest, quality, suffix_tree_lm, url_filter, whitening
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_license_scan": license_scan.query,
     "op9_chat_format": chat_format.query,
     "op10_html_extraction": html_extract.query,
+    "op11_lexical_search": lexical.query,
+    "op12_embedding_whitening": whitening.query,
+    "op13_projection_forest": projection_forest.query,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filter": url_filter.oracle_sql(), "op6_quality_rules": quality.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op1_url_filter": url_filter.oracle_sql(), "op6_quality_rules": quality.ORACLE_SQL, "op11_lexical_search": lexical.ORACLE_SQL}
