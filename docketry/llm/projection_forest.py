@@ -34,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.shared import settle, table
+from docketry.llm.shared import partitions, settle, table
 from docketry.llm.vectors import matrix, usable
 
-TREES, LEAF, FEWEST, DIRECTIONS = 4, 32, 8, 8
-SAMPLE, SAMPLE_BYTES = 65_536, 64 << 20
+TREES, LEAF, FEWEST, DIRECTIONS = 4, 64, 8, 8
+SAMPLE, SAMPLE_BYTES = 16_384, 16 << 20
 CALIBRATE, TARGET = 192, 0.95
 BRANCH_BYTES, QUERIES = 24 << 20, 16_384
+#: Scored pairs that a task holds before it drops all but the best of each query.
+HELD = 500_000
 #: Candidates kept beside the k + 1 best before scores are summed in order, as rounding may swap neighbours.
 SPARE = 4
 
@@ -145,8 +147,9 @@ def distinct_vectors(df: DataFrame, id_column: str, vector: str, k: int) -> tupl
     zero = F.exists("v", lambda x: x != 0)
     rows = usable(df, id_column, vector).filter(F.col("id").isNotNull() & zero).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
     rows = settle(rows.groupBy("id").agg(F.min("v").alias("v")), "forest_rows")
-    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("r") <= k + 1)
-    items = first.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    keyed = rows.withColumn("h", F.xxhash64("v"))  # compared first, vectors only where it is equal
+    first = keyed.withColumn("r", F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))).filter(F.col("r") <= k + 1)
+    items = first.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     return rows, items.select(F.col("ids")[0].alias("uid"), "ids", "v")
 
 
@@ -190,8 +193,8 @@ def build(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", k
     if not n:
         return rows, Index(items, Forest([]), [], [], k)
     order = F.xxhash64(F.lit("fit"), "uid")
-    sample = items.orderBy(order, "uid").limit(min(SAMPLE, max(1, SAMPLE_BYTES // (8 * d)))).select("v", "extra").toPandas()  # bounded by SAMPLE and SAMPLE_BYTES
-    points = np.column_stack((np.array(sample["v"].tolist()), sample["extra"]))
+    sample = items.orderBy(order, "uid").limit(min(SAMPLE, max(1, SAMPLE_BYTES // (8 * d)))).select("v", "extra").toArrow().combine_chunks()  # bounded by SAMPLE and SAMPLE_BYTES
+    points = np.column_stack((matrix(sample["v"].chunk(0), np.float64), sample["extra"].to_numpy()))
     leaf = max(FEWEST, LEAF * len(points) // n)
     forest = Forest([Tree.fit(points, leaf, seed) for seed in range(TREES)])
     held = items.sparkSession.sparkContext.broadcast(forest.trees)
@@ -282,7 +285,18 @@ def _open(queries: DataFrame, index: Index) -> DataFrame:
             key = [pa.array([w[0][j] for w in where], pa.int32()) for j in range(3)]
             yield pa.RecordBatch.from_arrays([*key, batch.column("q").take(at), batch.column("v").take(at), pa.array([w[1] for w in where], pa.list_(pa.int32()))], names=["tree", "branch", "part", "q", "v", "leaves"])
 
-    return queries.select("q", "v").mapInArrow(run, _VISIT)
+    spread = queries.select("q", "v").repartition(partitions(queries.sparkSession), "q")  # a query takes milliseconds: its rows are few, its work isn't
+    return spread.mapInArrow(run, _VISIT)
+
+
+def _first(qs: np.ndarray, tie: np.ndarray, ss: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each q the n entries with the highest scores, the smaller ``tie`` first, in that order."""
+    order = np.lexsort((tie, -ss, qs))
+    qs = qs[order]
+    begin = np.flatnonzero(np.append(True, qs[1:] != qs[:-1])) if len(qs) else np.zeros(0, np.int64)
+    place = np.arange(len(qs)) - np.repeat(begin, np.diff(np.append(begin, len(qs))))
+    order = order[place < n]
+    return qs[place < n], tie[order], ss[order]
 
 
 def _meet(k: int, items: pd.DataFrame, visits: pd.DataFrame) -> pd.DataFrame:
@@ -300,34 +314,32 @@ def _meet(k: int, items: pd.DataFrame, visits: pd.DataFrame) -> pd.DataFrame:
     by = np.argsort(which, kind="stable")
     who, which = who[by], which[by]
     cut = np.searchsorted(which, np.stack((names, names + 1)))
-    keep, qs, rs, ss = k + 1 + SPARE, [], [], []
+    keep = k + 1 + SPARE
+    floor = np.full(len(q), -np.inf)  # the keep-th best score so far: what is below can't come back
+    found, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+
+    def cut_down(found: list) -> tuple:
+        qs, rs, ss = _first(*map(np.concatenate, zip(*found, strict=True)), keep)
+        last = np.flatnonzero(np.append(qs[1:] != qs[:-1], True)) if len(qs) else np.zeros(0, np.int64)
+        full = last[np.diff(last, prepend=-1) == keep]
+        floor[qs[full]] = ss[full]
+        return qs, rs, ss
+
     for i in range(len(names)):
         some = who[cut[0, i] : cut[1, i]]
-        for at in range(0, len(some), 256):
-            few = some[at : at + 256]
+        step = max(1, 2 * HELD // (end[i] - start[i]))
+        for at in range(0, len(some), step):
+            few = some[at : at + step]
             s = q[few] @ v[start[i] : end[i]].T
-            n = min(keep, s.shape[1])
-            top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            qs.append(np.repeat(few, n))
-            rs.append(top.ravel() + start[i])
-            ss.append(np.take_along_axis(s, top, axis=1).ravel())
-    if not qs:
-        return nothing
-
-    def first(qs, rs, ss, tie, n):
-        order = np.lexsort((tie, -ss, qs))
-        qs = qs[order]
-        begin = np.concatenate(([0], np.flatnonzero(np.diff(qs)) + 1))
-        place = np.arange(len(qs)) - np.repeat(begin, np.diff(np.append(begin, len(qs))))
-        return [x[order][place < n] for x in (rs, ss, tie)], qs[place < n]
-
-    qs, rs, ss = map(np.concatenate, (qs, rs, ss))
-    (rs, _, _), qs = first(qs, rs, ss, rs, keep)
-    ss = inner(v[rs], q[qs])
+            one, row = np.nonzero(s >= floor[few][:, None])
+            found.append((few[one], row + start[i], s[one, row]))
+            size += len(row)
+            if size > HELD:
+                found, size = [cut_down(found)], 0
+    qs, rs, _ = cut_down(found)
     ids = items["ids"].to_numpy()[rs]
-    n = np.array([len(x) for x in ids])
-    flat, qs, ss = np.concatenate(ids), np.repeat(qs, n), np.repeat(ss, n)
-    (_, ss, flat), qs = first(qs, flat, ss, flat, k + 1)
+    n = np.array([len(x) for x in ids], np.int64)
+    qs, flat, ss = _first(np.repeat(qs, n), np.concatenate([np.zeros(0, np.int64), *ids]), np.repeat(inner(v[rs], q[qs]), n), k + 1)
     return pd.DataFrame({"q": visits["q"].to_numpy()[qs], "id": flat, "score": ss})
 
 
