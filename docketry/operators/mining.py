@@ -43,7 +43,7 @@ def with_texts(pairs: DataFrame, outcomes: DataFrame, summaries: DataFrame, orde
     return pairs.join(texts, "negative").join(summaries.select("case", F.col("summary").alias("text")), "case").select("case", "text", "positive", F.col("negative_text").alias("negative"))
 
 
-def labelled(pairs: DataFrame) -> DataFrame:
-    """(text_a, text_b, label): each pair as a positive and a negative example."""
+def labelled(pairs: DataFrame, *keep: str) -> DataFrame:
+    """(keep..., text_a, text_b, label): each pair as a positive and a negative example."""
     side = lambda c, y: F.struct(F.col(c).alias("text_b"), F.lit(y).alias("label"))
-    return pairs.select(F.col("text").alias("text_a"), F.explode(F.array(side("positive", 1), side("negative", 0))).alias("x")).select("text_a", "x.*")
+    return pairs.select(*keep, F.col("text").alias("text_a"), F.explode(F.array(side("positive", 1), side("negative", 0))).alias("x")).select(*keep, "text_a", "x.*")

@@ -91,14 +91,22 @@ def l2_normalise(v: Column) -> Column:
     return F.transform(v, lambda x: F.try_divide(x.cast("double"), norm))
 
 
+def in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``search`` over a stated set ``queries(q, ...)``, which it may broadcast: counted, and given in blocks of QUERY_BLOCK by the hash of q."""
+    blocks = -(-queries.count() // QUERY_BLOCK) or 1
+    if blocks == 1:
+        return search(queries)
+    blocks = 2 * blocks  # uneven hashes stay below the block's size
+    return functools.reduce(DataFrame.unionByName, [search(queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == n)) for n in range(blocks)])
+
+
 def nearest(queries: DataFrame, items: DataFrame, k: int, earlier: bool = False, group: str | None = None) -> DataFrame:
-    """(q, id or group, d, rank): the k nearest of ``items(id, v[, ts][, group])`` for each of ``queries(q, qv[, qts])``.
+    """(q, id or group, d, rank): the k nearest of ``items(id, v[, ts][, group])`` for each of ``queries(q, qv[, qts])``, by a scan.
 
-    The query set is stated: it is counted, and broadcast in blocks of QUERY_BLOCK, dealt by the hash of q; each task keeps k
-    rows a query before anything is shuffled. ``earlier``: only items dated strictly before the query. ``group``: the best
-    item stands for each group.
+    The query set is stated: it is counted, and broadcast in blocks; each task keeps k rows a query before anything is shuffled.
+    ``earlier``: only items dated strictly before the query. ``group``: the best item stands for each group. ``cells.search``
+    finds the same rows from an index that rules out whole cells.
     """
-    blocks = -(-queries.count() // QUERY_BLOCK) or 1
     admissible = F.col("ts") < F.col("qts") if earlier else F.lit(True)
     key = group or "id"
 
@@ -107,10 +115,7 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, earlier: bool = False,
         best = pairs.groupBy("q", key).agg(F.min("d").alias("d")) if group else pairs.select("q", "id", "d")
         return best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", key))).filter(F.col("rank") <= k)
 
-    if blocks == 1:
-        return search(queries)
-    blocks = 2 * blocks  # uneven hashes stay below the block's size
-    return functools.reduce(DataFrame.unionByName, [search(queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == n)) for n in range(blocks)])
+    return in_blocks(queries, search)
 
 
 def relevance(distance2: Column) -> Column:
@@ -186,6 +191,14 @@ def bm25_search(queries: DataFrame, tables: dict[str, DataFrame], k: int, k1: fl
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "id"))).filter(F.col("rank") <= k)
 
 
+def bm25_of_pairs(pairs: DataFrame, tables: dict[str, DataFrame], key: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(key, bm25) of ``pairs(key, id, text)``: each text against one document only; 0 without a common term."""
+    asked = terms(pairs, key, "text").withColumnRenamed("f", "qf").join(pairs.select(key, "id"), key)
+    hit = asked.join(tables["postings"], ["id", "term"]).join(tables["weights"], "term").join(tables["sizes"], "id").join(F.broadcast(tables["stats"]))
+    found = hit.groupBy(key).agg(F.sum(F.col("qf") * F.col("w") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / F.col("avglen")))).alias("bm25"))
+    return pairs.select(key).join(found, key, "left").select(key, F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
     """Tables and search in one."""
     return bm25_search(queries, bm25_tables(docs, floor), k, k1, b)

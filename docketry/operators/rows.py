@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketry.functions.text import key_order
+from docketry.sources.staging import settle
 
 
 def keep_unique(df: DataFrame, *key: str) -> DataFrame:
@@ -54,8 +55,14 @@ def sample_strata(df: DataFrame, stratum: str, key: str, sizes: dict[str, int] |
 
 
 def sample_strata_seeds(df: DataFrame, stratum: str, key: str, sizes: dict[str, int] | int, seeds: list[str]) -> DataFrame:
-    """``sample_strata`` once for each seed, with the seed as a column."""
-    return reduce(DataFrame.unionByName, [sample_strata(df, stratum, key, sizes, s).withColumn("seed", F.lit(s)) for s in seeds])
+    """``sample_strata`` once for each seed, with the seed as a column: one scan, a row for each seed, ranked in one window."""
+    seeded = df.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    w = Window.partitionBy("seed", stratum).orderBy(F.md5(F.concat("seed", F.lit(":"), F.col(key).cast("string"))), F.col(key))
+    most = sizes if isinstance(sizes, int) else max(sizes.values(), default=0)
+    ranked = seeded.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most)
+    if not isinstance(sizes, int):
+        ranked = ranked.filter(F.col("__r") <= F.coalesce(*(F.when(F.col(stratum) == k, F.lit(v)) for k, v in sizes.items()), F.lit(0)))
+    return ranked.drop("__r")
 
 
 def complement(df: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
@@ -79,12 +86,54 @@ def folds(df: DataFrame, key: str, n: int = 5, seed: str = "42") -> DataFrame:
     return blocked.join(F.broadcast(before), "__b").withColumn("fold", (fold + 1).cast("int")).drop("__h", "__b", "__c", "__o", "__t")
 
 
+def running(df: DataFrame, by: list[str], order: list[Column], **sums: Column) -> DataFrame:
+    """``df`` with running sums by name, over the rows of the same ``by`` up to and with this one in ``order``; rows that tie in
+    it follow one another in any fixed order.
+
+    However large a group is, no task holds it: rows are dealt by ranges of (by, order) and written once, so that every later
+    read sees the same parts. Each part sums its own rows; at most one group crosses from a part into the next, so the table of
+    what stood before has no more rows than parts, and is broadcast.
+    """
+    named = df.withColumns({f"__{k}": F.coalesce(c, F.lit(0)) for k, c in sums.items()} | {"__tie": F.monotonically_increasing_id()})
+    place = [*map(F.col, by), *order, F.col("__tie")]
+    dealt = named.repartitionByRange(*place).sortWithinPartitions(*place).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()})
+    dealt = settle(dealt.drop("__tie"), "running")
+    totals = dealt.groupBy("__p", *by).agg(*(F.sum(f"__{k}").alias(f"__{k}") for k in sums))
+    earlier = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("__p", *by, *(F.sum(f"__{k}").over(earlier).alias(f"__b_{k}") for k in sums)).filter(F.col(f"__b_{next(iter(sums))}").isNotNull())
+    own = Window.partitionBy("__p", *by).orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
+    local = dealt.withColumns({k: F.sum(f"__{k}").over(own) for k in sums}).alias("__l")
+    same = [F.col(f"__l.{k}").eqNullSafe(F.col(f"__r.{k}")) for k in ("__p", *by)]
+    both = local.join(F.broadcast(before.alias("__r")), same, "left")
+    kept = [F.col(f"__l.{c}") for c in df.columns if c not in sums]
+    return both.select(*kept, *((F.col(f"__l.{k}") + F.coalesce(F.col(f"__b_{k}"), F.lit(0))).alias(k) for k in sums))
+
+
 def number_rows(df: DataFrame, key: str, name: str = "n") -> DataFrame:
-    """Consecutive numbers from 1 by key, without one task for all rows: range partitions, then offsets of partitions."""
-    dealt = df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    counts = dealt.groupBy("__p").agg(F.count("*").alias("__c"), F.min("__i").alias("__first"))
-    before = counts.withColumn("__o", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return dealt.join(F.broadcast(before), "__p").withColumn(name, F.col("__i") - F.col("__first") + F.col("__o") + 1).drop("__p", "__i", "__c", "__first", "__o")
+    """Consecutive numbers from 1 by key, without one task for all rows."""
+    return running(df, [], [F.col(key)], **{name: F.lit(1).cast("long")})
+
+
+def group_folds(df: DataFrame, group: str, n: int = 5, seed: str = "42") -> DataFrame:
+    """Folds 1..n with all rows of a group in one; the folds' numbers of rows differ by no more than the largest group's.
+
+    Groups never leave the executors. Of each size, groups are dealt in turn by their place in a fixed shuffle; what is left of
+    a size (fewer than n groups) goes to the folds with the fewest rows so far, from the largest size to the smallest. That
+    takes the histogram of sizes only: at most sqrt(2 rows) entries.
+    """
+    sizes = df.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__c"))
+    histogram = sorted(((r["__c"], r["m"]) for r in sizes.groupBy("__c").agg(F.count("*").alias("m")).collect()), reverse=True)
+    loads, rest = [0] * n, []
+    for c, m in histogram:
+        least = sorted(range(n), key=lambda f: (loads[f], f))[: m % n]
+        for f in range(n):
+            loads[f] += m // n * c + (c if f in least else 0)
+        rest.append((c, m - m % n, [f + 1 for f in least]))
+    plan = df.sparkSession.createDataFrame(rest, "__c long, __even long, __rest array<int>")
+    at = running(sizes, ["__c"], [key_order(seed, F.col("__g")), F.col("__g")], __at=F.lit(1).cast("long"))
+    fold = F.when(F.col("__at") <= F.col("__even"), F.pmod(F.col("__at") - 1, F.lit(n)) + 1).otherwise(F.get("__rest", (F.col("__at") - F.col("__even") - 1).cast("int")))
+    dealt = at.join(plan, "__c").select("__g", fold.cast("int").alias("fold"))
+    return df.join(dealt, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
 
 
 def grid(spark: SparkSession, **values: list) -> DataFrame:

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from docketry.functions import results as A
 from docketry.functions import text as T
+from docketry.operators import classifier as C
 from docketry.operators import metrics as M
 from docketry.operators import mining as N
 from docketry.operators import prompts as P
 from docketry.operators import retrieval as R
 from docketry.operators import rows as O
 from docketry.sources import writers as K
+from docketry.sources.staging import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -188,11 +190,11 @@ def join_left(t):
     return t("documents").join(t("labels"), "doc_id", "left").select("doc_id", "quality")
 
 
-@query("SELECT a.doc_id, b.n_chars AS other FROM documents a LEFT JOIN (SELECT * FROM documents WHERE doc_id % 2 = 0) b ON a.doc_id = b.doc_id AND a.lang = b.lang AND a.source = b.source AND a.n_chars = b.n_chars")
+@query("SELECT a.doc_id, b.quality FROM documents a LEFT JOIN (SELECT d.doc_id, lang, source, n_chars, quality FROM labels l JOIN documents d ON l.doc_id = d.doc_id) b ON a.doc_id = b.doc_id AND a.lang = b.lang AND a.source = b.source AND a.n_chars = b.n_chars")
 def join_multikey(t):
     keys = ["doc_id", "lang", "source", "n_chars"]
-    other = t("documents").filter("doc_id % 2 = 0").select(*keys, c("n_chars").alias("other"))
-    return t("documents").select(*keys).join(other, keys, "left").select("doc_id", "other")
+    labelled = t("labels").select("doc_id", "quality").join(t("documents").select(*keys), "doc_id")
+    return t("documents").select(*keys).join(labelled, keys, "left").select("doc_id", "quality")
 
 
 @query("SELECT CASE WHEN l.doc_id IS NULL THEN 'left_only' WHEN d.doc_id IS NULL THEN 'right_only' ELSE 'both' END AS side, count(*) AS n FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")
@@ -203,9 +205,10 @@ def join_outer_indicator(t):
     return left.join(right, "doc_id", "full").groupBy(side.alias("side")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT a.doc_id, b.item_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents) a JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) AS n FROM benchmark) b ON a.n = b.n")
+@query("SELECT a.doc_id, md5(a.text) AS digest, b.item_id, b.text AS item FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS n FROM documents) a JOIN (SELECT item_id, text, row_number() OVER (ORDER BY item_id) AS n FROM benchmark) b ON a.n = b.n")
 def positional_join(t):
-    return O.number_rows(t("documents").select("doc_id"), "doc_id").join(O.number_rows(t("benchmark").select("item_id"), "item_id"), "n").select("doc_id", "item_id")
+    docs = O.number_rows(t("documents").select("doc_id", F.md5(c("text").cast("binary")).alias("digest")), "doc_id")
+    return docs.join(O.number_rows(t("benchmark").withColumnRenamed("text", "item"), "item_id"), "n").select("doc_id", "digest", "item_id", "item")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 50)")
@@ -337,8 +340,8 @@ def _ranked(t):
     """Query vectors (every 25th) against all: relevant if of the same label."""
     e = t("embeddings")
     q = e.filter("vec_id % 25 = 0").select(c("vec_id").alias("q"), c("embedding").alias("qv"), c("label").alias("ql"))
-    near = e.join(F.broadcast(q), c("vec_id") != c("q")).select("q", c("vec_id").alias("id"), (c("ql") == c("label")).cast("int").alias("rel"), (-F.round(R.distance2(c("qv"), c("embedding")), 6)).alias("score"))
-    return near
+    pairs = R.in_blocks(q, lambda some: e.join(F.broadcast(some), c("vec_id") != c("q")))
+    return pairs.select("q", c("vec_id").alias("id"), (c("ql") == c("label")).cast("int").alias("rel"), (-F.round(R.distance2(c("qv"), c("embedding")), 6)).alias("score"))
 
 
 _D = "round(list_sum(list_transform(list_zip(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6)"
@@ -350,16 +353,56 @@ def average_precision(t):
     return M.average_precision(_ranked(t), "q", "score", "rel", "id").select("q", F.round("ap", 9).alias("ap"))
 
 
+def _top_five(t):
+    """The five nearest of each query, and for each query how many others share its label: no list is ranked further."""
+    e = t("embeddings")
+    q = e.filter("vec_id % 25 = 0").select(c("vec_id").alias("q"), c("embedding").alias("qv"), c("label").alias("ql"))
+    near = R.nearest(q.select("q", "qv"), e.select(c("vec_id").alias("id"), c("embedding").alias("v")), 6).filter(c("q") != c("id"))
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).filter(c("rank") <= 5)
+    labels = e.groupBy(c("label").alias("ql")).agg(F.count("*").alias("same"))
+    hits = near.join(e.select(c("vec_id").alias("id"), "label"), "id").groupBy("q").agg(F.collect_list("label").alias("got"))
+    return q.join(labels, "ql").join(hits, "q").select("q", F.size(F.filter("got", lambda x: x == c("ql"))).alias("hits"), (c("same") - 1).alias("relevant"))
+
+
 @query(_RANKED + "SELECT q, round(sum(CASE WHEN rank <= 5 THEN rel ELSE 0 END) / sum(rel), 9) AS recall FROM r GROUP BY q")
 def recall_at_k(t):
-    r = _ranked(t).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(c("score").desc(), "id")))
-    return M.at_k(r, "q", "rank", "rel", 5).select("q", F.round("recall", 9).alias("recall"))
+    return _top_five(t).select("q", F.round(F.try_divide("hits", "relevant"), 9).alias("recall"))
 
 
 @query(_RANKED + "SELECT q, round(sum(CASE WHEN rank <= 5 THEN rel ELSE 0 END) / 5, 9) AS precision FROM r GROUP BY q")
 def precision_at_k(t):
-    r = _ranked(t).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(c("score").desc(), "id")))
-    return M.at_k(r, "q", "rank", "rel", 5).select("q", F.round("precision", 9).alias("precision"))
+    return _top_five(t).select("q", F.round(c("hits") / 5, 9).alias("precision"))
+
+
+_SWEEP = (
+    "WITH s AS (SELECT CAST(ntile(5) OVER (ORDER BY md5('42:' || d.doc_id), d.doc_id) AS INTEGER) AS fold, CAST(n_chars // 50 AS DOUBLE) AS s, quality AS y FROM documents d JOIN labels l ON d.doc_id = l.doc_id), "
+    "k AS (SELECT fold, s, count(*) AS c, sum(y) AS p FROM s GROUP BY fold, s), w AS (SELECT *, sum(c) OVER x AS taken, sum(p) OVER x AS tp, sum(c) OVER (PARTITION BY fold) AS n, sum(p) OVER (PARTITION BY fold) AS pos, lead(s, 1, s) OVER x AS under FROM k WINDOW x AS (PARTITION BY fold ORDER BY s DESC)), "
+    "v AS (SELECT *, coalesce(2 * tp / (taken + pos), 0) AS f1, (2 * tp - taken + n - pos) / n AS acc, p * tp / pos / taken AS gain FROM w) "
+)
+
+
+@query(
+    _SWEEP + "SELECT a.fold, n, positives, ap, f1, f1_threshold, accuracy, accuracy_threshold FROM (SELECT fold, CAST(max(n) AS BIGINT) AS n, CAST(max(pos) AS BIGINT) AS positives, round(sum(gain), 9) AS ap FROM v GROUP BY fold) a "
+    "JOIN (SELECT fold, round(f1, 9) AS f1, (s + under) / 2 AS f1_threshold, row_number() OVER (PARTITION BY fold ORDER BY f1 DESC, s DESC) AS r FROM v) b ON a.fold = b.fold AND b.r = 1 JOIN (SELECT fold, round(acc, 9) AS accuracy, (s + under) / 2 AS accuracy_threshold, row_number() OVER (PARTITION BY fold ORDER BY acc DESC, s DESC) AS r FROM v) e ON a.fold = e.fold AND e.r = 1"
+)
+def fold_evaluation(t):
+    """Of each fold: average precision, and the thresholds with the best F1 and accuracy; many scores tie."""
+    both = t("documents").select("doc_id", "n_chars").join(t("labels").select("doc_id", "quality"), "doc_id")
+    scored = O.folds(both, "doc_id").select("fold", F.floor(c("n_chars") / 50).cast("double").alias("s"), c("quality").alias("y"))
+    return M.binary_by_fold(scored, "fold", "s", "y").select("fold", "n", "positives", *((F.round(x, 9) if x in ("ap", "f1", "accuracy") else c(x)).alias(x) for x in ("ap", "f1", "f1_threshold", "accuracy", "accuracy_threshold")))
+
+
+_RANKS = "WITH d AS (SELECT p_size AS x, floor(p_retailprice / 10) AS y FROM part), r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM d), p AS (SELECT x, y, CAST(count(*) AS DOUBLE) AS w FROM d GROUP BY x, y), k AS (SELECT sum(CASE WHEN (a.x - b.x) * (a.y - b.y) > 0 THEN a.w * b.w ELSE 0 END) / 2 AS con, sum(CASE WHEN (a.x - b.x) * (a.y - b.y) < 0 THEN a.w * b.w ELSE 0 END) / 2 AS dis FROM p a, p b), "
+
+
+@query(
+    _RANKS + "m AS (SELECT count(*) AS n, (SELECT sum(w * (w - 1)) FROM (SELECT CAST(count(*) AS DOUBLE) AS w FROM d GROUP BY x)) AS tx, (SELECT sum(w * (w - 1)) FROM (SELECT CAST(count(*) AS DOUBLE) AS w FROM d GROUP BY y)) AS ty FROM d) "
+    "SELECT n, round((SELECT corr(x, y) FROM d), 9) AS pearson, round((SELECT corr(rx, ry) FROM r), 9) AS spearman, round((con - dis) / sqrt((n * (n - 1) / 2 - tx / 2) * (n * (n - 1) / 2 - ty / 2)), 9) AS kendall FROM k, m"
+)
+def score_correlation(t):
+    """Of two scores with many ties; the SQL counts every pair of distinct values."""
+    two = t("part").select(c("p_size").alias("x"), F.floor(c("p_retailprice") / 10).alias("y"))
+    return M.correlations(two, "x", "y").select("n", *(F.round(x, 9).alias(x) for x in ("pearson", "spearman", "kendall")))
 
 
 @query(r"SELECT role, sum(n) AS tokens, round(sum(n) * 5.0 / 1e6 * 0.5, 9) AS usd, round(sum(n) * 5.0 / 1e6 * 0.5 * 0.78, 9) AS gbp FROM (SELECT role, len(regexp_extract_all(text, '\S+')) + 3 AS n FROM conversations) GROUP BY role")
@@ -387,9 +430,16 @@ def regex_repair(t):
     return t("documents").select("doc_id", K.repair(F.concat(said, F.when(c("lang") == "en", lit('", "refusal": null}')).otherwise(lit('\\"\\n}", "refusal": null}')))).alias("line"))
 
 
-@query("SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 300) + 1 AS INTEGER) AS file FROM documents")
+@query("SELECT doc_id, md5(text) AS digest, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 300) + 1 AS INTEGER) AS file FROM documents")
 def split_batches(t):
-    return O.number_rows(t("documents").select("doc_id"), "doc_id").select("doc_id", K.split_number(c("n"), 300).alias("file"))
+    return O.number_rows(t("documents").select("doc_id", "text"), "doc_id").select("doc_id", F.md5(c("text").cast("binary")).alias("digest"), K.split_number(c("n"), 300).alias("file"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS n FROM orders")
+def numbered_rows(t):
+    """Whole rows, numbered by two keys."""
+    own = t("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    return O.running(own, [], [c("o_totalprice"), c("o_orderkey")], n=lit(1).cast("long"))
 
 
 TEMPLATE = "Case {name} in {lang}: {text}\nAnswer with a level."
@@ -419,10 +469,11 @@ def few_shot_examples(t):
 
 @query("WITH l AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS cands FROM orders GROUP BY o_custkey), n AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) SELECT n.o_custkey, n.o_orderkey, CASE WHEN 11 - n.n >= 1 THEN cands[11 - n.n] END AS negative FROM n JOIN l ON n.o_custkey = l.o_custkey WHERE CASE WHEN 11 - n.n >= 1 THEN cands[11 - n.n] END IS NOT NULL")
 def negative_mining(t):
+    """The n-th order takes the candidate at place 10 - n: only the first places of a list are wanted, so only they are kept and joined."""
     own = t("orders").select("o_custkey", "o_orderkey")
-    ranked = own.groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("cands"))
-    n = own.withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
-    return n.join(ranked, "o_custkey").select("o_custkey", "o_orderkey", F.get("cands", lit(10) - c("n")).alias("negative")).filter("negative is not null")
+    n = own.withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).filter(c("n") <= 10)
+    other = n.select("o_custkey", c("o_orderkey").alias("negative"), (lit(11) - c("n")).alias("n"))
+    return n.join(other, ["o_custkey", "n"]).select("o_custkey", "o_orderkey", "negative")
 
 
 @query("SELECT d.doc_id, md5(lower(d.lang)) AS a, md5(lower(CASE WHEN label = 1 THEN d.source ELSE reverse(d.source) END)) AS b, label FROM documents d CROSS JOIN (SELECT unnest([1, 0]) AS label)")
@@ -463,7 +514,7 @@ def mmr(t):
     e = t("embeddings").select(c("vec_id").alias("id"), c("embedding").alias("v"))
     q = e.filter("id % 25 = 0").select(c("id").alias("q"), c("v").alias("qv"))
     fetched = R.nearest(q, e, 50).select("q", "id")
-    return R.mmr(fetched.join(e, "id").join(F.broadcast(q), "q").select("q", "qv", "id", "v"), 10)
+    return R.mmr(fetched.join(e, "id").join(q, "q").select("q", "qv", "id", "v"), 10)
 
 
 @query(
@@ -661,3 +712,43 @@ def mine_pairs(t):
     ranked = t("lineitem").groupBy(c("l_orderkey").alias("case")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: F.concat(lit("c"), x["l_suppkey"].cast("string"))).alias("candidates"))
     pairs = N.with_negatives(N.positives(cases, outcomes, "file"), ranked, 2)
     return N.labelled(N.with_texts(pairs, outcomes, t("orders").select(c("o_orderkey").alias("case"), c("o_orderpriority").alias("summary")), "file"))
+
+
+# the pair classifier
+
+
+def _answers(t):
+    """A pair for each user turn with an answer: the answer, and the one at the same turn of the next conversation."""
+    said = t("conversations")
+    answer = said.filter("role = 'assistant'").select("conv_id", (c("turn") - 1).alias("turn"), c("text").alias("positive"))
+    other = answer.select((c("conv_id") - 1).alias("conv_id"), "turn", c("positive").alias("negative"))
+    pairs = said.filter("role = 'user'").select("conv_id", "turn", "text").join(answer, ["conv_id", "turn"]).join(other, ["conv_id", "turn"])
+    e = t("embeddings").select(c("vec_id").alias("conv_id"), c("embedding").alias("va"))
+    both = N.labelled(pairs, "conv_id", "turn").withColumn("pair", F.concat_ws(":", "conv_id", "turn", "label"))
+    near = both.join(e, "conv_id", "left")
+    return near.withColumn("o", c("conv_id") + 1 - c("label")).join(e.select(c("conv_id").alias("o"), c("va").alias("vb")), "o", "left").drop("o")
+
+
+def _pair_scores(t):
+    featured = C.pair_features(_answers(t), vectors=("va", "vb")).select("conv_id", "turn", "pair", "x", c("label").alias("y"))
+    rows = settle(O.group_folds(featured, "conv_id"), "pair_features")
+    return C.out_of_fold(rows, C.fit(rows))
+
+
+@query(None)
+def pair_scores(t):
+    """Each pair's score by the model of its fold, which never saw the conversation; tests hold the fit against plain numpy."""
+    return _pair_scores(t).select("conv_id", "turn", c("y").alias("label"), "fold", F.round("score", 5).alias("score"))
+
+
+@query(None)
+def pair_evaluation(t):
+    """Average precision and the best thresholds of the classifier on each fold that it didn't see."""
+    kept = ("ap", "f1", "f1_threshold", "accuracy", "accuracy_threshold")
+    return M.binary_by_fold(_pair_scores(t), "fold", "score", "y").select("fold", "n", "positives", *(F.round(x, 5).alias(x) for x in kept))
+
+
+@query(None)
+def group_kfold(t):
+    """All orders of a customer in one fold; a test holds sizes and groups against plain counts."""
+    return O.group_folds(t("orders").select("o_orderkey", "o_custkey"), "o_custkey").select("o_orderkey", "o_custkey", "fold")
