@@ -180,6 +180,12 @@ def bm25_tables(docs: DataFrame, floor: float = 0.25) -> dict[str, DataFrame]:
     return {"postings": tf, "sizes": size, "weights": weight, "stats": stats}
 
 
+def by_terms(postings: DataFrame, asked: DataFrame) -> DataFrame:
+    """``postings(term, ...)`` joined to ``asked(q, term, ...)``: broadcast where a count shows few rows. A term of very many postings
+    meets its queries in Spark's skew join, which splits it."""
+    return postings.join(F.broadcast(asked) if asked.limit(FEW_TERMS + 1).count() <= FEW_TERMS else asked, "term")
+
+
 def bm25_search(queries: DataFrame, tables: dict[str, DataFrame], k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(q, id, score, rank) over ``queries(q, text)``, a stated set, which thins the postings before scores are summed."""
     asked = terms(queries, "q", "text").withColumnRenamed("f", "qf")

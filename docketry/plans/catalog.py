@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from docketry.functions import results as A
 from docketry.functions import text as T
+from docketry.operators import cells as L
 from docketry.operators import classifier as C
 from docketry.operators import metrics as M
 from docketry.operators import mining as N
+from docketry.operators import postings as B
 from docketry.operators import prompts as P
 from docketry.operators import retrieval as R
 from docketry.operators import rows as O
@@ -509,6 +511,30 @@ def asof_knn(t):
     return R.nearest(q, v, 10, earlier=True, group="grp").select("q", "grp", "d", "rank")
 
 
+@query(ORACLES["knn_topk"])
+def cell_knn(t):
+    """The rows of ``knn_topk`` from an index of cells."""
+    e = t("embeddings").select(c("vec_id").alias("id"), c("embedding").alias("v"))
+    return L.search(e.filter("id % 25 = 0").withColumnRenamed("id", "q"), L.build(e), 5).select("q", "id", "d", "rank")
+
+
+@query(ORACLES["asof_knn"])
+def cell_asof(t):
+    """The rows of ``asof_knn`` from an index of cells whose blocks are in order of date."""
+    v = t("embeddings").join(t("events"), c("vec_id") == c("event_id")).select(c("vec_id").alias("id"), c("embedding").alias("v"), "ts", c("user_id").alias("grp"))
+    asked = v.filter("id % 25 = 0").select(c("id").alias("q"), "v", "ts")
+    return L.search(asked, L.build(v, "grp", "ts"), 10).select("q", "grp", "d", "rank")
+
+
+@query("WITH v AS (SELECT e.vec_id, ev.ts, ev.user_id FROM embeddings e JOIN events ev ON e.vec_id = ev.event_id) SELECT q.vec_id AS q, least(count(DISTINCT e.user_id), 400) AS n_found, count(DISTINCT e.user_id) >= 400 AS complete FROM v q LEFT JOIN v e ON e.ts < q.ts WHERE q.vec_id % 25 = 0 GROUP BY 1")
+def cell_asof_found(t):
+    """How many of 400 wanted groups lie before each query, from the pass that ranks them; some queries come too early."""
+    v = t("embeddings").join(t("events"), c("vec_id") == c("event_id")).select(c("vec_id").alias("id"), c("embedding").alias("v"), "ts", c("user_id").alias("grp"))
+    asked = v.filter("id % 25 = 0").select(c("id").alias("q"), "v", "ts")
+    found = R.count_found(asked, L.search(asked, L.build(v, "grp", "ts"), 400), 400)
+    return found.withColumn("complete", c("n_found") >= 400)
+
+
 @query(None)
 def mmr(t):
     e = t("embeddings").select(c("vec_id").alias("id"), c("embedding").alias("v"))
@@ -526,6 +552,15 @@ def bm25_topk(t):
     return R.bm25(t("benchmark").select(c("item_id").alias("q"), "text"), t("documents").select(c("doc_id").alias("id"), "text"), 5)
 
 
+@query(ORACLES["bm25_topk"])
+def bm25_grown(t):
+    """The rows of ``bm25_topk`` from a saved index that got its documents in two batches; buckets below the fifth score stay closed."""
+    docs = t("documents").select(c("doc_id").alias("id"), "text")
+    folder = B.temporary(docs.sparkSession, "bm25")
+    B.grow(docs.join(t("labels").select(c("doc_id").alias("id")), "id", "left_anti"), folder)
+    return B.search(t("benchmark").select(c("item_id").alias("q"), "text"), B.grow(docs, folder), 5)
+
+
 @query(f"SELECT q, id, round(1 - sqrt(d) / sqrt(2.0), 9) AS relevance FROM (SELECT q, id, d, row_number() OVER (PARTITION BY q ORDER BY d, id) AS rank FROM (SELECT q.vec_id AS q, e.vec_id AS id, {_D} AS d FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 25 = 0)) WHERE rank <= 5")
 def knn_relevance(t):
     return knn_topk(t).select("q", "id", F.round(R.relevance(c("d")), 9).alias("relevance"))
