@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docketry.operators.chunks import SEPARATORS, lengths, one_by_one
+from docketry.operators.chunks import recursive_chunks as measured_chunks
+
 #: Query vectors that are broadcast at a time; a larger stated set is searched in blocks of this size.
 QUERY_BLOCK = 20_000
 #: Distinct query terms that may be broadcast; beyond that the join shuffles.
@@ -24,55 +27,9 @@ def chunk_tokens(df: DataFrame, key: str, text: str, size: int = 512, overlap: i
     return w.select(key, "w", F.posexplode(starts).alias("pos", "start")).select(key, "pos", F.array_join(F.slice("w", F.col("start"), size), " ").alias("chunk"))
 
 
-SEPARATORS = ("\n\n", "\n", " ", "")
-
-
-def _pieces(text: str, size: int, overlap: int, separators: tuple[str, ...], count: Callable[[str], int]) -> list[str]:
-    """Chunks of at most ``size`` by ``count``: split at the first separator that occurs, at finer ones where a part is too long."""
-    at = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
-    mark, finer = separators[at], separators[at + 1 :]
-    parts = [x for x in (text.split(mark) if mark else list(text)) if x]
-    between, out, run, sizes = count(mark) if mark else 0, [], [], []
-
-    def total() -> int:
-        return sum(sizes) + between * max(0, len(sizes) - 1)
-
-    def close() -> None:
-        if joined := mark.join(run).strip():
-            out.append(joined)
-
-    for part in parts:
-        n = count(part)
-        if n > size and finer:
-            if run:
-                close()
-                run, sizes = [], []
-            out += _pieces(part, size, overlap, finer, count)
-            continue
-        if run and total() + n + between > size:
-            close()
-            while run and (total() > overlap or total() + n + between > size):
-                run, sizes = run[1:], sizes[1:]
-        run, sizes = [*run, part], [*sizes, n]
-    if run:
-        close()
-    return out
-
-
-def recursive_chunks(df: DataFrame, key: str, text: str, size: int, overlap: int, count: Callable[[str], int] = len, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
-    """(key, pos, chunk): texts split at paragraphs, else lines, else words, else characters, so that each chunk counts at most
-    ``size`` and begins with up to ``overlap`` of the chunk before. ``count`` is any tokenizer's; null and empty texts have none."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            found = [_pieces(x, size, overlap, separators, count) if x else [] for x in batch.column("text").to_pylist()]
-            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            pos = np.concatenate([np.arange(len(x), dtype=np.int32) for x in found] or [np.zeros(0, np.int32)])
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at)), pa.array(pos), pa.array([c for x in found for c in x], pa.string())], names=["key", "pos", "chunk"])
-
-    out = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, pos int, chunk string")
-    return out.withColumnRenamed("key", key)
+def recursive_chunks(df: DataFrame, key: str, text: str, size: int, overlap: int, count: Callable[[str], int] | None = None, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
+    """``chunks.recursive_chunks`` with a measure of one text, the number of its characters by default."""
+    return measured_chunks(df, key, text, size, overlap, (lambda: one_by_one(count)) if count else (lambda: lengths), separators)
 
 
 def with_parents(hits: DataFrame, parents: DataFrame, key: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docketry.functions import results as A
 from docketry.functions import text as T
 from docketry.operators import cells as L
+from docketry.operators import chunks as H
 from docketry.operators import classifier as C
 from docketry.operators import metrics as M
 from docketry.operators import mining as N
@@ -590,6 +591,34 @@ def recursive_chunks(t):
     return R.recursive_chunks(t("documents"), "doc_id", "text", 1000, 100).select("doc_id", "pos", F.md5(c("chunk").cast("binary")).alias("digest"))
 
 
+#: Sizes and overlaps, in tokens, at which an index is built.
+TOKEN_SIZES = ((512, 50), (1024, 100), (2048, 100))
+
+
+@query(None)
+def token_chunks(t):
+    """Recursive chunks of all documents at three sizes, measured by a byte-level tokenizer; tests hold the rule and the sizes."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    cut = lambda size, overlap: H.recursive_chunks(t("documents"), "doc_id", "text", size, overlap, lambda: H.tokenizer(path))
+    made = [cut(*x).select("doc_id", lit(x[0]).alias("size"), "pos", F.md5(c("chunk").cast("binary")).alias("digest")) for x in TOKEN_SIZES]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+@query(r"WITH w AS (SELECT doc_id, md5(text) AS parent, regexp_extract_all(text, '\S+') AS w FROM documents), s AS (SELECT doc_id, parent, w, unnest(generate_series(1, greatest(len(w) - 10, 1), 54)) AS st FROM w WHERE len(w) > 0) SELECT doc_id, CAST((st - 1) // 54 AS INTEGER) AS pos, md5(array_to_string(list_slice(w, st, st + 63), ' ')) AS digest, parent FROM s")
+def followed_chunks(t):
+    """A saved index of chunks that was built on other documents and other texts, brought up to date and joined to its parents."""
+    docs = t("documents").select(c("doc_id").alias("id"), "text")
+    folder = B.temporary(docs.sparkSession, "chunks")
+    cut = lambda df: R.chunk_tokens(df, "id", "text", 64, 10)
+    known = docs.join(t("labels").select(c("doc_id").alias("id")), "id", "left_anti").withColumn("text", F.when(F.length("text") > 2000, F.reverse("text")).otherwise(c("text")))
+    H.follow(known.unionByName(docs.select((-c("id") - 1).alias("id"), "text")), folder, cut)
+    index = H.follow(docs, folder, cut)
+    digest = lambda x: F.md5(c(x).cast("binary"))
+    return index.chunks.join(index.parents, "id").select(c("id").alias("doc_id"), "pos", digest("chunk").alias("digest"), digest("text").alias("parent"))
+
+
 # responses, code lists, costs
 
 
