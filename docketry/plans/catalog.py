@@ -12,6 +12,7 @@ from docketry.functions import text as T
 from docketry.operators import cells as L
 from docketry.operators import chunks as H
 from docketry.operators import classifier as C
+from docketry.operators import encoder as E
 from docketry.operators import metrics as M
 from docketry.operators import mining as N
 from docketry.operators import postings as B
@@ -619,6 +620,14 @@ def followed_chunks(t):
     return index.chunks.join(index.parents, "id").select(c("id").alias("doc_id"), "pos", digest("chunk").alias("digest"), digest("text").alias("parent"))
 
 
+@query(None)
+def encoded_documents(t):
+    """Vectors of all documents by an encoder fitted on them; a test holds the fitted space against numpy's on a small table."""
+    docs = t("documents").select("doc_id", "text")
+    vectors, weights = E.fit(E.weighted_terms(docs, "doc_id", "text"), "doc_id", 8, 6)
+    return E.encode(docs, "doc_id", "text", vectors, weights).select("doc_id", F.transform("v", lambda x: F.round(x, 4)).alias("v"))
+
+
 # responses, code lists, costs
 
 
