@@ -35,6 +35,7 @@ FAMILIES = {
     "chamber": (_CASE, "Predict the formation that decides the case."),
     "keywords": (_CASE, "Give the numbers of the keywords that fit; all of these cases have 350."),
     "summary_communicated": ("Summarise the key facts of this communicated case, once in 200 and once in 500 words.\nAnswer in JSON with the schema {schema}.\nThe case: {text}", ""),
+    "summary_one": ("Summarise this communicated case, its subject matter and the questions put to the parties, in your own words.\nAnswer in JSON with the schema {schema}.\nThe case: {text}", ""),
     "summary_outcome": ("Summarise the key facts and the law of this decided case, once in 200 and once in 500 words.\nAnswer in JSON with the schema {schema}.\nThe case: {text}", ""),
 }
 #: The variants of a question by name: whether the database is named, whether the model must consult it, whether it may be unsure.

@@ -51,9 +51,9 @@ def clean_text(t):
     return t("documents").select("doc_id", F.md5(T.clean(c("text")).cast("binary")).alias("digest"))
 
 
-@query("SELECT doc_id, source || lang AS name FROM documents")
+@query("SELECT page_id, replace(url, '.html', '') AS name FROM pages")
 def drop_extension(t):
-    return t("documents").select("doc_id", T.drop_extension(F.concat("source", lit(".txt"), "lang", lit(".txt"))).alias("name"))
+    return t("pages").select("page_id", T.drop_extension(c("url"), ".html").alias("name"))
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS words FROM documents")
@@ -286,10 +286,22 @@ def kfold(t):
     return O.folds(t("documents").select("doc_id"), "doc_id")
 
 
-@query("SELECT z AS zero_shot, s AS text, i AS variant FROM (SELECT unnest([true, false]) AS z) CROSS JOIN (SELECT unnest([1, 2, 3]) AS s) CROSS JOIN (SELECT unnest(['first', 'second']) AS i)")
+@query("SELECT lang, n, z AS zero_shot, s AS text, i AS variant FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang) CROSS JOIN (SELECT unnest([true, false]) AS z) CROSS JOIN (SELECT unnest([1, 2, 3]) AS s) CROSS JOIN (SELECT unnest(['first', 'second']) AS i)")
 def param_grid(t):
-    spark = t("region").sparkSession
-    return O.grid(spark, zero_shot=[True, False], text=[1, 2, 3], variant=["first", "second"]).select("zero_shot", "text", "variant")
+    """The runs planned for the cases of each language: every combination of settings, with the number of requests it makes."""
+    settings = O.grid(t("documents").sparkSession, zero_shot=[True, False], text=[1, 2, 3], variant=["first", "second"])  # twelve rows
+    cases = t("documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return cases.join(F.broadcast(settings)).select("lang", "n", "zero_shot", "text", "variant")
+
+
+_GRID = ((64, 10), (128, 10), (256, 20))
+
+
+@query(r"WITH w AS (SELECT len(regexp_extract_all(text, '\S+')) AS n FROM documents), g AS (SELECT unnest([64, 128, 256]) AS size, unnest([10, 10, 20]) AS overlap) SELECT size, overlap, CAST(sum(len(generate_series(1, greatest(n - overlap, 1), size - overlap))) AS BIGINT) AS chunks, count(*) AS documents FROM w, g WHERE n > 0 GROUP BY size, overlap")
+def chunk_grid(t):
+    """How many chunks an index of all documents has at each size and overlap."""
+    made = [R.chunk_tokens(t("documents"), "doc_id", "text", size, overlap).select(lit(size).alias("size"), lit(overlap).alias("overlap"), "doc_id") for size, overlap in _GRID]
+    return made[0].unionByName(made[1]).unionByName(made[2]).groupBy("size", "overlap").agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents"))
 
 
 # aggregations and scores
@@ -737,6 +749,28 @@ for _name, _rows in {
     query(_sql)(_run)
 
 
+_BEFORE = "You are shown the subject matter of the case and the questions put to the parties of a communicated case.\nEasy: applies existing case law or goes little beyond it; Hard: develops, clarifies or changes the case law.\n"
+_AFTER = "\nPredict whether the case is Easy or Hard.\nIf you cannot tell, say that you do not have enough information.\nAnswer in JSON with the schema difficulty.\nThe case: "
+
+
+@query(
+    "WITH x AS (SELECT string_agg(y || ': ' || said, '; ' ORDER BY y, doc_id) AS shown FROM (SELECT CASE WHEN quality = 1 THEN 'Hard' ELSE 'Easy' END AS y, l.doc_id, d.lang || ' ' || d.source AS said, row_number() OVER (PARTITION BY quality ORDER BY md5('11:' || l.doc_id), l.doc_id) AS r FROM labels l JOIN documents d ON l.doc_id = d.doc_id) WHERE r = 1) "
+    f"SELECT doc_id, md5({_literal(_BEFORE)} || shown || {_literal(_AFTER)} || lang || ' ' || text || chr(10)) AS digest FROM documents, x"
+)
+def prompt_composed(t):
+    """One candidate for each label, composed into the examples of every prompt; the SQL has the prompt's text written out."""
+    picked = O.sample_strata(t("labels").select("doc_id", "quality"), "quality", "doc_id", 1, "11").join(t("documents").select("doc_id", "lang", "source"), "doc_id")
+    label = F.when(c("quality") == 1, "Hard").otherwise("Easy")
+    shown = picked.agg(P.examples_by_label(label, F.concat_ws(" ", "lang", "source"), F.struct(label.alias("y"), c("doc_id"))).alias("shown"))
+    said = P.prompt("difficulty", "difficulty", {"text": P.select_text(lit(3), c("lang"), c("text"))}, c("shown"))
+    return t("documents").join(F.broadcast(shown)).select("doc_id", F.md5(said.cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id, md5('Summarise this communicated case, its subject matter and the questions put to the parties, in your own words.' || chr(10) || 'Answer in JSON with the schema one.' || chr(10) || 'The case: ' || lang || ' ' || text) AS digest FROM documents")
+def prompt_one_summary(t):
+    return t("documents").select("doc_id", F.md5(P.prompt("summary_one", "one", {"text": P.select_text(lit(3), c("lang"), c("text"))}).cast("binary")).alias("digest"))
+
+
 @query("SELECT doc_id, CASE source WHEN 'src0' THEN 'difficulty' WHEN 'src1' THEN 'court' WHEN 'src2' THEN 'chamber' ELSE 'importance' END AS family FROM documents")
 def prompt_dispatch(t):
     kind = F.when(c("source") == "src0", "binary_difficulty").when(c("source") == "src1", "binary_court").when(c("source") == "src2", "chamber_court")
