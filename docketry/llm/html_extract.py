@@ -4,11 +4,14 @@ Markup comes first: inside ``article`` (else ``main``) every block may be main t
 forms, scripts, styles, and elements whose class, id or role names an advert, notice, comment or the like are not. Pages
 without such an element offer all their other blocks. Then every page goes through its host: runs of at least MIN_RUN tokens
 that stand on MIN_PAGES distinct pages of the host are found, and blocks mostly covered by them go; others stay whole. Pages
-with equal blocks count as one, so exact copies of an article survive; a page whose markup names the article is never emptied.
+with equal blocks count as one, so exact copies of an article survive. Where markup names the article, more is asked: a run must
+stand on SHARE of all the host's pages (and on MIN_PAGES), its blocks at the article's head or tail, and all that goes be at
+most EDGE of the article's tokens. So lines that some articles share, and editions of one article, stay whole; a notice that a
+host puts around its articles goes.
 
 Pages are dealt into chunks, and the parsed pages written in buckets by chunk, so that they are never shuffled. Suffix arrays
 number the runs of a chunk and count their pages; sorted keys of the runs meet in ranges, over all chunks, and each chunk gets
-back one bit a run: whether it is repeated. So no host is in one task, nor in one array. A key has SPARE bits more than the
+back, of the runs on MIN_PAGES pages, a bit and the number of pages. So no host is in one task, nor in one array. A key has SPARE bits more than the
 number of tokens: two different runs have the same one with a chance of 2**-SPARE at most, at every size. A run that stands
 on two pages may so, once in 2**SPARE times, be taken for one on three; one that stands on one page once in 4**SPARE.
 """
@@ -31,6 +34,8 @@ from docketry.llm.url_filter import host_path
 
 #: A run of so many tokens on so many distinct pages of a host is boilerplate; a block goes when more than this share of it is covered.
 MIN_RUN, MIN_PAGES, COVERED = 6, 3, 0.5
+#: In an article named by markup: the share of the host's pages a run must stand on, and the most of an article that goes.
+SHARE, EDGE = 0.5, 0.2
 #: Bytes of text in a chunk, in one suffix array, and for each bucket in which the runs' keys meet.
 CHUNK, BLOCK, MEET = 24_000_000, 4_000_000, 16_000_000
 #: Bits of a run's key beyond those that number all tokens; the least and largest range of a key's high part.
@@ -277,7 +282,7 @@ def _pages(table: pa.Table):
 
 
 def _counter(keys: Keys):
-    """Rows (bucket, chunk, low, high, n): the distinct runs of a chunk, and on how many of its pages each stands, at most MIN_PAGES."""
+    """Rows (bucket, chunk, low, high, n): the distinct runs of a chunk, and on how many of its pages each stands."""
     names = ["bucket", "chunk", "low", "high", "n"]
     kinds = pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)))
 
@@ -292,14 +297,14 @@ def _counter(keys: Keys):
             new = np.concatenate(([True], rank[order][1:] != rank[order][:-1]))
             one = (new | np.concatenate(([True], own[order][1:] != own[order][:-1]))) & fresh[own[order]]
             starts = np.flatnonzero(new)
-            counts.append(np.minimum(np.add.reduceat(one.astype(np.int64), starts), MIN_PAGES))
+            counts.append(np.add.reduceat(one.astype(np.int64), starts))
             found.append(keys.of(hashes[order[starts]]))
         if not found:
             return kinds.empty_table()
         whole, n = np.concatenate(found), np.concatenate(counts)
         order = np.argsort(whole, kind="stable")
         starts = np.flatnonzero(np.concatenate(([True], whole[order][1:] != whole[order][:-1])))
-        n = np.minimum(np.add.reduceat(n[order], starts), MIN_PAGES).astype(np.uint8)
+        n = np.add.reduceat(n[order], starts).astype(np.uint32)
         some, cuts, low, high = keys.pack(whole[order[starts]])
         chunk = np.full(len(some), pages["chunk"][0].as_py(), np.int64)
         return pa.Table.from_arrays(
@@ -310,20 +315,34 @@ def _counter(keys: Keys):
 
 
 def _meet(keys: Keys):
-    """(chunk, bucket, hit): one bit for each of a chunk's runs in a bucket, set if it stands on MIN_PAGES pages of its host over all chunks."""
+    """(chunk, bucket, hit, n): one bit for each of a chunk's runs in a bucket, set if it stands on MIN_PAGES pages of its host over all
+    chunks, and for those the number of pages."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         each = [keys.unpack(x, y) for x, y in zip(frame["low"], frame["high"], strict=True)]
         _, at = np.unique(np.concatenate(each), return_inverse=True)
-        many = np.bincount(at, np.frombuffer(b"".join(frame["n"]), np.uint8)) >= MIN_PAGES
-        hit = np.split(many[at], np.cumsum([len(x) for x in each])[:-1])
+        pages = np.bincount(at, np.frombuffer(b"".join(frame["n"]), np.uint32))[at].astype(np.uint32)
+        cuts = np.cumsum([len(x) for x in each])[:-1]
+        hit, n = np.split(pages >= MIN_PAGES, cuts), np.split(pages, cuts)
         some = np.array([x.any() for x in hit], bool)
-        out = pd.DataFrame({"chunk": frame["chunk"], "bucket": frame["bucket"], "hit": [np.packbits(x).tobytes() for x in hit]})
-        return out[some]
+        out = pd.DataFrame({"chunk": frame["chunk"], "bucket": frame["bucket"], "hit": [np.packbits(x).tobytes() for x in hit], "n": [y[x].tobytes() for x, y in zip(hit, n, strict=True)]})
+        return out[some].assign(host=None, pages=0)
 
     return run
 
 
+def _left(blocks: list[str], gone: np.ndarray, sizes: np.ndarray, sure: bool) -> list[str]:
+    """The blocks that stay. Of an article named by markup only head and tail go, and only a small part of it."""
+    if sure:
+        ends = np.flatnonzero(~gone)
+        gone = gone.copy()
+        if len(ends):
+            gone[ends[0] : ends[-1] + 1] = False
+        if not len(ends) or sizes[gone].sum() > EDGE * sizes.sum():
+            return blocks
+    return [b for b, x in zip(blocks, gone, strict=True) if not x]
+
+
 def _judge(keys: Keys):
     """The pages of a chunk less their blocks that the host's repeated runs cover."""
 
@@ -333,20 +352,23 @@ def _judge(keys: Keys):
             parts = [(first, size, len(tokens), page, at, keys.of(hashes)) for first, size, (tokens, page, at, hashes) in _pages(pages)]
             whole = np.unique(np.concatenate([x[-1] for x in parts]))
             some, cuts = keys.cells(whole)
-            repeats, place = np.zeros(len(whole), bool), np.searchsorted(some, hits["bucket"].to_numpy())
-            for k, bits in zip(place.tolist(), hits["hit"].to_pylist(), strict=True):
-                n = int(cuts[k + 1] - cuts[k])
-                repeats[cuts[k] : cuts[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
-            known = whole[repeats]
+            counts, special = np.zeros(len(whole), np.int64), hits["bucket"].to_numpy() < 0
+            sizes = dict(zip(hits["host"].filter(pa.array(special)).to_pylist(), hits["pages"].filter(pa.array(special)).to_pylist(), strict=True))
+            hosts, own_hits = pages["host"].to_pylist(), hits.filter(pa.array(~special))
+            place = np.searchsorted(some, own_hits["bucket"].to_numpy())
+            for k, bits, n in zip(place.tolist(), own_hits["hit"].to_pylist(), own_hits["n"].to_pylist(), strict=True):
+                width = int(cuts[k + 1] - cuts[k])
+                counts[cuts[k] : cuts[k + 1]][np.unpackbits(np.frombuffer(bits, np.uint8), count=width).astype(bool)] = np.frombuffer(n, np.uint32)
             for first, size, n, page, at, own in parts:
-                hidden = np.concatenate(([0], np.cumsum(_covered(at[np.isin(own, known)], n))))
+                least = np.array([max(MIN_PAGES, SHARE * sizes.get(hosts[first + k], 0)) if sure[first + k] else MIN_PAGES for k in range(size)])
+                many = counts[np.searchsorted(whole, own)] >= least[page[at]]
+                hidden = np.concatenate(([0], np.cumsum(_covered(at[many], n))))
                 bounds = np.searchsorted(page, np.arange(size + 1))
                 for k in np.flatnonzero(hidden[bounds[1:]] > hidden[bounds[:-1]]).tolist():
                     text = texts[first + k].split("\n\n")
                     ends = bounds[k] + np.concatenate(([0], np.cumsum([b.count(" ") + 1 for b in text])))
-                    kept = [b for b, x, y in zip(text, ends[:-1].tolist(), ends[1:].tolist(), strict=True) if hidden[y] - hidden[x] <= COVERED * (y - x)]
-                    if kept or not sure[first + k]:
-                        texts[first + k] = "\n\n".join(kept)
+                    width = np.diff(ends)
+                    texts[first + k] = "\n\n".join(_left(text, hidden[ends[1:]] - hidden[ends[:-1]] > COVERED * width, width, sure[first + k]))
             pages = pages.set_column(pages.column_names.index("text"), "text", pa.array(texts, pa.string()))
         return pages.select(["page_id", "url", "text"])
 
@@ -370,12 +392,15 @@ def extract(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
     if not size:
         return parsed.select(F.col("page_id").cast(kind).alias("page_id"), "url", "text")
     # pages of a host with equal blocks count as one: all but the first are marked
-    each = settle(parsed.select("uid", "chunk", F.xxhash64("host", "text").alias("digest")), "digests")
+    each = settle(parsed.select("uid", "chunk", "host", F.xxhash64("host", "text").alias("digest")), "digests")
     heads = each.groupBy("digest").agg(F.min("uid").alias("first"), F.count("*").alias("n")).filter("n > 1")
     again = each.join(heads, "digest").filter("uid <> first").select("chunk", "uid")
+    # each chunk learns how many distinct pages its hosts have
+    of_host = each.select("host", "digest").distinct().groupBy("host").agg(F.count("*").cast("int").alias("pages"))
+    sizes = each.select("chunk", "host").distinct().join(of_host, "host").select("chunk", F.lit(-1).cast("long").alias("bucket"), F.lit(b"").alias("hit"), F.lit(b"").alias("n"), "host", "pages")
     keys = Keys(int(size), int(max(partitions(spark), size // MEET + 1)))
     runs = parsed.select("chunk", "uid", "host", "text").groupBy("chunk").cogroup(again.groupBy("chunk")).applyInArrow(_counter(keys), "bucket long, chunk long, low binary, high binary, n binary")
-    hits = runs.groupBy("bucket").applyInPandas(_meet(keys), "chunk long, bucket long, hit binary")
+    hits = runs.groupBy("bucket").applyInPandas(_meet(keys), "chunk long, bucket long, hit binary, n binary, host string, pages int").unionByName(sizes)
     left = parsed.select("chunk", "page_id", "url", "host", "text", "sure").groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(_judge(keys), "page_id string, url string, text string")
     return left.select(F.col("page_id").cast(kind).alias("page_id"), "url", "text")
 

@@ -284,7 +284,7 @@ def test_html_extraction_counts_over_the_whole_host(spark):
 
 
 def test_html_extraction_counts_over_the_whole_host_and_inside_articles(spark):
-    """A notice on few pages of a large host goes, also inside articles; exact copies of one article stay."""
+    """A notice on few pages of a large host goes, but for articles named by markup, of which it may be a part; exact copies of one article stay."""
     rng = random.Random(13)
     words = lambda n: " ".join(f"{rng.choice('abcdef')}{rng.randrange(10**9)}" for _ in range(n))
     notice, copy = "This very notice stands on few pages of its host", words(40)
@@ -295,10 +295,32 @@ def test_html_extraction_counts_over_the_whole_host_and_inside_articles(spark):
     pages += [(6000 + i, f"http://two{i // 2}.org/", f"<article><p>{words(9)}</p><p>{notice}</p></article>") for i in range(4)]
     got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert sum(notice in p[2] for p in pages[:2000]) == 8
-    assert {i: t for i, t in got.items() if i < 5000} == own
+    assert {i: t for i, t in got.items() if i < 5000} == {i: t + f"\n\n{notice}" * (i % 500 == 0) for i, t in own.items()}
     assert all(got[5000 + i] == copy for i in range(5)) and all(got[6000 + i].endswith(f"\n\n{notice}") for i in range(4))
 
 
+def test_html_extraction_keeps_articles(spark):
+    """Editions of one article stay whole, as do lines that many articles share; what most of a host's articles begin or end with goes."""
+    rng = random.Random(14)
+    words = lambda n: " ".join(f"{rng.choice('abcdef')}{rng.randrange(10**9)}" for _ in range(n))
+    title, text = words(8), [words(30) for _ in range(4)]
+    page = lambda i, host, blocks: (i, f"http://{host}/{i}", "<article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>")
+    pages, want = [], {}
+    for i in range(3):
+        want[i] = [title, *text, f"Updated edition number {i} of this"]
+        pages.append(page(i, "editions.org", want[i]))
+    notice, line = words(9), words(9)
+    for i in range(100, 160):
+        want[i] = [words(60), *[line] * (i % 3 == 0), words(60)]
+        pages.append(page(i, "many.org", [*[notice] * (i % 4 == 0), *want[i], *[notice] * (i % 4 in (1, 2))]))
+    for i in range(200, 240):  # the notice is not at an end, or is most of the article
+        want[i] = [words(60), notice, words(60)] if i % 2 else [notice, words(12)]
+        pages.append(page(i, "other.org", want[i]))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    for chunk in (html_extract.CHUNK, 2_000):
+        assert {r.page_id: r.text for r in html_extract.extract(df, chunk).collect()} == {i: "\n\n".join(b) for i, b in want.items()}
+
+
 def test_license_rules_need_no_word_but_their_own(spark):
     """Texts that never say license, against each rule alone; the anchors stand in whatever their templates match."""
     rng = random.Random(14)
