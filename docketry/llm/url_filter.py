@@ -2,7 +2,10 @@
 
 Rules judge urls directly. A host's seeds are the shares of its pages that rules allow or block; trust flows along host edges
 (links in the pages' html), distrust against them, each seed decayed by DAMPING a step until no score moves by TOLERANCE.
-A page that no rule judges is blocked when its host's distrust reaches BLOCK_AT and exceeds its trust. Only built-in functions.
+What arrives grows with a host's links, so it is divided by what would arrive if every host were all seed: trust and distrust
+are shares from 0 to 1 of the hosts that a host hears of, the nearer ones weighing more. A host of which no page is judged
+says nothing about itself and doesn't count among them. A page that no rule judges is blocked when its host's distrust reaches
+BLOCK_AT and exceeds its trust. Only built-in functions.
 """
 
 from __future__ import annotations
@@ -51,28 +54,30 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """(host, trust, distrust) from ``seeds(host, trust, distrust)`` over ``edges(src, dst, n)``: each a personalised PageRank
-    in units of 1 - DAMPING, so that a host without links has its seed. Scores grow with what links to a host: more than 1 is
-    more than a host that is all seed has of its own."""
+    """(host, trust, distrust) from ``seeds(host, trust, distrust)`` over ``edges(src, dst, n)``: each a personalised PageRank over one
+    from every host, which is carried beside it. Hosts that are only linked to or from have no seed."""
     edges = settle(edges, "edges")
     out, into = edges.groupBy("src").agg(F.sum("n").alias("all")), edges.groupBy("dst").agg(F.sum("n").alias("all"))
     arcs = edges.join(out, "src").select(F.lit("trust").alias("kind"), "src", "dst", (F.col("n") / F.col("all")).alias("w"))
     arcs = settle(arcs.union(edges.join(into, "dst").select(F.lit("distrust"), F.col("dst"), F.col("src"), F.col("n") / F.col("all"))), "arcs")
-    base = seeds.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "seed")).filter("seed > 0")
-    base = settle(base, "seeds")
-    score = base.select("host", "kind", F.col("seed").alias("s"))
+    every = seeds.union(edges.select(F.explode(F.array("src", "dst")), F.lit(0.0), F.lit(0.0))).groupBy("host").agg(F.max("trust").alias("trust"), F.max("distrust").alias("distrust"))
+    own = F.when(F.col("trust") + F.col("distrust") > 0, 1.0).otherwise(0.0)
+    base = settle(every.select("host", own.alias("own"), F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "seed")), "seeds")
+    score = base.select("host", "kind", F.col("seed").alias("s"), F.lit(1.0).alias("u"))
     moved = 0.0 if arcs.isEmpty() else math.inf
     while moved >= TOLERANCE:
         now = score
         for _ in range(STRIDE):
-            flow = now.withColumnRenamed("host", "src").join(arcs, ["kind", "src"]).select(F.col("dst").alias("host"), "kind", (F.col("s") * F.col("w") * DAMPING).alias("s"))
-            now = flow.union(base.select("host", "kind", "seed")).groupBy("host", "kind").agg(F.sum("s").alias("s"))
+            flow = now.withColumnRenamed("host", "src").join(arcs, ["kind", "src"]).select(F.col("dst").alias("host"), "kind", *((F.col(x) * F.col("w") * DAMPING).alias(x) for x in ("s", "u")))
+            now = flow.union(base.select("host", "kind", "seed", F.lit(1.0))).groupBy("host", "kind").agg(F.sum("s").alias("s"), F.sum("u").alias("u"))
         now = settle(now, "scores")
-        moved = now.join(score.withColumnRenamed("s", "old"), ["host", "kind"], "left").agg(F.coalesce(F.max(F.abs(F.col("s") - F.coalesce("old", F.lit(0.0)))), F.lit(0.0)).alias("x")).first()["x"]
+        change = F.try_divide(F.greatest(F.abs(F.col("s") - F.col("s0")), F.abs(F.col("u") - F.col("u0"))), F.col("u") - 1)  # of what arrives
+        moved = now.join(score.withColumnsRenamed({"s": "s0", "u": "u0"}), ["host", "kind"]).agg(F.coalesce(F.max(change), F.lit(0.0)).alias("x")).first()["x"]
         discard(score)
         score = now
-    pick = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("s"))), F.lit(0.0)).alias(kind)
-    return score.groupBy("host").agg(pick("trust"), pick("distrust"))
+    share = F.try_divide("s", F.greatest(F.col("u") - 1 + F.col("own"), F.lit(0.0)))
+    pick = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, share)), F.lit(0.0)).alias(kind)
+    return score.join(base, ["host", "kind"]).groupBy("host").agg(pick("trust"), pick("distrust"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -101,7 +106,7 @@ def oracle_sql(rules=RULES) -> str:
     case = lambda pick: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{pick(h, p, v)}'" for h, p, v in fits) + " END"
     link = LINK.replace("'", "''")
     rounds = ", ".join(
-        f"s{k + 1} AS (SELECT host, kind, sum(s) AS s FROM (SELECT a.dst AS host, a.kind, s{k}.s * a.w * {DAMPING} AS s FROM s{k} JOIN arcs a ON a.src = s{k}.host AND a.kind = s{k}.kind UNION ALL SELECT host, kind, s FROM s0) GROUP BY host, kind)"
+        f"s{k + 1} AS (SELECT host, kind, sum(s) AS s, sum(u) AS u FROM (SELECT a.dst AS host, a.kind, s{k}.s * a.w * {DAMPING} AS s, s{k}.u * a.w * {DAMPING} AS u FROM s{k} JOIN arcs a ON a.src = s{k}.host AND a.kind = s{k}.kind UNION ALL SELECT host, kind, s, u FROM s0) GROUP BY host, kind)"
         for k in range(ROUNDS)
     )
     return f"""
@@ -117,9 +122,11 @@ e AS (SELECT src, dst, count(*) AS n FROM (SELECT src, translate(regexp_extract(
 arcs AS MATERIALIZED (
   SELECT 'trust' AS kind, src, dst, n / sum(n) OVER (PARTITION BY src) AS w FROM e UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM e
 ),
-s0 AS MATERIALIZED (SELECT host, 'trust' AS kind, trust AS s FROM seeds WHERE trust > 0 UNION ALL SELECT host, 'distrust', distrust FROM seeds WHERE distrust > 0),
+every_ AS MATERIALIZED (SELECT host, max(trust) AS trust, max(distrust) AS distrust FROM (SELECT * FROM seeds UNION ALL SELECT src, 0, 0 FROM e UNION ALL SELECT dst, 0, 0 FROM e) GROUP BY host),
+s0 AS MATERIALIZED (SELECT host, 'trust' AS kind, trust AS s, CAST(1 AS DOUBLE) AS u FROM every_ UNION ALL SELECT host, 'distrust', distrust, 1 FROM every_),
 {rounds},
-scores AS (SELECT host, coalesce(sum(s) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(s) FILTER (kind = 'distrust'), 0) AS distrust FROM s{ROUNDS} GROUP BY host),
+r AS (SELECT host, kind, s / nullif(greatest(u - CASE WHEN trust + distrust > 0 THEN 0 ELSE 1 END, 0), 0) AS share FROM s{ROUNDS} JOIN every_ USING (host)),
+scores AS (SELECT host, coalesce(max(share) FILTER (kind = 'trust'), 0) AS trust, coalesce(max(share) FILTER (kind = 'distrust'), 0) AS distrust FROM r GROUP BY host),
 j AS (SELECT page_id, m.host, path, rule, own, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM m LEFT JOIN scores USING (host))
 SELECT page_id, host, path, rule, coalesce(own, CASE WHEN distrust >= {BLOCK_AT} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict, trust, distrust FROM j
 """

@@ -109,10 +109,11 @@ def test_url_scores_match_power_iteration(spark):
         out = collections.Counter()
         for (a, _), n in arcs.items():
             out[a] += n
-        s = dict(seed[v])
+        step = lambda s, own: {h: own[h] + 0.85 * sum(s[a] * n / out[a] for (a, b), n in arcs.items() if b == h) for h in hosts}
+        s, u, ones = dict(seed[v]), dict.fromkeys(hosts, 1.0), dict.fromkeys(hosts, 1.0)
         for _ in range(300):
-            s = {h: seed[v][h] + 0.85 * sum(s[a] * n / out[a] for (a, b), n in arcs.items() if b == h) for h in hosts}
-        score[v] = s
+            s, u = step(s, seed[v]), step(u, ones)
+        score[v] = {h: s[h] / w if (w := u[h] - (not any(seed[x][h] for x in seed))) > 1e-9 else 0.0 for h in hosts}
     got = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), [("good.net", "/de/", "allow"), ("bad.com", "/en/", "block")]).collect()
     assert len(got) == len(pages)
     for r in got:
@@ -360,11 +361,24 @@ def test_line_bands_miss_few_pairs_of_short_lines():
 
 
 def test_url_scores_converge_on_a_cycle(spark):
-    """Two hosts that link each other, one of them all seed: s = 1 / (1 - 0.85^2) and 0.85 s."""
+    """Two hosts that link each other, one of them all seed: 1 / (1 - 0.85^2) and 0.85 of that arrive, of 1 / 0.15 and, without itself, 0.85 / 0.15."""
     link = '<a href="http://{}/">'
     df = spark.createDataFrame([(1, "http://a.org/x", link.format("b.org")), (2, "http://b.org/", link.format("a.org"))], "page_id long, url string, html string")
     got = {r.page_id: r.trust for r in url_filter.judge(df, [("a.org", "/x", "allow")]).collect()}
-    assert got == pytest.approx({1: 1 / (1 - 0.85**2), 2: 0.85 / (1 - 0.85**2)}, abs=2e-6)
+    assert got == pytest.approx({1: 0.15 / (1 - 0.85**2), 2: 0.15 / (1 - 0.85**2)}, abs=2e-6)
+
+
+def test_url_scores_do_not_grow_with_links(spark):
+    """A hub of thirty hosts with a twentieth of their pages blocked each is allowed, a hub of blocked hosts blocked."""
+    pages, link = [], lambda to: "".join(f'<a href="http://{h}/">' for h in to)
+    for name, blocked in (("part", 1), ("whole", 20)):
+        hosts = [f"{name}{i}.com" for i in range(30)]
+        pages += [(len(pages) + n, f"http://{h}/{'en/' if n < blocked else 'x/'}{n}", "") for h in hosts for n in range(20)]
+        pages.append((90_000 + blocked, f"http://{name}-hub.org/", link(hosts)))
+    pages.append((90_100, "http://mixed-hub.org/", link([f"whole{i}.com" for i in range(5)] + [f"part{i}.com" for i in range(25)])))
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), [("com", "/en/", "block")]).collect()}
+    assert [got[i].verdict for i in (90_001, 90_020, 90_100)] == ["allow", "block", "allow"]
+    assert got[90_001].distrust == pytest.approx(0.05, abs=1e-3) and got[90_020].distrust == pytest.approx(1, abs=1e-3)
 
 
 def test_decontamination_finds_swapped_halves_and_short_items(spark):
