@@ -164,22 +164,17 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, len(cut) - 1), sets.cast(pa.binary())], names=["id", "items"])
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs(doc_id, text)``.
-
-    Null or blank texts have no shingles and are linked with nothing; a null doc_id takes part in no link and keeps a null
-    component. Repeated rows come back as often as they stand in ``docs``; rows that share a doc_id but not a text are one
-    node of the graph. Equal sets are one class before any signature is made, so exact copies cost one row each.
-    """
+def _components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of documents of which each id has one text. Equal sets are one class before any signature
+    is made, so exact copies cost one row each."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = settle(docs.mapInArrow(_profile, "doc_id long, n_shingles long, one long, two long, extra array<int>"), "profile")
     full = seen.filter("doc_id is not null and n_shingles > 0")
     classes = settle(full.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("id"), F.min("extra").alias("extra")), "classes")
     total = classes.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     deletions = frozenset(r[0] for r in classes.select(F.explode("extra")).distinct().collect())  # at most twice the number of bands
     buckets = max(partitions(spark), total // 3_000_000 + 1)
-    # documents of one class are linked by their equal sets; repeated ids with several texts tie their classes together
+    # documents of one class are linked by their equal sets
     member = full.join(classes.select("one", "two", "n_shingles", "id"), ["one", "two", "n_shingles"])
     copies = settle(member.filter("doc_id != id").select(F.col("doc_id").alias("id")).distinct(), "copies")
     texts = docs.filter("doc_id is not null").withColumnRenamed("doc_id", "id")
@@ -192,11 +187,39 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
 
 
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs(doc_id, text)``.
+
+    Null or blank texts have no shingles and are linked with nothing; a null doc_id takes part in no link and keeps a null
+    component. Repeated rows come back as often as they stand in ``docs``; rows that share a doc_id but not a text are one node
+    of the graph: each of their texts is joined under an id of its own, and the components of one doc_id are united. A doc_id
+    is read as a long.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).filter("lo <> hi").select("doc_id", "lo")
+    several = settle(several, "several_texts")
+    if several.isEmpty():
+        return _components(docs)
+    own = F.when(F.col("lo").isNull() | (F.col("lo") == digest), F.col("doc_id")).otherwise(F.xxhash64("doc_id", digest))
+    split = settle(docs.join(several, "doc_id", "left").select(F.col("doc_id").alias("real"), own.alias("doc_id"), "text", F.col("lo").isNotNull().alias("many")), "split_texts")
+    found = settle(_components(split.select("doc_id", "text")), "split_components")
+    nodes = found.select("doc_id", "component_id").distinct().join(split.select("doc_id", "real", "many").distinct(), "doc_id")
+    least = nodes.filter("many").groupBy("real").agg(F.min("component_id").alias("b"))
+    ties = linking.components(nodes.filter("many").join(least, "real").select(F.col("component_id").alias("a"), "b"), "ties")
+    united = nodes.join(ties.withColumnRenamed("id", "component_id"), "component_id", "left").select("doc_id", "real", F.coalesce("component", "component_id").alias("c"))
+    name = united.groupBy("c").agg(F.min("real").alias("least"))
+    label = united.join(name, "c").select("doc_id", "real", "least")
+    rows = found.select("doc_id", "n_shingles").join(label, "doc_id", "left")
+    return rows.select(F.col("real").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id (of equal ids, all its rows)."""
+    """One document of each component stays: the one with the smallest doc_id (of equal ids, all its rows). Null ids, and null and
+    blank texts, are linked with nothing and stay; an empty table stays empty."""
     found = jaccard_components(docs).filter("doc_id != component_id").select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(docs.columns)

@@ -244,10 +244,10 @@ def dedup_lines(df: DataFrame) -> DataFrame:
     """``df`` with ``text`` less its repeated lines, and ``lines_dropped``.
 
     Texts that lose no line come back as they are (null stays null); a text all of whose worded lines are repeats of other
-    documents' lines becomes what is left of it, often the empty text. A null doc_id sorts before all others. Other columns,
-    whatever their names, pass through.
+    documents' lines becomes what is left of it, often the empty text. A null doc_id sorts before all others; a doc_id is read
+    as a long. Other columns, whatever their names, pass through, but a ``lines_dropped`` of the input is replaced.
     """
-    names = df.columns
+    names = [c for c in df.columns if c != "lines_dropped"]
     inner = df.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
     inner = inner.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("row.text").alias("text"), F.xxhash64("row.text").alias("digest"))
     gone = dropped_lines(inner.select("doc_id", "digest", "text"))
@@ -267,6 +267,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts less their repeated lines, n_chars to match; documents of which no word is left go."""
-    out = dedup_lines(docs).filter((F.col("lines_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    """Texts less their repeated lines, n_chars to match; documents of which no word is left go. Null texts lose no line and stay,
+    as do blank ones; of equal lines, one in one document stays. A column ``lines_dropped`` keeps the input's values."""
+    held = docs.withColumnRenamed("lines_dropped", "__lines_dropped")
+    out = dedup_lines(held).filter((F.col("lines_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "lines_dropped" in docs.columns:
+        out = out.drop("lines_dropped").withColumnRenamed("__lines_dropped", "lines_dropped")
     return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docketry.llm import lexical, projection_forest, whitening
+from docketry.llm import jaccard_join, lexical, line_dedup, projection_forest, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -200,3 +200,23 @@ def test_forest_small(spark):
     few = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [-1.0, 0.5])]
     got = by_query(projection_forest.neighbours(spark.createDataFrame(few, kind), every))
     assert got == nearest({i: v for i, v in few}, range(4), 20)
+
+
+def test_jaccard_joins_every_text_of_an_id(spark):
+    """Texts under one id tie what each of them links; copies, blanks, nulls and repeated rows among them."""
+    words = lambda k, n=40: [f"{k}{i}" for i in range(n)]
+    a, b, c, d = words("a"), words("b"), words("c"), words("d")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (5, " ".join(a)), (5, " ".join(b)), (7, near(b)), (7, near(b)), (8, near(c)), (9, None), (9, " ".join(c)), (9, ""), (2, " ".join(d)), (11, near(d)), (12, "alone here"), (None, " ".join(a)), (None, None)]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    want = {1: 1, 5: 1, 7: 1, 8: 8, 9: 8, 2: 2, 11: 2, 12: 12, None: None}
+    assert sorted(got, key=str) == sorted(((i, max(0, len((t or "").split()) - 4) or int(bool((t or "").split())), want[i]) for i, t in rows), key=str)
+
+
+def test_line_dedup_keeps_a_column_of_its_name(spark):
+    rows = [(1, "a line of some words\nand one of its own, first", "x"), (2, "a line of some words\nand another, quite unlike it", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lines_dropped string")
+    out = line_dedup.dedup_lines(df)
+    assert out.columns.count("lines_dropped") == 1 and {r["doc_id"]: r["lines_dropped"] for r in out.collect()} == {1: 0, 2: 1}
+    kept = line_dedup.stage(spark, df, "")
+    assert kept.columns == df.columns and {r["doc_id"]: r["lines_dropped"] for r in kept.collect()} == {1: "x", 2: "y"}
