@@ -28,6 +28,8 @@ FACTORS = np.random.Generator(np.random.PCG64(75)).integers(1, 2**62, BINS, dtyp
 #: Times that an empty bin looks for a full one, each time in a place of its own; the few left take the least hash of all.
 ATTEMPTS = 12
 BLOCK = 250_000
+#: Lines by which a task knows that it has signed an equal one; beyond that it begins anew.
+SEEN = 2_000_000
 #: Items of a span that are looked at first to tell whether it has more than FEW.
 HEAD = 96
 #: Dropped lines (and eight for each text) that may be broadcast, at four bytes each; beyond that the join shuffles.
@@ -171,6 +173,7 @@ def _keys(batches):
 
 def _signer(buckets: int):
     def run(batches):
+        seen = np.zeros(0, U)  # lines that this task has signed, in order
         for batch in batches:
             for _, data, offsets in kernel.blocks(batch.column("text"), BLOCK):
                 lower = LOWERED[data]
@@ -179,7 +182,12 @@ def _signer(buckets: int):
                     continue
                 sums = kernel.prefix(lower)
                 one = kernel.span_hash(sums, start, end)
-                at = np.sort(np.unique(one, return_index=True)[1])
+                fresh, at = np.unique(one, return_index=True)
+                new = ~np.isin(fresh, seen, assume_unique=True)
+                if not new.any():
+                    continue
+                seen = np.sort(np.concatenate((seen if len(seen) < SEEN else seen[:0], fresh[new])))
+                at = np.sort(at[new])
                 one = one[at]
                 local, flat = _bands(*_shingles(data, sums, start[at], end[at]), len(at))
                 rows = linking.pack(one.view(np.int64), np.zeros(len(at), np.int64), local, flat, np.ones(len(flat), bool), buckets)
