@@ -176,45 +176,64 @@ def test_quality_matches_its_sql(spark):
     assert 0 < sum(r[names.index("kept")] for r in want) < len(want) and any(r[names.index("lines_lost")] for r in want)
 
 
-def test_suffix_tree_matches_plain_counts(spark):
+@pytest.mark.parametrize("room", [suffix_tree_lm.ROOM, 0, 600])
+def test_suffix_tree_matches_plain_counts(spark, room):
+    least = 4
+    rng = random.Random(2)
+    chain = [f"chain{i}" for i in range(9)]
     texts = dict(list(documents(spark).items())[:120])
+    texts |= {10**6 + i: " ".join((["x", "y"] if rng.random() < 0.5 else ["z", "y"]) + chain[: rng.randrange(2, 9)] + [f"once{i}"]) for i in range(200)}
+    texts |= {2 * 10**6 + i: " ".join([a, "p", "q", "r" + a] * 3) for i, a in enumerate("abcd" * 30)}
     docs = {k: [*WORD.findall(t.translate(LOW)), None] for k, t in texts.items()}
-    rows = suffix_tree_lm.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 1000).collect()
+    rows = suffix_tree_lm.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), least, room).collect()
     train = [docs[r.doc_id] for r in rows if not r.held_out]
     c = collections.Counter(x for w in train for x in w)
-    total, size = sum(c.values()), sum(c.values()) + len(c) + 1
-    least = max(2.0, total ** (2 / 3) / 1000)
+    size = sum(c.values()) + len(c) + 1
     base = lambda x: (c[x] + 1) / size
-    grams = {d: collections.Counter(tuple(w[i - d : i + 1]) for w in train for i in range(d, len(w))) for d in (1, 2)}
-    nodes = {d: {g: n for g, n in grams[d].items() if n >= least and all(c[x] >= least for x in g)} for d in (1, 2)}
-    kids = {d: collections.defaultdict(dict) for d in (1, 2)}
-    for d in (1, 2):
-        for g, n in nodes[d].items():
-            kids[d][g[:-1]][g[-1]] = n
-    held = {(x,): c[x] for x in c} | nodes[1]
-    states = {}
+    states, depth = {(): None}, 0
 
     def given(context, word):
-        for s in (context[-2:], context[-1:]):
-            if s in states:
-                n, own = held[s], kids[len(s)][s]
+        for s in (context[i:] for i in range(len(context))):
+            if s in states and all(s[i:] in states for i in range(len(s))):
+                n, own = states[s]
                 return (own.get(word, 0) + (n - sum(own.values()) + 1) * given(s[1:], word)) / (n + 1)
         return base(word)
 
-    for d in (1, 2):
-        new = set()
-        for s, own in kids[d].items():
-            n, rest = held[s], held[s] - sum(own.values())
+    while depth < suffix_tree_lm.DEEPEST and any(len(s) == depth for s in states):
+        depth += 1
+        grams = collections.Counter(tuple(w[i - depth : i + 1]) for w in train for i in range(depth, len(w)))
+        kids, totals = collections.defaultdict(dict), collections.Counter()
+        for g, n in grams.items():
+            totals[g[:-1]] += n
+            if n >= least and g[1:-1] in states:
+                kids[g[:-1]][g[-1]] = n
+        for s, own in kids.items():
+            n, rest = totals[s], totals[s] - sum(own.values())
             gain = sum(k * math.log(k / n / given(s[1:], x)) for x, k in own.items())
             if rest > 0:
                 gain += rest * math.log(rest / n / max(1e-12, 1 - sum(given(s[1:], x) for x in own)))
             if gain >= suffix_tree_lm.DIVERGENCE:
-                new.add(s)
-        states |= dict.fromkeys(new)
-    assert {len(s) for s in states} == {1, 2}
+                states[s] = (n, own)
+    assert {len(s) for s in states} >= {0, 1, 2, 3}
     for r in rows:
         w = docs[r.doc_id]
-        assert r.score == pytest.approx(sum(math.log10(given(tuple(w[max(0, i - 2) : i]), x)) for i, x in enumerate(w)))
+        assert r.score == pytest.approx(sum(math.log10(given(tuple(w[max(0, i - 8) : i]), x)) for i, x in enumerate(w)))
+        assert r.base_score == pytest.approx(sum(math.log10(base(x)) for x in w)) and (r.n_tokens, r.n_known) == (len(w), sum(c[x] > 0 for x in w))
+
+
+def test_suffix_tree_remembers_a_phrase_however_much_else_there_is(spark):
+    """A phrase seen 500 times scores alike per token among other text of 1x and 10x."""
+    rng, means = random.Random(4), []
+    for much in (1, 10):
+        rows = [(i, "seven grey herons cross the frozen weir") for i in range(500)]
+        rows += [(1000 + i, " ".join(f"w{rng.randrange(3000)}" for _ in range(100))) for i in range(400 * much)]
+        got = suffix_tree_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id < 500").collect()
+        gains = {round(r.score - r.base_score, 6) for r in got}
+        assert len(gains) == 1 and (first := got[0].score - got[0].base_score) > 0
+        # all words but the first follow their context nearly always: what they cost doesn't grow with the rest
+        means.append(got[0].score - math.log10(501 / (got[0].train_tokens + 3008)))
+        assert first > 10
+    assert abs(means[0] - means[1]) < 0.2
 
 
 def test_chat_digests_match_the_table(spark):
