@@ -25,6 +25,8 @@ FAMILIES = [
     ("bsd-2", "bsd", "(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)", "bsd 2 clause"), ("bsd-3", "bsd", "(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd)", "bsd 3 clause"),
     ("bsd-4", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)", "bsd 4 clause"), ("bsd", "bsd", "bsd", "bsd"), ("0bsd", "0bsd", "(?:0bsd|zero clause bsd)", "0bsd"),
     ("gpl", "general public", "(?:gnu )?general public", "gpl"), ("gpl-2", "gpl", "(?:gnu )?gpl(?: version)? v?2(?: 0)?", "gpl 2 0"), ("gpl-3", "gpl", "(?:gnu )?gpl(?: version)? v?3(?: 0)?", "gpl 3 0"),
+    ("gpl-2", "general public licen", "(?:gnu )?general public licen[sc]e(?: version)? v?2(?: 0)?", "gpl 2 0"), ("gpl-3", "general public licen", "(?:gnu )?general public licen[sc]e(?: version)? v?3(?: 0)?", "gpl 3 0"),
+    ("lgpl-2.1", "lesser general public licen", "(?:gnu )?lesser general public licen[sc]e(?: version)? v?2 1", "lgpl 2 1"), ("lgpl-3", "lesser general public licen", "(?:gnu )?lesser general public licen[sc]e(?: version)? v?3(?: 0)?", "lgpl 3 0"),
     ("lgpl", "lesser general", "(?:gnu )?lesser general public", "lgpl"), ("lgpl-2.1", "lgpl", "(?:gnu )?lgpl(?: version)? v?2 1", "lgpl 2 1"), ("lgpl-3", "lgpl", "(?:gnu )?lgpl(?: version)? v?3(?: 0)?", "lgpl 3 0"),
     ("agpl", "affero", "(?:gnu )?affero general public", "agpl"), ("agpl-3", "agpl", "(?:gnu )?agpl(?: version)? v?3(?: 0)?", "agpl 3 0"), ("gfdl", "free documentation", "(?:gnu )?free documentation", "gfdl 1 3"),
     ("mpl-1.1", "mozilla", "mozilla public(?: license)?(?: version)? v?1 1", "mpl 1 1"), ("mpl-2", "mozilla", "mozilla public(?: license)?(?: version)? v?2(?: 0)?", "mpl 2 0"), ("mpl", "mozilla", "mozilla public", "mpl"),
@@ -36,10 +38,12 @@ FAMILIES = [
     ("psf", "python software", "python software foundation", "psf 2 0"), ("openssl", "openssl", "openssl", "openssl"), ("ofl", "open font", "(?:sil )?open font", "ofl 1 1"), ("postgresql", "postgresql", "postgresql", "postgresql"),
     ("ms-pl", "microsoft public", "microsoft public", "ms pl"), ("eupl", "european union public", "european union public", "eupl 1 2"), ("php", "php", "php", "php 3 01"), ("ruby", "ruby", "ruby", "ruby"), ("x11", "x11", "x11", "x11"),
 ]
+#: What else a license may be for: "license N" after such a word isn't about software.
+OTHER_LICENSES = ["driving", "driver", "drivers", "fishing", "hunting", "marriage", "gun", "liquor", "pilot", "pilots", "medical", "nursing", "teaching", "trading", "taxi", "dog", "television", "tv", "radio"]
 #: (expression around a name N or id I, confidence); earlier templates have the higher priority. ANCHORS: words that each always holds.
 TEMPLATES = [
     ("spdx license identifier I(?: only| or later)?", 1.0), ("licensed under(?: the)?(?: terms of(?: the)?)? N(?: license)?", 0.95), ("(?:released|distributed|published) under(?: the)?(?: terms of(?: the)?)? N(?: license)?", 0.95),
-    ("(?:available|made available) under(?: the)? N(?: license)?", 0.9), ("under(?: the)? terms of(?: the)? N(?: license)?", 0.9), ("under(?: the)? N license", 0.85), ("subject to(?: the)?(?: terms of(?: the)?)? N license", 0.85), ("license[sd]? N", 0.7), ("N licen[sc]ed?", 0.6),
+    ("(?:available|made available) under(?: the)? N(?: license)?", 0.9), ("under(?: the)? terms of(?: the)? N(?: license)?", 0.9), ("under(?: the)? N license", 0.85), ("subject to(?: the)?(?: terms of(?: the)?)? N license", 0.85), ("".join(f"(?<! {word} )" for word in OTHER_LICENSES) + "license[sd]? N", 0.7), ("N licen[sc]ed?", 0.6),
 ]
 ANCHORS = ["spdx license identifier", "licensed under", "ed under", "available under", "terms of", "license", "subject to", "license", "licen"]
 #: Labels that a name alone detects: rules without a template, of the lowest priority.
@@ -120,17 +124,48 @@ SIGNATURES = [
     ("proprietary", "confidential and proprietary", "(?:this is )?confidential and proprietary (?:information|material|software)"),
     ("proprietary", "without the prior written permission", "(?:copied|reproduced|distributed|used) without the prior written permission"),
 ]
+#: Names and ids that stand for one license by themselves, and how other languages name it: (label, words that each always holds,
+#: regular expression). Below all templates, above BARE. "MIT-Lizenz" needs an article, as "mit Lizenz" is German for "with a license".
+NAMED = [
+    ("apache-2", "apache 2 0", "apache 2 0"),
+    ("apache-2", "apache lizenz", "apache lizenz(?: version)? 2(?: 0)?"),
+    ("apache-2", "licence apache", "licence apache(?: version)? 2(?: 0)?"),
+    ("apache-2", "licencia apache", "licencia apache(?: versión)? 2(?: 0)?"),
+    ("mit", "mit lizenz", "(?:unter |unter der |unter einer |der |die |einer )mit lizenz"),
+    ("mit", "licence mit", "(?:sous |la )licence mit"),
+    ("mit", "licencia mit", "(?:bajo |la )licencia mit"),
+    ("gpl-2", "gpl", "(?:gnu )?gpl ?v2(?: 0)?(?: only| or later)?"),
+    ("gpl-2", "gpl", "(?:gnu )?gpl(?: version)? 2(?: 0)(?: only| or later)?"),
+    ("gpl-3", "gpl", "(?:gnu )?gpl ?v3(?: 0)?(?: only| or later)?"),
+    ("gpl-3", "gpl", "(?:gnu )?gpl(?: version)? 3(?: 0)(?: only| or later)?"),
+    ("gpl-2", "general public license", "(?:gnu )?general public license(?: version)? v?2(?: 0)?"),
+    ("gpl-3", "general public license", "(?:gnu )?general public license(?: version)? v?3(?: 0)?"),
+    ("lgpl-2.1", "lgpl", "(?:gnu )?lgpl ?v?2 1(?: only| or later)?"),
+    ("lgpl-3", "lgpl", "(?:gnu )?lgpl ?v3(?: 0)?(?: only| or later)?"),
+    ("lgpl-3", "lgpl", "(?:gnu )?lgpl(?: version)? 3 0(?: only| or later)?"),
+    ("agpl-3", "agpl", "(?:gnu )?agpl ?v3(?: 0)?(?: only| or later)?"),
+    ("agpl-3", "agpl", "(?:gnu )?agpl(?: version)? 3 0(?: only| or later)?"),
+    ("mpl-2", "mpl", "mpl ?v?2 0"),
+    ("mpl-1.1", "mpl", "mpl ?v?1 1"),
+    ("epl-2", "epl", "epl ?v?2 0"),
+    ("epl-1", "epl", "epl ?v?1 0"),
+    ("bsd-2", "bsd", "(?:bsd 2 clause|2 clause bsd|two clause bsd)"),
+    ("bsd-3", "bsd", "(?:bsd 3 clause|3 clause bsd|three clause bsd)"),
+    ("cddl", "cddl", "cddl(?: ?v?1 [01])"),
+    ("eupl", "eupl", "eupl(?: ?v?1 [12])"),
+]
 RULE = "struct<label:string,keyword:string,anchor:string,pattern:string,priority:int,confidence:double>"
 
 
 def rules() -> list[dict]:
-    """One rule for each signature, each family and template, and each bare name; a keyword stands in all that its rule matches."""
-    top = len(TEMPLATES) + 1
+    """One rule for each signature, each name or id, each family and template, and each bare name; a keyword stands in all that its rule matches."""
+    top = len(TEMPLATES) + 2
     out = [{"label": label, "keyword": keyword, "anchor": "", "pattern": f"(?<= )(?:{pattern})(?= )", "priority": top, "confidence": 1.0} for label, keyword, pattern in SIGNATURES]
+    out += [{"label": label, "keyword": keyword, "anchor": "", "pattern": f"(?<= )(?:{pattern})(?= )", "priority": 1, "confidence": 0.6} for label, keyword, pattern in NAMED]
     for label, keyword, name, spdx in FAMILIES:
         for k, (around, confidence) in enumerate(TEMPLATES):
             pattern = f"(?<= ){around.replace('N', f'(?:{name})').replace('I', spdx)}(?= )"
-            out.append({"label": label, "keyword": spdx if "I" in around else keyword, "anchor": ANCHORS[k], "pattern": pattern, "priority": len(TEMPLATES) - k, "confidence": confidence})
+            out.append({"label": label, "keyword": spdx if "I" in around else keyword, "anchor": ANCHORS[k], "pattern": pattern, "priority": len(TEMPLATES) + 1 - k, "confidence": confidence})
         if label in BARE:
             out.append({"label": label, "keyword": keyword, "anchor": "", "pattern": f"(?<= ){name}(?= )", "priority": 0, "confidence": 0.4})
     return out

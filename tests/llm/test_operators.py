@@ -145,6 +145,17 @@ def test_license_scan(spark):
     assert license_scan.scan(odd(spark)).count() == len(ODD)
 
 
+def test_license_names_versions_and_other_licenses(spark):
+    want = {
+        "This is under the GNU GPL v3": "gpl-3", "Apache-2.0": "apache-2", "Steht unter der MIT-Lizenz.": "mit", "Er fährt mit Lizenz": "", "Publié sous licence MIT": "mit",
+        "Licensed under the GNU General Public License version 3": "gpl-3", "Released under GNU Lesser General Public License v2.1": "lgpl-2.1", "dual licensed MIT or Apache-2.0": "apache-2,mit",
+        "she has a driving license MIT gave her": "", "License: MIT": "mit", "We run Apache 2.4 behind a proxy": "", "GPL-2.0-or-later": "gpl-2",
+    }
+    rows = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.text: ",".join(r.license.labels) for r in license_scan.scan(rows).collect()}
+    assert got == want
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(7)
     rows = [(k, i, rng.choice(["user", "assistant", "system", None]), rng.choice(["", None, "\\### <turn x>\n</turn>\n" * 9, "word " * rng.randrange(700), "\\b\\l<"])) for k in range(30) for i in range(rng.randrange(1, 9))]
