@@ -48,7 +48,7 @@ class Cells:
     dated: bool
 
 
-def _moment(df: DataFrame, name: str) -> Column:
+def moment(df: DataFrame, name: str) -> Column:
     """A date or time as a whole number."""
     kind = dict(df.dtypes)[name]
     return F.unix_date(name).cast("long") if kind == "date" else F.unix_micros(F.col(name).cast("timestamp")) if kind.startswith("timestamp") else F.col(name).cast("long")
@@ -82,7 +82,7 @@ def build(items: DataFrame, group: str | None = None, ts: str | None = None) ->
     kept = items.filter(F.col("v").isNotNull())
     kept = kept.filter(F.col(ts).isNotNull()) if ts else kept
     kept = kept.filter(F.col(group).isNotNull()) if group else kept
-    kept = kept.select("id", F.col("v").cast("array<double>").alias("v"), (F.col(group) if group else F.col("id")).alias("grp"), (_moment(items, ts) if ts else F.lit(0).cast("long")).alias("ts"))
+    kept = kept.select("id", F.col("v").cast("array<double>").alias("v"), (F.col(group) if group else F.col("id")).alias("grp"), (moment(items, ts) if ts else F.lit(0).cast("long")).alias("ts"))
     n = kept.count()
     few = kept.orderBy(F.xxhash64(F.lit("cells"), "id"), "id").limit(max(1, min(SAMPLE, n // 16))).toPandas() if n else kept.limit(0).toPandas()
     points = _stack(few["v"])
@@ -196,7 +196,7 @@ def candidates(queries: DataFrame, index: Cells, k: int) -> DataFrame:
     ``queries(q, v[, ts])`` is a stated set; one without a vector or, where items are dated, without a date finds nothing.
     """
     spark, names = index.items.sparkSession, ["q", "v"] + ["ts"] * index.dated
-    when = _moment(queries, "ts") if index.dated else F.lit(_LAST)
+    when = moment(queries, "ts") if index.dated else F.lit(_LAST)
     rows = queries.select(*names).filter(" and ".join(f"{x} is not null" for x in names)).select("q", F.col("v").cast("array<double>").alias("v"), when.alias("before"))
     own = dict(index.items.dtypes)
     kind = f"q {dict(queries.dtypes)['q']}, id {own['id']}, grp {own['grp']}, d double, pairs long"

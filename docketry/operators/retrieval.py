@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docketry.operators import scan
+from docketry.operators.cells import moment
 from docketry.operators.chunks import SEPARATORS, lengths, one_by_one
 from docketry.operators.chunks import recursive_chunks as measured_chunks
 
@@ -60,19 +62,18 @@ def in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> D
 def nearest(queries: DataFrame, items: DataFrame, k: int, earlier: bool = False, group: str | None = None) -> DataFrame:
     """(q, id or group, d, rank): the k nearest of ``items(id, v[, ts][, group])`` for each of ``queries(q, qv[, qts])``, by a scan.
 
-    The query set is stated: it is counted, and broadcast in blocks; each task keeps k rows a query before anything is shuffled.
-    ``earlier``: only items dated strictly before the query. ``group``: the best item stands for each group. ``cells.search``
-    finds the same rows from an index that rules out whole cells.
+    The query set is stated: it is counted, and sent to the tasks in blocks; each task scans its items by matrix products and keeps k
+    rows a query before anything is shuffled. ``earlier``: only items dated strictly before the query. ``group``: the best item stands
+    for each group. Pairs without a distance come last. ``cells.search`` finds the same rows from an index that rules out whole cells.
     """
-    admissible = F.col("ts") < F.col("qts") if earlier else F.lit(True)
     key = group or "id"
+    when = lambda df, ts: [moment(df, ts).alias("ts")] if earlier else []
+    rows = items.select(F.col(key).alias("key"), "v", *when(items, "ts"))
 
     def search(some: DataFrame) -> DataFrame:
-        pairs = items.join(F.broadcast(some), admissible).withColumn("d", F.round(distance2(F.col("qv"), F.col("v")), 6))
-        best = pairs.groupBy("q", key).agg(F.min("d").alias("d")) if group else pairs.select("q", "id", "d")
-        return best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d", key))).filter(F.col("rank") <= k)
+        return scan.nearest(some.select("q", F.col("qv").alias("v"), *when(some, "qts")), rows, k, group is not None, earlier)
 
-    return in_blocks(queries, search)
+    return in_blocks(queries, search).select("q", F.col("key").alias(key), "d", "rank")
 
 
 def relevance(distance2: Column) -> Column:

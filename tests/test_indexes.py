@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docketry.operators import cells as L
 from docketry.operators import postings as B
 from docketry.operators import retrieval as R
+from docketry.operators import scan
 
 
 def clustered(n, seed, width=6):
@@ -108,3 +109,55 @@ def test_index_edges(spark, tmp_path):
     assert B.search(queries, empty, 3).collect() == []
     grown = B.grow(spark.createDataFrame([(1, "a"), (2, "c d")], "id long, text string"), str(tmp_path / "empty"))
     same(B.search(queries, grown, 3), R.bm25(queries, spark.createDataFrame([(1, "a"), (2, "c d")], "id long, text string"), 3))
+
+
+def odd_vectors():
+    """Copies, equal distances, halves at the sixth place, and vectors that are null, hold a null, infinity or NaN, or are short."""
+    rng = np.random.default_rng(11)
+    rows = [(i, (rng.integers(-3, 4, 4) / 8).tolist()) for i in range(150)] + [(i, rng.normal(size=4).tolist()) for i in range(150, 220)]
+    rows += [(i, [0.5, 0.5, 0.5, 0.5]) for i in range(220, 300)]
+    return rows + [(300, None), (301, [1.0, None, 0.0, 0.0]), (302, [float("nan"), 0.0, 0.0, 0.0]), (303, [float("inf"), 0.0, 0.0, 0.0]), (304, [1.0, 2.0]), (305, [0.0883883476, 0.0, 0.0, 0.0]), (306, [0.03125, 0.03125, 0.03125, 0.03125])]
+
+
+def place(a, b):
+    """The order of a pair: rounded distance, infinity, NaN, none."""
+    if a is None or b is None or None in a or None in b or len(a) != len(b):
+        return (3, 0.0)
+    d = sum((x - y) * (x - y) for x, y in zip(a, b, strict=True))
+    return (2, 0.0) if d != d else (1, 0.0) if d == float("inf") else (0, math.floor(d * 1e6 + 0.5) / 1e6)
+
+
+def test_scan_ranks_odd_vectors_as_a_loop_does(spark):
+    rows = odd_vectors()
+    of = lambda i: i % 7 if i % 50 else None
+    items = spark.createDataFrame([(i, v, of(i), (i * 37) % 101) for i, v in rows], "id long, v array<double>, grp long, ts long").repartition(3)
+    queries = items.filter("id % 9 = 0 or id >= 300").selectExpr("id q", "v qv", "ts qts")
+    d = {0: lambda x: x[1], 1: lambda _: float("inf"), 2: lambda _: float("nan"), 3: lambda _: None}
+    shown = lambda p: str(d[p[0]](p))
+    asked = [(i, v, (i * 37) % 101) for i, v in rows if i % 9 == 0 or i >= 300]
+    want = [(q, i, shown(p), n + 1) for q, v, _ in asked for n, (p, i) in enumerate(sorted((place(v, w), i) for i, w in rows)[:6])]
+    assert sorted((r.q, r.id, str(r.d), r["rank"]) for r in R.nearest(queries, items, 6).collect()) == sorted(want)
+    want = []
+    for q, v, before in asked:
+        best = {}
+        for i, w in rows:
+            if (i * 37) % 101 < before:
+                best[of(i)] = min(best.get(of(i), (9, 0.0)), place(v, w))
+        want += [(q, g, shown(p), n + 1) for n, (p, _, g) in enumerate(sorted((p, (g is None, g or 0), g) for g, p in best.items())[:5])]
+    got = [(r.q, r.grp, str(r.d), r["rank"]) for r in R.nearest(queries, items, 5, earlier=True, group="grp").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("entries", [None, 40])
+def test_average_precision_of_vectors(spark, entries):
+    rows = [(i, v, i % 3 if i % 11 else None) for i, v in odd_vectors()]
+    items = spark.createDataFrame(rows, "id long, v array<double>, label long").repartition(3)
+    queries = items.filter("id % 9 = 0 or id >= 300").withColumnRenamed("id", "q")
+    want = {}
+    for q, v, label in rows:
+        if label is not None and (q % 9 == 0 or q >= 300):
+            order = sorted((place(v, w), i, other == label) for i, w, other in rows if i != q)
+            at = [n + 1 for n, (_, _, same) in enumerate(order) if same]
+            want[q] = sum((k + 1) / n for k, n in enumerate(at)) / len(at)
+    got = {r.q: r.ap for r in scan.average_precision(queries, items, entries).collect()}
+    assert got.keys() == want.keys() and all(abs(got[q] - want[q]) < 1e-12 for q in want)
