@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -97,22 +97,52 @@ def split(text: str, size: int, overlap: int, counts: Counts, separators: tuple[
     return out
 
 
-def recursive_chunks(df: DataFrame, key: str, text: str, size: int, overlap: int, load: Callable[[], Counts] = lambda: lengths, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
-    """(key, pos, chunk) by ``split``; ``load`` gives the counter, once a task. Null and empty texts have no chunks."""
+def once(counts: Counts) -> Counts:
+    """``counts`` that counts a text once, however often it is asked."""
+    known: dict[str, int] = {}
+
+    def run(texts: list[str]) -> np.ndarray:
+        new = [x for x in dict.fromkeys(texts) if x not in known]
+        if new:
+            known.update(zip(new, counts(new).tolist(), strict=True))
+        return np.fromiter(map(known.__getitem__, texts), np.int64, len(texts))
+
+    return run
+
+
+def chunks_of_sizes(df: DataFrame, key: str, text: str, sizes: Sequence[tuple[int, int]], load: Callable[[], Counts] = lambda: lengths, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
+    """(key, size, pos, chunk) by ``split`` at each of ``sizes`` (size, overlap), in one reading: what the cuts of a text have in
+    common, its parts above all, is counted once. ``load`` gives the counter, once a task. Null and empty texts have no chunks."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches):
         counts = load()
         for batch in batches:
-            found = [split(x, size, overlap, counts, separators, counts is not lengths) if x else [] for x in batch.column("text").to_pylist()]
-            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            pos = np.concatenate([np.arange(len(x), dtype=np.int32) for x in found] or [np.zeros(0, np.int32)])
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at)), pa.array(pos), pa.array([c for x in found for c in x], pa.string())], names=["key", "pos", "chunk"])
-
-    out = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, pos int, chunk string")
+            at, size_of, pos, chunks = [], [], [], []
+            for row, x in enumerate(batch.column("text").to_pylist()):
+                own = counts if counts is lengths or len(sizes) == 1 else once(counts)
+                for size, overlap in sizes if x else ():
+                    found = split(x, size, overlap, own, separators, counts is not lengths)
+                    at += [row] * len(found)
+                    size_of += [size] * len(found)
+                    pos += range(len(found))
+                    chunks += found
+            columns = [batch.column("key").take(pa.array(at, pa.int64())), pa.array(size_of, pa.int32()), pa.array(pos, pa.int32()), pa.array(chunks, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "size", "pos", "chunk"])
+
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    if len(sizes) > 1:  # hours of counting may lie in one row group of a file
+        spark = df.sparkSession
+        rows = rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "key")
+    out = rows.mapInArrow(run, f"key {kind}, size int, pos int, chunk string")
     return out.withColumnRenamed("key", key)
 
 
+def recursive_chunks(df: DataFrame, key: str, text: str, size: int, overlap: int, load: Callable[[], Counts] = lambda: lengths, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
+    """(key, pos, chunk) of one size."""
+    return chunks_of_sizes(df, key, text, [(size, overlap)], load, separators).select(key, "pos", "chunk")
+
+
 @dataclass
 class ChunkIndex:
     """The chunks and texts of the newest version, and how its documents came about: (state, n) of new, changed, same, gone."""

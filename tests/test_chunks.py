@@ -120,3 +120,15 @@ def test_parents_join_without_a_shuffle(spark, tmp_path):
     joined = index.chunks.alias("c").join(index.parents.alias("p").hint("merge"), F.col("c.id") == F.col("p.id"))
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan and joined.count() == 500
+
+
+def test_sizes_together_count_each_text_once(spark):
+    rng = random.Random(9)
+    texts = [(k, "\n\n".join(" ".join(f"word{rng.randrange(300)}" for _ in range(rng.randrange(1, 90))) for _ in range(6))) for k in range(30)] + [(90, None), (91, "")]
+    docs, sizes = spark.createDataFrame(texts, "doc_id long, text string"), ((40, 5), (80, 10), (200, 10))
+    got = sorted(map(tuple, H.chunks_of_sizes(docs, "doc_id", "text", sizes, lambda: H.tokenizer(BYTES)).collect()))
+    want = [(r.doc_id, size, r.pos, r.chunk) for size, overlap in sizes for r in H.recursive_chunks(docs, "doc_id", "text", size, overlap, lambda: H.tokenizer(BYTES)).collect()]
+    assert got == sorted(want)
+    asked = []
+    counts = H.once(lambda texts: (asked.extend(texts), H.lengths(texts))[1])
+    assert [counts(["a", "bb", "a"]).tolist(), counts(["bb", "c"]).tolist()] == [[1, 2, 1], [2, 1]] and asked == ["a", "bb", "c"]
