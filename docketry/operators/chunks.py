@@ -193,6 +193,23 @@ def open_chunks(spark: SparkSession, folder: str) -> ChunkIndex:
     return _open(spark, folder, last["made"], last["kind"])
 
 
+#: Ids that may be broadcast; beyond that the join shuffles.
+FEW_IDS = 200_000
+
+
+def narrow(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "id", how)
+
+
+def _single(docs: DataFrame) -> DataFrame:
+    """``docs(id, text)`` with the smallest text of each repeated id: only texts of those are shuffled."""
+    repeated = settle(docs.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "chunk_repeated")
+    if repeated.isEmpty():
+        return docs
+    return narrow(docs, repeated, "left_anti").unionByName(narrow(docs, repeated).groupBy("id").agg(F.min("text").alias("text")))
+
+
 def follow(docs: DataFrame, folder: str, cut: Callable[[DataFrame], DataFrame], whole: bool = True) -> ChunkIndex:
     """Bring the index in ``folder`` (made if it isn't there) up to ``docs(id, text)``, and open it.
 
@@ -200,28 +217,32 @@ def follow(docs: DataFrame, folder: str, cut: Callable[[DataFrame], DataFrame],
     pos, chunk); unchanged ones are not touched. With ``whole``, documents that aren't in ``docs`` any more are gone, else they
     stay. Chunks and texts are appended in buckets of the document's id with the number of the run that made them; a version is a
     table of ids, digests and the runs their rows come from, and counts once the manifest names it, so readers see all of it or
-    nothing. Parents join their chunks without a shuffle. Null ids are left out; of a repeated id the smallest text counts; null
+    nothing. Parents join their chunks without a shuffle. ``docs`` is read anew for its ids, digests and texts, so it must give the
+    same rows each time. Null ids are left out; of a repeated id the smallest text counts; null
     texts have no chunks.
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)["id"]
     last = _last(spark, folder)
-    now = docs.select("id", "text").filter("id is not null").groupBy("id").agg(F.min("text").alias("text"))
-    now = settle(now.withColumn("digest", F.sha2(F.coalesce("text", F.lit("\x00")), 256)), "chunk_docs")
+    now = _single(docs.select("id", "text").filter("id is not null"))
+    digests = settle(now.select("id", F.sha2(F.coalesce("text", F.lit("\x00")), 256).alias("d")), "chunk_docs")
     columns = f"id {kind}, digest string, made long, state string"
     before = spark.table(_table(spark, folder, f"docs-{last['made']}", columns)).filter("state <> 'gone'").select("id", "digest", "made") if last else spark.createDataFrame([], f"id {kind}, digest string, made long")
     version = uuid.uuid4().int >> 66  # rows of an attempt that failed bear a number that no manifest names
-    both = now.select("id", F.col("digest").alias("d")).join(before, "id", "full")
+    both = digests.join(before, "id", "full")
     state = F.when(F.col("digest").isNull(), "new").when(F.col("d").isNull(), "gone" if whole else "same").when(F.col("d") == F.col("digest"), "same").otherwise("changed")
     fresh = F.col("state").isin("new", "changed")
     plan = settle(both.withColumn("state", state).select("id", F.coalesce("d", "digest").alias("digest"), F.when(fresh, F.lit(version)).otherwise(F.col("made")).alias("made"), "state"), "chunk_plan")
-    todo = now.join(plan.filter(fresh).select("id"), "id", "left_semi").select("id", "text")
+    # texts cross the network once, to their bucket; what they are joined to comes there, and chunks are cut where they lie
+    todo = narrow(now.repartition(BUCKETS, "id"), plan.filter(fresh).select("id"))
 
-    def put(rows: DataFrame, name: str, columns: str) -> None:
+    def put(rows: DataFrame, name: str, columns: str) -> str:
         title = _table(spark, folder, name, columns)
-        rows.select(*spark.table(title).columns).repartition(BUCKETS, "id").write.format("parquet").bucketBy(BUCKETS, "id").sortBy("id").mode("append").saveAsTable(title)
+        how = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
+        rows.select(*spark.table(title).columns).write.options(**how).format("parquet").bucketBy(BUCKETS, "id").sortBy("id").mode("append").saveAsTable(title)
+        return title
 
-    put(todo.withColumn("made", F.lit(version)), "parents", f"id {kind}, made long, text string")
-    put(cut(todo).withColumn("made", F.lit(version)), "chunks", f"id {kind}, made long, pos int, chunk string")
-    put(plan, f"docs-{version}", columns)
+    texts = put(todo.withColumn("made", F.lit(version)), "parents", f"id {kind}, made long, text string")
+    put(cut(spark.table(texts).filter(F.col("made") == version).select("id", "text")).withColumn("made", F.lit(version)), "chunks", f"id {kind}, made long, pos int, chunk string")
+    put(plan.repartition(BUCKETS, "id"), f"docs-{version}", columns)
     spark.createDataFrame([(last["version"] + 1 if last else 1, version, kind)], "version int, made long, kind string").coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
     return _open(spark, folder, version, kind)

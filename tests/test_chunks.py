@@ -132,3 +132,13 @@ def test_sizes_together_count_each_text_once(spark):
     asked = []
     counts = H.once(lambda texts: (asked.extend(texts), H.lengths(texts))[1])
     assert [counts(["a", "bb", "a"]).tolist(), counts(["bb", "c"]).tolist()] == [[1, 2, 1], [2, 1]] and asked == ["a", "bb", "c"]
+
+
+def test_following_keeps_no_second_copy_of_texts(spark, tmp_path, monkeypatch):
+    kept = {}
+    settled = H.settle
+    monkeypatch.setattr(H, "settle", lambda df, name: (kept.setdefault(name, df.columns), settled(df, name))[1])
+    docs = spark.createDataFrame([(1, "b c"), (1, "a b"), (2, None), (2, "z"), (3, None), (None, "q")], "id long, text string")
+    index = H.follow(docs, str(tmp_path / "index"), cut)
+    assert rows(index) == ([(1, 0, "a b"), (2, 0, "z")], [(1, "a b"), (2, "z"), (3, None)])
+    assert kept and not any("text" in columns for columns in kept.values())
