@@ -46,6 +46,46 @@ def test_cut_and_rank(spark):
     assert np.isfinite(table).all() and np.linalg.matrix_rank(table) == 1
 
 
+def test_chunks_and_blocks(spark, monkeypatch):
+    """Many chunks, rows of a chunk and blocks: the same space, and rows of one key in several places are one text; tasks get no table whole."""
+    monkeypatch.setattr(E, "COUNTS", 300)
+    monkeypatch.setattr(E, "BITS", 5)
+    rng = np.random.default_rng(6)
+    docs = [(i % 170, " ".join(f"w{i % 4}_{rng.zipf(1.3) % 60}" for _ in range(rng.integers(1, 60)))) for i in range(200)] + [(500, None), (501, "\u2003 W1_1\u00a0w1_1  ")]
+    df = spark.createDataFrame(docs, "d long, text string").repartition(7)
+    dealt = E.deal(E.weighted_terms(df, "d", "text"), "d")
+    assert dealt.select("chunk").distinct().count() > 5
+    space = E.fit_dealt(dealt, 4, 30)
+    assert space.blocks.count() > 5 and space.index.select("block", "pos").distinct().count() == space.index.count()
+    joined = {}
+    for d, t in docs:
+        joined[d] = " ".join(filter(None, (joined.get(d), t)))
+    vectors, weights = E.tables(space)
+    bags, words, idf, a = matrix(joined.items())
+    assert E.subspace_gap(vectors, np.linalg.svd(a)[2][:4].T, words) < 1e-6
+    assert all(math.isclose(r["idf"], idf[r["term"]], rel_tol=1e-12) for r in weights.collect())
+    one = E.encode_dealt(df, "d", dealt, space).collect()
+    assert sorted(r["d"] for r in one) == sorted(d for d, _ in docs)
+    two = {r["d"]: r["v"] for r in E.encode(df, "d", "text", vectors, weights).collect()}
+    table = vectors.toPandas().set_index("term").loc[words].to_numpy()
+    for d, b in bags.items():
+        v = sum(n * idf[w] * table[words.index(w)] for w, n in b.items())
+        assert np.allclose(two[d], v / np.linalg.norm(v), atol=1e-9)
+    assert all(np.allclose(r["v"], two[r["d"]], atol=1e-9) for r in one if r["d"] != 500) and two[500] is None
+    other = spark.createDataFrame([(1, "none of these"), (2, "w1_1 unknown")], "d long, text string")
+    found = {r["d"]: r["v"] for r in E.encode(other, "d", "text", vectors, weights).collect()}
+    assert found[1] is None and np.allclose(found[2], two[501])
+
+
+def test_first_tokens(spark):
+    """The first tokens of a text, however it begins and ends, are those that a search for all of them finds."""
+    texts = ["a b c", " a b c d ", "\u2003\u00a0a\u0085b\x1cc  d", "", "  ", None, "a", "A\nb\n", "\u0130 \u03a3 a\u03a3 b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "d int, text string")
+    got = lambda cut: sorted((r["d"], r["term"], r["f"]) for r in E.weighted_terms(df, "d", "text", cut).collect())
+    assert got(9) == got(None)
+    assert [t for _, t, _ in got(2)] == ["a", "b", "a", "b", "a", "b\x1cc", "a", "a", "b", "i\u0307", "\u03c3"]
+
+
 def line(i, content):
     return json.dumps({"custom_id": str(i), "response": {"body": {"choices": [{"message": {"content": content}}]}}})
 
