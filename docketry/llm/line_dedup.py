@@ -220,8 +220,14 @@ def _unpack(texts: list[bytes]) -> list[np.ndarray]:
     data = np.frombuffer(b"".join(texts), np.uint8)
     end = np.cumsum([len(x) for x in texts])
     items, own = _shingles(data, kernel.prefix(data), end - np.array([len(x) for x in texts], np.int64), end)
-    cut = np.searchsorted(own, np.arange(len(texts) + 1)).tolist()
-    return [np.unique(items[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+    cut = np.searchsorted(own, np.arange(len(texts) + 1))
+    at = cut.tolist()
+    for x, y in zip(at[:-1], at[1:], strict=True):
+        items[x:y].sort()  # np.unique would hash each set first, and takes four times as long
+    fresh = np.ones(len(items), bool)
+    fresh[1:] = (items[1:] != items[:-1]) | (own[1:] != own[:-1])
+    items, at = items[fresh], np.concatenate(([0], np.cumsum(fresh)))[cut].tolist()
+    return [items[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:

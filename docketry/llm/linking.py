@@ -205,7 +205,7 @@ def _sketches(unpack: Callable[[list[bytes]], list[np.ndarray]]):
 
 def _sketch(items: np.ndarray) -> tuple[int, bytes]:
     width = max(256, 1 << (4 * len(items)).bit_length())
-    odd = np.bincount(((items >> U(7)) % U(width)).astype(np.int64), minlength=width).astype(np.uint8) & 1
+    odd = np.bincount(((items >> U(7)) & U(width - 1)).view(np.int64), minlength=width).astype(np.uint8) & 1
     return len(items), np.packbits(odd, bitorder="little").tobytes()
 
 
@@ -268,7 +268,7 @@ def _survivors(num: int, den: int, unpack: Callable | None = None):
         out = []
         for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(cell)], strict=True):
             widths = np.array([len(b) for b in bits[lo:hi]])
-            for width in np.unique(widths).tolist():
+            for width in sorted(set(widths.tolist())):
                 x = lo + np.flatnonzero(widths == width)
                 wide = lo + np.flatnonzero(widths == 2 * width)
                 left = np.frombuffer(b"".join(bits[x]), U).reshape(len(x), -1)

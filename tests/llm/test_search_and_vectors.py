@@ -213,6 +213,18 @@ def test_jaccard_joins_every_text_of_an_id(spark):
     assert sorted(got, key=str) == sorted(((i, max(0, len((t or "").split()) - 4) or int(bool((t or "").split())), want[i]) for i, t in rows), key=str)
 
 
+def test_shingle_sets_of_lines_are_sorted_in_place(monkeypatch):
+    """Sorted distinct shingles of many lines, as one by one, without a call of np.unique, which hashes, for each line."""
+    rng = np.random.default_rng(8)
+    lines = ["".join(rng.choice(list("abc de\u00e9\u65e5"), rng.integers(1, 300))).encode() for _ in range(300)] + [b"a", b"a" * 40, "\u65e5\u672c".encode(), b"a" * 8, b"a" * 9]
+    shingles = lambda x: {x[k : k + line_dedup.K] for k in range(max(1, len(x) - line_dedup.K + 1))}
+    monkeypatch.setattr(np, "unique", lambda *_, **__: pytest.fail("np.unique"))
+    sets = line_dedup._unpack(lines)
+    alone = [line_dedup._unpack([x])[0] for x in lines]
+    assert len(sets) == len(lines) and all(np.array_equal(x, y) for x, y in zip(sets, alone, strict=True))
+    assert all((x[1:] > x[:-1]).all() and len(x) == len(shingles(y.decode())) for x, y in zip(sets, lines, strict=True))
+
+
 def test_line_dedup_keeps_a_column_of_its_name(spark):
     rows = [(1, "a line of some words\nand one of its own, first", "x"), (2, "a line of some words\nand another, quite unlike it", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lines_dropped string")
