@@ -31,7 +31,9 @@ BLOCK = 250_000
 #: Lines by which a task knows that it has signed an equal one; beyond that it begins anew.
 SEEN = 2_000_000
 #: Items of a span that are looked at first to tell whether it has more than FEW.
-HEAD = 96
+HEAD = 72
+#: Signatures that a task packs at once.
+HELD = 1_000_000
 #: Dropped lines (and eight for each text) that may be broadcast, at four bytes each; beyond that the join shuffles.
 BROADCAST_NUMBERS = 4_000_000
 
@@ -51,10 +53,10 @@ def _lines(data: np.ndarray, offsets: np.ndarray):
     last = number == count[text] - 1
     ends[last] = offsets[1:]
     ends[~last] = breaks
-    begin, finish, _ = kernel.word_spans(data, offsets)
-    a, b = np.searchsorted(begin, starts), np.searchsorted(begin, ends)
+    solid = np.flatnonzero(kernel._SOLID[data])
+    a, b = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
     worded = b > a
-    return text[worded], number[worded], begin[a[worded]], finish[b[worded] - 1]
+    return text[worded], number[worded], solid[a[worded]], solid[b[worded] - 1] + 1
 
 
 def _shingles(data: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -72,7 +74,8 @@ def _shingles(data: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.nda
     some = np.flatnonzero(n)
     last = len(sums_at) - K
     if last > 0:
-        every = (sums_at[K:] - sums_at[:-K]) * inverse[:last]
+        every = sums_at[K:] - sums_at[:-K]
+        every *= inverse[:last]
         every += U(K) if wide is None else (wide[K:] - wide[:-K]).astype(U)
         inside = np.zeros(last + 1, np.int8)
         inside[a[some]] = 1
@@ -92,11 +95,18 @@ def _shingles(data: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.nda
     return items, own
 
 
-def _minhash(items: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
-    """The signature of each of n spans: the least hash in each bin, empty bins filled from full ones elsewhere, so that a band has several."""
-    top = U(2**64 - 1)
+def _minhash(items: np.ndarray, count: np.ndarray, mine: np.ndarray) -> np.ndarray:
+    """The signature of each ``mine`` of spans with ``count`` items: the least hash in each bin, empty bins filled from full ones elsewhere, so that a band has several."""
+    if not mine.all():
+        items, count = items[np.repeat(mine, count)], count[mine]
+    top, n = U(2**64 - 1), len(count)
     sig = np.full(n * BINS, top, U)
-    np.minimum.at(sig, own * BINS + (((items & U(0xFFFFFFFF)) * U(BINS)) >> U(32)).astype(np.int64), items)
+    at = items & U(0xFFFFFFFF)
+    at *= U(BINS)
+    at >>= U(32)
+    at = at.view(np.int64)
+    at += np.repeat(np.arange(0, n * BINS, BINS), count)
+    np.minimum.at(sig, at, items)
     sig = sig.reshape(n, BINS)
     short = np.flatnonzero((sig == top).any(axis=1))
     full = sig[short]
@@ -108,10 +118,11 @@ def _minhash(items: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
     return sig
 
 
-def _minima(items: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
-    """The signature of each of n spans by BINS independent minima; spans ascend, and each has an item."""
-    sig, start = np.empty((n, BINS), U), np.searchsorted(own, np.arange(n))
-    for j in range(BINS if n else 0):
+def _minima(items: np.ndarray, count: np.ndarray, mine: np.ndarray) -> np.ndarray:
+    """The signature of each ``mine`` of spans with ``count`` items by BINS independent minima; each has an item."""
+    items, count = items[np.repeat(mine, count)], count[mine]
+    sig, start = np.empty((len(count), BINS), U), np.cumsum(count) - count
+    for j in range(BINS if len(count) else 0):
         # the product alone would order nearby multipliers alike; its high half, folded in and multiplied again, does not
         value = items * FACTORS[j]
         value ^= value >> U(32)
@@ -120,9 +131,9 @@ def _minima(items: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
     return sig
 
 
-def _sizes(items: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
-    """Distinct items of each span; where that is at most NUM / DEN of FEW, or above FEW, any number on that side."""
-    size = np.bincount(own, minlength=n)
+def _sizes(items: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Distinct items of spans with ``count`` items; where that is at most NUM / DEN of FEW, or above FEW, any number on that side."""
+    size, n = count.copy(), len(count)
     start = np.cumsum(size) - size
     some = np.flatnonzero(size * DEN > FEW * NUM)
     # the first HEAD items of a span show for most that it has more than FEW distinct ones
@@ -132,8 +143,7 @@ def _sizes(items: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
     full[np.repeat(np.arange(0, 256 * len(some), 256), head) + (items[at] >> U(56)).astype(np.int64)] = True
     open_ = np.zeros(n, bool)
     open_[some[np.count_nonzero(full.reshape(-1, 256), axis=1) <= FEW]] = True
-    mine = open_[own]
-    item, line = items[mine], own[mine]
+    item, line = items[np.repeat(open_, count)], np.repeat(np.flatnonzero(open_), count[open_])
     order = np.lexsort((item, line))
     item, line = item[order], line[order]
     new = np.concatenate(([True], (item[1:] != item[:-1]) | (line[1:] != line[:-1]))) if len(item) else np.zeros(0, bool)
@@ -143,13 +153,13 @@ def _sizes(items: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
 
 def _bands(items: np.ndarray, own: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(span, band hash) of n spans: BANDS each, twice as many for spans that can link with both shorter and longer ones."""
-    size, local, flat = _sizes(items, own, n), [], []
+    count = np.bincount(own, minlength=n)
+    size, local, flat = _sizes(items, count), [], []
     for k, (mine, make) in enumerate(((size <= FEW, _minima), (size * DEN > FEW * NUM, _minhash))):
         at = np.flatnonzero(mine)
         if not len(at):
             continue
-        here = mine[own]
-        sig = make(items[here], (np.cumsum(mine) - 1)[own[here]], len(at)).reshape(len(at), BANDS, ROWS)
+        sig = make(items, count, mine).reshape(len(at), BANDS, ROWS)
         band = np.arange(k * BANDS, (k + 1) * BANDS, dtype=np.int64).astype(U) * U(0x9FB21C651E98DF25)
         for r in range(ROWS):
             band = band + sig[:, :, r] * kernel._MULT[r]
@@ -172,8 +182,13 @@ def _keys(batches):
 
 
 def _signer(buckets: int):
+    def flush(held):
+        one, local, flat = map(np.concatenate, zip(*held, strict=True))
+        local += np.repeat(np.cumsum([0, *(len(x[0]) for x in held[:-1])]), [len(x[1]) for x in held])
+        return linking.packed(list(linking.pack(one.view(np.int64), np.zeros(len(one), np.int64), local, flat, np.ones(len(flat), bool), buckets)))
+
     def run(batches):
-        seen = np.zeros(0, U)  # lines that this task has signed, in order
+        seen, held, n = np.zeros(0, U), [], 0  # seen: lines that this task has signed, in order
         for batch in batches:
             for _, data, offsets in kernel.blocks(batch.column("text"), BLOCK):
                 lower = LOWERED[data]
@@ -189,9 +204,13 @@ def _signer(buckets: int):
                 seen = np.sort(np.concatenate((seen if len(seen) < SEEN else seen[:0], fresh[new])))
                 at = np.sort(at[new])
                 one = one[at]
-                local, flat = _bands(*_shingles(data, sums, start[at], end[at]), len(at))
-                rows = linking.pack(one.view(np.int64), np.zeros(len(at), np.int64), local, flat, np.ones(len(flat), bool), buckets)
-                yield linking.packed(list(rows))
+                held.append((one, *_bands(*_shingles(data, sums, start[at], end[at]), len(at))))
+                n += len(held[-1][2])
+                if n >= HELD:
+                    yield flush(held)
+                    held, n = [], 0
+        if held:
+            yield flush(held)
 
     return run
 

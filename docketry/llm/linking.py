@@ -32,21 +32,24 @@ def pack(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray, sig: np.ndarray, pr
 
     ``at`` points into ``ids``/``sizes``. Cutting a signature to 39 bits beside its bucket can only add candidates.
     """
-    where = ((sig >> U(32)) % U(buckets)).astype(np.int32)
-    short = ((sig & U(0x7FFFFFFFFF)) << U(1)) | prober.astype(U)
-    order = np.argsort(where, kind="stable")
-    cuts = np.searchsorted(where[order], np.arange(buckets + 1))
+    where = (sig >> U(32)) % U(buckets)
+    order = np.argsort(where.astype(np.uint16) if buckets <= 65536 else where, kind="stable")  # of 16 bits by digits
+    cuts = np.concatenate(([0], np.cumsum(np.bincount(where.view(np.int64), minlength=buckets)))).tolist()
+    short = ((sig[order] & U(0x7FFFFFFFFF)) << U(1)) | prober[order].astype(U)
+    short, at = np.ascontiguousarray(short.view(np.uint8).reshape(-1, 8)[:, :5]), at[order]
     direct = len(sig) <= 24 * len(ids)  # few signatures a member: each has its member beside it
-    for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-        mine = order[cuts[b] : cuts[b + 1]]
+    for b in range(buckets):
+        x, y = cuts[b], cuts[b + 1]
+        if x == y:
+            continue
         if direct:
-            here, local = at[mine], at[:0]
+            here, local = at[x:y], at[:0]
         else:
-            here, local = np.unique(at[mine], return_inverse=True)
+            here, local = np.unique(at[x:y], return_inverse=True)
         size = sizes[here].astype(np.int32)
         yield {
             "bucket": b, "ids": ids[here].astype(np.int64).tobytes(), "sizes": size.tobytes() if size.any() else b"", "at": local.astype(np.uint16 if len(here) < 65536 else np.uint32).tobytes(),
-            "sig": short[mine].view(np.uint8).reshape(-1, 8)[:, :5].tobytes(),
+            "sig": short[x:y].tobytes(),
         }
 
 
@@ -159,14 +162,19 @@ def link(found: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den
     hub = found.groupBy("gid").agg(F.min_by("id", F.struct(~F.col("prober"), F.col("id"))).alias("hub"))
     meets = found.join(hub, "gid").filter("id != hub").groupBy("id", "hub").agg(F.count("*").alias("votes"))
     first = meets.groupBy("id").agg(F.max_by("hub", F.struct("votes", -F.col("hub"))).alias("b")).select(F.col("id").alias("a"), "b")
-    first = settle(verify(first, sets, num, den, unpack), "hubs")
+    tried = settle(first, "pairs")
+    # nearly all members of groups are in a pair; what the others add costs less than a second reading for what is left
+    own = settle(sets(found.select("id").distinct()), "sets")
+    first = settle(verify(tried, own, num, den, unpack), "hubs")
     joined = components(first)
     label = found.join(joined, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    split = label.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.min("id").alias("lead")).filter("lo != hi").select("gid", "size", "lead")
+    split = label.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.min("id").alias("lead"), F.max("id").alias("last")).filter("lo != hi")
+    # a group of two whose pair was verified has nothing left to try
+    done = tried.select(F.least("a", "b").alias("lead"), F.greatest("a", "b").alias("last"), F.lit(2).cast("long").alias("size")).distinct()
+    split = split.join(done, ["lead", "last", "size"], "left_anti").select("gid", "size", "lead")
     left = settle(label.join(split, "gid").select("gid", "id", "prober", "c", "size", "lead"), "split")
     if left.isEmpty():
         return joined
-    own = settle(sets(left.select("id").distinct()), "sets")
     sketch = own.select("id", F.lit(0).cast("long").alias("n"), F.col("items").alias("bits")) if inside else own.mapInArrow(_sketches(unpack), "id long, n long, bits binary")
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     at = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
@@ -174,7 +182,7 @@ def link(found: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den
     dealt = dealt.select(F.xxhash64("gid", F.least("at", "other"), F.greatest("at", "other")).alias("cell"), F.xxhash64("lead", F.pmod("gid", F.lit(SPREAD // 4 if inside else SPREAD))).alias("near"), "id", "prober", "c", "n", "bits", (F.col("at") <= F.col("other")).alias("low"), (F.col("at") >= F.col("other")).alias("high"), F.col("chunks").alias("cells"))
     buckets = max(partitions(spark), left.count() // 100_000 + 1)
     more = dealt.groupBy(F.pmod(F.xxhash64("near", F.when(F.col("cells") > 1, F.col("cell"))), F.lit(buckets)).alias("bucket")).applyInPandas(_survivors(num, den, unpack if inside else None), "a long, b long").distinct()
-    second = settle(more if inside else verify(more, sets, num, den, unpack, own), "rest")
+    second = settle(more if inside else verify(settle(more, "pairs"), own, num, den, unpack), "rest")
     if second.isEmpty():
         return joined
     return components(first.union(second))
@@ -182,6 +190,8 @@ def link(found: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den
 
 #: Members of a group that meet in one piece of work; larger groups are dealt into pairs of chunks.
 CHUNK = 4096
+#: Members of a cell up to which pairs are tried one by one; arrays cost more there than they save.
+SMALL = 8
 #: Groups with one smallest member (those of one cluster) go to so many buckets, each of which names a pair once; where items
 #: go along, to a quarter of that, so that a set is unpacked less often.
 SPREAD = 64
@@ -197,16 +207,29 @@ def _sketches(unpack: Callable[[list[bytes]], list[np.ndarray]]):
         for whole in batches:
             for k in range(0, len(whole), 512):
                 batch = whole.slice(k, 512)
-                made = [_sketch(items) for items in unpack(batch.column("items").to_pylist())]
+                made = _sketch(unpack(batch.column("items").to_pylist()))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([n for n, _ in made], pa.int64()), pa.array([b for _, b in made], pa.binary())], names=["id", "n", "bits"])
 
     return run
 
 
-def _sketch(items: np.ndarray) -> tuple[int, bytes]:
-    width = max(256, 1 << (4 * len(items)).bit_length())
-    odd = np.bincount(((items >> U(7)) & U(width - 1)).view(np.int64), minlength=width).astype(np.uint8) & 1
-    return len(items), np.packbits(odd, bitorder="little").tobytes()
+def _sketch(sets: list[np.ndarray]) -> list[tuple[int, bytes]]:
+    """(size, bits) of each set; sets with sketches of one width are counted together."""
+    size = np.array([len(x) for x in sets], np.int64)
+    width = np.array([max(256, 1 << (4 * n).bit_length()) for n in size.tolist()], np.int64)
+    out: list[tuple[int, bytes]] = [(0, b"")] * len(sets)
+    for w in set(width.tolist()):
+        every = np.flatnonzero(width == w).tolist()
+        step = max(1, 262_144 // w)
+        for k in range(0, len(every), step):
+            mine = every[k : k + step]
+            bit = ((np.concatenate([sets[i] for i in mine]) >> U(7)) & U(w - 1)).view(np.int64)
+            bit += np.repeat(np.arange(0, w * len(mine), w), size[mine])
+            odd = (np.bincount(bit, minlength=w * len(mine)) & 1).astype(bool).reshape(len(mine), w)
+            raw = np.packbits(odd, axis=1, bitorder="little").tobytes()
+            for n, i in enumerate(mine):
+                out[i] = int(size[i]), raw[n * w // 8 : (n + 1) * w // 8]
+    return out
 
 
 def _survivors(num: int, den: int, unpack: Callable | None = None):
@@ -229,6 +252,22 @@ def _survivors(num: int, den: int, unpack: Callable | None = None):
             p, q = np.nonzero(ok)
             yield np.stack((ids[a[p]], ids[y[q]]))
 
+    def few(ids, n, c, prober, low, high, bits) -> np.ndarray:
+        """The same for a small cell, pair by pair."""
+        whole, pairs = [int.from_bytes(x, "little") for x in bits], []
+        for i in range(len(ids)):
+            for j in range(i + 1, len(ids)):
+                p, q = (i, j) if n[i] <= n[j] else (j, i)
+                if c[i] == c[j] or n[p] * den < n[q] * num or not (prober[i] or prober[j]) or not (low[i] and high[j] or high[i] and low[j]):
+                    continue
+                wide = whole[q]
+                if len(bits[p]) < len(bits[q]):  # twice as wide at most, as sizes are that near
+                    half = 8 * len(bits[p])
+                    wide = (wide >> half) ^ (wide & ((1 << half) - 1))
+                if (whole[p] ^ wide).bit_count() * (den + num) <= (den - num) * (n[i] + n[j]):
+                    pairs.append((ids[i], ids[j]))
+        return np.array(pairs, np.int64).reshape(-1, 2).T
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(frame["cell"].to_numpy(), kind="stable")
         cell, ids, n, c, prober, low, high = (frame[k].to_numpy()[order] for k in ("cell", "id", "n", "c", "prober", "low", "high"))
@@ -236,10 +275,11 @@ def _survivors(num: int, den: int, unpack: Callable | None = None):
         of: dict[int, np.ndarray] = {}
         if unpack is not None:
             one = dict(zip(ids.tolist(), bits, strict=True))
-            names = list(one)
+            names, made = list(one), {}
             for k in range(0, len(names), 256):
-                of.update(zip(names[k : k + 256], unpack([one[x] for x in names[k : k + 256]]), strict=True))
-            made = {x: _sketch(of[x]) for x in names}
+                part = unpack([one[x] for x in names[k : k + 256]])
+                of.update(zip(names[k : k + 256], part, strict=True))
+                made.update(zip(names[k : k + 256], _sketch(part), strict=True))
             n = np.array([made[x][0] for x in ids.tolist()], np.int64)
             bits = np.array([made[x][1] for x in ids.tolist()] + [b""], object)[:-1]
         parent: dict[int, int] = {}
@@ -267,6 +307,10 @@ def _survivors(num: int, den: int, unpack: Callable | None = None):
         start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
         out = []
         for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(cell)], strict=True):
+            if hi - lo <= SMALL:
+                pairs = few(*(x[lo:hi].tolist() for x in (ids, n, c, prober, low, high)), bits[lo:hi])
+                out.append(joins(pairs, dict(zip(ids[lo:hi].tolist(), c[lo:hi].tolist(), strict=True))) if unpack is not None else pairs)
+                continue
             widths = np.array([len(b) for b in bits[lo:hi]])
             for width in sorted(set(widths.tolist())):
                 x = lo + np.flatnonzero(widths == width)
@@ -308,13 +352,8 @@ def _common(unpack: Callable[[list[bytes]], list[np.ndarray]]):
     return run
 
 
-def verify(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], num: int, den: int, unpack: Callable = plain, own: DataFrame | None = None) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets really are that similar; ``own``: the sets, where they are at hand."""
-    pairs = settle(pairs, "pairs")
-    if pairs.isEmpty():
-        return pairs
-    if own is None:
-        own = settle(sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "sets")
+def verify(pairs: DataFrame, own: DataFrame, num: int, den: int, unpack: Callable = plain) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets in ``own(id, items)`` really are that similar."""
     sided = pairs.join(own.select(F.col("id").alias("b"), F.col("items").alias("ys")), "b").join(own.select(F.col("id").alias("a"), F.col("items").alias("xs")), "a")
     counted = sided.select("a", "b", "xs", "ys").mapInArrow(_common(unpack), "a long, b long, common long, na long, nb long")
     return counted.filter(F.col("common") * den >= (F.col("na") + F.col("nb") - F.col("common")) * num).select("a", "b")

@@ -5,10 +5,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docketry.llm import jaccard_join, lexical, line_dedup, projection_forest, whitening
+from docketry.llm import jaccard_join, lexical, line_dedup, linking, projection_forest, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -225,6 +226,56 @@ def test_shingle_sets_of_lines_are_sorted_in_place(monkeypatch):
     assert all((x[1:] > x[:-1]).all() and len(x) == len(shingles(y.decode())) for x, y in zip(sets, lines, strict=True))
 
 
+@pytest.mark.parametrize("inside", [False, True])
+def test_links_read_sets_once_and_try_no_pair_twice(spark, monkeypatch, inside):
+    """Sets are asked for once, a group of two whose pair failed isn't tried again, and no link is lost; small and large cells."""
+    rng = np.random.default_rng(5)
+    made = {k: np.unique(rng.integers(0, 2**63, 40).astype(np.uint64)) for k in range(1, 40)}
+    for near, far in ((3, 2), (31, 30), (33, 32), (20, 19)):
+        made[near] = np.sort(np.concatenate((made[far][:38], made[near][:2])))
+    groups = {1: [1, 2, 3], 2: [4, 5], 3: list(range(10, 40)), 4: [6, 7], 5: [6, 7, 8]}
+    asked, settled = [], {}
+
+    def sets(ids):
+        asked.append(1)
+        return spark.createDataFrame([(k, v.tobytes()) for k, v in made.items()], "id long, items binary").join(ids, "id", "left_semi")
+
+    def keep(df, name, settle=linking.settle):
+        out = settle(df, name)
+        settled.setdefault(name, []).append(out)
+        return out
+
+    monkeypatch.setattr(linking, "settle", keep)
+    found = spark.createDataFrame([(g, i, 40, True) for g, ids in groups.items() for i in ids], linking.GROUPS)
+    got = {(r.id, r.component) for r in linking.link(found, sets, 75, 100, inside=inside).collect()}
+    assert got == {(2, 2), (3, 2), (30, 30), (31, 30), (32, 32), (33, 32), (19, 19), (20, 19)}
+    assert len(asked) == 1
+    assert {r.gid for r in settled["split"][0].select("gid").distinct().collect()} == {1, 3, 5}
+
+
+def test_sketches_in_bulk_bound_differences():
+    """A sketch has the parity of each place, whatever stands beside it; sizes from none to many."""
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (0, 1, 40, 63, 64, 65, 300, 5000, 40, 700)] * 3
+    for items, (n, bits) in zip(sets, linking._sketch(sets), strict=True):
+        width = max(256, 1 << (4 * len(items)).bit_length())
+        want = 0
+        for x in items.tolist():
+            want ^= 1 << ((x >> 7) & (width - 1))
+        assert n == len(items) and len(bits) == width // 8 and int.from_bytes(bits, "little") == want
+
+
+def test_line_signatures_go_packed_by_task():
+    """One row a bucket for many blocks of text, with every line's signatures."""
+    rng = np.random.default_rng(7)
+    lines = ["".join(rng.choice(list("abcdefgh xyz"), 120)) for _ in range(6000)]
+    texts = ["\n".join(lines[k : k + 100]) for k in range(0, 6000, 100)]
+    rows = [r for b in line_dedup._signer(3)([pa.record_batch({"text": pa.array(texts)})]) for r in b.to_pylist()]
+    assert sum(map(len, texts)) > 2 * line_dedup.BLOCK and sorted(r["bucket"] for r in rows) == [0, 1, 2]
+    assert sum(len(r["sig"]) for r in rows) == 5 * line_dedup.BANDS * len(lines)
+    assert len(np.unique(np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows]))) == len(lines)
+
+
 def test_line_dedup_keeps_a_column_of_its_name(spark):
     rows = [(1, "a line of some words\nand one of its own, first", "x"), (2, "a line of some words\nand another, quite unlike it", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lines_dropped string")
