@@ -15,6 +15,7 @@ from docketry.operators import scan
 from docketry.operators.cells import moment
 from docketry.operators.chunks import SEPARATORS, lengths, one_by_one
 from docketry.operators.chunks import recursive_chunks as measured_chunks
+from docketry.sources.staging import settle
 
 #: Query vectors that are broadcast at a time; a larger stated set is searched in blocks of this size.
 QUERY_BLOCK = 20_000
@@ -51,12 +52,13 @@ def l2_normalise(v: Column) -> Column:
 
 
 def in_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``search`` over a stated set ``queries(q, ...)``, which it may broadcast: counted, and given in blocks of QUERY_BLOCK by the hash of q."""
+    """``search`` over a stated set ``queries(q, ...)``, which it may broadcast: counted, and given in blocks of QUERY_BLOCK by the hash of q. Of several blocks, each is
+    searched and its rows written before the next, so the driver holds one at a time."""
     blocks = -(-queries.count() // QUERY_BLOCK) or 1
     if blocks == 1:
         return search(queries)
     blocks = 2 * blocks  # uneven hashes stay below the block's size
-    return functools.reduce(DataFrame.unionByName, [search(queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == n)) for n in range(blocks)])
+    return functools.reduce(DataFrame.unionByName, [settle(search(queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == n)), "query_block") for n in range(blocks)])
 
 
 def nearest(queries: DataFrame, items: DataFrame, k: int, earlier: bool = False, group: str | None = None) -> DataFrame:
