@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import json
+import os
+import re
 import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -26,8 +30,47 @@ def one_by_one(count: Callable[[str], int]) -> Counts:
     return lambda texts: np.array([count(t) for t in texts], np.int64)
 
 
+#: Letters, digits and white space below U+0250, as byte-level tokenizers part them; texts with other characters go to the library.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+_OTHER = re.compile("[^\x00-\u024f]")
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+#: Distinct pieces whose counts a task keeps at once.
+KNOWN = 500_000
+
+
+def _parted(path: str) -> bool:
+    """Whether a tokenizer file parts texts by the byte-level rule before anything else, so that pieces count alone."""
+    with open(path) as f:
+        own = json.load(f)
+    first = own["pre_tokenizer"] or {}
+    plain = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
+    return bool(plain and not own["normalizer"] and own["model"]["type"] == "BPE" and not own["model"].get("dropout") and all(x["special"] for x in own["added_tokens"]))
+
+
+def by_pieces(counts: Counts) -> Counts:
+    """``counts`` of a tokenizer that parts texts by the byte-level rule: each distinct piece is encoded once a task."""
+    known: dict[str, int] = {}
+
+    def run(texts: list[str]) -> np.ndarray:
+        pieces = [None if _OTHER.search(x) else _PIECES.findall(x) for x in texts]
+        new = list({y for x in pieces if x for y in x}.difference(known))
+        if new:
+            if len(known) + len(new) > KNOWN:
+                known.clear()
+                new = list({y for x in pieces if x for y in x})
+            known.update(zip(new, counts(new).tolist(), strict=True))
+        rest = iter(counts([x for x, own in zip(texts, pieces, strict=True) if own is None]).tolist())
+        return np.fromiter((next(rest) if own is None else sum(map(known.__getitem__, own)) for own in pieces), np.int64, len(texts))
+
+    run.apart = True
+    return run
+
+
+@functools.lru_cache(maxsize=2)
 def tokenizer(path: str) -> Counts:
-    """Counts of a tokenizer file's tokens, without special ones: ``.json`` (tokenizers) or ``.model`` (sentencepiece)."""
+    """Counts of a tokenizer file's tokens, without special ones: ``.json`` (tokenizers) or ``.model`` (sentencepiece). A process
+    reads a file once."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each task has one core, and asks for few texts at a time
     if path.endswith(".model"):
         import sentencepiece
 
@@ -47,7 +90,7 @@ def tokenizer(path: str) -> Counts:
         own = dict(zip(own, encode(list(own)), strict=True))
         return np.fromiter(map(own.__getitem__, texts), np.int64, len(texts))
 
-    return counts
+    return by_pieces(counts) if path.endswith(".json") and _parted(path) else counts
 
 
 def split(text: str, size: int, overlap: int, counts: Counts, separators: tuple[str, ...] = SEPARATORS, recount: bool = True) -> list[str]:
@@ -56,7 +99,7 @@ def split(text: str, size: int, overlap: int, counts: Counts, separators: tuple[
     Parts and separators are counted once, all of a level together. Of their running sums, the end of a chunk is the last place
     within ``size`` of its start, and the next start the first place within ``overlap`` of that end: two binary searches a
     chunk. Tokens of joined parts may outnumber the parts' own; with ``recount`` chunks are counted again, whole, and one that
-    is too long is halved. A single letter of more than ``size`` tokens stays whole.
+    is too long is halved; where ``counts.apart`` says that a tokenizer parts texts at white space, that count is a sum. A single letter of more than ``size`` tokens stays whole.
     """
     at = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
     mark, finer = separators[at], separators[at + 1 :]
@@ -75,16 +118,32 @@ def split(text: str, size: int, overlap: int, counts: Counts, separators: tuple[
                 return found
             i = min(j, int(np.searchsorted(upto, upto[j] - between - min(overlap, size - int(n[a + j]) - between), "left")))
 
+    sums: list[np.ndarray] = []
+
+    def whole(todo: list[tuple[int, int]], texts: list[str]) -> np.ndarray:
+        """Tokens of joined parts. Between parts without white space at their edges, no token reaches over a separator's start."""
+        if not mark or not getattr(counts, "apart", False):
+            return counts(texts)
+        if not sums:
+            after = counts([mark + x for x in parts]) if mark[-1] == " " else n + int(counts([mark + "x"])[0] - counts(["x"])[0])
+            loose = [x[0].isspace() or x[-1].isspace() for x in parts]
+            sums.extend(np.concatenate(([0], np.cumsum(x))) for x in (after, loose))
+        i, j = np.array(todo).T
+        out, loose = n[i] + sums[0][j] - sums[0][i + 1], np.flatnonzero(sums[1][j] > sums[1][i])
+        if len(loose):
+            out[loose] = counts([texts[x] for x in loose])
+        return out
+
     def merge(a: int, b: int) -> None:
         todo = spans(a, b)
         while todo:
             texts = [mark.join(parts[i:j]).strip() for i, j in todo]
-            long = counts(texts) > size if recount else np.zeros(len(texts), bool)
+            long = whole(todo, texts) > size if recount else np.zeros(len(texts), bool)
             if not long.any():
                 out.extend(t for t in texts if t)
                 return
             todo = [x for (i, j), over in zip(todo, long, strict=True) for x in ([(i, (i + j) // 2), ((i + j) // 2, j)] if over and j - i > 1 else [(i, j)])]
-            if not any(over and j - i > 1 for (i, j), over in zip(todo, counts([mark.join(parts[i:j]).strip() for i, j in todo]) > size, strict=True)):
+            if not any(over and j - i > 1 for (i, j), over in zip(todo, whole(todo, [mark.join(parts[i:j]).strip() for i, j in todo]) > size, strict=True)):
                 out.extend(t for t in (mark.join(parts[i:j]).strip() for i, j in todo) if t)
                 return
 
@@ -107,6 +166,7 @@ def once(counts: Counts) -> Counts:
             known.update(zip(new, counts(new).tolist(), strict=True))
         return np.fromiter(map(known.__getitem__, texts), np.int64, len(texts))
 
+    run.apart = getattr(counts, "apart", False)
     return run
 
 

@@ -3,6 +3,7 @@
 import random
 import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +143,23 @@ def test_following_keeps_no_second_copy_of_texts(spark, tmp_path, monkeypatch):
     index = H.follow(docs, str(tmp_path / "index"), cut)
     assert rows(index) == ([(1, 0, "a b"), (2, 0, "z")], [(1, "a b"), (2, "z"), (3, None)])
     assert kept and not any("text" in columns for columns in kept.values())
+
+
+def test_counts_by_pieces_are_the_library_s():
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(BYTES)
+    made.encode_special_tokens = True
+    plain = lambda texts: np.array([len(made.encode(x, add_special_tokens=False).ids) for x in texts], np.int64)
+    rng, asked = random.Random(6), []
+    letters = "ab zÉßøɏªº²¼19 \n\n\t\r\x0b\x1c\x1f\x85\xa0'.,!<|>×÷_'s're'll" + "漢\u2003\u0301\U0001f600Ж"
+    odd = ["".join(rng.choice(letters[: rng.choice([20, 50, len(letters)])]) for _ in range(rng.randrange(0, 60))) for _ in range(3000)]
+    odd += [*texts(3, 20), "<|endoftext|> x", "it's  we'll\n\n'tis", "".join(map(chr, range(0x250)))] + [f"a{chr(x)}b {chr(x)} 1{chr(x)}" for x in range(0x250)]
+    assert H.tokenizer(BYTES)(odd).tolist() == plain(odd).tolist()
+    counts = H.tokenizer(BYTES)
+    for size, overlap in ((6, 2), (30, 9)):
+        for x in odd[:600] + odd[3000:3020]:
+            assert H.split(x, size, overlap, counts) == H.split(x, size, overlap, plain)
+    counts = H.by_pieces(lambda texts: (asked.extend(texts), plain(texts))[1])
+    H.split("one two\n" * 300, 20, 4, counts)
+    assert sum(map(len, asked)) < 100  # 300 lines, and all chunks whole, before
